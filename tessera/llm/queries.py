@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import decontaminate, licenses, line_dedup, mixing, ngram_join
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,66 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(_t(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_t(spark, sf_dir, "documents"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(_t(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(_t(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op2_license_scan": licenses.oracle_sql(),
+    "op3_benchmark_decontamination": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM b),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1)
+SELECT ds.doc_id, bs.item_id, n.n::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*) / n.n::DOUBLE AS containment
+FROM ds JOIN bs USING (g) JOIN n ON n.item_id = bs.item_id GROUP BY 1, 2, n.n HAVING count(*) * 100 >= n.n * 75
+""",
+    "op4_line_dedup": r"""
+WITH l AS (SELECT doc_id, coalesce(source, '') AS host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+t AS (SELECT coalesce(source, '') AS host, count(*) AS total FROM documents GROUP BY 1),
+c AS (SELECT host, trim(line) AS line, count(DISTINCT doc_id) AS pages FROM l WHERE trim(line) <> '' GROUP BY 1, 2),
+bad AS (SELECT c.host, c.line FROM c JOIN t USING (host) WHERE pages >= 5 AND pages > 0.1::DOUBLE * total),
+k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY pos) FILTER (bad.line IS NULL) AS text, count(*) AS n_lines, count(bad.line) AS n_dropped
+  FROM l LEFT JOIN bad ON bad.host = l.host AND bad.line = trim(l.line) GROUP BY 1)
+SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped
+FROM documents d LEFT JOIN k USING (doc_id)
+""",
+    "op5_source_mixing": r"""
+WITH RECURSIVE m AS (SELECT source, greatest(coalesce(sum(length(text)), 0), 1)::DOUBLE AS mass FROM documents GROUP BY 1),
+r AS (SELECT source, (SELECT sum(mass) FROM m) * (pow(mass, 0.5) / (SELECT sum(pow(mass, 0.5)) FROM m)) / mass AS rate FROM m),
+parts AS (SELECT source, rate, greatest(ceil(rate / 100.0), 1)::INTEGER AS parts FROM r),
+q AS (SELECT source, parts, rate / parts AS rate, ceil(rate / parts + 12.0 * sqrt(rate / parts) + 20.0)::INTEGER AS last FROM parts),
+c AS (SELECT source, parts, rate, last, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM q
+  UNION ALL SELECT source, parts, rate, last, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM c WHERE k < last),
+cdf AS (SELECT source, parts, list(cdf ORDER BY k) AS cdf FROM c GROUP BY 1, 2),
+n AS (SELECT d.*, list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(cdf.cdf, lambda x: x <= ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE))))::INTEGER AS number
+  FROM documents d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source),
+x AS (SELECT n.* EXCLUDE (number), unnest(range(1, number + 1))::INTEGER AS replica FROM n)
+SELECT x.*, md5('mix:order:' || coalesce(doc_id::VARCHAR, '') || ':' || replica) AS shuffle_key FROM x
+""",
     "op7_ngram_jaccard_join": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
