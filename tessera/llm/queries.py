@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, mixing, ngram_join
+from . import decontaminate, licenses, line_dedup, mixing, ngram_join, ppm
+from .common import crc_mod
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(_t(spark, sf_dir, "documents"))
 
 
+def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.ppm_score(_t(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_t(spark, sf_dir, "documents"))
 
@@ -34,6 +40,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ppm_scoring": op1_ppm_scoring,
     "op2_license_scan": op2_license_scan,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_line_dedup": op4_line_dedup,
