@@ -204,11 +204,16 @@ def link_sets(entries: DataFrame, docs: DataFrame, num: int, den: int, k: int) -
     sets = persist_table(entries.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "classes")
     lists = entries.select("sid", "n", F.explode("keys").alias("key"))
     # A key of one set alone (with any number of copies) is no meeting place; counts combine before the shuffle.
-    meet = lists.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("lead")).filter("lo != hi").select("key", F.col("lead.sid").alias("leader"), F.col("lead.n").alias("n2"))
+    meet = lists.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("key", F.col("lo").alias("leader"))
     meeting = persist_table(lists.join(meet, "key").distinct(), "meeting")
 
-    star = meeting.filter("sid != leader").filter(_ratio(num, den)).groupBy("sid").agg(F.min(F.struct(F.xxhash64("leader").alias("h"), "leader")).alias("l"))
-    pairs = star.select(F.least("sid", "l.leader").alias("a"), F.greatest("sid", "l.leader").alias("b")).distinct()
+    # Two leaders for each set: the least set id that it meets, and the one with most meeting places, which tends to be
+    # the text that a group of edited copies comes from.
+    degree = meeting.groupBy("sid").agg(F.count("*").alias("degree"))
+    busy = meeting.join(degree, "sid").groupBy("key").agg(F.max(F.struct("degree", "sid")).alias("top"))
+    star = meeting.join(busy, "key").groupBy("sid").agg(F.min("leader").alias("lead"), F.max("top").alias("top"))
+    star = star.select("sid", F.explode(F.array("lead", "top.sid")).alias("leader")).filter("sid != leader")
+    pairs = star.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()
     first = persist_table(_verify(pairs, sets, docs, num, den, k), "stars-linked")
     comp = persist_table(components(first), "first-components")
 

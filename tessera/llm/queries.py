@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, line_dedup, mixing, ngram_join, ppm
+from . import decontaminate, langid, licenses, line_dedup, mixing, ngram_join, ppm, toxicity
 from .common import crc_mod
 
 
@@ -43,6 +43,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(_t(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm_scoring": op1_ppm_scoring,
     "op2_license_scan": op2_license_scan,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op10_toxicity": op10_toxicity,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
