@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix, persist_table, shingle_sets, slices, small_enough
@@ -97,13 +97,13 @@ def _keys(h: np.ndarray, common: np.ndarray, boundary: int, num: int, den: int)
         h = np.concatenate([h[~hot], h[hot]])
     p = n - -(-num * n // den) + 1
     out = []
+    if den * n > num * boundary:  # its largest partner, n * den / num, may be over the boundary
+        out.append(h[:p])
     if n <= boundary:
         x = h[: p + 1]
         i, j = np.triu_indices(len(x), 1)
         lo, hi = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
         out.append(mix(lo * _SUBSET_TAG + mix(hi)))
-    if den * n > num * boundary:  # its largest partner, n * den / num, may be over the boundary
-        out.append(h[:p])
     return np.concatenate(out) if out else np.empty(0, dtype=U64)
 
 
@@ -195,37 +195,47 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, num: int, den: i
     return rows.select("a", "b", "ha", "hb").mapInPandas(linked, "a long, b long")
 
 
-def _ratio(num: int, den: int):
-    return (F.col("n") * num <= F.col("n2") * den) & (F.col("n2") * num <= F.col("n") * den)
+def _may_link(n: Column, left: Column, n2: Column, left2: Column, num: int, den: int) -> Column:
+    """Whether sets of n and n2 shingles can link if a key is the first that they share: their sizes are near enough, and the
+    shingles from the key on (left, left2) are enough for the overlap. Every link passes at its first shared key."""
+    return (n * num <= n2 * den) & (n2 * num <= n * den) & (F.least(left, left2) * (num + den) >= (n + n2) * num)
 
 
-def link_sets(entries: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, DataFrame]:
+def link_sets(entries: DataFrame, docs: DataFrame, boundary: int, num: int, den: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(sets: sid, n, rep, bits; components of sets: node, component) of persisted entries."""
     sets = persist_table(entries.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "classes")
-    lists = entries.select("sid", "n", F.explode("keys").alias("key"))
+    # List keys come first, in the common order: what is left of a set from such a key on bounds an overlap that begins there.
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    left = F.when((F.col("n") * den > num * boundary) & (F.col("pos") < prefix), F.col("n") - F.col("pos")).otherwise(F.col("n")).alias("left")
+    lists = entries.select("sid", "n", F.posexplode("keys").alias("pos", "key"))
     # A key of one set alone (with any number of copies) is no meeting place; counts combine before the shuffle.
-    meet = lists.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("key", F.col("lo").alias("leader"))
-    meeting = persist_table(lists.join(meet, "key").distinct(), "meeting")
+    meet = lists.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("key")
+    meeting = persist_table(lists.select("key", "sid", "n", left).join(meet, "key").distinct(), "meeting")
 
     # Two leaders for each set: the least set id that it meets, and the one with most meeting places, which tends to be
     # the text that a group of edited copies comes from.
     degree = meeting.groupBy("sid").agg(F.count("*").alias("degree"))
-    busy = meeting.join(degree, "sid").groupBy("key").agg(F.max(F.struct("degree", "sid")).alias("top"))
-    star = meeting.join(busy, "key").groupBy("sid").agg(F.min("leader").alias("lead"), F.max("top").alias("top"))
-    star = star.select("sid", F.explode(F.array("lead", "top.sid")).alias("leader")).filter("sid != leader")
+    leaders = meeting.join(degree, "sid").groupBy("key").agg(F.min(F.struct("sid", "n", "left")).alias("lo"), F.max(F.struct("degree", "sid", "n", "left")).alias("top"))
+    star = meeting.join(leaders, "key")
+
+    def led(x: str) -> Column:
+        return (F.col("sid") != F.col(f"{x}.sid")) & _may_link(F.col("n"), F.col("left"), F.col(f"{x}.n"), F.col(f"{x}.left"), num, den)
+
+    star = star.groupBy("sid").agg(F.min(F.when(led("lo"), F.col("lo.sid"))).alias("lead"), F.max(F.when(led("top"), F.struct("top.degree", "top.sid"))).alias("top"))
+    star = star.select("sid", F.explode(F.array("lead", "top.sid")).alias("leader")).filter("leader is not null")
     pairs = star.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()
     first = persist_table(_verify(pairs, sets, docs, num, den, k), "stars-linked")
     comp = persist_table(components(first), "first-components")
 
-    own = meeting.select("key", "sid", "n").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    own = meeting.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     own = persist_table(own, "own")
     sizes = own.groupBy("key", "component").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("x.component").alias("main"))
     open_ = own.join(main, "key")
-    x = open_.filter("component != main").select("key", "sid", "n", "component", "main")
-    y = open_.select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    x = open_.filter("component != main").select("key", "sid", "n", "left", "component", "main")
+    y = open_.select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("component").alias("component2"))
     # Members of a list's largest component meet its other members alone; two of the latter meet once.
-    cross = x.join(y, "key").filter("component != component2 and (component2 = main or sid < sid2)").filter(_ratio(num, den))
+    cross = x.join(y, "key").filter("component != component2 and (component2 = main or sid < sid2)").filter(_may_link(F.col("n"), F.col("left"), F.col("n2"), F.col("left2"), num, den))
     pairs = cross.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
     second = persist_table(_verify(pairs, sets, docs, num, den, k), "cross-linked")
     # Links of the second kind join components, so the first round's stars stand for the links within one.
@@ -243,9 +253,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     num, den = percent, 100
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     common, stats = _common_shingles(d, k)
-    entries = persist_table(_entries(d, common, _boundary(stats, num, den), num, den, k), "entries", "none")
+    boundary = _boundary(stats, num, den)
+    entries = persist_table(_entries(d, common, boundary, num, den, k), "entries", "none")
     known = entries.filter("doc_id is not null")
-    sets, comp = link_sets(known, d.filter("doc_id is not null"), num, den, k)
+    sets, comp = link_sets(known, d.filter("doc_id is not null"), boundary, num, den, k)
     classes = sets.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "rep", F.coalesce("component", "sid").alias("component"))
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = classes.join(least, "component").select("sid", "n", "component_id")
