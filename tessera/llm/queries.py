@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, line_dedup, mixing, ngram_join, ppm, toxicity
-from .common import crc_mod
+from . import decontaminate, langid, licenses, line_dedup, media, mixing, ngram_join, ppm, toxicity, warc
+from .common import crc_mod, new_path
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,16 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(_t(spark, sf_dir, "documents"))
 
 
+def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(_t(spark, sf_dir, "pages"), path)
+    return warc.page_digests(spark, path)
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(_t(spark, sf_dir, "documents"), new_path(spark, "media"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) == 1)
 
@@ -55,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_warc_roundtrip": op8_warc_roundtrip,
+    "op9_media_columns": op9_media_columns,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -106,5 +118,13 @@ l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.y)::BIGINT AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY 1, 2
+""",
+    "op8_warc_roundtrip": r"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages WHERE page_id IS NOT NULL),
+m AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(p.h, (1 + 5 * (i // 4))::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN m USING (h)
 """,
 }
