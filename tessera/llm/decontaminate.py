@@ -34,7 +34,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     matches only a text with just these words. Null texts are empty. Rows with a null id are not reported; of rows that
     share an id, an item is reported once, with its largest containment. Either table may be empty.
     """
-    items = bench.select(F.col(item_col).alias("item_id"), F.array_sort(F.array_distinct(_shingles(_words(F.col(item_text_col)), k))).alias("g")).filter("item_id is not null and size(g) > 0")
+    items = bench.select(F.col(item_col).alias("item_id"), _words(F.col(item_text_col)).alias("w"))
+    items = items.select("item_id", F.array_sort(F.array_distinct(_shingles(F.col("w"), k))).alias("g")).filter("item_id is not null and size(g) > 0")
     items = persist_table(items.dropDuplicates().withColumn("n_item", F.size("g")), "items")
     needed = F.floor((F.col("n_item") * percent + 99) / 100).cast("int")
     sketch = persist_table(items.select("item_id", needed.alias("needed"), F.explode(F.slice("g", F.lit(1), F.col("n_item") - needed + 1)).alias("h")), "sketch")
@@ -59,7 +60,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     found = persist_table(found, "candidates")
     which = found.select("doc_id").distinct()
     texts = base.join(F.broadcast(which) if small_enough(which, BROADCAST_ROWS) else which, "doc_id", "left_semi")
-    sets = texts.select("doc_id", F.array_distinct(_shingles(_words(F.col("text")), k)).alias("d"))
+    # Words are a column of their own first: within the shingles' lambda they would be split anew for every shingle.
+    sets = texts.select("doc_id", _words(F.col("text")).alias("w")).select("doc_id", F.array_distinct(_shingles(F.col("w"), k)).alias("d"))
     of_items = items.select("item_id", "g", "n_item")
     pairs = sets.join(found, "doc_id").join(F.broadcast(of_items) if small_enough(items, BROADCAST_ROWS // 20) else of_items, "item_id")
     pairs = pairs.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.size(F.array_intersect("d", "g")).cast("long").alias("n_shared"))
