@@ -1,6 +1,6 @@
 """Registered queries, by family."""
 
-from . import policy_queries  # noqa: F401
+from . import policy_queries, relation_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
