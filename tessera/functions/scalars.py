@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Licences that allow reuse, and vocabularies of policy and occurrence fields.
 ALLOWED_LICENCES = ("http://creativecommons.org/publicdomain/zero/1.0/", "http://creativecommons.org/licenses/by/4.0/", "http://creativecommons.org/licenses/by-nc/4.0/")
@@ -16,13 +17,13 @@ NULL_TOKENS = ("", "NA")
 SECRET_KEY = "(?i)(authorization|password|secret|token|api_?key|cookie)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC, which Spark has no function for."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Case folded, without diacritics and apostrophes."""
     drop = dict.fromkeys(map(ord, "'’ʼ`"))
