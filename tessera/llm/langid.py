@@ -139,7 +139,8 @@ def _sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col
                 a, starts, ends, _ = spans([t.encode()])
                 for i in np.unique(np.linspace(0, len(starts) - 1, words_each).astype(np.int64)) if len(starts) else ():
                     out.append((a[starts[i] : ends[i]].tobytes(), lang, rank))
-            yield pd.DataFrame(out, columns=["w", "lang", "u"])
+            if out:
+                yield pd.DataFrame(out, columns=["w", "lang", "u"])
 
     got = rows.withColumn("u", u).filter(F.col("u") <= F.element_at(share, F.col("lang"))).select("text", "lang", "u").mapInPandas(cut, "w binary, lang string, u double").toPandas()
     got = got.sort_values(["u", "w"]).groupby("lang").head(per_lang * words_each).sort_values(["u", "w"])

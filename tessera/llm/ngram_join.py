@@ -5,8 +5,9 @@ c = ceil(t*n) shingles with it, so both share at least k shingles within their f
 common order. Sets of up to `boundary` shingles enumerate the k-subsets (k = 2) of that prefix as keys; larger
 ones put the single shingles of their prefix (k = 1) into inverted lists that are then scanned. Sets just under
 the boundary do both, for partners beyond it. The boundary is the size class at which enumerating subsets stops
-being cheaper than scanning lists, from counts over the whole corpus. In the common order, shingles that very many
-documents hold come last, so that a passage on a third of all pages makes no long list.
+being cheaper than scanning lists, from counts over the whole corpus. In the common order, shingles that several
+documents hold come last, the most frequent ones at the very end, so that a line or passage on a third of all pages
+makes no long list.
 
 Long lists are not expanded into pairs: first each set is compared with one leader of its lists and joined with
 it into components; then only pairs of different components are compared, and these only after a bitmap bound.
@@ -24,38 +25,51 @@ from .components import components
 
 #: Rows up to which a checked table is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 500_000
-#: A shingle is common if at least this share of documents hold it. At most (mean set size / share) are.
-COMMON_SHARE = 5e-4
-MAX_COMMON = 200_000
+#: A shingle is common if it was counted in at least this many documents. Common shingles (the MAX_COMMON most frequent
+#: ones at most) only order the prefixes: any choice of them gives the same links.
+COMMON_DOCS = 6
+MAX_COMMON = 400_000
+#: Shingles that are counted together in a task; those that come once among them are not counted.
+_COUNTED = 6_000_000
 _SUBSET_TAG = U64(0x5851F42D4C957F2D)
 
 
-def _common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, dict[int, tuple[int, int, int]]]:
-    """Shingles that many documents hold (they only order prefixes: any choice gives the same links), and list statistics by size class."""
+def _common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int]]]:
+    """Common shingles (sorted), their ranks by frequency, and by size class the numbers of shingles and of list entries that they would scan."""
 
     def count(batches):
+        held, size = [], 0
+
+        def flush():
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            top = c >= 2
+            return pd.DataFrame({"kind": 0, "key": u[top].view(np.int64), "n": c[top].astype(np.int64), "scan": 0})
+
         for pdf in batches:
-            for _, run in slices(pdf["text"].tolist(), 8 << 20):
+            for _, run in slices(pdf["text"].tolist(), 4 << 20):
                 h, at = shingle_sets(run, k)
                 n = np.diff(at)
-                u, inv, c = np.unique(h, return_inverse=True, return_counts=True)
-                cls = np.log2(np.maximum(n, 1)).astype(np.int64)
-                per = np.repeat(cls, n)
-                top = c >= max(3, COMMON_SHARE * len(run) / 2)
-                yield pd.DataFrame({"kind": 0, "key": u[top].view(np.int64), "n": c[top].astype(np.int64), "scan": 0})
-                size = np.bincount(per, minlength=64)[:64]
-                rare = ~top[inv]
-                scan = np.bincount(per[rare], weights=c[inv][rare], minlength=64)[:64].astype(np.int64)
-                sets = np.bincount(cls[n > 0], minlength=64)[:64]
-                some = np.flatnonzero(sets)
-                yield pd.DataFrame({"kind": 1, "key": some, "n": size[some], "scan": scan[some]})
-                yield pd.DataFrame({"kind": 2, "key": [0], "n": [len(run)], "scan": [0]})
-
-    found = persist_table(docs.select("text").mapInPandas(count, "kind int, key long, n long, scan long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("scan").alias("scan")), "common")
-    total = (found.filter("kind = 2").agg(F.sum("n")).first()[0]) or 0
-    top = found.filter(f"kind = 0 and n >= {COMMON_SHARE * total}").orderBy(F.desc("n"), "key").limit(MAX_COMMON).select("key").toPandas()
+                _, inv, c = np.unique(h, return_inverse=True, return_counts=True)
+                per = np.repeat(np.log2(np.maximum(n, 1)).astype(np.int64), n)
+                rare = (c < COMMON_DOCS)[inv]
+                keys, scan = np.bincount(per, minlength=64)[:64], np.bincount(per[rare], weights=c[inv][rare], minlength=64)[:64].astype(np.int64)
+                some = np.flatnonzero(keys)
+                yield pd.DataFrame({"kind": 1, "key": some, "n": keys[some], "scan": scan[some]})
+                held.append(h)
+                size += len(h)
+                if size > _COUNTED:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    found = persist_table(docs.select("text").mapInPandas(count, "kind int, key long, n long, scan long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("scan").alias("scan")).filter(f"kind = 1 or n >= {COMMON_DOCS}"), "common")
+    top = found.filter("kind = 0").orderBy(F.desc("n"), "key").limit(MAX_COMMON).select("key", "n").toPandas()
     stats = {r["key"]: (r["n"], r["scan"]) for r in found.filter("kind = 1").collect()}  # at most 64 rows
-    return np.sort(top["key"].to_numpy(dtype=np.int64).view(U64)), stats
+    top = top.sort_values(["n", "key"])
+    common = top["key"].to_numpy(dtype=np.int64).view(U64)
+    by = np.argsort(common)
+    return common[by], by.astype(np.int32), stats
 
 
 def _boundary(stats: dict[int, tuple[int, int]], num: int, den: int) -> int:
@@ -86,7 +100,7 @@ def _fold(b: np.ndarray, size: int) -> np.ndarray:
     return b
 
 
-def _keys(h: np.ndarray, common: np.ndarray, boundary: int, num: int, den: int) -> np.ndarray:
+def _keys(h: np.ndarray, common: np.ndarray, rank: np.ndarray, boundary: int, num: int, den: int) -> np.ndarray:
     """The keys of one set (its shingles are sorted by hash)."""
     n = len(h)
     if n <= 2:  # sets of one or two shingles link with equal sets alone
@@ -94,7 +108,7 @@ def _keys(h: np.ndarray, common: np.ndarray, boundary: int, num: int, den: int)
     if len(common):
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         hot = common[at] == h
-        h = np.concatenate([h[~hot], h[hot]])
+        h = np.concatenate([h[~hot], h[hot][np.argsort(rank[at[hot]])]])
     p = n - -(-num * n // den) + 1
     out = []
     if den * n > num * boundary:  # its largest partner, n * den / num, may be over the boundary
@@ -118,9 +132,9 @@ def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _entries(docs: DataFrame, common: np.ndarray, boundary: int, num: int, den: int, k: int) -> DataFrame:
+def _entries(docs: DataFrame, common: np.ndarray, rank: np.ndarray, boundary: int, num: int, den: int, k: int) -> DataFrame:
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(common)
+    held = spark.sparkContext.broadcast((common, rank))
 
     def emit(batches):
         for pdf in batches:
@@ -134,7 +148,7 @@ def _entries(docs: DataFrame, common: np.ndarray, boundary: int, num: int, den:
                         "sid": _signatures(h, at),
                         "n": np.diff(at),
                         "bits": [_bitmap(x) if len(x) else b"" for x in rows],
-                        "keys": [_keys(x, held.value, boundary, num, den).view(np.int64) for x in rows],
+                        "keys": [_keys(x, *held.value, boundary, num, den).view(np.int64) for x in rows],
                     }
                 )
 
@@ -252,9 +266,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     num, den = percent, 100
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    common, stats = _common_shingles(d, k)
+    common, rank, stats = _common_shingles(d, k)
     boundary = _boundary(stats, num, den)
-    entries = persist_table(_entries(d, common, boundary, num, den, k), "entries", "none")
+    entries = persist_table(_entries(d, common, rank, boundary, num, den, k), "entries", "none")
     known = entries.filter("doc_id is not null")
     sets, comp = link_sets(known, d.filter("doc_id is not null"), boundary, num, den, k)
     classes = sets.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "rep", F.coalesce("component", "sid").alias("component"))

@@ -71,7 +71,8 @@ def mine(rows: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
             for t, y in zip(pdf["text"], pdf["toxic"], strict=True):
                 for f in {f for w in set(WORD.findall(t.lower())) for f in word_features(w)}:
                     seen.setdefault(f, [0, 0])[int(y)] += 1
-            yield pd.DataFrame({"f": list(seen), "n0": [v[0] for v in seen.values()], "n1": [v[1] for v in seen.values()]})
+            if seen:
+                yield pd.DataFrame({"f": list(seen), "n0": [v[0] for v in seen.values()], "n1": [v[1] for v in seen.values()]})
 
     held = {y: min(size[y], sample) for y in (0, 1)}
     least = max(3.0, 0.015 * held[1])
