@@ -70,6 +70,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["b"], _POW["i"]
 
 
+def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [starts, ends) of a, by differences of one running polynomial; few arrays stand at once."""
+    b, inv = powers(len(a) + 1)
+    t = a.astype(U64)
+    t += U64(1)
+    t *= b[: len(a)]
+    np.cumsum(t, out=t)
+    last = t[ends - 1]
+    last -= np.where(starts > 0, t[starts - 1], U64(0))
+    return mix(last * inv[starts] + (ends - starts).astype(U64))
+
+
 def slices(texts: list, max_bytes: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts (null: empty) of about max_bytes together: (index of the first, texts as UTF-8)."""
     start, size, run = 0, 0, []
@@ -96,11 +108,7 @@ def words(run: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]
     prev[1:] = sep[:-1]
     starts = np.flatnonzero(~sep & prev)
     ends = np.flatnonzero(sep & ~prev)
-    b, inv = powers(len(a) + 1)
-    s = np.empty(len(a) + 1, dtype=U64)
-    s[0] = 0
-    np.cumsum((a.astype(U64) + U64(1)) * b[: len(a)], out=s[1:])
-    h = mix((s[ends] - s[starts]) * inv[starts] + (ends - starts).astype(U64))
+    h = span_hashes(a, starts, ends)
     bounds = np.zeros(len(run) + 1, dtype=np.int64)
     np.cumsum(lens, out=bounds[1:])
     return h, np.searchsorted(starts, bounds)

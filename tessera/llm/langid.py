@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, mix, powers, slices
+from .common import LOWER, slices, span_hashes
 
 SPAN = 32
 HIDDEN = 8
@@ -174,15 +174,12 @@ def identify(docs: DataFrame, net: BiGRU | None, langs: list[str], id_col: str =
     def predict(t: pd.Series) -> pd.DataFrame:
         net, langs = held.value
         pred, score = np.full(len(t), UND, dtype=object), np.zeros(len(t))
-        for start, run in slices(t.tolist(), 4 << 20) if langs else ():
+        for start, run in slices(t.tolist()) if langs else ():
             a, starts, ends, of = spans(run)
             if not len(starts):
                 continue
             n = ends - starts
-            base, inverse = powers(len(a) + 1)
-            s = np.zeros(len(a) + 1, dtype=U64)
-            np.cumsum((a.astype(U64) + U64(1)) * base[: len(a)], out=s[1:])
-            _, first, inv = np.unique(mix((s[ends] - s[starts]) * inverse[starts] + n.astype(U64)), return_index=True, return_inverse=True)
+            _, first, inv = np.unique(span_hashes(a, starts, ends), return_index=True, return_inverse=True)
             sums = np.zeros((len(first), len(langs)), dtype=np.float32)
             by = np.argsort(n[first], kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(n[first][by])) + 1):

@@ -30,7 +30,7 @@ BROADCAST_ROWS = 500_000
 COMMON_DOCS = 6
 MAX_COMMON = 400_000
 #: Shingles that are counted together in a task; those that come once among them are not counted.
-_COUNTED = 6_000_000
+_COUNTED = 3_000_000
 _SUBSET_TAG = U64(0x5851F42D4C957F2D)
 
 
@@ -46,7 +46,7 @@ def _common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, d
             return pd.DataFrame({"kind": 0, "key": u[top].view(np.int64), "n": c[top].astype(np.int64), "scan": 0})
 
         for pdf in batches:
-            for _, run in slices(pdf["text"].tolist(), 4 << 20):
+            for _, run in slices(pdf["text"].tolist()):
                 h, at = shingle_sets(run, k)
                 n = np.diff(at)
                 _, inv, c = np.unique(h, return_inverse=True, return_counts=True)
