@@ -197,16 +197,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
         names, group = model.value
         return Lookup({f: i for i, f in enumerate(names)}), group
 
-    # Votes of all rows; the label travels with rows that may teach.
-    marked = d.join(y, "id", "left").select("id", "text", F.when(F.col("held_out"), -1).otherwise(F.coalesce("toxic", F.lit(-1))).alias("y"))
+    # One pass over all texts: votes and found features of each row. The label travels with rows that may teach.
+    marked = d.join(y, "id", "left").select("id", "held_out", "text", F.when(F.col("held_out"), -1).otherwise(F.coalesce("toxic", F.lit(-1))).alias("y"))
 
     def vote(batches):
         find, group = lookup()
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "votes": [votes(t, find(t), group) for t in pdf["text"]]})
+            hits = [find(t) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "y": pdf["y"], "votes": [votes(t, h, group) for t, h in zip(pdf["text"], hits, strict=True)], "hits": [h.astype(np.int32) for h in hits]})
 
-    voted = persist_table(marked.mapInPandas(vote, "id long, y int, votes int"), "votes")
+    voted = persist_table(marked.mapInPandas(vote, "id long, held_out boolean, y int, votes int, hits array<int>"), "votes")
     seen = voted.groupBy("votes", "y").agg(F.count("*").alias("n")).toPandas()  # at most 3 * 2^voters rows
+    if not len(seen):
+        return d.select(F.col("id").alias("doc_id"), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     label_model = LabelModel().fit(seen["votes"].to_numpy(dtype=np.int64), seen["y"].to_numpy(dtype=np.int64), seen["n"].to_numpy(dtype=float))
     pattern = np.unique(seen["votes"].to_numpy(dtype=np.int64))
     q = dict(zip(pattern.tolist(), label_model.posterior(pattern).tolist(), strict=True))
@@ -214,15 +217,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     likely = sum(n for v, n in many.items() if q[v] > 0.5)
     rest = sum(many.values()) - likely
     share = F.create_map(*[F.lit(x) for v in many for x in (v, min(1.0, sample / max(1, likely if q[v] > 0.5 else rest)))])
-    chosen = voted.withColumn("share", F.element_at(share, F.col("votes"))).filter(_rank(F.col("id"), "fit:") < F.col("share")).select("id", "y", "votes", "share").filter("id is not null").dropDuplicates(["id"])
-    chosen = F.broadcast(chosen)  # about 2 * sample rows
-
-    def found(batches):
-        find, _ = lookup()
-        for pdf in batches:
-            yield pd.DataFrame({"votes": pdf["votes"], "y": pdf["y"], "share": pdf["share"], "hits": [find(t) for t in pdf["text"]]})
-
-    fit = d.join(chosen, "id").select("text", "votes", "y", "share").mapInPandas(found, "votes int, y int, share double, hits array<long>").toPandas()
+    # About 2 * sample rows, half of them likely toxic.
+    fit = voted.filter(_rank(F.col("id"), "fit:") < F.element_at(share, F.col("votes"))).select("votes", "y", "hits").toPandas()
     x = np.zeros((len(fit), len(names)), dtype=np.float32)
     for i, h in enumerate(fit["hits"]):
         x[i, np.asarray(h, dtype=np.int64)] = 1
@@ -232,9 +228,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     weights = spark.sparkContext.broadcast(w)
 
     @F.pandas_udf("double")
-    def score(batches: pd.Series) -> pd.Series:
-        find, _ = lookup()
+    def score(hits: pd.Series) -> pd.Series:
         w = weights.value
-        return pd.Series([float(1 / (1 + np.exp(-np.clip(w[find(t)].sum() + w[-1], -40, 40)))) for t in batches])
+        return pd.Series([float(1 / (1 + np.exp(-np.clip(w[np.asarray(h, dtype=np.int64)].sum() + w[-1], -40, 40)))) for h in hits])
 
-    return d.select(F.col("id").alias("doc_id"), "held_out", score("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return voted.select(F.col("id").alias("doc_id"), "held_out", score("hits").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
