@@ -42,8 +42,17 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, id, score, rank): exact cosine of a stated query set (query, q), which is broadcast, against all vectors (id, v)."""
-    pairs = vectors.crossJoin(F.broadcast(queries))
-    return top_k(pairs.select("query", "id", F.round(S.cosine(F.col("v"), F.col("q")), 6).alias("score")), k)
+    # Norms are taken once a vector, not once a pair; zero vectors have no cosine.
+    pairs = _units(vectors, "v").crossJoin(F.broadcast(_units(queries, "q")))
+    return top_k(pairs.select("query", "id", F.round(_dot("v", "q"), 6).alias("score")), k)
+
+
+def _units(rows: DataFrame, col: str) -> DataFrame:
+    return rows.withColumn(col, S.unit_vector(F.col(col))).filter(F.col(col).isNotNull())
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def fuse(rankings: DataFrame, k: int = 60) -> DataFrame:
@@ -55,7 +64,7 @@ def fuse(rankings: DataFrame, k: int = 60) -> DataFrame:
 
 def prototype_labels(vectors: DataFrame, prototypes: DataFrame, confidence: float, margin: float) -> DataFrame:
     """(id, label, score, margin): the label of the nearest prototype (label, q); null below a confidence or margin threshold."""
-    s = vectors.crossJoin(F.broadcast(prototypes)).select("id", "label", F.round(S.cosine(F.col("v"), F.col("q")), 6).alias("score"))
+    s = _units(vectors, "v").crossJoin(F.broadcast(_units(prototypes, "q"))).select("id", "label", F.round(_dot("v", "q"), 6).alias("score"))
     s = s.groupBy("id", "label").agg(F.max("score").alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "label")
     s = s.withColumns({"n": F.row_number().over(w), "next": F.lead("score").over(w)}).filter("n = 1")
