@@ -24,7 +24,7 @@ from .common import U64, mix, persist_table, shingle_sets, slices, small_enough
 from .components import components
 
 #: Rows up to which a checked table is broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 #: A shingle is common if it was counted in at least this many documents. Common shingles (the MAX_COMMON most frequent
 #: ones at most) only order the prefixes: any choice of them gives the same links.
 COMMON_DOCS = 6
@@ -252,8 +252,9 @@ def link_sets(entries: DataFrame, docs: DataFrame, boundary: int, num: int, den:
     cross = x.join(y, "key").filter("component != component2 and (component2 = main or sid < sid2)").filter(_may_link(F.col("n"), F.col("left"), F.col("n2"), F.col("left2"), num, den))
     pairs = cross.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
     second = persist_table(_verify(pairs, sets, docs, num, den, k), "cross-linked")
-    # Links of the second kind join components, so the first round's stars stand for the links within one.
-    return sets, components(first.unionByName(second))
+    # Links of the second kind join components; the first round's stars stand for the links within one, and settle sooner.
+    stars = comp.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return sets, components(stars.unionByName(second))
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
