@@ -216,7 +216,7 @@ def _may_link(n: Column, left: Column, n2: Column, left2: Column, num: int, den:
 
 
 def link_sets(entries: DataFrame, docs: DataFrame, boundary: int, num: int, den: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(sets: sid, n, rep, bits; components of sets: node, component) of persisted entries."""
+    """(sets: sid, n, rep, bits; components of their reps: node, component) of persisted entries."""
     sets = persist_table(entries.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "classes")
     # List keys come first, in the common order: what is left of a set from such a key on bounds an overlap that begins there.
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
@@ -254,7 +254,11 @@ def link_sets(entries: DataFrame, docs: DataFrame, boundary: int, num: int, den:
     second = persist_table(_verify(pairs, sets, docs, num, den, k), "cross-linked")
     # Links of the second kind join components; the first round's stars stand for the links within one, and settle sooner.
     stars = comp.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return sets, components(stars.unionByName(second))
+    links = stars.unionByName(second)
+    # From here nodes are the least ids of the classes, so that a component's least node is its id and no join meets all of a component.
+    for end in ("a", "b"):
+        links = links.join(sets.select(F.col("sid").alias(end), F.col("rep").alias("_rep")), end).drop(end).withColumnRenamed("_rep", end)
+    return sets, components(links)
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
@@ -262,7 +266,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     Words are runs of non-separator bytes after A-Z are lowered. Null and empty texts, and texts without words, have
     no shingles and link with nothing: their component is their own id. Equal sets (copies, repeated rows) are one
-    class and are compared once. Rows with a null id take part in no link and have a null component. Other columns
+    class and are compared once. Rows with a null id take part in no link and have a null component;
+    rows with one id but different texts are linked through that id where it is the least of their classes. Other columns
     of docs, whatever their names, are not read.
     """
     num, den = percent, 100
@@ -272,9 +277,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     entries = persist_table(_entries(d, common, rank, boundary, num, den, k), "entries", "none")
     known = entries.filter("doc_id is not null")
     sets, comp = link_sets(known, d.filter("doc_id is not null"), boundary, num, den, k)
-    classes = sets.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "rep", F.coalesce("component", "sid").alias("component"))
-    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = classes.join(least, "component").select("sid", "n", "component_id")
+    of_class = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "n", F.coalesce("component", "rep").alias("component_id"))
     of_class = persist_table(of_class, "class-components")
     rows = entries.select("doc_id", "sid", "n")
     out = rows.join(F.broadcast(of_class) if small_enough(of_class, BROADCAST_ROWS) else of_class, ["sid", "n"], "left")
