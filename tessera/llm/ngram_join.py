@@ -175,9 +175,11 @@ def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """The pairs (a < b of set ids) that link: first by the bitmaps' bound, then by the sets, made again from the texts of their first documents."""
-    small = small_enough(sets, BROADCAST_ROWS)
-    side = sets.select("sid", "n", "bits")
-    side = F.broadcast(side) if small else side
+    # Bitmaps of the sets that stand in a pair alone are moved.
+    pairs = persist_table(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    small = small_enough(ends, BROADCAST_ROWS)
+    side = sets.join(F.broadcast(ends) if small else ends, "sid", "left_semi").select("sid", "n", "bits")
     a = side.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     b = side.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     left = persist_table(_near(pairs.join(F.broadcast(a) if small else a, "a").join(F.broadcast(b) if small else b, "b"), num, den), "near")
