@@ -1,11 +1,13 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model over their votes, a linear classifier on its posteriors.
 
-1. Lexicons are mined from a bounded sample of labelled rows: words and word beginnings that toxic texts hold far more
-   often than others. They are dealt to several voters by kind and hash, so that voters err apart from each other.
+1. Lexicons are mined from a bounded sample of labelled rows: words and word beginnings that toxic texts surely hold far
+   more often than others. They are dealt to several voters by kind and hash, so that voters err apart from each other.
 2. Votes of all documents are counted by pattern (2^voters patterns at most, with the label of rows that may teach).
    Expectation maximization estimates each voter's firing rates by class and, along a tree of the strongest dependences
    within a class, its rates given another voter's vote: accuracies and correlations.
-3. A logistic regression over the mined words and beginnings is fit to the posteriors of a bounded sample of rows.
+3. A logistic regression over words and beginnings and over the pattern voters is fit to a bounded sample of rows: to
+   labels where rows have them, else to posteriors. Its features are all whose counts differ beyond chance between the
+   classes; how far beyond, and the decay of weights, are chosen by a fold of the labelled rows that may teach.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ SEED = re.compile(r"\b(?:" + "|".join(SEED_WORDS) + r")\b", re.IGNORECASE)
 ADDRESS = re.compile(r"\b(you|your|du|ihr|tu|vous|eres|usted)\b[^.!?\n]{0,40}!", re.IGNORECASE)
 SHOUT = re.compile(r"[!?]{2,}")
 PREFIXES = (4, 5, 6)
+#: Features stand in so many sampled rows at least; G from which a feature counts and the weight of rows without a label are
+#: chosen from LEVELS (chances of about 1 in 100, 1,000 and 10,000) and SOFT by a fold of the labelled rows. MAX_FEATURES
+#: bounds what reaches the driver, the surest first. A voter's words have a G of VOTER_G at least, which chance does not
+#: give any of some million words.
+LEAST_ROWS, LEVELS, SOFT, MAX_FEATURES, VOTER_G = 3, (6.6, 10.8, 15.1), (1.0, 0.1), 50_000, 30.0
 VOTERS = ("seed", "word0", "word1", "begin0", "begin1", "begin2", "dense", "address", "shout", "upper")
 
 
@@ -54,39 +61,68 @@ class Lookup:
         return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
+def _fold(id_col: Column) -> Column:
+    """A quarter of the rows, by a hash: cuts are chosen by them."""
+    return _rank(id_col, "fold:") < 0.25
+
+
 def _rank(id_col: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mine(rows: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
-    """Features of labelled rows (id, text, toxic) that tell toxic texts, with their log odds; at most `sample` rows of each class are read (by a hash)."""
+def _surprise(n0: Column, n1: Column, rows0: int, rows1: int) -> Column:
+    """The likelihood ratio statistic (G) of a feature's counts against equal shares in both classes."""
+    def part(n: Column, rows: int) -> Column:
+        share = (n0 + n1) / F.lit(float(rows0 + rows1))
+        term = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+        return term(n, share * rows) + term(F.lit(rows) - n, (F.lit(1.0) - share) * rows)
+
+    return 2 * (part(n0, rows0) + part(n1, rows1))
+
+
+def mine(rows: DataFrame, sample: int) -> pd.DataFrame | None:
+    """Features of labelled rows (id, text, toxic) whose shares in toxic and clean texts differ beyond chance, the surest first.
+
+    At most `sample` rows of each class are read (by a hash). g and odds: G and log odds over these rows; g_fit: G over
+    those outside the test fold. None without rows of both classes.
+    """
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(1) or not size.get(0):
-        return [], np.zeros(0)
-    part = rows.filter(_rank(F.col("id"), "mine:") <= F.when(F.col("toxic") == 1, min(1.0, sample / size[1])).otherwise(min(1.0, sample / size[0])))
+        return None
+    part = rows.filter(_rank(F.col("id"), "mine:") <= F.when(F.col("toxic") == 1, min(1.0, sample / size[1])).otherwise(min(1.0, sample / size[0]))).withColumn("fold", _fold(F.col("id")))
+    held = {(r["toxic"], r["fold"]): r["n"] for r in part.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
+    fit = [held.get((y, False), 0) for y in (0, 1)]
+    every = [fit[y] + held.get((y, True), 0) for y in (0, 1)]
+    names = ("a0", "a1", "b0", "b1")
 
     def count(batches):
         for pdf in batches:
             seen: dict[str, list[int]] = {}
-            for t, y in zip(pdf["text"], pdf["toxic"], strict=True):
+            for t, y, b in zip(pdf["text"], pdf["toxic"], pdf["fold"], strict=True):
                 for f in {f for w in set(WORD.findall(t.lower())) for f in word_features(w)}:
-                    seen.setdefault(f, [0, 0])[int(y)] += 1
+                    seen.setdefault(f, [0, 0, 0, 0])[2 * int(b) + int(y)] += 1
             if seen:
-                yield pd.DataFrame({"f": list(seen), "n0": [v[0] for v in seen.values()], "n1": [v[1] for v in seen.values()]})
+                yield pd.DataFrame({"f": list(seen)} | {c: [v[i] for v in seen.values()] for i, c in enumerate(names)})
+
+    got = part.select("text", "toxic", "fold").mapInPandas(count, "f string, " + ", ".join(f"{c} long" for c in names)).groupBy("f").agg(*[F.sum(c).alias(c) for c in names])
+    got = got.filter(F.col("a0") + F.col("a1") + F.col("b0") + F.col("b1") >= LEAST_ROWS)
+    got = got.select("f", "a0", "a1", (F.col("a0") + F.col("b0")).alias("n0"), (F.col("a1") + F.col("b1")).alias("n1"))
+    got = got.withColumn("g", _surprise(F.col("n0"), F.col("n1"), *every)).withColumn("g_fit", _surprise(F.col("a0"), F.col("a1"), *fit) if min(fit) else F.lit(0.0))
+    got = got.withColumn("odds", F.log((F.col("n1") + 0.5) / (every[1] + 1.0)) - F.log((F.col("n0") + 0.5) / (every[0] + 1.0)))
+    top = got.filter(F.greatest("g", "g_fit") >= min(LEVELS)).orderBy(F.desc("g"), "f").limit(MAX_FEATURES).toPandas()
+    # Voters are sure of what they name: fifty times as common in toxic texts as in others, or as near to that as few rows can show.
+    top["votes"] = (top["g"] >= VOTER_G) & (top["odds"] >= 3.8) & (top["n0"] * every[1] * 50 <= top["n1"] * every[0])
+    return top
+
 
-    held = {y: min(size[y], sample) for y in (0, 1)}
-    least = max(3.0, 0.015 * held[1])
-    got = part.select("text", "toxic").mapInPandas(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    odds = F.log((F.col("n1") + 0.5) / (held[1] + 1.0)) - F.log((F.col("n0") + 0.5) / (held[0] + 1.0))
-    # Fifty times as common in toxic texts as in others, or as near to that as few rows can show: words of one theme stay out.
-    sure = (odds >= 3.8) & (F.col("n0") * held[1] * 50 <= F.col("n1") * held[0])
-    top = got.filter(F.col("n1") >= least).withColumn("odds", odds).filter(sure).orderBy(F.desc(F.col("n1") * F.col("odds")), "f").limit(2000).toPandas()
-    return top["f"].tolist(), top["odds"].to_numpy()
+#: The voters that know no mined feature; each is a feature of the classifier itself.
+PATTERNS = ("seed", "address", "shout", "upper")
+PATTERN_BITS = np.array([VOTERS.index(v) for v in PATTERNS])
 
 
 def votes(text: str, hit: np.ndarray, group: np.ndarray) -> int:
-    """The voters that fire, as bits."""
-    out = 0
+    """The voters that fire, as bits; features of group -1 have no voter."""
+    out, hit = 0, hit[group[hit] >= 0]
     if hit.size:
         for g in np.unique(group[hit]):
             out |= 1 << int(1 + g)
@@ -161,17 +197,45 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(lp[0] - lp[1], -50, 50)))
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, weight: np.ndarray, steps: int = 400, decay: float = 2e-4) -> np.ndarray:
-    """Logistic regression on soft labels; the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1), dtype=x.dtype)], axis=1)
-    w, m, s = np.zeros(x.shape[1], dtype=np.float32), np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    for k in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        g = x.T @ ((p - q) * weight).astype(np.float32) / weight.sum()
-        g[:-1] += decay * w[:-1]
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        w -= (0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
-    return w
+class Rows:
+    """Rows of features as two arrays: the row and the feature of each hit. Pattern voters are the features after the mined ones."""
+
+    def __init__(self, hits, votes: np.ndarray, features: int):
+        n = [len(h) for h in hits]
+        fired = (votes[:, None] >> PATTERN_BITS) & 1
+        r, c = np.nonzero(fired)
+        self.row = np.concatenate([np.repeat(np.arange(len(n)), n), r])
+        self.col = np.concatenate([*[np.asarray(h, dtype=np.int64) for h in hits], features + c])
+        self.rows, self.features = len(n), features + len(PATTERNS)
+
+    def fit(self, q: np.ndarray, weight: np.ndarray, use: np.ndarray, steps: int, decay: float = 2e-4) -> np.ndarray:
+        """Logistic regression on soft labels over the features in use; the last weight is the bias."""
+        at = use[self.col] & (weight > 0)[self.row]
+        row, col = self.row[at], self.col[at]
+        w, m, s = np.zeros(self.features + 1), np.zeros(self.features + 1), np.zeros(self.features + 1)
+        for k in range(1, steps + 1):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], self.rows) + w[-1], -40, 40)))
+            d = (p - q) * weight / weight.sum()
+            g = np.append(np.bincount(col, d[row], self.features), d.sum())
+            g[:-1] += decay * w[:-1]
+            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+            w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
+        return w
+
+    def loss(self, w: np.ndarray, q: np.ndarray, at: np.ndarray) -> float:
+        """Mean log loss of the rows `at`."""
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(self.row, w[self.col], self.rows) + w[-1], -40, 40)))
+        return float(-np.mean(q[at] * np.log(p[at] + 1e-9) + (1 - q[at]) * np.log(1 - p[at] + 1e-9)))
+
+
+def fit_chosen(x: Rows, q: np.ndarray, labelled: np.ndarray, fold: np.ndarray, g: np.ndarray, g_fit: np.ndarray) -> np.ndarray:
+    """Weights with the least G and the weight of unlabelled rows that do best on the labelled rows of the fold, whose counts choose no feature there."""
+    use = lambda g, level: np.append(g >= level, np.ones(len(PATTERNS), dtype=bool))
+    level, soft, test = LEVELS[1], SOFT[0], fold & labelled
+    if len(np.unique(q[test])) == 2 and len(np.unique(q[labelled & ~fold])) == 2:
+        losses = {(lv, u): x.loss(x.fit(q, np.where(labelled, 1.0, u) * ~fold, use(g_fit, lv), 150), q, test) for lv in LEVELS for u in SOFT}
+        level, soft = min(losses, key=losses.get)
+    return x.fit(q, np.where(labelled, 1.0, soft), use(g, level), 400)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, threshold: float = 0.7) -> DataFrame:
@@ -179,7 +243,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
 
     labels has id_col and label_col (0, 1; rows with null in either, and rows of an id with both labels, teach nothing).
     Rows where held_out is true give no labels. `sample` bounds the labelled rows of each class that lexicons are mined
-    from and the rows the classifier is fit on (twice as many); votes are counted over all rows. Null texts are empty.
+    from and the labelled rows of each class that the classifier is fit on (half as many more have no label); votes are counted over all rows. Null texts are empty.
     Without labelled rows of both classes every score is 0. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -187,10 +251,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").select("id", "toxic")
     y = F.broadcast(y) if small_enough(y, 500_000) else y
     taught = d.filter(~F.col("held_out")).join(y, "id")
-    names, odds = mine(taught, sample)
-    if not names:
+    mined = mine(taught, sample)
+    if mined is None:
         return d.select(F.col("id").alias("doc_id"), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    group = np.array([zlib.crc32(f.encode()) % 2 if not f.endswith("-") else 2 + zlib.crc32(f[:4].encode()) % 3 for f in names])
+    names = mined["f"].tolist()
+    group = np.array([-1 if not sure else zlib.crc32(f.encode()) % 2 if not f.endswith("-") else 2 + zlib.crc32(f[:4].encode()) % 3 for f, sure in zip(names, mined["votes"], strict=True)], dtype=np.int64)
     model = spark.sparkContext.broadcast((names, group))
 
     def lookup():
@@ -213,23 +278,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     label_model = LabelModel().fit(seen["votes"].to_numpy(dtype=np.int64), seen["y"].to_numpy(dtype=np.int64), seen["n"].to_numpy(dtype=float))
     pattern = np.unique(seen["votes"].to_numpy(dtype=np.int64))
     q = dict(zip(pattern.tolist(), label_model.posterior(pattern).tolist(), strict=True))
-    many = {v: int(n) for v, n in seen.groupby("votes")["n"].sum().items()}
-    likely = sum(n for v, n in many.items() if q[v] > 0.5)
-    rest = sum(many.values()) - likely
-    share = F.create_map(*[F.lit(x) for v in many for x in (v, min(1.0, sample / max(1, likely if q[v] > 0.5 else rest)))])
-    # About 2 * sample rows, half of them likely toxic.
-    fit = voted.filter(_rank(F.col("id"), "fit:") < F.element_at(share, F.col("votes"))).select("votes", "y", "hits").toPandas()
-    x = np.zeros((len(fit), len(names)), dtype=np.float32)
-    for i, h in enumerate(fit["hits"]):
-        x[i, np.asarray(h, dtype=np.int64)] = 1
+    # A label tells a row's side, else the posterior does: toxic rows that no voter knows are not lost among the clean.
+    many = {(int(v), int(y)): int(n) for v, y, n in seen.itertuples(index=False)}
+    side = {k: (k[1] >= 0, k[1] == 1 if k[1] >= 0 else q[k[0]] > 0.5) for k in many}
+    rows = {g: sum(n for k, n in many.items() if side[k] == g) for g in set(side.values())}
+    share = F.create_map(*[F.lit(x) for k in many for x in (k[0] * 4 + k[1] + 1, min(1.0, sample / (1 if side[k][0] else 2) / rows[side[k]]))])
+    # About 3 * sample rows at most: two thirds of them labelled, half of each likely toxic.
+    drawn = voted.filter(_rank(F.col("id"), "fit:") < F.element_at(share, F.col("votes") * 4 + F.col("y") + 1))
+    fit = drawn.select("votes", "y", "hits", _fold(F.col("id")).alias("fold")).toPandas()
     soft = np.where(fit["y"] >= 0, fit["y"], fit["votes"].map(q)).astype(float)
-    # Each half of the sample stands for as many rows, so that neither class is drowned.
-    w = fit_linear(x, soft, np.ones(len(fit))) if len(fit) else np.zeros(len(names) + 1, dtype=np.float32)
+    x = Rows(fit["hits"].tolist(), fit["votes"].to_numpy(dtype=np.int64), len(names))
+    w = fit_chosen(x, soft, fit["y"].to_numpy() >= 0, fit["fold"].to_numpy(dtype=bool), mined["g"].to_numpy(), mined["g_fit"].to_numpy()) if len(fit) else np.zeros(len(names) + len(PATTERNS) + 1)
     weights = spark.sparkContext.broadcast(w)
 
     @F.pandas_udf("double")
-    def score(hits: pd.Series) -> pd.Series:
+    def score(hits: pd.Series, votes: pd.Series) -> pd.Series:
         w = weights.value
-        return pd.Series([float(1 / (1 + np.exp(-np.clip(w[np.asarray(h, dtype=np.int64)].sum() + w[-1], -40, 40)))) for h in hits])
+        own = ((votes.to_numpy(dtype=np.int64)[:, None] >> PATTERN_BITS) & 1) @ w[-1 - len(PATTERNS) : -1] + w[-1]
+        z = own + np.array([w[np.asarray(h, dtype=np.int64)].sum() for h in hits])
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return voted.select(F.col("id").alias("doc_id"), "held_out", score("hits").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return voted.select(F.col("id").alias("doc_id"), "held_out", score("hits", "votes").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

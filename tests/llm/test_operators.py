@@ -410,3 +410,24 @@ def test_toxicity(spark, odd_docs, no_docs):
     odd = toxicity.toxicity(odd_docs, y.unionByName(spark.createDataFrame([(1, None, 1), (None, 1, 1), (2, 0, 0), (2, 1, 0)], y.schema)), F.lit(False)).collect()
     assert len(odd) == odd_docs.count()
     assert toxicity.toxicity(no_docs, y, F.lit(False)).count() == 0 and {r["score"] for r in toxicity.toxicity(odd_docs, y.limit(0), F.lit(False)).collect()} == {0.0}
+
+
+def test_toxicity_learns_rare_words(spark):
+    """100 rare abusive words of which each stands in 1% of the toxic texts, without a common beginning."""
+    rows = []
+    for i in range(3000):
+        bad = i % 5 == 0
+        rare = "abcdefghij"[i // 5 % 10] + "klmnopqrst"[i // 5 % 100 // 10] + "xqy"
+        rows.append((i, prose(i, 40) + (f" {rare}" if bad else ""), int(bad)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = F.col("doc_id") % 7 == 3
+    out = d.join(toxicity.toxicity(d, d, held, sample=6000), "doc_id").filter("held_out").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in out) >= 0.98 * len(out)
+
+
+def test_toxicity_scores_without_mined_words(spark):
+    """Where no word tells the classes, patterns still do."""
+    rows = [(i, f"{'!!' if i % 2 else ''} 12 {i}", i % 2) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = d.join(toxicity.toxicity(d, d, F.col("doc_id") % 7 == 3), "doc_id").collect()
+    assert all((r["score"] > 0.5) == (r["toxic"] == 1) for r in out)
