@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# SPDX identifiers whose tag alone names the licence, besides those that have their own rule below.
+SPDX = ("AGPL-3.0-only", "AGPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "ISC", "0BSD", "BSL-1.0", "EPL-2.0", "EUPL-1.2", "OFL-1.1", "Artistic-2.0", "Zlib", "WTFPL", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+
 # Licence sentences as they stand in public licence texts and headers (normalized: lower case, everything
 # but a-z and 0-9 is one blank), each with its identifier.
 SENTENCES: dict[str, str] = {
@@ -27,6 +30,12 @@ SENTENCES: dict[str, str] = {
     "you may not use this file except in compliance with the license": "APuse",
     "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APcopyasis",
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "APcopy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "APcopy",
+    "you may obtain a copy of the license at": "APcopyat",
+    "http www apache org licenses license 2 0": "APurl",
+    "https www apache org licenses license 2 0": "APurl",
+    "unless required by applicable law or agreed to in writing software": "APunless",
+    "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APdist",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APasis",
     "see the license for the specific language governing permissions and limitations under the license": "APsee",
     "this work is licensed under the gnu general public license version 3": "GPL3ref",
@@ -36,8 +45,14 @@ SENTENCES: dict[str, str] = {
     "licensed under the gnu general public license version 2": "GPL2ref",
     "this work is licensed under the gnu general public license version 2": "GPL2ref",
     "spdx license identifier gpl 3 0 only": "GPL3spdx",
-    "spdx license identifier gpl 3 0 or later": "GPL3spdx",
+    "spdx license identifier gpl 3 0 or later": "GPL3spdxlater",
+    "spdx license identifier gpl 3 0": "GPL3spdx",
     "spdx license identifier gpl 2 0 only": "GPL2spdx",
+    "spdx license identifier gpl 2 0 or later": "GPL2spdxlater",
+    "spdx license identifier gpl 2 0": "GPL2spdx",
+    **{"spdx license identifier " + "".join(c if c.isalnum() else " " for c in name.lower()): f"SPDX-{name}" for name in SPDX},
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPLv3whole",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPLv2whole",
     "this program is free software": "GPLfree",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GPLredist",
     "either version 3 of the license or at your option any later version": "GPLv3later",
@@ -45,6 +60,9 @@ SENTENCES: dict[str, str] = {
     "this program is distributed in the hope that it will be useful but without any warranty": "GPLhope",
     "without even the implied warranty of merchantability or fitness for a particular purpose": "GPLimplied",
     "see the gnu general public license for more details": "GPLsee",
+    "you should have received a copy of the gnu general public license along with this program": "GPLcopy",
+    "if not see https www gnu org licenses": "GPLurl",
+    "if not see http www gnu org licenses": "GPLurl",
     "licensed under the gnu lesser general public license version 3": "LGPL3ref",
     "licensed under the mozilla public license version 2 0": "MPL2ref",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL2head",
@@ -77,7 +95,14 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("MITperm",)),
     ("Apache-2.0", ("APhead", "APuse", "APcopyasis", "APsee")),
     ("Apache-2.0", ("APhead", "APuse", "APcopy", "APasis", "APsee")),
+    ("Apache-2.0", ("APhead", "APuse", "APcopyat", "APurl", "APunless", "APdist", "APsee")),
+    ("Apache-2.0", ("APhead", "APuse", "APcopyat", "APurl", "APasis", "APsee")),
+    ("Apache-2.0", ("APhead", "APuse", "APcopy", "APunless", "APdist", "APsee")),
     ("Apache-2.0", ("APhead",)),
+    ("GPL-3.0-or-later", ("GPLv3whole", "GPLhope", "GPLimplied", "GPLsee", "GPLcopy", "GPLurl")),
+    ("GPL-2.0-or-later", ("GPLv2whole", "GPLhope", "GPLimplied", "GPLsee", "GPLcopy", "GPLurl")),
+    ("GPL-3.0-or-later", ("GPLv3whole",)),
+    ("GPL-2.0-or-later", ("GPLv2whole",)),
     ("GPL-3.0-or-later", ("GPLfree", "GPLredist", "GPLv3later")),
     ("GPL-2.0-or-later", ("GPLfree", "GPLredist", "GPLv2later")),
     ("BSD-3-Clause", ("BSDredist", "BSDsource", "BSDbinary", "BSDendorse")),
@@ -87,6 +112,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("MITref",)),
     ("Apache-2.0", ("APspdx",)),
     ("Apache-2.0", ("APref",)),
+    ("GPL-3.0-or-later", ("GPL3spdxlater",)),
+    ("GPL-2.0-or-later", ("GPL2spdxlater",)),
+    *((name, (f"SPDX-{name}",)) for name in SPDX),
     ("GPL-3.0", ("GPL3spdx",)),
     ("GPL-3.0", ("GPL3ref",)),
     ("GPL-2.0", ("GPL2spdx",)),

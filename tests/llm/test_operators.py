@@ -125,6 +125,42 @@ def test_license_rules(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+
+
+def test_published_license_headers(spark):
+    starred = lambda t: "/*\n" + "\n".join(f" * {x.strip()}".rstrip() for x in t.split("\n")) + "\n */"
+    rows = [(1, GPL3), (2, starred(GPL3)), (3, APACHE), (4, starred(APACHE))]
+    tags = ["GPL-2.0-or-later", "GPL-3.0-or-later", *licenses.SPDX]
+    rows += [(10 + i, f"// SPDX-License-Identifier: {t}\nint main") for i, t in enumerate(tags)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["licences"] for i in (1, 2, 3, 4)] == ["GPL-3.0-or-later"] * 2 + ["Apache-2.0"] * 2
+    assert [got[i]["n_unmatched"] for i in (1, 2, 3, 4)] == [0] * 4
+    assert [got[10 + i]["licences"] for i in range(len(tags))] == tags
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------
 
 
