@@ -45,6 +45,23 @@ def src03(spark, d):
     return back.select("doc_id", "lang", F.coalesce("head", F.lit("")).alias("head"))
 
 
+@query("src03_whole_single_byte_table", r"SELECT doc_id, lang, regexp_replace(text, '[^\x{0}-\x{FF}]', '?', 'g') AS text FROM documents")
+def src03_whole(spark, d):
+    """Whole texts: letters that the charset lacks become question marks; backslashes and line ends are escaped, so that lines stay rows."""
+    p = _path(spark, "tsv")
+    text = F.regexp_replace("text", r"[^\x{0}-\x{FF}]", "?")
+    marks = (("\\", "\\b"), ("\n", "\\n"), ("\r", "\\r"))
+    for mark, by in marks:
+        text = F.replace(text, F.lit(mark), F.lit(by))
+    options = {"sep": "\t", "header": True, "encoding": "ISO-8859-1", "nullValue": "\\N", "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(spark, d, "documents").select("doc_id", "lang", text.alias("text")).write.options(quoteAll=True, **options).csv(p)
+    back = spark.read.schema("doc_id long, lang string, text string").options(**options).csv(p)
+    text = F.col("text")
+    for mark, by in reversed(marks):
+        text = F.replace(text, F.lit(by), F.lit(mark))
+    return back.select("doc_id", "lang", text.alias("text"))
+
+
 @query("src04_numbered_sheet", "SELECT s_suppkey, s_name, s_suppkey + 1 AS row_number FROM supplier")
 def src04(spark, d):
     p = _path(spark, "sheet")

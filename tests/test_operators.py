@@ -126,3 +126,10 @@ def test_gate_reports_reasons_in_order(spark):
     r = policy.gate(d, {"n": F.count("*"), "ids": F.count_distinct("k")}, [("empty", F.col("n") == 0), ("duplicates", F.col("n") != F.col("ids"))]).first()
     assert (r.reasons, r.ready) == ("duplicates", False)
     assert policy.gate(d.limit(0), {"n": F.count("*"), "ids": F.count_distinct("k")}, [("empty", F.col("n") == 0)]).first().reasons == "empty"
+
+
+def test_single_byte_table_holds_whole_texts(spark, tmp_path):
+    texts = ["é" * 100 + "\nß end\r\n", 'a\t"q" \\n \\b \\N', "  日本👍 x ", "", None, "\\N", '"', "word " * 20000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in plans.QUERIES["src03_whole_single_byte_table"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == [None if t is None else t.encode("latin-1", "replace").decode("latin-1") for t in texts]
