@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tessera.operators import filters, hierarchy, questions, reconcile
 
 from .policy_queries import _GUARD, CONDITIONS_SQL, HOLDS_SQL, conditions
-from .registry import query
+from .registry import ORACLE, query
 from .stand_ins import claim, entity, evidence, observation, table, with_sql
 
 _EDGES = """edge AS (SELECT DISTINCT p_type AS parent, p_type || '|' || p_brand AS child FROM part UNION ALL SELECT p_type || '|' || p_brand, 'p' || p_partkey FROM part)"""
@@ -79,17 +79,17 @@ _PAIRS = "SELECT a.p_partkey AS a, a.p_partkey * 7 % (SELECT max(p_partkey) FROM
 
 
 @query("jn22_common_ancestor", f"WITH pr AS ({_PAIRS}) SELECT 'p' || pr.a AS a, 'p' || pr.b AS b, CASE WHEN pr.a = pr.b THEN 'p' || pr.a WHEN x.p_brand = y.p_brand THEN x.p_type || '|' || x.p_brand ELSE x.p_type END AS ancestor, CASE WHEN pr.a = pr.b THEN 0 WHEN x.p_brand = y.p_brand THEN 2 ELSE 4 END AS distance FROM pr JOIN part x ON x.p_partkey = pr.a JOIN part y ON y.p_partkey = pr.b WHERE x.p_type = y.p_type")
-def jn22(spark, d):
+def jn22(spark, d, pairs="p_partkey % 10 = 3"):
     p = table(spark, d, "part")
     top = p.agg(F.max("p_partkey").alias("m"))
-    pr = p.filter("p_partkey % 10 = 3").crossJoin(top).select(F.concat(F.lit("p"), "p_partkey").alias("a"), F.concat(F.lit("p"), F.col("p_partkey") * 7 % F.col("m") + 1).alias("b"))
+    pr = p.filter(pairs).crossJoin(top).select(F.concat(F.lit("p"), "p_partkey").alias("a"), F.concat(F.lit("p"), F.col("p_partkey") * 7 % F.col("m") + 1).alias("b"))
     return hierarchy.common_ancestor(pr, edges(spark, d), 2)
 
 
 @query("q01_common_taxonomy", f"WITH pr AS ({_PAIRS}) SELECT pr.a, pr.b, CASE WHEN pr.a = pr.b THEN 'same' WHEN x.p_partkey IS NULL OR y.p_partkey IS NULL THEN 'out_of_scope' WHEN x.p_type <> y.p_type THEN 'none' WHEN x.p_brand = y.p_brand THEN 'genus' ELSE 'order' END AS status FROM pr LEFT JOIN part x ON x.p_partkey = pr.a LEFT JOIN part y ON y.p_partkey = pr.b")
-def q01(spark, d):
+def q01(spark, d, pairs="p_partkey % 10 = 3"):
     p = table(spark, d, "part")
-    pr = p.filter("p_partkey % 10 = 3").crossJoin(p.agg(F.max("p_partkey").alias("m"))).select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7 % F.col("m") + 1).alias("b"))
+    pr = p.filter(pairs).crossJoin(p.agg(F.max("p_partkey").alias("m"))).select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7 % F.col("m") + 1).alias("b"))
     side = lambda c: p.select(F.col("p_partkey").alias(c), F.col("p_type").alias(f"t_{c}"), F.col("p_brand").alias(f"b_{c}"))
     j = pr.join(side("a"), "a", "left").join(side("b"), "b", "left")
     status = F.when(F.col("a") == F.col("b"), "same").when(F.col("t_a").isNull() | F.col("t_b").isNull(), "out_of_scope").when(F.col("t_a") != F.col("t_b"), "none").when(F.col("b_a") == F.col("b_b"), "genus").otherwise("order")
@@ -315,8 +315,8 @@ _NAMES = "n AS (SELECT p_type || '|' || p_brand AS entity, p_name AS label FROM
 
 
 @query("ag18_label_conflicts", f"WITH {_NAMES}, x AS (SELECT entity, label, concat_ws('+', CASE WHEN entity IN (SELECT entity FROM a) THEN 'many_labels' END, CASE WHEN label IN (SELECT label FROM b) THEN 'many_entities' END) AS kind FROM r) SELECT * FROM x WHERE kind <> ''")
-def ag18(spark, d):
-    return reconcile.label_conflicts(table(spark, d, "part").filter("p_partkey % 5 = 2").select(F.concat_ws("|", "p_type", "p_brand").alias("entity"), F.col("p_name").alias("label")))
+def ag18(spark, d, parts="p_partkey % 5 = 2"):
+    return reconcile.label_conflicts(table(spark, d, "part").filter(parts).select(F.concat_ws("|", "p_type", "p_brand").alias("entity"), F.col("p_name").alias("label")))
 
 
 @query("q16_name_consensus", "WITH x AS (SELECT p_type || '|' || p_brand AS entity, 's' || (p_partkey % 3) AS source, lower(p_name) AS label FROM part), p AS (SELECT entity, source, count(DISTINCT label) AS k, min(label) AS label FROM x GROUP BY 1, 2) SELECT entity, count(*) FILTER (k = 1)::BIGINT AS clean_sources, count(DISTINCT CASE WHEN k = 1 THEN label END)::BIGINT AS labels, CASE WHEN count(*) FILTER (k = 1) = 0 THEN 'excluded' WHEN count(DISTINCT CASE WHEN k = 1 THEN label END) > 1 THEN 'conflict' ELSE 'accepted' END AS status FROM p GROUP BY 1")
@@ -402,3 +402,12 @@ def ag22(spark, d):
     return table(spark, d, "part").groupBy("p_type").agg(F.round(F.avg(F.col("p_retailprice").cast("decimal(18,2)")), 2).cast("double").alias("mean"), F.min("p_retailprice").alias("least"), F.max("p_retailprice").alias("most"), F.count("*").alias("n"))
 
 
+def _whole(name, of, sql, part):
+    """The query `of` on all rows; its SQL without the part's condition."""
+    assert sql.count(part) == 1
+    query(name, sql.replace(part, ""))(lambda spark, d: of(spark, d, "true"))
+
+
+_whole("jn22_common_ancestor_whole", jn22, ORACLE["jn22_common_ancestor"], " WHERE a.p_partkey % 10 = 3")
+_whole("q01_common_taxonomy_whole", q01, ORACLE["q01_common_taxonomy"], " WHERE a.p_partkey % 10 = 3")
+_whole("ag18_label_conflicts_whole", ag18, ORACLE["ag18_label_conflicts"], " WHERE p_partkey % 5 = 2")

@@ -9,7 +9,7 @@ from tessera.functions import scalars as S
 from tessera.operators import hierarchy, policy, retrieval
 
 from .policy_queries import _LIC, _OK_DOC, _U
-from .registry import query
+from .registry import ORACLE, query
 from .stand_ins import chunk, claim, document, entity, observation, table, with_sql
 
 # --- text and vectors --------------------------------------------------------------------------------------------
@@ -347,9 +347,14 @@ def ag20(spark, d):
 
 
 @query("ag21_held_cases", "SELECT event_id, concat_ws(',', CASE WHEN value IS NULL OR value < 0 THEN 'value' END, CASE WHEN event_type = 'error' AND value > 50 THEN 'error_value' END) AS errors FROM events WHERE event_id % 10 = 0")
-def ag21(spark, d):
+def ag21(spark, d, cases="event_id % 10 = 0"):
     rules = [("value", F.col("value").isNull() | (F.col("value") < 0)), ("error_value", (F.col("event_type") == "error") & (F.col("value") > 50))]
-    return table(spark, d, "events").filter("event_id % 10 = 0").select("event_id", F.array_join(policy.reasons(rules), ",").alias("errors"))
+    return table(spark, d, "events").filter(cases).select("event_id", F.array_join(policy.reasons(rules), ",").alias("errors"))
+
+
+@query("ag21_held_cases_whole", ORACLE["ag21_held_cases"].removesuffix(" WHERE event_id % 10 = 0"))
+def ag21_whole(spark, d):
+    return ag21(spark, d, "true")
 
 
 @query("ag23_packaged_cases", "SELECT o_orderpriority AS suite, count(DISTINCT o_orderkey)::BIGINT AS cases, count(*)::BIGINT AS conditions FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

@@ -133,3 +133,11 @@ def test_single_byte_table_holds_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["text"] for r in plans.QUERIES["src03_whole_single_byte_table"](spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(len(texts))] == [None if t is None else t.encode("latin-1", "replace").decode("latin-1") for t in texts]
+
+
+def test_whole_queries_leave_no_row_out(spark):
+    n = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").count()
+    whole = lambda q: plans.QUERIES[q](spark, SF)
+    assert whole("q01_common_taxonomy_whole").count() == n("part") and whole("ag21_held_cases_whole").count() == n("events")
+    for q in ("jn22_common_ancestor", "ag18_label_conflicts"):
+        assert whole(f"{q}_whole").count() > whole(q).count()
