@@ -44,9 +44,9 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "warc")
-    warc.write_warc(_t(spark, sf_dir, "pages"), path)
-    return warc.page_digests(spark, path)
+    path, pages = new_path(spark, "warc"), _t(spark, sf_dir, "pages")
+    warc.write_warc(pages, path)
+    return warc.page_digests(spark, path, pages.schema["page_id"].dataType.simpleString())
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +120,11 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.y)::BIGINT AS com
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY 1, 2
 """,
     "op8_warc_roundtrip": r"""
-WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
 m AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1)
 SELECT page_id, n AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(p.h, (1 + 5 * (i // 4))::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::INTEGER, 1)), '') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM p JOIN m USING (h)
 """,
 }

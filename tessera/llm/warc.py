@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from urllib.parse import unquote_plus
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import persist_table
@@ -23,6 +24,8 @@ SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
 #: Records a file holds at most; with segments of SEGMENT_BYTES a file stays under about 20 MB.
 FILE_RECORDS = 512
+#: Stands for a null page id; URL encoding leaves no "!" in others.
+NULL_ID = "!"
 
 
 def digest(payload: bytes) -> str:
@@ -56,14 +59,26 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + CRLF + block
 
 
-def page_records(page_id: int, url: str, payload: bytes, refers_to: int | None, segment: int = SEGMENT_BYTES, date: str = "2024-01-01T00:00:00Z") -> list[bytes]:
-    """The records of a page: one response or revisit, with continuations."""
-    rid = f"<urn:page:{page_id}>"
+def record_id(page: str, sha: str, copy: int) -> str:
+    """The record id of a page: its id (URL-encoded text), the SHA-1 of its payload, and a running number among equal rows."""
+    return f"<urn:page:{page}:{sha}:{copy}>"
+
+
+def page_of(rid: str | None) -> str | None:
+    """The page id in a record id; None where there is none."""
+    page = rid[10:-1].split(":")[0] if rid else NULL_ID
+    return None if page == NULL_ID else unquote_plus(page)
+
+
+def page_records(page: str, url: str, payload: bytes, refers_to: str | None, copy: int = 0, segment: int = SEGMENT_BYTES, date: str = "2024-01-01T00:00:00Z") -> list[bytes]:
+    """The records of a page: one response or revisit, with continuations. page and refers_to are URL-encoded ids."""
+    sha = hashlib.sha1(payload).hexdigest()
+    rid = record_id(page, sha, copy)
     head = [("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
         # A revisit holds the headers alone: the payload is that of the record it refers to.
-        more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("Content-Type", "application/http; msgtype=response")]
+        more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, sha, 0)), ("Content-Type", "application/http; msgtype=response")]
         return [_record([*more, *head], http)]
     block = http + frame_chunks(payload)
     more = [("WARC-Type", "response"), ("Content-Type", "application/http; msgtype=response")]
@@ -73,7 +88,7 @@ def page_records(page_id: int, url: str, payload: bytes, refers_to: int | None,
     out = [_record([*more, *head, ("WARC-Segment-Number", "1")], parts[0])]
     for k, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []
-        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{k}>"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", rid), ("WARC-Segment-Number", str(k)), *last], part))
+        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{rid[:-1]}:{k}>"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", rid), ("WARC-Segment-Number", str(k)), *last], part))
     return out
 
 
@@ -97,27 +112,34 @@ def parse_records(b: bytes):
         at = end + 4 + n
 
 
-def first_of_equal(pages: DataFrame, payload: Column, min_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, refers_to) of pages that revisit a page with a smaller id and an equal payload of at least min_bytes."""
-    keys = pages.filter(F.octet_length(payload) >= min_bytes).select("page_id", F.sha1(payload).alias("sha"))
-    least = keys.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("sha", "refers_to")
-    return keys.join(least, "sha").filter("page_id != refers_to").select("page_id", "sha", "refers_to").distinct()
+def first_of_equal(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page, sha, refers_to) of pages (page_id, page, sha, bytes) that revisit a page with a smaller id and an equal payload of at least min_bytes."""
+    keys = pages.filter(F.col("bytes") >= min_bytes).select("page_id", "page", "sha")
+    least = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("sha", "first")
+    return keys.join(least, "sha").filter("page_id is null or page_id != first").select("page", "sha", F.url_encode(F.col("first").cast("string")).alias("refers_to")).distinct()
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
-    """WARC files of pages under path. Null html is an empty payload, a null url an empty one. Rows with a null id are not written."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")).filter("page_id is not null")
-    again = first_of_equal(rows, F.col("payload"), min_bytes)
-    rows = rows.withColumn("sha", F.sha1("payload")).join(again, ["page_id", "sha"], "left")
+    """WARC files of pages under path. Null html is an empty payload, a null url an empty one.
+
+    Every row is written, ids of any type: rows with a null id revisit the smallest id with their payload, or are
+    responses where there is none. Repeated rows (one id and one payload) are records of their own, all responses or all
+    revisits; rows that share an id but not the payload are different pages.
+    """
+    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("page", F.coalesce(F.url_encode(F.col("page_id").cast("string")), F.lit(NULL_ID))).withColumn("sha", F.sha1("payload"))
+    again = first_of_equal(rows.select("page_id", "page", "sha", F.octet_length("payload").alias("bytes")), min_bytes)
+    # The running number and the join share one shuffle, by page and payload.
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page", "sha").orderBy("url")) - 1).join(again, ["page", "sha"], "left")
 
     def make(batches):
         for pdf in batches:
             out = []
-            for i, u, p, r in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["refers_to"], strict=True):
-                out += page_records(i, u, p, None if pd.isna(r) else int(r))
+            for i, u, p, r, c in zip(pdf["page"], pdf["url"], pdf["payload"], pdf["refers_to"], pdf["copy"], strict=True):
+                out += page_records(i, u, p, r if isinstance(r, str) else None, c)
             yield pd.DataFrame({"record": out})
 
-    records = rows.select("page_id", "url", "payload", "refers_to").mapInPandas(make, "record binary")
+    records = rows.select("page", "url", "payload", "refers_to", "copy").mapInPandas(make, "record binary")
     # Bytes pass through the text writer as they are; its line separator is the end of a WARC record.
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
@@ -153,13 +175,18 @@ def reassemble(records: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.struct("number", "block"))).alias("s"),
     )
     ok = (F.element_at("s", 1)["number"] == 1) & (F.element_at("s", -1)["number"] == F.size("s")) & (F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["block"])) == F.col("total"))
+
+    @F.pandas_udf("binary")
+    def together(blocks: pd.Series) -> pd.Series:
+        return blocks.map(lambda b: None if b is None else b"".join(b))
+
     # A page's segments are one row's size in all.
-    block = F.unhex(F.array_join(F.transform("s", lambda x: F.hex(x["block"])), ""))
-    joined = parts.select(F.col("origin").alias("record_id"), "first.type", "first.uri", "first.refers_to", "first.digest", F.when(ok, block).alias("block"))
+    joined = parts.select(F.col("origin").alias("record_id"), "first.type", "first.uri", "first.refers_to", "first.digest", F.when(ok, F.col("s.block")).alias("blocks"))
+    joined = joined.select("record_id", "type", "uri", "refers_to", "digest", together("blocks").alias("block"))
     return whole.unionByName(joined)
 
 
-def read_pages(spark, path: str) -> DataFrame:
+def read_pages(spark, path: str, id_type: str = "long") -> DataFrame:
     """(page_id, payload, stated_digest, record_type, refers_to, uri): payloads decoded; that of a revisit is null here."""
 
     def decode(batches):
@@ -172,15 +199,17 @@ def read_pages(spark, path: str) -> DataFrame:
                     payload = unframe_chunks(body) if b"transfer-encoding: chunked" in head.lower() else body
                     if d and d != f"sha1:{digest(payload)}":
                         raise ValueError(f"{rid}: payload differs from its digest")
-                out.append((int(rid[10:-1]), payload, d[5:] if d else None, kind, int(to[10:-1]) if to else None, uri))
-            yield pd.DataFrame(out, columns=["page_id", "payload", "stated_digest", "record_type", "refers_to", "uri"]).astype({"refers_to": "Int64"})
+                out.append((page_of(rid), payload, d[5:] if d else None, kind, page_of(to), uri))
+            # Ids pass through Python as text: numbers next to nulls would become floats.
+            yield pd.DataFrame(out, columns=["page_id", "payload", "stated_digest", "record_type", "refers_to", "uri"], dtype=object)
 
-    return reassemble(read_records(spark, path)).filter("type in ('response', 'revisit')").mapInPandas(decode, "page_id long, payload binary, stated_digest string, record_type string, refers_to long, uri string")
+    pages = reassemble(read_records(spark, path)).filter("type in ('response', 'revisit')").mapInPandas(decode, "page_id string, payload binary, stated_digest string, record_type string, refers_to string, uri string")
+    return pages.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
-def page_digests(spark, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): both of the full payload, which a revisit takes from its response."""
-    pages = read_pages(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("n"), F.col("stated_digest").alias("payload_digest"), "record_type", "refers_to")
+def page_digests(spark, path: str, id_type: str = "long") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page that was written: both of the full payload, which a revisit takes from its response."""
+    pages = read_pages(spark, path, id_type).select("page_id", F.octet_length("payload").cast("long").alias("n"), F.col("stated_digest").alias("payload_digest"), "record_type", "refers_to")
     pages = persist_table(pages, "pages")
     of = pages.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("n").alias("of"))
     return pages.join(of, ["refers_to", "payload_digest"], "left").select("page_id", F.coalesce("n", "of").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
