@@ -111,21 +111,31 @@ def decode(b: bytes) -> np.ndarray:
 # --- features ----------------------------------------------------------------------------------------------------
 
 
-def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas, from an integral image that is read between its points linearly: exact for fractions of pixels."""
-    g = a.astype(np.float64)
-    g = g.mean(axis=2) if g.ndim == 3 else g
-    s = np.zeros((g.shape[0] + 1, g.shape[1] + 1))
-    np.cumsum(np.cumsum(g, axis=0), axis=1, out=s[1:, 1:])
+def _edges(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The points that cut 0 to n into equal parts, as whole numbers below n and fractions."""
+    p = np.linspace(0, n, parts + 1)
+    lo = np.minimum(p.astype(np.int64), n - 1)
+    return lo, p - lo
 
-    def at(s: np.ndarray, n: int, axis: int) -> np.ndarray:
-        p = np.linspace(0, s.shape[axis] - 1, n + 1)
-        lo = np.minimum(p.astype(np.int64), s.shape[axis] - 2)
-        f = (p - lo).reshape(-1, 1) if axis == 0 else (p - lo).reshape(1, -1)
-        return np.take(s, lo, axis) * (1 - f) + np.take(s, lo + 1, axis) * f
 
-    e = at(at(s, height, 0), width, 1)
-    return np.diff(np.diff(e, axis=0), axis=1) * (height * width / (g.shape[0] * g.shape[1]))
+def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means over equal areas, from an integral image that is read between its points linearly: exact for fractions of pixels.
+
+    Only the rows of the integral image that are read are made, by sums over the rows between them, so that a very tall
+    image (a long text) needs no array of its size.
+    """
+    rows, cols = a.shape[:2]
+    lo, frac = _edges(rows, height)
+    at = np.unique(np.concatenate([[0], lo, lo + 1]))
+    bands = np.add.reduceat(a, at[at < rows], axis=0, dtype=np.float64)  # sums of the rows from each point to the next
+    bands = bands.mean(axis=2) if bands.ndim == 3 else bands
+    s = np.zeros((len(at), cols + 1))
+    s[1:, 1:] = np.cumsum(np.cumsum(bands, axis=0), axis=1)[: len(at) - 1]
+    i = np.searchsorted(at, lo)
+    e = s[i] * (1 - frac)[:, None] + s[i + 1] * frac[:, None]
+    lo, frac = _edges(cols, width)
+    e = e[:, lo] * (1 - frac) + e[:, lo + 1] * frac
+    return np.diff(np.diff(e, axis=0), axis=1) * (height * width / (rows * cols))
 
 
 def difference_hash(a: np.ndarray) -> str:
@@ -150,18 +160,20 @@ def pad64(b: bytes) -> bytes:
 
 def encode_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): every text (null: empty) as UTF-8, zero bytes up to a positive multiple of 64, stored losslessly as
-    gray samples of an image 64 wide; texts with an even number of rows become PGM, others BMP, so equal texts have equal media."""
+    gray samples of an image 64 wide; texts with an even number of rows become PGM, others BMP, so equal texts have equal media.
+    Ids of any type, null ones too, stay as they are: they pass through Python as text."""
 
     def make(batches):
         for pdf in batches:
-            raw = [(t or "").encode() if t is not None else b"" for t in pdf["text"]]
+            raw = [(t or "").encode() for t in pdf["text"]]
             media = []
             for b in raw:
                 a = np.frombuffer(pad64(b), dtype=np.uint8).reshape(-1, WIDTH)
                 media.append(encode_bmp(a) if len(a) % 2 else encode_pgm(a))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(b) for b in raw], "media": media})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(make, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInPandas(make, "doc_id string, n_bytes long, media binary").withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -170,38 +182,51 @@ def media_features(media: DataFrame) -> DataFrame:
 
     def read(batches):
         for pdf in batches:
-            payload, tile, dhash = [], [], []
+            rows = []
             for m in pdf["media"]:
                 try:
                     a = decode(m)
                 except (ValueError, TypeError, struct.error):
-                    payload.append(None), tile.append(None), dhash.append(None)
+                    rows.append((None, None, None))
                     continue
-                payload.append(a.tobytes())
-                tile.append(npy_tile(a))
-                dhash.append(difference_hash(a))
+                rows.append((a.tobytes(), npy_tile(a), difference_hash(a)))
+            payload, tile, dhash = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "payload": payload, "tile": tile, "dhash": dhash})
 
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(read, "doc_id long, n_bytes long, payload binary, tile binary, dhash string")
+    rows = media.select(F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", "media").mapInPandas(read, "doc_id string, n_bytes long, payload binary, tile binary, dhash string")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(media.schema["doc_id"].dataType))
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """What media_features() reads back, as digests, in one pass: (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature, tile_sha256)."""
+def media_tiles(media: DataFrame) -> DataFrame:
+    """Media columns with payloads as digests, in one pass: (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, tile, dhash), tile being an NPY file. All media must be whole."""
 
     def read(batches):
         for pdf in batches:
             rows = []
             for i, n, m in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"], strict=True):
                 a = decode(m)
-                p, tile = a.tobytes(), npy_tile(a)
-                rows.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), difference_hash(a), hashlib.sha256(tile).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"])
+                p = a.tobytes()
+                rows.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), npy_tile(a), difference_hash(a)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile", "dhash"])
+
+    rows = media.select(F.col("doc_id").cast("string").alias("doc_id"), "n_bytes", "media")
+    rows = rows.mapInPandas(read, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, dhash string")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(media.schema["doc_id"].dataType))
+
 
-    return media.mapInPandas(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+def read_tile(tile: bytes) -> np.ndarray:
+    """The pixels of an NPY tile."""
+    return np.load(io.BytesIO(tile))
 
 
 def store_and_read(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """media_digests() of the media that were written to path as Parquet and read again from there."""
-    encode_payloads(docs, id_col, text_col).write.option("compression", "zstd").parquet(path)
-    return media_digests(docs.sparkSession.read.schema("doc_id long, n_bytes long, media binary").parquet(path))
+    """Writes media columns to path/media, reads them back, writes their tiles and hashes to path/tiles and returns what is read there,
+    with tile as its digest: (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, tile_sha256).
+    One row for each row of docs; an empty table gives an empty result."""
+    media = encode_payloads(docs, id_col, text_col)
+    media.write.option("compression", "zstd").parquet(f"{path}/media")
+    tiles = media_tiles(docs.sparkSession.read.schema(media.schema).parquet(f"{path}/media"))
+    tiles.write.option("compression", "zstd").parquet(f"{path}/tiles")
+    back = docs.sparkSession.read.schema(tiles.schema).parquet(f"{path}/tiles")
+    return back.withColumnRenamed("dhash", "feature").withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")

@@ -419,19 +419,29 @@ def test_area_resize_is_the_mean():
     a = np.arange(48, dtype=np.uint8).reshape(6, 8)
     assert media.area_resize(a, 3, 4) == pytest.approx(a.reshape(3, 2, 4, 2).mean(axis=(1, 3)))
     assert media.area_resize(a, 1, 1)[0, 0] == pytest.approx(a.mean()) and media.area_resize(a[:1], 8, 9).shape == (8, 9)
-
-
-def test_media_columns(spark, odd_docs, no_docs):
-    got = media.media_digests(media.encode_payloads(odd_docs)).collect()
-    assert len(got) == odd_docs.count()
-    text = {r["doc_id"]: (r["text"] or "").encode() for r in odd_docs.collect()}
-    for r in got:
-        if r["doc_id"] is None:
-            continue
-        b = text[r["doc_id"]]
-        p = b + bytes(-len(b) % 64 or (0 if b else 64))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-    assert media.media_digests(media.encode_payloads(no_docs)).count() == 0
+    r = np.random.default_rng(2)
+    for shape, h, w in (((5, 7), 8, 9), ((1, 64), 16, 16), ((1000, 64), 16, 16), ((17, 3, 3), 4, 2)):
+        x = r.integers(0, 256, shape).astype(np.uint8)
+        g = x.astype(float) if x.ndim == 2 else x.astype(float).mean(axis=2)
+        big = np.kron(g, np.ones((h, w)))  # every cell of the result is now a whole block
+        assert media.area_resize(x, h, w) == pytest.approx(big.reshape(h, g.shape[0], w, g.shape[1]).mean(axis=(1, 3)))
+
+
+def digests(text):
+    b = (text or "").encode()
+    p = b + bytes(-len(b) % 64 or (0 if b else 64))
+    return (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+
+
+def test_media_columns(spark, odd_docs, no_docs, tmp_path):
+    many = spark.createDataFrame([((1 << 53) + 1 + 2 * i, t, None, None, i, None) for i, t in enumerate(("x" * 3_000_000, "ab", "ab"))], odd_docs.schema)
+    docs = odd_docs.unionByName(many).coalesce(1)  # large and null ids in one batch
+    got = media.store_and_read(docs, f"file://{tmp_path}/a").collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == Counter((r["doc_id"], *digests(r["text"])) for r in docs.collect())
+    assert len({(r["media_sha256"], r["feature"], r["tile_sha256"]) for r in got if r["n_bytes"] == 2}) == 1
+    for r in spark.read.parquet(f"file://{tmp_path}/a/tiles").collect():
+        assert media.read_tile(bytes(r["tile"])).shape == (16, 16)
+    assert media.store_and_read(no_docs, f"file://{tmp_path}/b").count() == 0
     broken = media.media_features(spark.createDataFrame([(1, 1, bytearray(b"??")), (2, 1, None)], "doc_id long, n_bytes long, media binary")).collect()
     assert all(r["dhash"] is None for r in broken)
 
