@@ -48,40 +48,48 @@ def brute_ppm(train, texts, k):
     return [sum(lp(y[p - k : p], y[p]) for p in range(k, len(y))) for y in (b"\xff" * k + x + b"\xff" for x in texts)]
 
 
-def test_ppm_equals_brute_force(spark, odd_docs):
-    docs = odd_docs.filter("doc_id <> 7 or doc_id is null")
+@pytest.mark.parametrize("order, how", [(3, {}), (5, {"block_bytes": 40_000, "fan_in": 2}), (2, {"block_bytes": 1})])
+def test_ppm_equals_brute_force(spark, odd_docs, order, how):
+    large = spark.createDataFrame([((1 << 53) + 1 + 2 * i, t, None, None, i, None) for i, t in enumerate(("the large ids", "are not rounded", "the large ids"))], odd_docs.schema)
+    docs = odd_docs.filter("doc_id <> 7 or doc_id is null").unionByName(large).coalesce(2)
     held = crc_mod(F.col("doc_id"), 7) == 2
-    got = {r["doc_id"]: r for r in ppm.ppm_score(docs, held, order=3).collect() if r["doc_id"] is not None}
+    scored = ppm.ppm_score(docs, held, order=order, **how).collect()
+    assert Counter(r["doc_id"] for r in scored) == Counter(r["doc_id"] for r in docs.collect())
+    got = {r["doc_id"]: r for r in scored if r["doc_id"] is not None}
     rows = [(r["doc_id"], (r["text"] or "").encode().translate(LOWER_BYTES)) for r in docs.collect()]
     out = {i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2 for i, _ in rows}
     train = [x for i, x in rows if not out[i]]
     words = Counter(w for x in train for w in [*re.split(rb"[\x20\x09-\x0d]+", x), None] if w != b"")
     n, v = sum(words.values()), len(words)
-    for (i, x), s in zip(rows, brute_ppm(train, [x for _, x in rows], 3), strict=True):
+    for (i, x), s in zip(rows, brute_ppm(train, [x for _, x in rows], order), strict=True):
         if i is None:
             continue
         toks = [w for w in re.split(rb"[\x20\x09-\x0d]+", x) if w] + [None]
-        assert got[i]["score"] == pytest.approx(s, abs=1e-3)
+        assert got[i]["score"] == pytest.approx(s, abs=1e-6)
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((words.get(w, 0) + 1) / (n + v + 1)) for w in toks), abs=1e-6)
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"], got[i]["held_out"]) == (len(toks), sum(w in words for w in toks), n, out[i])
 
 
-def test_ppm_probabilities_sum_to_one():
-    a = np.frombuffer(b"abracadabra" * 3, dtype=np.uint8)
-    g, _ = ppm.grams([a.tobytes()], 2)
-    one = np.zeros((256, 256))
-    for x, y in zip(b"\xff" + a.tobytes(), a.tobytes() + b"\xff", strict=True):
-        one[x, y] += 1
-    for ctx in (b"ab", b"zz", b"br"):
-        every = np.sort(np.array([int.from_bytes(ctx + bytes([s]), "big") for s in range(256)], dtype=np.uint64))
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_ppm_probabilities_sum_to_one(order):
+    text = b"abracadabra" * 3
+    g, _ = ppm.grams([text], order)
+    low = ppm.Low(*np.unique(ppm.grams([text], 2)[0], return_counts=True))
+    for ctx in (b"abra", b"zzzz", b"zbra", b"zzra", b"zzzb"):
+        every = np.sort(np.array([int.from_bytes(ctx[-order:] + bytes([s]), "big") for s in range(256)], dtype=np.uint64))
         u, n = np.unique(g, return_counts=True)
         keys = np.unique(np.concatenate([u, every]))
         counts = np.zeros(len(keys))
         counts[np.searchsorted(keys, u)] = n
-        p = 10 ** ppm.chain(keys, counts, 2, one)
+        p = 10 ** ppm.chain(keys, counts, order, low)
         assert p[np.searchsorted(keys, every)].sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_ppm_of_text_ids(spark):
+    d = spark.createDataFrame([("a", "some text"), ("b", "some text"), (None, None)], "doc_id string, text string")
+    assert sorted(str(r["doc_id"]) for r in ppm.ppm_score(d, F.lit(False)).collect()) == ["None", "a", "b"]
+
+
 def test_ppm_empty(spark, no_docs):
     assert ppm.ppm_score(no_docs, F.lit(False)).count() == 0
 
