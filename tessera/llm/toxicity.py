@@ -2,12 +2,14 @@
 
 1. Lexicons are mined from a bounded sample of labelled rows: words and word beginnings that toxic texts surely hold far
    more often than others. They are dealt to several voters by kind and hash, so that voters err apart from each other.
+   Lexicons of common insults and threats and patterns of abuse vote beside them.
 2. Votes of all documents are counted by pattern (2^voters patterns at most, with the label of rows that may teach).
    Expectation maximization estimates each voter's firing rates by class and, along a tree of the strongest dependences
-   within a class, its rates given another voter's vote: accuracies and correlations.
-3. A logistic regression over words and beginnings and over the pattern voters is fit to a bounded sample of rows: to
-   labels where rows have them, else to posteriors. Its features are all whose counts differ beyond chance between the
-   classes; how far beyond, and the decay of weights, are chosen by a fold of the labelled rows that may teach.
+   within a class, its rates given another voter's vote: accuracies and correlations. The given label is one more
+   voter, which mostly abstains and whose rate of errors is estimated too (at most MOST_ERRORS).
+3. A logistic regression over words and beginnings and over the pattern voters is fit to the posteriors of a bounded
+   sample of rows, labelled or not. Its features are all whose counts differ beyond chance between the classes; how far
+   beyond, and the weight of unlabelled rows, are chosen by a fold of the labelled rows that may teach.
 """
 
 from __future__ import annotations
@@ -25,16 +27,28 @@ from .common import persist_table, small_enough
 WORD = re.compile(r"[^\W\d_]+")
 # Common insults, and patterns of abuse.
 SEED_WORDS = ("idiot", "moron", "loser", "stupid", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool", "filth", "garbage", "imbecile", "hate", "vermin")
+THREAT_WORDS = ("kill", "die", "burn", "hang", "choke", "drown", "destroy you", "hurt you", "shut up", "get lost", "go away", "drop dead")
 SEED = re.compile(r"\b(?:" + "|".join(SEED_WORDS) + r")\b", re.IGNORECASE)
+THREAT = re.compile(r"\b(?:" + "|".join(THREAT_WORDS) + r")\b", re.IGNORECASE)
 ADDRESS = re.compile(r"\b(you|your|du|ihr|tu|vous|eres|usted)\b[^.!?\n]{0,40}!", re.IGNORECASE)
 SHOUT = re.compile(r"[!?]{2,}")
+MASKED = re.compile(r"[^\W\d_][*#@$%]{2,}")
+STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 PREFIXES = (4, 5, 6)
 #: Features stand in so many sampled rows at least; G from which a feature counts and the weight of rows without a label are
-#: chosen from LEVELS (chances of about 1 in 100, 1,000 and 10,000) and SOFT by a fold of the labelled rows. MAX_FEATURES
-#: bounds what reaches the driver, the surest first. A voter's words have a G of VOTER_G at least, which chance does not
-#: give any of some million words.
-LEAST_ROWS, LEVELS, SOFT, MAX_FEATURES, VOTER_G = 3, (6.6, 10.8, 15.1), (1.0, 0.1), 50_000, 30.0
-VOTERS = ("seed", "word0", "word1", "begin0", "begin1", "begin2", "dense", "address", "shout", "upper")
+#: chosen from LEVELS (chances of about 1 in 100, 1,000 and 10,000) and SOFT by a fold of the labelled rows. A voter's words
+#: have a G of VOTER_G at least, which chance does not give any of some million words. Labels are wrong in MOST_ERRORS of all
+#: rows of a class at most.
+LEAST_ROWS, LEVELS, SOFT, VOTER_G, MOST_ERRORS = 3, (6.6, 10.8, 15.1), (1.0, 0.1), 30.0, 0.002
+#: Voters by mined words (one group each), by a dense text of them, and those that know no mined feature: a voter's place is its bit.
+GROUPS = ("word0", "word1", "begin0", "begin1", "begin2")
+PATTERNS = {"seed": SEED, "threat": THREAT, "address": ADDRESS, "shout": SHOUT, "masked": MASKED, "stretched": STRETCHED}
+VOTERS = (*GROUPS, "dense", *PATTERNS, "upper")
+DENSE, UPPER = VOTERS.index("dense"), VOTERS.index("upper")
+#: The voters that are features of the classifier themselves.
+OWN = (*PATTERNS, "upper")
+OWN_BITS = np.array([VOTERS.index(v) for v in OWN])
+ASCII_UPPER, NOT_ASCII = bytes(range(65, 91)), re.compile(r"[^\x00-\x7f]")
 
 
 def word_features(word: str) -> list[str]:
@@ -80,10 +94,10 @@ def _surprise(n0: Column, n1: Column, rows0: int, rows1: int) -> Column:
     return 2 * (part(n0, rows0) + part(n1, rows1))
 
 
-def mine(rows: DataFrame, sample: int) -> pd.DataFrame | None:
+def mine(rows: DataFrame, sample: int, features: int) -> pd.DataFrame | None:
     """Features of labelled rows (id, text, toxic) whose shares in toxic and clean texts differ beyond chance, the surest first.
 
-    At most `sample` rows of each class are read (by a hash). g and odds: G and log odds over these rows; g_fit: G over
+    At most `sample` rows of each class are read (by a hash), and the `features` surest are kept: bounds of the fit. g and odds: G and log odds over these rows; g_fit: G over
     those outside the test fold. None without rows of both classes.
     """
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -109,30 +123,29 @@ def mine(rows: DataFrame, sample: int) -> pd.DataFrame | None:
     got = got.select("f", "a0", "a1", (F.col("a0") + F.col("b0")).alias("n0"), (F.col("a1") + F.col("b1")).alias("n1"))
     got = got.withColumn("g", _surprise(F.col("n0"), F.col("n1"), *every)).withColumn("g_fit", _surprise(F.col("a0"), F.col("a1"), *fit) if min(fit) else F.lit(0.0))
     got = got.withColumn("odds", F.log((F.col("n1") + 0.5) / (every[1] + 1.0)) - F.log((F.col("n0") + 0.5) / (every[0] + 1.0)))
-    top = got.filter(F.greatest("g", "g_fit") >= min(LEVELS)).orderBy(F.desc("g"), "f").limit(MAX_FEATURES).toPandas()
+    top = got.filter(F.greatest("g", "g_fit") >= min(LEVELS)).orderBy(F.desc("g"), "f").limit(features).toPandas()
     # Voters are sure of what they name: fifty times as common in toxic texts as in others, or as near to that as few rows can show.
     top["votes"] = (top["g"] >= VOTER_G) & (top["odds"] >= 3.8) & (top["n0"] * every[1] * 50 <= top["n1"] * every[0])
     return top
 
 
-#: The voters that know no mined feature; each is a feature of the classifier itself.
-PATTERNS = ("seed", "address", "shout", "upper")
-PATTERN_BITS = np.array([VOTERS.index(v) for v in PATTERNS])
+def uppers(text: str) -> int:
+    """The number of upper-case letters of a whole text."""
+    b = text.encode()
+    n = len(b) - len(b.translate(None, ASCII_UPPER))
+    return n if len(b) == len(text) else n + sum(map(str.isupper, NOT_ASCII.findall(text)))
 
 
 def votes(text: str, hit: np.ndarray, group: np.ndarray) -> int:
-    """The voters that fire, as bits; features of group -1 have no voter."""
+    """The voters that fire, as bits; features of group -1 have no voter. Every voter reads the whole text."""
     out, hit = 0, hit[group[hit] >= 0]
     if hit.size:
         for g in np.unique(group[hit]):
-            out |= 1 << int(1 + g)
-        out |= int(np.count_nonzero(group[hit] < 2) >= 2 or hit.size >= 4) << 6
-    out |= int(SEED.search(text) is not None)
-    out |= int(ADDRESS.search(text) is not None) << 7
-    out |= int(SHOUT.search(text) is not None) << 8
-    upper = sum(map(str.isupper, text[:: max(1, len(text) // 512)]))
-    out |= int(len(text) > 0 and upper * max(1, len(text) // 512) > 0.5 * len(text)) << 9
-    return out
+            out |= 1 << int(g)
+        out |= int(np.count_nonzero(group[hit] < 2) >= 2 or hit.size >= 4) << DENSE
+    for bit, pattern in enumerate(PATTERNS.values(), DENSE + 1):
+        out |= int(pattern.search(text) is not None) << bit
+    return out | int(2 * uppers(text) > len(text)) << UPPER
 
 
 class LabelModel:
@@ -145,7 +158,8 @@ class LabelModel:
         known = labels >= 0
         prior = (counts[known & (labels == 1)].sum() + 0.5) / (counts[known].sum() + 1.0) if known.any() else 0.1
         self.prior = float(np.clip(prior, 1e-3, 0.5))
-        q = np.where(known, labels == 1, np.where(v[:, [0, 1, 2, 3, 4, 5]].any(axis=1), 0.6, 0.05)).astype(float)
+        self.errors = np.full(2, MOST_ERRORS)  # how often rows of a class have the other label
+        q = np.where(known, labels == 1, np.where(v[:, : DENSE + 2].any(axis=1), 0.6, 0.05)).astype(float)
         self.parent, self.order = np.full(m, -1), list(range(m))
         for k in range(rounds):
             w = np.stack([counts * (1 - q), counts * q])
@@ -153,14 +167,15 @@ class LabelModel:
                 self._tree(v, w)
             self.rate = np.zeros((2, m, 2))  # [class, voter, parent's vote]
             for y in (0, 1):
+                wrong = w[y][labels == 1 - y].sum()
+                self.errors[y] = min(MOST_ERRORS, (wrong + 0.5) / (w[y][known].sum() + 1.0))
                 for j in range(m):
                     p = v[:, self.parent[j]] if self.parent[j] >= 0 else np.zeros(len(v), dtype=np.int64)
                     own = (w[y] * v[:, j]).sum() / max(w[y].sum(), 1e-9)
                     for s in (0, 1):
                         at = p == s
                         self.rate[y, j, s] = ((w[y] * v[:, j] * at).sum() + 2 * own + 0.01) / ((w[y] * at).sum() + 2 + 0.02)
-            new = self.posterior(patterns)
-            q = np.where(known, labels == 1, new)
+            q = self.posterior(patterns, labels)
         return self
 
     def _tree(self, v: np.ndarray, w: np.ndarray) -> None:
@@ -185,15 +200,17 @@ class LabelModel:
             self.order.append(j)
             rest.remove(j)
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+    def posterior(self, patterns: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """P(toxic | votes, label); rows without a label (-1) are told by their votes."""
         v = ((patterns[:, None] >> np.arange(len(VOTERS))) & 1).astype(np.int64)
+        labels = np.full(len(v), -1) if labels is None else labels
         lp = []
         for y, p0 in ((0, 1 - self.prior), (1, self.prior)):
             s = np.full(len(v), np.log(p0))
             for j in range(v.shape[1]):
                 r = self.rate[y, j][v[:, self.parent[j]] if self.parent[j] >= 0 else np.zeros(len(v), dtype=np.int64)]
                 s += np.where(v[:, j] == 1, np.log(r), np.log1p(-r))
-            lp.append(s)
+            lp.append(s + np.where(labels < 0, 0.0, np.where(labels == y, np.log1p(-self.errors[y]), np.log(self.errors[y]))))
         return 1 / (1 + np.exp(np.clip(lp[0] - lp[1], -50, 50)))
 
 
@@ -202,11 +219,11 @@ class Rows:
 
     def __init__(self, hits, votes: np.ndarray, features: int):
         n = [len(h) for h in hits]
-        fired = (votes[:, None] >> PATTERN_BITS) & 1
+        fired = (votes[:, None] >> OWN_BITS) & 1
         r, c = np.nonzero(fired)
         self.row = np.concatenate([np.repeat(np.arange(len(n)), n), r])
         self.col = np.concatenate([*[np.asarray(h, dtype=np.int64) for h in hits], features + c])
-        self.rows, self.features = len(n), features + len(PATTERNS)
+        self.rows, self.features = len(n), features + len(OWN)
 
     def fit(self, q: np.ndarray, weight: np.ndarray, use: np.ndarray, steps: int, decay: float = 2e-4) -> np.ndarray:
         """Logistic regression on soft labels over the features in use; the last weight is the bias."""
@@ -228,32 +245,37 @@ class Rows:
         return float(-np.mean(q[at] * np.log(p[at] + 1e-9) + (1 - q[at]) * np.log(1 - p[at] + 1e-9)))
 
 
-def fit_chosen(x: Rows, q: np.ndarray, labelled: np.ndarray, fold: np.ndarray, g: np.ndarray, g_fit: np.ndarray) -> np.ndarray:
-    """Weights with the least G and the weight of unlabelled rows that do best on the labelled rows of the fold, whose counts choose no feature there."""
-    use = lambda g, level: np.append(g >= level, np.ones(len(PATTERNS), dtype=bool))
+def fit_chosen(x: Rows, q: np.ndarray, label: np.ndarray, fold: np.ndarray, g: np.ndarray, g_fit: np.ndarray) -> np.ndarray:
+    """Weights fit to the posteriors q, with the least G and the weight of unlabelled rows (label -1) that do best on the labels of the fold,
+    whose counts choose no feature there."""
+    labelled = label >= 0
+    use = lambda g, level: np.append(g >= level, np.ones(len(OWN), dtype=bool))
     level, soft, test = LEVELS[1], SOFT[0], fold & labelled
-    if len(np.unique(q[test])) == 2 and len(np.unique(q[labelled & ~fold])) == 2:
-        losses = {(lv, u): x.loss(x.fit(q, np.where(labelled, 1.0, u) * ~fold, use(g_fit, lv), 150), q, test) for lv in LEVELS for u in SOFT}
+    if len(np.unique(label[test])) == 2 and len(np.unique(label[labelled & ~fold])) == 2:
+        losses = {(lv, u): x.loss(x.fit(q, np.where(labelled, 1.0, u) * ~fold, use(g_fit, lv), 150), label, test) for lv in LEVELS for u in SOFT}
         level, soft = min(losses, key=losses.get)
     return x.fit(q, np.where(labelled, 1.0, soft), use(g, level), 400)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, features: int = 50_000, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
     labels has id_col and label_col (0, 1; rows with null in either, and rows of an id with both labels, teach nothing).
-    Rows where held_out is true give no labels. `sample` bounds the labelled rows of each class that lexicons are mined
-    from and the labelled rows of each class that the classifier is fit on (half as many more have no label); votes are counted over all rows. Null texts are empty.
-    Without labelled rows of both classes every score is 0. Other columns are not read.
+    Rows where held_out is true give no labels. Bounds of the fit: `sample` labelled rows of each class that lexicons are mined
+    from, as many of each class that the classifier is fit on (half as many more have no label), and the `features` surest
+    features; votes are counted over all rows. Null texts are empty. Ids may be of any type, and null; repeated rows get equal
+    scores. Without labelled rows of both classes every score is 0; an empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
+    id_type = docs.schema[id_col].dataType
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").select("id", "toxic")
+    y = labels.select(F.col(id_col).cast(id_type).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").select("id", "toxic")
     y = F.broadcast(y) if small_enough(y, 500_000) else y
     taught = d.filter(~F.col("held_out")).join(y, "id")
-    mined = mine(taught, sample)
+    mined = mine(taught, sample, features)
+    nothing = d.select(F.col("id").alias("doc_id"), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     if mined is None:
-        return d.select(F.col("id").alias("doc_id"), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return nothing
     names = mined["f"].tolist()
     group = np.array([-1 if not sure else zlib.crc32(f.encode()) % 2 if not f.endswith("-") else 2 + zlib.crc32(f[:4].encode()) % 3 for f, sure in zip(names, mined["votes"], strict=True)], dtype=np.int64)
     model = spark.sparkContext.broadcast((names, group))
@@ -262,8 +284,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
         names, group = model.value
         return Lookup({f: i for i, f in enumerate(names)}), group
 
-    # One pass over all texts: votes and found features of each row. The label travels with rows that may teach.
-    marked = d.join(y, "id", "left").select("id", "held_out", "text", F.when(F.col("held_out"), -1).otherwise(F.coalesce("toxic", F.lit(-1))).alias("y"))
+    # One pass over all texts: votes and found features of each row. The label travels with rows that may teach, ids travel as text.
+    marked = d.join(y, "id", "left").select(F.col("id").cast("string").alias("id"), "held_out", "text", F.when(F.col("held_out"), -1).otherwise(F.coalesce("toxic", F.lit(-1))).alias("y"))
 
     def vote(batches):
         find, group = lookup()
@@ -271,31 +293,29 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
             hits = [find(t) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "y": pdf["y"], "votes": [votes(t, h, group) for t, h in zip(pdf["text"], hits, strict=True)], "hits": [h.astype(np.int32) for h in hits]})
 
-    voted = persist_table(marked.mapInPandas(vote, "id long, held_out boolean, y int, votes int, hits array<int>"), "votes")
+    voted = persist_table(marked.mapInPandas(vote, "id string, held_out boolean, y int, votes int, hits array<int>"), "votes")
     seen = voted.groupBy("votes", "y").agg(F.count("*").alias("n")).toPandas()  # at most 3 * 2^voters rows
     if not len(seen):
-        return d.select(F.col("id").alias("doc_id"), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    label_model = LabelModel().fit(seen["votes"].to_numpy(dtype=np.int64), seen["y"].to_numpy(dtype=np.int64), seen["n"].to_numpy(dtype=float))
-    pattern = np.unique(seen["votes"].to_numpy(dtype=np.int64))
-    q = dict(zip(pattern.tolist(), label_model.posterior(pattern).tolist(), strict=True))
-    # A label tells a row's side, else the posterior does: toxic rows that no voter knows are not lost among the clean.
-    many = {(int(v), int(y)): int(n) for v, y, n in seen.itertuples(index=False)}
-    side = {k: (k[1] >= 0, k[1] == 1 if k[1] >= 0 else q[k[0]] > 0.5) for k in many}
-    rows = {g: sum(n for k, n in many.items() if side[k] == g) for g in set(side.values())}
-    share = F.create_map(*[F.lit(x) for k in many for x in (k[0] * 4 + k[1] + 1, min(1.0, sample / (1 if side[k][0] else 2) / rows[side[k]]))])
+        return nothing
+    pattern, label, n = (seen[c].to_numpy(dtype=np.int64) for c in ("votes", "y", "n"))
+    label_model = LabelModel().fit(pattern, label, n.astype(float))
+    q = label_model.posterior(pattern, label)
     # About 3 * sample rows at most: two thirds of them labelled, half of each likely toxic.
-    drawn = voted.filter(_rank(F.col("id"), "fit:") < F.element_at(share, F.col("votes") * 4 + F.col("y") + 1))
-    fit = drawn.select("votes", "y", "hits", _fold(F.col("id")).alias("fold")).toPandas()
-    soft = np.where(fit["y"] >= 0, fit["y"], fit["votes"].map(q)).astype(float)
+    side = 2 * (label >= 0) + (q > 0.5)
+    rows = np.bincount(side, weights=n, minlength=4)
+    share = np.minimum(1.0, sample / np.where(label >= 0, 1, 2) / rows[side])
+    table = spark.createDataFrame(list(zip(pattern.tolist(), label.tolist(), q.tolist(), share.tolist(), strict=True)), "votes int, y int, q double, share double")
+    drawn = voted.join(F.broadcast(table), ["votes", "y"]).filter(_rank(F.col("id"), "fit:") < F.col("share"))
+    fit = drawn.select("votes", "y", "hits", "q", _fold(F.col("id")).alias("fold")).toPandas()
     x = Rows(fit["hits"].tolist(), fit["votes"].to_numpy(dtype=np.int64), len(names))
-    w = fit_chosen(x, soft, fit["y"].to_numpy() >= 0, fit["fold"].to_numpy(dtype=bool), mined["g"].to_numpy(), mined["g_fit"].to_numpy()) if len(fit) else np.zeros(len(names) + len(PATTERNS) + 1)
+    w = fit_chosen(x, fit["q"].to_numpy(), fit["y"].to_numpy(), fit["fold"].to_numpy(dtype=bool), mined["g"].to_numpy(), mined["g_fit"].to_numpy()) if len(fit) else np.zeros(len(names) + len(OWN) + 1)
     weights = spark.sparkContext.broadcast(w)
 
     @F.pandas_udf("double")
     def score(hits: pd.Series, votes: pd.Series) -> pd.Series:
         w = weights.value
-        own = ((votes.to_numpy(dtype=np.int64)[:, None] >> PATTERN_BITS) & 1) @ w[-1 - len(PATTERNS) : -1] + w[-1]
+        own = ((votes.to_numpy(dtype=np.int64)[:, None] >> OWN_BITS) & 1) @ w[-1 - len(OWN) : -1] + w[-1]
         z = own + np.array([w[np.asarray(h, dtype=np.int64)].sum() for h in hits])
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return voted.select(F.col("id").alias("doc_id"), "held_out", score("hits", "votes").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return voted.select(F.col("id").cast(id_type).alias("doc_id"), "held_out", score("hits", "votes").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

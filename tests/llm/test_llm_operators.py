@@ -460,11 +460,11 @@ def test_media_columns(spark, odd_docs, no_docs, tmp_path):
 def test_label_model_learns_dependent_voters():
     r = np.random.default_rng(5)
     y = (r.random(20000) < 0.2).astype(int)
-    v = np.zeros((20000, 10), dtype=int)
+    v = np.zeros((20000, len(toxicity.VOTERS)), dtype=int)
     for j, (a, b) in enumerate([(0.8, 0.01), (0.7, 0.05), (0.6, 0.02)]):
         v[:, j] = r.random(20000) < np.where(y == 1, a, b)
     v[:, 3] = np.where(r.random(20000) < 0.95, v[:, 1], 1 - v[:, 1])  # a copy of voter 1
-    code = (v << np.arange(10)).sum(axis=1)
+    code = (v << np.arange(v.shape[1])).sum(axis=1)
     label = np.where(np.arange(20000) % 10 == 0, y, -1)
     keys, n = np.unique(np.stack([code, label], axis=1), axis=0, return_counts=True)
     m = toxicity.LabelModel().fit(keys[:, 0], keys[:, 1], n.astype(float))
@@ -472,6 +472,41 @@ def test_label_model_learns_dependent_voters():
     assert ((m.posterior(code) > 0.5) == y).mean() > 0.95
 
 
+def test_label_model_equals_enumeration():
+    """Posteriors by Bayes' rule over both classes, with each voter's table read off one by one; the probabilities of all patterns sum to one."""
+    r = np.random.default_rng(6)
+    m, k = toxicity.LabelModel(), len(toxicity.VOTERS)
+    m.prior, m.errors = 0.3, np.array([0.01, 0.02])
+    m.parent = np.array([-1] + [int(r.integers(0, j)) for j in range(1, k)])
+    m.rate = r.uniform(0.05, 0.95, (2, k, 2))
+    m.rate[:, 0, 1] = m.rate[:, 0, 0]
+    every = np.arange(1 << k)
+
+    def joint(code, y, label):
+        p = (1 - m.prior, m.prior)[y] * (1.0 if label < 0 else m.errors[y] if label != y else 1 - m.errors[y])
+        for j in range(k):
+            rate = m.rate[y, j, code >> m.parent[j] & 1 if m.parent[j] >= 0 else 0]
+            p *= rate if code >> j & 1 else 1 - rate
+        return p
+
+    assert sum(joint(c, y, -1) for c in every for y in (0, 1)) == pytest.approx(1)
+    some = r.choice(every, 200)
+    for label in (-1, 0, 1):
+        want = [joint(c, 1, label) / (joint(c, 0, label) + joint(c, 1, label)) for c in some]
+        assert m.posterior(some, np.full(200, label)) == pytest.approx(want)
+
+
+def test_voters_read_whole_texts():
+    """A text and the same text twice over get the same votes, capitals anywhere count alike, and nothing depends on length."""
+    none = np.zeros(0, dtype=np.int64)
+    bit = lambda t: toxicity.votes(t, none, none) >> toxicity.UPPER & 1
+    rare = ("A" + "bcd") * 600
+    assert bit(rare) == bit(rare[2:]) == 0 and bit("ABc" * 1000) == 1 and bit("ÀÉ日本" * 600) == 0 and bit("ÀÉß" * 600) == 1 and bit("") == 0
+    for t in ("some Text! " * 300, "x" * 5000 + " you are an idiot!!", "SHOUTED " * 200, "a f**k", "noooo"):
+        assert toxicity.votes(t, none, none) == toxicity.votes(t + t, none, none)
+    assert toxicity.uppers("aBÉ日ßZ") == 3
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     rows, labels = [], []
     for i in range(900):
@@ -488,6 +523,45 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert toxicity.toxicity(no_docs, y, F.lit(False)).count() == 0 and {r["score"] for r in toxicity.toxicity(odd_docs, y.limit(0), F.lit(False)).collect()} == {0.0}
 
 
+def brute_scores(x, w, rows):
+    """Scores of texts by the fitted weights, feature by feature."""
+    return [1 / (1 + math.exp(-max(-40, min(40, w[-1] + sum(w[c] for r, c in zip(x.row, x.col, strict=True) if r == i))))) for i in range(rows)]
+
+
+def test_classifier_minimizes_the_loss_on_posteriors():
+    """The fitted weights equal those of plain gradient descent, row by row, on the same soft labels."""
+    r = np.random.default_rng(7)
+    hits = [np.flatnonzero(r.random(4) < 0.4) for _ in range(80)]
+    votes = r.integers(0, 1 << len(toxicity.VOTERS), 80)
+    x = toxicity.Rows(hits, votes, 4)
+    q, weight, use = r.random(80), r.uniform(0.1, 1, 80), np.ones(x.features, dtype=bool)
+    got = x.fit(q, weight, use, 3000, decay=1e-2)
+    dense = np.zeros((80, x.features + 1))
+    dense[:, -1] = 1
+    for i, h in enumerate(hits):
+        dense[i, h] = 1
+        for k, v in enumerate(toxicity.OWN_BITS):
+            dense[i, 4 + k] = votes[i] >> v & 1
+    w = np.zeros(x.features + 1)
+    for _ in range(20000):
+        g = np.zeros_like(w)
+        p = 1 / (1 + np.exp(-dense @ w))
+        g = dense.T @ ((p - q) * weight) / weight.sum()
+        g[:-1] += 1e-2 * w[:-1]
+        w -= 0.5 * g
+    assert got == pytest.approx(w, abs=2e-3)
+    assert brute_scores(x, got, 80) == pytest.approx((1 / (1 + np.exp(-dense @ got))).tolist())
+
+
+def test_toxicity_of_large_null_and_text_ids(spark):
+    rows = [((1 << 53) + 1 + 2 * i if i % 3 else None, prose(i, 8) + (" blargish" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(1)
+    got = toxicity.toxicity(d, d, F.lit(False)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _, _ in rows)
+    named = d.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert Counter(r["doc_id"] for r in toxicity.toxicity(named, named, F.lit(False)).collect()) == Counter(None if i is None else f"d{i}" for i, _, _ in rows)
+
+
 def test_toxicity_learns_rare_words(spark):
     """100 rare abusive words of which each stands in 1% of the toxic texts, without a common beginning."""
     rows = []
