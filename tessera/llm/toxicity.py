@@ -27,7 +27,7 @@ from .common import persist_table, small_enough
 WORD = re.compile(r"[^\W\d_]+")
 # Common insults, and patterns of abuse.
 SEED_WORDS = ("idiot", "moron", "loser", "stupid", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "fool", "filth", "garbage", "imbecile", "hate", "vermin")
-THREAT_WORDS = ("kill", "die", "burn", "hang", "choke", "drown", "destroy you", "hurt you", "shut up", "get lost", "go away", "drop dead")
+THREAT_WORDS = ("kill you", "kill yourself", "hurt you", "destroy you", "shut up", "get lost", "drop dead", "go to hell")
 SEED = re.compile(r"\b(?:" + "|".join(SEED_WORDS) + r")\b", re.IGNORECASE)
 THREAT = re.compile(r"\b(?:" + "|".join(THREAT_WORDS) + r")\b", re.IGNORECASE)
 ADDRESS = re.compile(r"\b(you|your|du|ihr|tu|vous|eres|usted)\b[^.!?\n]{0,40}!", re.IGNORECASE)
@@ -245,11 +245,26 @@ class Rows:
         return float(-np.mean(q[at] * np.log(p[at] + 1e-9) + (1 - q[at]) * np.log(1 - p[at] + 1e-9)))
 
 
+def surprise(n0: np.ndarray, n1: np.ndarray, rows0: int, rows1: int) -> np.ndarray:
+    """G of counts against equal shares in both classes, as mine() has it for words."""
+    share, out = (n0 + n1) / max(rows0 + rows1, 1), np.zeros(len(n0))
+    for n, rows in ((n0, rows0), (n1, rows1)):
+        for k, e in ((n, share * rows), (rows - n, (1 - share) * rows)):
+            out += np.where(k > 0, 2 * k * np.log(np.maximum(k, 1) / np.maximum(e, 1e-9)), 0.0)
+    return out
+
+
 def fit_chosen(x: Rows, q: np.ndarray, label: np.ndarray, fold: np.ndarray, g: np.ndarray, g_fit: np.ndarray) -> np.ndarray:
-    """Weights fit to the posteriors q, with the least G and the weight of unlabelled rows (label -1) that do best on the labels of the fold,
-    whose counts choose no feature there."""
+    """Weights fit to the posteriors q, with the least G (of words as counted, of pattern voters among the labels here) and the weight of
+    unlabelled rows (label -1) that do best on the labels of the fold, whose counts choose no feature there."""
     labelled = label >= 0
-    use = lambda g, level: np.append(g >= level, np.ones(len(OWN), dtype=bool))
+
+    def of_patterns(at: np.ndarray) -> np.ndarray:
+        n = [np.bincount(x.col[(at & (label == y))[x.row]], minlength=x.features)[len(g) :] for y in (0, 1)]
+        return surprise(*n, int((at & (label == 0)).sum()), int((at & (label == 1)).sum()))
+
+    g, g_fit = np.append(g, of_patterns(labelled)), np.append(g_fit, of_patterns(labelled & ~fold))
+    use = lambda g, level: g >= level
     level, soft, test = LEVELS[1], SOFT[0], fold & labelled
     if len(np.unique(label[test])) == 2 and len(np.unique(label[labelled & ~fold])) == 2:
         losses = {(lv, u): x.loss(x.fit(q, np.where(labelled, 1.0, u) * ~fold, use(g_fit, lv), 150), label, test) for lv in LEVELS for u in SOFT}
