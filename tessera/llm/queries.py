@@ -87,7 +87,7 @@ FROM ds JOIN bs USING (g) JOIN n ON n.item_id = bs.item_id GROUP BY 1, 2, n.n HA
 WITH l AS (SELECT doc_id, coalesce(source, '') AS host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 t AS (SELECT coalesce(source, '') AS host, count(*) AS total FROM documents GROUP BY 1),
 c AS (SELECT host, trim(line) AS line, count(DISTINCT doc_id) AS pages FROM l WHERE trim(line) <> '' GROUP BY 1, 2),
-bad AS (SELECT c.host, c.line FROM c JOIN t USING (host) WHERE pages >= 5 AND pages > 0.1::DOUBLE * total),
+bad AS (SELECT c.host, c.line FROM c JOIN t USING (host) WHERE pages >= 2 AND pages > 0.1::DOUBLE * total),
 k AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY pos) FILTER (bad.line IS NULL) AS text, count(*) AS n_lines, count(bad.line) AS n_dropped
   FROM l LEFT JOIN bad ON bad.host = l.host AND bad.line = trim(l.line) GROUP BY 1)
 SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped
