@@ -19,15 +19,19 @@ LOWER[65:91] += 32
 LOWER_BYTES = LOWER.tobytes()
 
 U64 = np.uint64
+#: Bytes that a broadcast side with columns of no fixed size may have.
+BROADCAST_BYTES = 64 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _POW: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a new local folder is set."""
+    """spark.checkpoint.dir of the session; where it is unset, a new local folder in local mode, else an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -153,6 +157,9 @@ def shingle_sets(run: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(d, np.arange(len(run) + 1))
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether a (persisted) table has at most max_rows rows: the check before a broadcast."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small_enough(df: DataFrame, max_rows: int, size: Column | None = None, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a (persisted) table may be broadcast: at most max_rows rows and, where rows have no fixed size, at most max_bytes
+    in all by the column size."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        return False
+    return size is None or (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes

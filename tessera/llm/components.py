@@ -26,11 +26,11 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node reachable from each node that has a link; links has long columns a and b.
+    """(node, component): the least node reachable from each node that has a link; links has columns a and b of one orderable type.
 
     Rows with a null end or with equal ends are no links; an empty table gives an empty result.
     """
-    e = persist_table(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b").distinct(), "links")
+    e = persist_table(links.select("a", "b").filter("a != b").distinct(), "links")
     seen = None
     for _ in range(max_rounds):
         e = persist_table(_small_star(_large_star(e)), "stars")

@@ -29,13 +29,18 @@ BROADCAST_ROWS = 100_000
 #: ones at most) only order the prefixes: any choice of them gives the same links.
 COMMON_DOCS = 6
 MAX_COMMON = 400_000
+#: One in so many shingles is counted by size class; parts of long lists hold about so many sets.
+SEEN, LIST_PART = 64, 2_000
 #: Shingles that are counted together in a task; those that come once among them are not counted.
 _COUNTED = 3_000_000
 _SUBSET_TAG = U64(0x5851F42D4C957F2D)
 
 
 def _common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int]]]:
-    """Common shingles (sorted), their ranks by frequency, and by size class the numbers of shingles and of list entries that they would scan."""
+    """Common shingles (sorted), their ranks by frequency, and by size class the numbers of shingles and of list entries that they would scan.
+
+    The latter are counts over all documents, of one in SEEN shingles chosen by their hashes: they set a boundary, no result.
+    """
 
     def count(batches):
         held, size = [], 0
@@ -43,18 +48,16 @@ def _common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, d
         def flush():
             u, c = np.unique(np.concatenate(held), return_counts=True)
             top = c >= 2
-            return pd.DataFrame({"kind": 0, "key": u[top].view(np.int64), "n": c[top].astype(np.int64), "scan": 0})
+            return pd.DataFrame({"kind": 0, "key": u[top].view(np.int64), "n": c[top].astype(np.int64)})
 
         for pdf in batches:
             for _, run in slices(pdf["text"].tolist()):
                 h, at = shingle_sets(run, k)
                 n = np.diff(at)
-                _, inv, c = np.unique(h, return_inverse=True, return_counts=True)
-                per = np.repeat(np.log2(np.maximum(n, 1)).astype(np.int64), n)
-                rare = (c < COMMON_DOCS)[inv]
-                keys, scan = np.bincount(per, minlength=64)[:64], np.bincount(per[rare], weights=c[inv][rare], minlength=64)[:64].astype(np.int64)
-                some = np.flatnonzero(keys)
-                yield pd.DataFrame({"kind": 1, "key": some, "n": keys[some], "scan": scan[some]})
+                some = h % U64(SEEN) == 0
+                per = np.repeat(np.log2(np.maximum(n, 1)).astype(np.int64), n)[some]
+                pairs, c = np.unique(np.stack([per, h[some].view(np.int64)]), axis=1, return_counts=True)
+                yield pd.DataFrame({"kind": 1 + pairs[0], "key": pairs[1], "n": c.astype(np.int64)})
                 held.append(h)
                 size += len(h)
                 if size > _COUNTED:
@@ -63,9 +66,14 @@ def _common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, d
         if held:
             yield flush()
 
-    found = persist_table(docs.select("text").mapInPandas(count, "kind int, key long, n long, scan long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("scan").alias("scan")).filter(f"kind = 1 or n >= {COMMON_DOCS}"), "common")
+    found = persist_table(docs.select("text").mapInPandas(count, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).filter(f"kind > 0 or n >= {COMMON_DOCS}"), "common")
     top = found.filter("kind = 0").orderBy(F.desc("n"), "key").limit(MAX_COMMON).select("key", "n").toPandas()
-    stats = {r["key"]: (r["n"], r["scan"]) for r in found.filter("kind = 1").collect()}  # at most 64 rows
+    # Shingles that are ordered by frequency end up behind the prefixes; the lists of all others are scanned.
+    least = int(top["n"].min()) if len(top) == MAX_COMMON else COMMON_DOCS
+    seen = found.filter("kind > 0")
+    lists = seen.groupBy("key").agg(F.sum("n").alias("length")).filter(F.col("length") < least)
+    of = seen.join(lists, "key").groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("length")).alias("scan"))
+    stats = {r["kind"] - 1: (r["n"], r["scan"]) for r in of.collect()}  # at most 64 rows
     top = top.sort_values(["n", "key"])
     common = top["key"].to_numpy(dtype=np.int64).view(U64)
     by = np.argsort(common)
@@ -152,7 +160,9 @@ def _entries(docs: DataFrame, common: np.ndarray, rank: np.ndarray, boundary: in
                     }
                 )
 
-    return docs.mapInPandas(emit, "doc_id long, sid long, n long, bits binary, keys array<long>")
+    # Ids pass through Python as text: numbers next to nulls would become floats.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(emit, "doc_id string, sid long, n long, bits binary, keys array<long>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def _near(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -178,8 +188,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, num: int, den: i
     # Bitmaps of the sets that stand in a pair alone are moved.
     pairs = persist_table(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    small = small_enough(ends, BROADCAST_ROWS)
-    side = sets.join(F.broadcast(ends) if small else ends, "sid", "left_semi").select("sid", "n", "bits")
+    side = sets.join(F.broadcast(ends) if small_enough(ends, BROADCAST_ROWS) else ends, "sid", "left_semi").select("sid", "n", "bits")
+    # A bitmap has half to one byte for each shingle of its set.
+    small = small_enough(side, BROADCAST_ROWS, 24 + F.octet_length("bits"))
     a = side.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     b = side.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     left = persist_table(_near(pairs.join(F.broadcast(a) if small else a, "a").join(F.broadcast(b) if small else b, "b"), num, den), "near")
@@ -192,7 +203,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, num: int, den: i
             sid = pdf["sid"].to_numpy()
             for start, run in slices(pdf["text"].tolist()):
                 h, at = shingle_sets(run, k)
-                yield pd.DataFrame({"sid": sid[start : start + len(run)], "h": [h[at[i] : at[i + 1]].view(np.int64) for i in range(len(run))]})
+                own = np.flatnonzero(_signatures(h, at) == sid[start : start + len(run)])  # another row with the same id may have another text
+                yield pd.DataFrame({"sid": sid[start + own], "h": [h[at[i] : at[i + 1]].view(np.int64) for i in own]})
 
     full = texts.select("sid", "text").mapInPandas(shingled, "sid long, h array<long>").dropDuplicates(["sid"])
     full = persist_table(full, "sets", "none")
@@ -218,7 +230,7 @@ def _may_link(n: Column, left: Column, n2: Column, left2: Column, num: int, den:
 
 
 def link_sets(entries: DataFrame, docs: DataFrame, boundary: int, num: int, den: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(sets: sid, n, rep, bits; components of their reps: node, component) of persisted entries."""
+    """(sets: sid, n, rep, bits; components: node, component, both structs of rep and sid) of persisted entries."""
     sets = persist_table(entries.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "classes")
     # List keys come first, in the common order: what is left of a set from such a key on bounds an overlap that begins there.
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
@@ -246,41 +258,55 @@ def link_sets(entries: DataFrame, docs: DataFrame, boundary: int, num: int, den:
     own = meeting.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     own = persist_table(own, "own")
     sizes = own.groupBy("key", "component").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("x.component").alias("main"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("components"), F.sum("m").alias("length")).filter("components > 1")
+    main = main.select("key", F.col("x.component").alias("main"), F.ceil(F.col("length") / LIST_PART).cast("int").alias("parts"))
     open_ = own.join(main, "key")
-    x = open_.filter("component != main").select("key", "sid", "n", "left", "component", "main")
-    y = open_.select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("component").alias("component2"))
+    # A long list is dealt into parts; all of it meets each part in a task of its own.
+    x = open_.filter("component != main").select("key", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), "sid", "n", "left", "component", "main")
+    y = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("component").alias("component2"))
     # Members of a list's largest component meet its other members alone; two of the latter meet once.
-    cross = x.join(y, "key").filter("component != component2 and (component2 = main or sid < sid2)").filter(_may_link(F.col("n"), F.col("left"), F.col("n2"), F.col("left2"), num, den))
+    cross = x.join(y, ["key", "part"]).filter("component != component2 and (component2 = main or sid < sid2)").filter(_may_link(F.col("n"), F.col("left"), F.col("n2"), F.col("left2"), num, den))
     pairs = cross.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
     second = persist_table(_verify(pairs, sets, docs, num, den, k), "cross-linked")
     # Links of the second kind join components; the first round's stars stand for the links within one, and settle sooner.
     stars = comp.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     links = stars.unionByName(second)
-    # From here nodes are the least ids of the classes, so that a component's least node is its id and no join meets all of a component.
+    # From here nodes are led by the least ids of the classes, so that a component's least node has its id and no join meets all of a component.
     for end in ("a", "b"):
-        links = links.join(sets.select(F.col("sid").alias(end), F.col("rep").alias("_rep")), end).drop(end).withColumnRenamed("_rep", end)
+        links = links.join(sets.select(F.col("sid").alias(end), F.struct("rep", "sid").alias("_node")), end).drop(end).withColumnRenamed("_node", end)
     return sets, components(links)
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5, signatures: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs; signatures=True adds set_id, a number for the row's set (see signature()).
 
     Words are runs of non-separator bytes after A-Z are lowered. Null and empty texts, and texts without words, have
     no shingles and link with nothing: their component is their own id. Equal sets (copies, repeated rows) are one
-    class and are compared once. Rows with a null id take part in no link and have a null component;
-    rows with one id but different texts are linked through that id where it is the least of their classes. Other columns
-    of docs, whatever their names, are not read.
+    class and are compared once. Rows with a null id take part in no link and have a null component; rows with one id but
+    different texts are different documents, each with the component of its own text. Ids may be of any orderable type.
+    Other columns of docs, whatever their names, are not read. An empty table gives an empty result.
     """
     num, den = percent, 100
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     common, rank, stats = _common_shingles(d, k)
     boundary = _boundary(stats, num, den)
     entries = persist_table(_entries(d, common, rank, boundary, num, den, k), "entries", "none")
     known = entries.filter("doc_id is not null")
     sets, comp = link_sets(known, d.filter("doc_id is not null"), boundary, num, den, k)
-    of_class = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "n", F.coalesce("component", "rep").alias("component_id"))
+    of_class = sets.withColumn("node", F.struct("rep", "sid")).join(comp, "node", "left").select("sid", "n", F.coalesce("component.rep", "rep").alias("component_id"))
     of_class = persist_table(of_class, "class-components")
     rows = entries.select("doc_id", "sid", "n")
     out = rows.join(F.broadcast(of_class) if small_enough(of_class, BROADCAST_ROWS) else of_class, ["sid", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"))
+    more = [F.col("sid").alias("set_id")] if signatures else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"), *more)
+
+
+def signature(text: Column, k: int = 5) -> Column:
+    """The number of a text's set of shingles: equal sets have equal numbers, 0 is the empty set."""
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        parts = [_signatures(*shingle_sets(run, k)) for _, run in slices(texts.tolist())]
+        return pd.Series(np.concatenate(parts) if parts else np.empty(0, dtype=np.int64))
+
+    return of(text)

@@ -220,13 +220,28 @@ def test_line_dedup(spark, odd_docs, no_docs):
     assert got[3]["text"] == "own line 3\n\nfooter 1" and (got[3]["n_lines"], got[3]["n_dropped"]) == (5, 2)
     assert got[20]["text"] == "menu\nother" and got[21]["text"] is None and got[22]["text"] == ""
     assert list(line_dedup.drop_boilerplate(d).columns) == d.columns
-    assert table(line_dedup.drop_boilerplate(odd_docs)) == table(odd_docs) and line_dedup.drop_boilerplate(no_docs).count() == 0
+    assert table(line_dedup.drop_boilerplate(odd_docs, min_pages=5)) == table(odd_docs) and line_dedup.drop_boilerplate(no_docs).count() == 0
+    few = {(r["doc_id"], r["text"] or "") for r in line_dedup.drop_boilerplate(odd_docs).collect()}  # copies on a site of few pages are its boilerplate
+    assert {(1, ""), (2, ""), (8, "")} <= few and all(t for i, t in few if i in (3, 7, 9, 10))
 
 
 def test_line_dedup_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
-    d = spark.createDataFrame([(i, f"a\nb{i}", "h") for i in range(9)], "doc_id long, text string, source string")
-    assert {r["text"] for r in line_dedup.drop_boilerplate(d).collect()} == {f"b{i}" for i in range(9)}
+    monkeypatch.setattr(line_dedup, "HOT_PAGES", 3)
+    d = spark.createDataFrame([(i, f"a\nb{i}", "h") for i in range(9)] + [(20, "a\nc", "g"), (21, None, None)], "doc_id long, text string, source string")
+    assert {r["text"] for r in line_dedup.drop_boilerplate(d).collect()} == {f"b{i}" for i in range(9)} | {"a\nc", None}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """Sites of 1 to 40 pages; a line of one page alone stays, however small its site."""
+    r = np.random.default_rng(9)
+    rows = [(100 * s + i, "\n".join(f" l{x} " for x in r.integers(0, 30, 4)), f"s{s}") for s in range(12) for i in range(int(r.integers(1, 40)))]
+    pages, total = Counter(), Counter(s for _, _, s in rows)
+    for _, t, s in rows:
+        pages.update((s, x.strip()) for x in set(t.split("\n")))
+    want = {i: "\n".join(x for x in t.split("\n") if not (pages[s, x.strip()] >= 2 and pages[s, x.strip()] > 0.1 * total[s])) for i, t, s in rows}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == want
 
 
 # --- 5 ---------------------------------------------------------------------------------------------------------
@@ -328,6 +343,7 @@ def near_rows():
 def test_components_equal_brute_force(spark, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(ngram_join, "LIST_PART", 3)
     rows = near_rows()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute_components(rows)
@@ -350,6 +366,29 @@ def test_components_of_odd_rows(spark, odd_docs, no_docs):
     assert ngram_join.ngram_jaccard_components(no_docs).count() == 0
 
 
+def test_components_of_large_text_and_repeated_ids(spark):
+    big, base, other = (1 << 53) + 1, prose(60, 80), prose(61, 80)
+    rows = [(big, base), (big + 2, base + " tail"), (None, base), (None, None), (5, base + " end"), (5, other), (6, other + " end"), (7, other), (7, other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_jaccard_components(d).collect())
+    assert got == Counter([(big, 5), (big + 2, 5), (None, None), (None, None), (5, 5), (5, 5), (6, 5), (7, 5), (7, 5)])
+    rows[4] = (9, base + " end")  # now id 5 has the other text alone and the groups stay apart
+    rows.append((5, prose(62, 40)))
+    named = spark.createDataFrame([(None if i is None else f"d{i}", t) for i, t in rows], "doc_id string, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_jaccard_components(named).collect())
+    first = f"d{big}" if f"d{big}" < "d9" else "d9"
+    assert got == Counter([(f"d{big}", first), (f"d{big + 2}", first), (None, None), (None, None), ("d9", first), ("d5", "d5"), ("d5", "d5"), ("d6", "d5"), ("d7", "d5"), ("d7", "d5")])
+
+
+def test_rows_of_one_id_keep_their_own_components(spark):
+    base, other = prose(63, 80), prose(64, 80)
+    d = spark.createDataFrame([(1, base), (5, base + " end"), (5, other), (2, other + " end")], "doc_id long, text string")
+    got = {(r["doc_id"], r["set_id"]): r["component_id"] for r in ngram_join.ngram_jaccard_components(d, signatures=True).collect()}
+    assert sorted((i, c) for (i, _), c in got.items()) == [(1, 1), (2, 2), (5, 1), (5, 2)]
+    of = {(r["doc_id"], r["s"]) for r in d.select("doc_id", ngram_join.signature(F.col("text")).alias("s")).collect()}
+    assert of == set(got)
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------
 
 
