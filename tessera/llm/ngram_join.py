@@ -278,7 +278,8 @@ def link_sets(entries: DataFrame, docs: DataFrame, boundary: int, num: int, den:
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5, signatures: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs; signatures=True adds set_id, a number for the row's set (see signature()).
+    """(doc_id, n_shingles, component_id) for every row of docs; signatures=True adds set_id, a number for the row's set (see
+    signature()), and component_set, that of the document which names the component.
 
     Words are runs of non-separator bytes after A-Z are lowered. Null and empty texts, and texts without words, have
     no shingles and link with nothing: their component is their own id. Equal sets (copies, repeated rows) are one
@@ -293,11 +294,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     entries = persist_table(_entries(d, common, rank, boundary, num, den, k), "entries", "none")
     known = entries.filter("doc_id is not null")
     sets, comp = link_sets(known, d.filter("doc_id is not null"), boundary, num, den, k)
-    of_class = sets.withColumn("node", F.struct("rep", "sid")).join(comp, "node", "left").select("sid", "n", F.coalesce("component.rep", "rep").alias("component_id"))
+    of_class = sets.withColumn("node", F.struct("rep", "sid")).join(comp, "node", "left").select("sid", "n", F.coalesce("component.rep", "rep").alias("component_id"), F.coalesce("component.sid", "sid").alias("component_set"))
     of_class = persist_table(of_class, "class-components")
     rows = entries.select("doc_id", "sid", "n")
     out = rows.join(F.broadcast(of_class) if small_enough(of_class, BROADCAST_ROWS) else of_class, ["sid", "n"], "left")
-    more = [F.col("sid").alias("set_id")] if signatures else []
+    more = [F.col("sid").alias("set_id"), F.coalesce("component_set", "sid").alias("component_set")] if signatures else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"), *more)
 
 

@@ -385,6 +385,7 @@ def test_rows_of_one_id_keep_their_own_components(spark):
     d = spark.createDataFrame([(1, base), (5, base + " end"), (5, other), (2, other + " end")], "doc_id long, text string")
     got = {(r["doc_id"], r["set_id"]): r["component_id"] for r in ngram_join.ngram_jaccard_components(d, signatures=True).collect()}
     assert sorted((i, c) for (i, _), c in got.items()) == [(1, 1), (2, 2), (5, 1), (5, 2)]
+    assert ngram_join.ngram_jaccard_components(d, signatures=True).filter("doc_id = component_id and set_id = component_set").count() == 2
     of = {(r["doc_id"], r["s"]) for r in d.select("doc_id", ngram_join.signature(F.col("text")).alias("s")).collect()}
     assert of == set(got)
 
