@@ -30,15 +30,25 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays; of rows with one id, one stays; rows without an id stay."""
-    group = persist_table(ngram_join.ngram_jaccard_components(docs), "groups")
-    gone = group.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(F.broadcast(gone) if small_enough(gone, ngram_join.BROADCAST_ROWS) else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = group.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """The document with the least id of each group stays, and all without an id; of rows with one id and linked texts, one stays.
+
+    Two documents are near copies where their sets of 5-word shingles have a Jaccard similarity of 0.75 or more.
+    """
+    group = persist_table(ngram_join.ngram_jaccard_components(docs, signatures=True), "groups")
+    group = group.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "set_id", "component_id", "component_set")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    repeated = persist_table(group.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated")
+    few = small_enough(repeated, ngram_join.BROADCAST_ROWS)
+    alone = group.join(F.broadcast(repeated) if few else repeated, "id", "left_anti")
+    gone = persist_table(alone.filter("id != component_id").select("id").unionByName(repeated), "gone")
+    kept = rows.join(F.broadcast(gone) if small_enough(gone, ngram_join.BROADCAST_ROWS) else gone, F.col("r.doc_id") == F.col("id"), "left_anti").select("r.*")
     if repeated.isEmpty():
         return kept
-    alone = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return alone.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    # Rows that share an id are told apart by their texts' sets: that which names its component stays.
+    own = rows.join(F.broadcast(repeated) if few else repeated, F.col("r.doc_id") == F.col("id"), "left_semi")
+    own = own.select("r", F.col("r.doc_id").alias("id"), ngram_join.signature(F.col("r.text")).alias("set_id"))
+    names = group.join(repeated, "id", "left_semi").filter("id = component_id and set_id = component_set").select("id", "set_id").distinct()
+    return kept.unionByName(own.join(names, ["id", "set_id"], "left_semi").dropDuplicates(["id", "set_id"]).select("r.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
