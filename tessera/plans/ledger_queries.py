@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import names as N
 from tessera.functions import scalars as S
 from tessera.operators import hierarchy, reconcile
 
@@ -14,53 +13,6 @@ from .relation_queries import _XW, _crosswalk
 from .stand_ins import claim, entity, table, with_sql
 
 
-@query("fn05_component_substitution", "SELECT n_nationkey, n_nationkey % 2 = 0 AS apart FROM nation")
-def fn05(spark, d):
-    other = F.when(F.col("n_nationkey") % 2 == 0, "가나다 마").otherwise("가나다라")
-    return table(spark, d, "nation").select("n_nationkey", N.one_component_apart(F.lit("가나다라"), other).alias("apart"))
-
-
-_AUTH = "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '(Smith, J. A., 1901)' ELSE 'Smith, J. A., 1901' END AS a, CASE c_custkey % 5 WHEN 0 THEN '(Smith, 1901)' WHEN 1 THEN 'smith, J. A.,  1901' WHEN 2 THEN 'Smith, 1901' WHEN 3 THEN '(Smith, 1901)' ELSE 'Smith, 1902' END AS b FROM customer"
-
-
-def _authors(spark, d):
-    k = F.col("c_custkey") % 5
-    b = F.when(k == 0, "(Smith, 1901)").when(k == 1, "smith, J. A.,  1901").when(k == 2, "Smith, 1901").when(k == 3, "(Smith, 1901)").otherwise("Smith, 1902")
-    return table(spark, d, "customer").select("c_custkey", F.when(k == 0, "(Smith, J. A., 1901)").otherwise("Smith, J. A., 1901").alias("a"), b.alias("b"))
-
-
-@query("fn06_author_match", f"SELECT c_custkey, CASE c_custkey % 5 WHEN 1 THEN 'exact' WHEN 0 THEN 'initials_omitted' WHEN 2 THEN 'initials_omitted' END AS match FROM ({_AUTH})")
-def fn06(spark, d):
-    return _authors(spark, d).select("c_custkey", N.author_match(F.col("a"), F.col("b")).alias("match"))
-
-
-@query("fn07_author_check", f"SELECT c_custkey, CASE c_custkey % 5 WHEN 1 THEN 'surname_mismatch' WHEN 4 THEN 'year_mismatch' END AS reason FROM ({_AUTH})")
-def fn07(spark, d):
-    return _authors(spark, d).select("c_custkey", N.author_check(F.col("b"), F.col("a")).alias("reason"))
-
-
-@query("fn08_english_names", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'multiple' WHEN 2 THEN 'foreign_letters' WHEN 3 THEN 'unclean' END AS issue FROM part")
-def fn08(spark, d):
-    n, k = F.initcap("p_name"), F.col("p_partkey") % 5
-    raw = F.when(k == 0, " ").when(k == 1, F.concat(n, F.lit(" / "), n)).when(k == 2, F.concat(n, F.lit(" ö"))).when(k == 3, F.concat(n, F.lit(" GROUP"))).otherwise(n)
-    return table(spark, d, "part").select("p_partkey", N.english_name_issue(raw).alias("issue"))
-
-
-@query("fn09_place_reasons", "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'uncertain_wording' WHEN 2 THEN 'surrounding_waters' WHEN 3 THEN 'north_qualified' ELSE 'no_mention' END AS reasons FROM nation")
-def fn09(spark, d):
-    k, n = F.col("n_nationkey") % 5, F.col("n_name")
-    t = F.when(k == 0, F.concat(n, F.lit("; southern Asgard"))).when(k == 1, F.concat(n, F.lit("; formerly Asgard"))).when(k == 2, F.concat(n, F.lit("; seas off Asgard"))).when(k == 3, F.concat(F.lit("northern Asgard; "), n)).otherwise(n)
-    return table(spark, d, "nation").select("n_nationkey", F.array_join(N.place_reasons(t, "Asgard"), ",").alias("reasons"))
-
-
-@query("fn10_assessment_identity", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE (p_partkey + 7)::VARCHAR END AS assessment FROM part")
-def fn10(spark, d):
-    k = F.col("p_partkey")
-    url = F.concat(F.lit("https://list.example.org/species/"), k.cast("string"), F.lit("/"), (k + 7).cast("string"))
-    cite = F.concat(F.lit("doi T"), k.cast("string"), F.lit("A"), F.when(k % 3 == 0, k + 8).otherwise(k + 7).cast("string"), F.lit(".en"))
-    return table(spark, d, "part").select("p_partkey", N.assessment_identity(url, cite)["assessment"].alias("assessment"))
-
-
 @query("fn22_agreed_names", "SELECT p.p_partkey, CASE WHEN p.p_partkey % 4 <> 1 AND p.p_partkey % 2 = 0 THEN 'local ' || p.p_brand END AS local FROM part p")
 def fn22(spark, d):
     p = table(spark, d, "part")
