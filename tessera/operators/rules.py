@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_reason(rules: Mapping[str, Column]) -> Column:
-    """The name of the first rule that holds, in order; null where none does. A rule that is null does not hold."""
-    return F.coalesce(*[F.when(holds, F.lit(name)) for name, holds in rules.items()])
+def first_reason(rules: Mapping[str, Column] | Iterable[tuple[str, Column]]) -> Column:
+    """The name of the first rule (name, condition) that holds, in order; null where none does. A rule that is null does not hold."""
+    pairs = rules.items() if isinstance(rules, Mapping) else rules
+    return F.coalesce(*[F.when(holds, F.lit(name)) for name, holds in pairs])
 
 
 def all_reasons(rules: Mapping[str, Column]) -> Column:

@@ -111,20 +111,6 @@ def q27(spark, d):
     return j.select("p_partkey", F.when(F.col("n").isNull(), "no_source").when((F.col("n") == 1) & F.col("r"), "exact").when(F.col("n") == 1, "single").otherwise("broader").alias("disposition"))
 
 
-@query("jn30_phylogeny_mapping", f"WITH {_XW}, tip AS (SELECT o_custkey AS source_id, count(*) AS tips FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT x.source_id, CASE WHEN x.reason <> 'accepted' THEN 'crosswalk_' || x.reason WHEN t.tips IS NULL THEN 'no_tip' WHEN t.tips > 8 THEN 'many_tips' ELSE 'mapped' END AS status FROM xw x LEFT JOIN tip t USING (source_id)")
-def jn30(spark, d):
-    tips = table(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("source_id")).agg(F.count("*").alias("tips"))
-    j = _crosswalk(spark, d).join(tips, "source_id", "left")
-    return j.select("source_id", F.when(F.col("reason") != "accepted", F.concat(F.lit("crosswalk_"), "reason")).when(F.col("tips").isNull(), "no_tip").when(F.col("tips") > 8, "many_tips").otherwise("mapped").alias("status"))
-
-
-@query("q17_ancestor_arrays", "SELECT p_partkey, [p_type, p_type || '|' || p_brand]::VARCHAR AS ancestors, count(*) OVER (PARTITION BY p_type, p_brand)::BIGINT AS support FROM part")
-def q17(spark, d):
-    p = table(spark, d, "part")
-    n = p.groupBy("p_type", "p_brand").agg(F.count("*").alias("support"))
-    return p.join(n, ["p_type", "p_brand"]).select("p_partkey", F.concat(F.lit("["), F.concat_ws(", ", "p_type", F.concat_ws("|", "p_type", "p_brand")), F.lit("]")).alias("ancestors"), "support")
-
-
 @query("jn31_applied_reviews", "WITH c AS (SELECT p_partkey AS id, p_name AS label, p_size AS qid FROM part WHERE p_partkey % 6 = 0), t AS (SELECT p_name AS label, count(*) AS n, min(p_partkey) AS taxon FROM part WHERE p_partkey % 6 = 1 GROUP BY 1) SELECT c.id, CASE WHEN t.n = 1 THEN t.taxon END AS taxon, CASE WHEN t.n = 1 THEN 'applied' WHEN t.n IS NULL THEN 'no_taxon' ELSE 'ambiguous' END AS outcome FROM c LEFT JOIN t USING (label)")
 def jn31(spark, d):
     p = table(spark, d, "part")
@@ -133,13 +119,6 @@ def jn31(spark, d):
     return m.select("id", "taxon", F.when(F.col("status") == "matched", "applied").when(F.col("status") == "not_found", "no_taxon").otherwise("ambiguous").alias("outcome"))
 
 
-@query("jn32_projected_relations", "SELECT p_partkey, lower(replace(p_name, ' ', ',')) AS terms, count(*) OVER ()::BIGINT AS written FROM part")
-def jn32(spark, d):
-    p = table(spark, d, "part")
-    terms = F.array_join(F.transform(F.split("p_name", " "), lambda t: F.lower(t)), ",")
-    return p.select("p_partkey", terms.alias("terms")).crossJoin(p.agg(F.count("*").alias("written")))
-
-
 @query("q11_subordinate_traits", f"WITH {with_sql('claim')}, x AS (SELECT DISTINCT entity, trait FROM claim WHERE inferred = false) SELECT c.entity, c.trait, count(*)::BIGINT AS n FROM claim c WHERE c.inferred AND NOT EXISTS (SELECT 1 FROM x WHERE x.entity = c.entity AND x.trait = c.trait) GROUP BY 1, 2")
 def q11(spark, d):
     c = claim(spark, d)
@@ -153,12 +132,6 @@ def q15(spark, d):
     return a.groupBy("entity").agg(F.when(F.count_distinct("basis") > 1, "both").otherwise(F.min("basis")).alias("basis"), F.count("*").alias("n"))
 
 
-@query("q19_name_relation_lookup", "WITH u AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part), f AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY 1) SELECT u.term, count(DISTINCT f.p_name)::BIGINT AS relations FROM u JOIN part p USING (p_partkey) JOIN f ON f.p_name = p.p_name GROUP BY 1")
-def q19(spark, d):
-    u = table(spark, d, "part").select("p_name", F.explode(F.split("p_name", " ")).alias("term"))
-    return u.groupBy("term").agg(F.count_distinct("p_name").alias("relations"))
-
-
 @query("q20_child_display", "SELECT n.n_name AS parent, s.s_suppkey AS child, CASE WHEN length(s.s_name) > 72 THEN substr(s.s_name, 1, 71) || '…' ELSE s.s_name END AS caption, CASE WHEN s.s_suppkey % 3 = 0 THEN 'reviewed' ELSE 'pending' END AS status FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey")
 def q20(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))

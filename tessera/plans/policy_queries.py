@@ -329,6 +329,3 @@ def flt06(spark, d):
     return _registry(spark, d).filter("policy_status = 'allowed'").select("source", "enabled")
 
 
-@query("flt07_path_guard", f"""WITH {with_sql('entity')}, ok AS (SELECT * FROM entity WHERE policy_status = 'allowed' AND release = 'r1') SELECT "order", genus, count(*)::BIGINT AS n FROM ok GROUP BY 1, 2""")
-def flt07(spark, d):
-    return entity(spark, d).filter("policy_status = 'allowed' AND release = 'r1'").groupBy("order", "genus").agg(F.count("*").alias("n"))

@@ -182,12 +182,6 @@ def jn23(spark, d):
     return j.groupBy(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int").alias("depth")).agg(F.count("*").alias("n"))
 
 
-@query("jn24_name_relations", "WITH u AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part) SELECT term, count(DISTINCT p_partkey)::BIGINT AS usages FROM u GROUP BY 1")
-def jn24(spark, d):
-    u = table(spark, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("term"))
-    return u.groupBy("term").agg(F.count_distinct("p_partkey").alias("usages"))
-
-
 @query("jn25_children", "SELECT n.n_name AS parent, s.s_suppkey AS child, coalesce(CASE WHEN s.s_suppkey % 2 = 0 THEN s.s_name END, 'unnamed') AS name FROM nation n JOIN supplier s ON s.s_nationkey = n.n_nationkey")
 def jn25(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -230,13 +224,6 @@ def q22(spark, d):
     return j.groupBy(reason.alias("reason"), "p_type").agg(F.count("*").alias("n"))
 
 
-@query("q06_taxon_candidates", "WITH l AS (SELECT p_name AS label, p_partkey AS entity FROM part UNION ALL SELECT p_brand, p_partkey FROM part WHERE p_size = 1) SELECT label, count(DISTINCT entity)::BIGINT AS targets, CASE WHEN count(DISTINCT entity) = 1 THEN 'resolved' ELSE 'ambiguous' END AS reason FROM l GROUP BY 1")
-def q06(spark, d):
-    p = table(spark, d, "part")
-    labels = p.select(F.col("p_name").alias("label"), F.col("p_partkey").alias("entity")).unionByName(p.filter("p_size = 1").select(F.col("p_brand").alias("label"), F.col("p_partkey").alias("entity")))
-    return labels.groupBy("label").agg(F.count_distinct("entity").alias("targets")).withColumn("reason", F.when(F.col("targets") == 1, "resolved").otherwise("ambiguous"))
-
-
 @query("q21_grounded_batch", "WITH m AS (SELECT b.item_id, count(d.doc_id) AS n, min(d.doc_id) AS doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1) SELECT item_id, CASE WHEN n = 0 THEN 'abstain' WHEN n = 1 THEN 'answer' ELSE 'clarify' END AS disposition, CASE WHEN n = 1 THEN doc END AS citation FROM m")
 def q21(spark, d):
     m = _relevant(spark, d).groupBy(F.col("query").alias("item_id")).agg(F.count("*").alias("n"), F.min("id").alias("doc"))
