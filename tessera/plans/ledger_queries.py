@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
-from tessera.operators import hierarchy, reconcile
+from tessera.operators import hierarchy, linking, reconcile
 
+from .name_queries import case, quoted
+from .reference_queries import K, SCIENCE
 from .registry import query
 from .relation_queries import _XW, _crosswalk
 from .stand_ins import claim, entity, table, with_sql
@@ -38,59 +40,84 @@ def jn07(spark, d):
     return j.groupBy("n_nationkey").agg(F.count("s_suppkey").alias("suppliers"), F.count_if(F.col("s_suppkey") % 5 != F.col("n_regionkey")).alias("mismatches"))
 
 
-_LINK = """b AS (SELECT l_partkey, count(*) AS n, count(DISTINCT l_suppkey) AS sup FROM lineitem GROUP BY 1), nm AS (SELECT p_name, count(*) AS c FROM part GROUP BY 1),
-lk AS (SELECT p.p_partkey, CASE WHEN p.p_partkey % 13 = 0 THEN 'no_url' WHEN b.n IS NULL THEN 'source_missing' WHEN b.n < 10 THEN 'too_few_assessments' WHEN nm.c > (SELECT avg(c) FROM nm) THEN 'name_not_unique' WHEN b.sup < b.n THEN 'duplicate_supplier' ELSE 'linked' END AS reason FROM part p LEFT JOIN b ON b.l_partkey = p.p_partkey JOIN nm ON nm.p_name = p.p_name)"""
+_LINK_PREFIX, _URL_PREFIX = "https://zone.example.org/species/", "https://list.example.org/species/"
+_K7 = "CAST(p_partkey + 7 AS STRING)"
+_YY = "CAST(1950 + p_partkey % 40 AS STRING)"
+_CITED = f"'Red List of Threatened Species 2021: e. UK.' || CASE WHEN p_partkey % 3 = 0 THEN '2018' ELSE '2021' END || '-3.RLTS.T' || {K} || 'A' || CASE WHEN p_partkey % 41 = 8 THEN {K} ELSE {_K7} END || '.en'"
+_ACT = ["p_partkey AS taxon", "p_partkey", "p_name", "p_type", f"{SCIENCE} AS name", f"'Smith, J., ' || {_YY} AS authority", f"{case('p_partkey', *quoted('LC', 'en ', 'VU', 'NE', 'LC', 'CR (PE)', 'NT', 'XX', 'DD', 'LC', 'EX', None))} AS grade",
+  f"CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 17 = 1 THEN 'http://zone.example.org/' || {K} WHEN p_partkey % 34 = 5 THEN '{_LINK_PREFIX}' || CAST(p_partkey - 1 AS STRING) ELSE '{_LINK_PREFIX}' || {K} END AS reference"]
+_SRC = [f"{K} AS sis", f"CASE WHEN p_partkey % 29 = 5 THEN 'x' ELSE {K} END AS accepted", f"CASE WHEN p_partkey % 31 = 6 THEN 'other ' || {K} ELSE {SCIENCE} END AS name", f"CASE WHEN p_partkey % 37 = 7 THEN 'Brown, ' WHEN p_partkey % 2 = 0 THEN 'Smith, ' ELSE 'Smith, J., ' END || {_YY} AS authority",
+  f"{_CITED} AS citation", f"'{_URL_PREFIX}' || {K} || '/' || {_K7} AS url"]
+_DIST = [f"{K} AS sis", f"{case('p_partkey', *quoted('Least Concern', 'Endangered', 'Vulnerable', 'Near Threatened', 'Data Deficient', 'Lower Risk', 'Least Concern'))} AS category", f"CASE WHEN p_partkey % 61 = 13 THEN 'another' ELSE {_CITED} END AS citation"]
+_LINK = f"""act AS (SELECT {', '.join(_ACT)} FROM part), src AS (SELECT {', '.join(_SRC)}, CASE WHEN p_partkey % 43 = 9 THEN 'synonym' ELSE 'accepted' END AS status FROM part WHERE p_partkey % 19 <> 3 UNION ALL SELECT {', '.join(_SRC)}, 'synonym' FROM part WHERE p_partkey % 23 = 4),
+dist AS (SELECT {', '.join(_DIST)} FROM part WHERE p_partkey % 47 <> 10 UNION ALL SELECT {', '.join(_DIST)} FROM part WHERE p_partkey % 53 = 11),
+sp AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY name) AS same_name FROM src WHERE status = 'accepted') WHERE sis IN (SELECT sis FROM src GROUP BY 1 HAVING count(*) = 1)),
+g AS (SELECT sis, count(*) AS global, any_value(category) AS category, any_value(citation) AS citation FROM dist GROUP BY 1),
+a AS (SELECT *, count(*) OVER (PARTITION BY taxon) AS same_taxon, count(*) OVER (PARTITION BY name) AS same_active, count(*) OVER (PARTITION BY reference) AS same_reference, regexp_extract(coalesce(reference, ''), '^{_LINK_PREFIX.replace('.', chr(92) + '.')}([1-9][0-9]*)$', 1) AS sis, upper(trim(grade)) AS gr FROM act),
+lj AS (SELECT a.*, sp.name AS s_name, sp.authority AS s_auth, sp.accepted, sp.same_name, sp.citation AS s_cit, g.global, g.category AS raw, g.citation AS d_cit, (SELECT count(*) FROM src WHERE src.sis = a.sis) AS all_sis,
+  regexp_extract_all(sp.citation, 'RLTS\\.(T[1-9][0-9]*A[1-9][0-9]*)\\.en', 1) = ['T' || a.sis || 'A' || regexp_extract(sp.url, '/([0-9]+)$', 1)] AS same_id, regexp_extract(sp.url, '/([0-9]+)$', 1) AS num,
+  sp.authority = a.authority OR sp.authority = replace(a.authority, ' J.,', '') AS auth_ok FROM a LEFT JOIN sp ON sp.sis = a.sis LEFT JOIN g ON g.sis = a.sis),
+lx AS (SELECT *, CASE raw {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in linking.CATEGORIES.items())} END AS code FROM lj),
+lk AS (SELECT *, CASE WHEN same_taxon > 1 OR same_active > 1 THEN 'ambiguous_active_identity' WHEN gr = 'NE' THEN 'not_evaluated_requires_concept_review' WHEN gr IS NULL OR gr NOT IN ({', '.join(f"'{x}'" for x in linking.GRADES)}) THEN 'unconfirmed_taxonomy_category'
+  WHEN reference IS NULL THEN 'missing_exact_link' WHEN sis = '' OR same_reference > 1 THEN 'invalid_or_ambiguous_exact_link' WHEN all_sis > 1 THEN 'duplicate_source_id' WHEN s_name IS NULL THEN 'no_accepted_source_species' WHEN accepted <> sis OR same_name > 1 THEN 'ambiguous_source_identity'
+  WHEN s_name <> name THEN 'scientific_name_mismatch' WHEN NOT auth_ok THEN 'authority_mismatch' WHEN global IS DISTINCT FROM 1 THEN 'missing_or_ambiguous_global_assessment' WHEN code IS NULL THEN 'unsupported_source_category' WHEN NOT same_id OR d_cit <> s_cit THEN 'assessment_identity_or_citation_mismatch' ELSE 'linked' END AS reason FROM lx)"""
+_REVIEW = ("ambiguous_active_identity", "invalid_or_ambiguous_exact_link", "duplicate_source_id", "ambiguous_source_identity", "scientific_name_mismatch", "authority_mismatch", "assessment_identity_or_citation_mismatch")
+_OPEN = ("missing_exact_link", "no_accepted_source_species", "missing_or_ambiguous_global_assessment")
+_IN = lambda names: ", ".join(f"'{x}'" for x in names)
+
+
+def _assessed(spark, d):
+    p = table(spark, d, "part")
+    status = F.when(F.col("p_partkey") % 43 == 9, "synonym").otherwise("accepted").alias("status")
+    src = p.filter("p_partkey % 19 <> 3").select(*map(F.expr, _SRC), status).unionByName(p.filter("p_partkey % 23 = 4").select(*map(F.expr, _SRC), F.lit("synonym").alias("status")))
+    dist = p.filter("p_partkey % 47 <> 10").selectExpr(*_DIST).unionByName(p.filter("p_partkey % 53 = 11").selectExpr(*_DIST))
+    return linking.link_assessments(p.selectExpr(*_ACT), src, dist, _LINK_PREFIX, _URL_PREFIX)
 
 
 def _links(spark, d):
-    p = table(spark, d, "part")
-    b = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("sup"))
-    nm = p.groupBy("p_name").agg(F.count("*").alias("c"))
-    j = p.join(b, "p_partkey", "left").join(nm, "p_name").crossJoin(nm.agg(F.avg("c").alias("mean")))
-    reason = F.when(F.col("p_partkey") % 13 == 0, "no_url").when(F.col("n").isNull(), "source_missing").when(F.col("n") < 10, "too_few_assessments").when(F.col("c") > F.col("mean"), "name_not_unique").when(F.col("sup") < F.col("n"), "duplicate_supplier").otherwise("linked")
-    return j.select("p_partkey", "p_name", "p_type", reason.alias("reason"))
+    return _assessed(spark, d).withColumn("reason", F.coalesce("reason", F.lit("linked")))
 
 
-@query("jn08_linked_with_reasons", f"WITH {_LINK} SELECT p_partkey, reason FROM lk")
+@query("jn08_linked_with_reasons", f"WITH {_LINK} SELECT p_partkey, reason, CASE WHEN reason = 'linked' THEN code END AS category, CASE WHEN reason = 'linked' THEN num::BIGINT END AS assessment, CASE WHEN reason = 'linked' AND p_partkey % 3 <> 0 THEN 2021 END AS year FROM lk")
 def jn08(spark, d):
-    return _links(spark, d).select("p_partkey", "reason")
+    return _links(spark, d).select("p_partkey", "reason", "category", "assessment", "year")
 
 
-@query("jn09_reference_only", f"WITH {_LINK}, l AS (SELECT DISTINCT p.p_name FROM lk JOIN part p USING (p_partkey) WHERE reason = 'linked') SELECT lk.p_partkey, p.p_name IN (SELECT p_name FROM l) AS same_name_linked FROM lk JOIN part p USING (p_partkey) WHERE reason <> 'linked'")
+@query("jn09_reference_only", f"WITH {_LINK}, l AS (SELECT DISTINCT p_name FROM lk WHERE reason = 'linked') SELECT lk.p_partkey, lk.p_name IN (SELECT p_name FROM l) AS same_name_linked FROM lk WHERE reason <> 'linked'")
 def jn09(spark, d):
     k = _links(spark, d)
     linked = k.filter("reason = 'linked'").select("p_name").distinct().withColumn("hit", F.lit(True))
     return k.filter("reason <> 'linked'").join(linked, "p_name", "left").select("p_partkey", F.coalesce("hit", F.lit(False)).alias("same_name_linked"))
 
 
-@query("q13_index_coverage", f"WITH {_LINK} SELECT reason, count(*)::BIGINT AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM lk), 6) AS share FROM lk GROUP BY 1")
+@query("q13_index_coverage", f"WITH {_LINK} SELECT reason, count(*)::BIGINT AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM lk), 6) AS share, count(DISTINCT CASE WHEN reason = 'linked' THEN code END)::BIGINT AS categories FROM lk GROUP BY 1")
 def q13(spark, d):
     k = _links(spark, d)
-    return k.groupBy("reason").agg(F.count("*").alias("n")).crossJoin(k.agg(F.count("*").alias("t"))).select("reason", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+    per = k.groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("category").alias("categories"))
+    return per.crossJoin(F.broadcast(k.agg(F.count("*").alias("t")))).select("reason", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), "categories")  # one row of counts
 
 
-@query("q25_reconciliation_ledger", f"WITH {_LINK}, r AS (SELECT reason, p_type, p_partkey, row_number() OVER (PARTITION BY reason, p_type ORDER BY p_partkey) AS n FROM lk JOIN part USING (p_partkey)) SELECT reason, p_type, count(*)::BIGINT AS n, string_agg(CASE WHEN n <= 5 THEN p_partkey::VARCHAR END, ',' ORDER BY p_partkey) AS examples FROM r GROUP BY 1, 2")
+@query("q25_reconciliation_ledger", f"WITH {_LINK}, r AS (SELECT reason, p_type, p_partkey, row_number() OVER (PARTITION BY reason, p_type ORDER BY p_partkey) AS n FROM lk) SELECT reason, p_type, count(*)::BIGINT AS n, string_agg(CASE WHEN n <= 5 THEN p_partkey::VARCHAR END, ',' ORDER BY p_partkey) AS examples FROM r GROUP BY 1, 2")
 def q25(spark, d):
     w = Window.partitionBy("reason", "p_type")
     r = _links(spark, d).withColumns({"k": F.row_number().over(w.orderBy("p_partkey")), "n": F.count("*").over(w)}).filter("k <= 5")
     return r.groupBy("reason", "p_type").agg(F.max("n").alias("n"), F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("examples"))
 
 
-@query("q26_unresolved_candidates", f"WITH {_LINK}, u AS (SELECT lk.p_partkey, p.p_name, p.p_type FROM lk JOIN part p USING (p_partkey) WHERE reason IN ('no_url', 'source_missing', 'too_few_assessments')), g AS (SELECT lk.p_partkey, p.p_name, p.p_type FROM lk JOIN part p USING (p_partkey) WHERE reason = 'linked') SELECT u.p_partkey, count(*)::BIGINT AS candidates, min(g.p_partkey) AS first FROM u JOIN g ON g.p_name = u.p_name AND g.p_type = u.p_type GROUP BY 1")
+@query("q26_unresolved_candidates", f"WITH {_LINK}, u AS (SELECT p_partkey, p_name, p_type FROM lk WHERE reason IN ({_IN(_OPEN)})), ok AS (SELECT p_name, p_type, count(*) AS candidates, min(p_partkey) AS first FROM lk WHERE reason = 'linked' GROUP BY 1, 2) SELECT u.p_partkey, candidates::BIGINT AS candidates, first FROM u JOIN ok USING (p_name, p_type)")
 def q26(spark, d):
     k = _links(spark, d)
-    g = k.filter("reason = 'linked'").select(F.col("p_partkey").alias("g"), "p_name", "p_type")
-    u = k.filter("reason in ('no_url', 'source_missing', 'too_few_assessments')").select("p_partkey", "p_name", "p_type")
-    return u.join(g, ["p_name", "p_type"]).groupBy("p_partkey").agg(F.count("*").alias("candidates"), F.min("g").alias("first"))
+    g = k.filter("reason = 'linked'").groupBy("p_name", "p_type").agg(F.count("*").alias("candidates"), F.min("p_partkey").alias("first"))
+    return k.filter(F.col("reason").isin(*_OPEN)).select("p_partkey", "p_name", "p_type").join(g, ["p_name", "p_type"]).select("p_partkey", "candidates", "first")
 
 
-@query("q32_catalog_replay", f"WITH {_LINK} SELECT CASE WHEN reason = 'linked' THEN 'assessed' WHEN reason IN ('name_not_unique', 'duplicate_supplier') THEN 'review' ELSE 'missing' END AS status, count(*)::BIGINT AS n, count(DISTINCT p_partkey) = count(*) AS identity_kept FROM lk GROUP BY 1")
+@query("q32_catalog_replay", f"WITH {_LINK} SELECT CASE WHEN reason = 'linked' THEN 'assessed' WHEN reason IN ({_IN(_REVIEW)}) THEN 'review' ELSE 'missing' END AS status, count(*)::BIGINT AS n, count(DISTINCT p_partkey) = count(*) AS identity_kept FROM lk GROUP BY 1")
 def q32(spark, d):
-    s = F.when(F.col("reason") == "linked", "assessed").when(F.col("reason").isin("name_not_unique", "duplicate_supplier"), "review").otherwise("missing")
+    s = F.when(F.col("reason") == "linked", "assessed").when(F.col("reason").isin(*_REVIEW), "review").otherwise("missing")
     return _links(spark, d).groupBy(s.alias("status")).agg(F.count("*").alias("n"), (F.count_distinct("p_partkey") == F.count("*")).alias("identity_kept"))
 
 
-@query("q12_conservation_status", f"WITH {_LINK} SELECT p.p_partkey, CASE WHEN p.p_partkey % 50 = 7 THEN 'override' WHEN reason = 'linked' THEN 'checklist' WHEN p.p_size % 2 = 0 THEN 'snapshot' END AS layer, upper(p.p_type) AS category FROM lk JOIN part p USING (p_partkey)")
+@query("q12_conservation_status", f"WITH {_LINK} SELECT lk.p_partkey, CASE WHEN lk.p_partkey % 50 = 7 THEN 'override' WHEN reason = 'linked' THEN 'checklist' WHEN p.p_size % 2 = 0 THEN 'snapshot' END AS layer, upper(lk.p_type) AS category FROM lk JOIN part p USING (p_partkey)")
 def q12(spark, d):
     k = _links(spark, d).join(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
     layer = F.coalesce(F.when(F.col("p_partkey") % 50 == 7, F.lit("override")), F.when(F.col("reason") == "linked", F.lit("checklist")), F.when(F.col("p_size") % 2 == 0, F.lit("snapshot")))
