@@ -180,12 +180,6 @@ def q23(spark, d):
     return a.join(b, "entity", "full").groupBy(diff.alias("difference")).agg(F.count("*").alias("n"))
 
 
-@query("q28_reviewed_name_audit", "WITH n AS (SELECT p_name, count(*) AS n, count(DISTINCT p_brand) AS b FROM part GROUP BY 1) SELECT CASE WHEN n = 1 THEN 'single' WHEN b = 1 THEN 'consistent' ELSE 'pending' END AS decision, count(*)::BIGINT AS names FROM n GROUP BY 1")
-def q28(spark, d):
-    n = table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("b"))
-    return n.groupBy(F.when(F.col("n") == 1, "single").when(F.col("b") == 1, "consistent").otherwise("pending").alias("decision")).agg(F.count("*").alias("names"))
-
-
 @query("txt09_name_suggestions", "WITH c AS (SELECT DISTINCT p_name AS name FROM part), m AS (SELECT name AS mention0, CASE length(name) % 3 WHEN 0 THEN name WHEN 1 THEN replace(name, ' ', '') ELSE substr(name, 2) END AS mention FROM c), r AS (SELECT m.mention0, m.mention, c.name, CASE WHEN c.name = m.mention THEN 'exact' WHEN replace(c.name, ' ', '') = m.mention THEN 'compact' WHEN levenshtein(c.name, m.mention) = 1 THEN 'suggestion' END AS route FROM m JOIN c ON length(c.name) BETWEEN length(m.mention) - 1 AND length(m.mention) + 4) SELECT mention0 AS source, mention, min(route || ':' || name) AS best FROM r WHERE route IS NOT NULL GROUP BY 1, 2")
 def txt09(spark, d):
     c = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()

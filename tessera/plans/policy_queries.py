@@ -255,12 +255,6 @@ def fn21(spark, d):
     return table(spark, d, "part").select("p_partkey", F.coalesce(local, english, "p_type").alias("display"))
 
 
-@query("fn25_outcome_tags", "SELECT event_id, CASE WHEN event_type IN ('error') THEN 'failed' WHEN event_type IN ('purchase', 'signup') THEN 'answered' ELSE 'other' END AS tag FROM events")
-def fn25(spark, d):
-    t = F.col("event_type")
-    return table(spark, d, "events").select("event_id", F.when(t.isin("error"), "failed").when(t.isin("purchase", "signup"), "answered").otherwise("other").alias("tag"))
-
-
 @query("fn26_sensitivity", f"WITH {with_sql('observation')} SELECT observation, CASE WHEN sensitivity = 'private' THEN 'withheld' WHEN lon IS NULL THEN 'generalized' ELSE 'public' END AS class, coalesce(place, 'unknown') AS place FROM observation")
 def fn26(spark, d):
     c = F.when(F.col("sensitivity") == "private", "withheld").when(F.col("lon").isNull(), "generalized").otherwise("public")
@@ -324,8 +318,3 @@ def flt05(spark, d):
     return filters.search(observation(spark, d), {"place": "UR", "licence": None}, {"entity": 7, "sensitivity": None}, first="2024-01-10").select("observation", "entity", "place")
 
 
-@query("flt06_collection_select", f"WITH r AS ({_REGISTRY}) SELECT source, enabled FROM r WHERE policy_status = 'allowed'")
-def flt06(spark, d):
-    return _registry(spark, d).filter("policy_status = 'allowed'").select("source", "enabled")
-
-

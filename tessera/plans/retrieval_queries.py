@@ -299,17 +299,6 @@ def ag13(spark, d):
     return retrieval.label_metrics(table(spark, d, "documents"), F.col("lang"), F.when(F.col("doc_id") % 9 == 0, "en").otherwise(F.col("lang")))
 
 
-@query("ag14_slot_scores", "SELECT role, count(*)::BIGINT AS n, round(count(*) FILTER (length(text) > 100)::DOUBLE / count(*), 6) AS long_share FROM conversations GROUP BY 1")
-def ag14(spark, d):
-    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.round(F.count_if(F.length("text") > 100) / F.count("*"), 6).alias("long_share"))
-
-
-@query("ag15_family_evaluation", "SELECT conv_id, count(DISTINCT length(text)) FILTER (role = 'user') = count(*) FILTER (role = 'user') AS all_differ, count(DISTINCT role)::BIGINT AS roles FROM conversations GROUP BY 1")
-def ag15(spark, d):
-    user = F.col("role") == "user"
-    return table(spark, d, "conversations").groupBy("conv_id").agg((F.count_distinct(F.when(user, F.length("text"))) == F.count_if(user)).alias("all_differ"), F.count_distinct("role").alias("roles"))
-
-
 @query("ag16_multiset_contracts", "WITH a AS (SELECT l_orderkey, list_sort(list(l_returnflag)) AS x, list_sort(list(l_linestatus)) AS y FROM lineitem GROUP BY 1) SELECT l_orderkey, x = y AS equal FROM a")
 def ag16(spark, d):
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_returnflag")).alias("x"), F.array_sort(F.collect_list("l_linestatus")).alias("y"))
@@ -344,12 +333,6 @@ def ag21_whole(spark, d):
     return ag21(spark, d, "true")
 
 
-@query("ag23_packaged_cases", "SELECT o_orderpriority AS suite, count(DISTINCT o_orderkey)::BIGINT AS cases, count(*)::BIGINT AS conditions FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
-def ag23(spark, d):
-    j = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy(F.col("o_orderpriority").alias("suite")).agg(F.count_distinct("o_orderkey").alias("cases"), F.count("*").alias("conditions"))
-
-
 @query("tk07_verified_candidates", f"WITH {_BM}, ok AS (SELECT * FROM bm WHERE rank <= 25 AND id % 2 = 0), r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM ok) SELECT * FROM r WHERE place <= 3")
 def tk07(spark, d):
     ok = _bm25(spark, d, 25).filter("id % 2 = 0")
