@@ -1,9 +1,9 @@
 """Language ID by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-Both directions run through each run of letters of a text (lowered; at most SPAN bytes, longer runs in pieces), from a
-zero state. Every byte gets a probability for each language from the two states there; a document's probability is the
-mean over all its letter bytes. What the network says of a run depends on its bytes alone, so each distinct run of a
-batch of texts passes through it once, side by side with all others of its length.
+Both directions run through the lowered bytes of a whole text, blanks and marks included, and give every byte a
+probability for each language; a document's probability is the mean over all its letter bytes. So that the bytes of a
+text, however long, and of many texts run side by side, a text is cut into windows of CORE bytes, and each direction
+starts CONTEXT bytes before its window (or at the text's edge): by then a state has forgotten where it began.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, span_hashes
+from .common import LOWER, slices
 
-SPAN = 32
-HIDDEN = 8
+CORE, CONTEXT, HIDDEN = 192, 32, 8
+#: Windows that run side by side, and bytes of a training window.
+TOGETHER, TRAINED = 2048, 64
 UND = "und"
 #: Bytes of words: ASCII letters and all of non-ASCII UTF-8.
 LETTER = np.zeros(256, dtype=np.float32)
@@ -24,23 +25,17 @@ LETTER[97:123] = 1
 LETTER[128:] = 1
 
 
-def spans(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The lowered bytes of a run of texts, starts and ends of their letter runs, and the text of each."""
-    a = LOWER[np.frombuffer(b" ".join(run) + b" ", dtype=np.uint8)]
-    is_letter = LETTER[a] > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], is_letter]).astype(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    pieces = -(-(ends - starts) // SPAN)
-    if (pieces > 1).any():
-        which = np.repeat(np.arange(len(starts)), pieces)
-        k = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts, ends = starts[which] + k * SPAN, np.minimum(starts[which] + (k + 1) * SPAN, ends[which])
-    bounds = np.cumsum([len(b) + 1 for b in run])
-    return a, starts, ends, np.searchsorted(bounds, starts, side="right")
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+def windows(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lowered bytes of all windows of a run of texts [window, CONTEXT + CORE + CONTEXT], which of them stand in the text, and the text of each window."""
+    lens = np.fromiter((len(b) for b in run), dtype=np.int64, count=len(run))
+    n = -(-lens // CORE)
+    of = np.repeat(np.arange(len(run)), n)
+    start = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * CORE - CONTEXT
+    base = np.cumsum(lens) - lens
+    a = LOWER[np.frombuffer(b"".join(run), dtype=np.uint8)]
+    at = start[:, None] + np.arange(CORE + 2 * CONTEXT)
+    inside = (at >= 0) & (at < lens[of][:, None])
+    return np.where(inside, a[np.where(inside, at + base[of][:, None], 0)], 0).astype(np.uint8) if len(of) else np.zeros(at.shape, dtype=np.uint8), inside, of
 
 
 class BiGRU:
@@ -54,46 +49,68 @@ class BiGRU:
             self.p |= {f"W{d}": r.normal(0, 0.3, (256, 3 * h)), f"U{d}": r.normal(0, 0.4, (h, 3 * h))}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def states(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """[step, window, H] of a direction; keep gets what backpropagation needs."""
-        h, w, u = self.h, self.p[f"W{d}"], self.p[f"U{d}"]
-        out = np.zeros((x.shape[1], len(x), h), dtype=np.float32)
-        s = np.zeros((len(x), h), dtype=np.float32)
-        for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
-            g, k = w[x[:, t]], s @ u
-            zr = _sigmoid(g[:, : 2 * h] + k[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(g[:, 2 * h :] + r * k[:, 2 * h :])
-            new = n + z * (s - n)
+    def states(self, x: np.ndarray, inside: np.ndarray, keep: dict[str, list] | None = None) -> np.ndarray:
+        """[step, window, 2H] of both directions, which run side by side; outside of the text the state stays zero. keep gets what
+        backpropagation needs."""
+        h, (n, steps) = self.h, x.shape
+        dtype = self.p["V"].dtype
+        # Gates are tanh of half their argument: the halves go into the weights.
+        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(dtype)
+        w, u = np.stack([self.p["Wf"], self.p["Wb"]]) * half, np.stack([self.p["Uf"], self.p["Ub"]]) * half
+        xt, valid = np.ascontiguousarray(x.T), np.ascontiguousarray(inside.T).astype(dtype)[:, :, None]
+        out = np.empty((steps, n, 2 * h), dtype=dtype)
+        s, g, k, new = np.zeros((2, n, h), dtype=dtype), np.empty((2, n, 3 * h), dtype=dtype), np.empty((2, n, 3 * h), dtype=dtype), np.empty((2, n, h), dtype=dtype)
+        for t in range(steps):
+            b = steps - 1 - t
+            np.take(w[0], xt[t], axis=0, out=g[0])
+            np.take(w[1], xt[b], axis=0, out=g[1])
+            np.matmul(s, u, out=k)
+            g[:, :, : 2 * h] += k[:, :, : 2 * h]
+            zr = np.tanh(g[:, :, : 2 * h])
+            zr += 1
+            zr *= dtype.type(0.5)
+            np.multiply(zr[:, :, h:], k[:, :, 2 * h :], out=new)
+            new += g[:, :, 2 * h :]
+            np.tanh(new, out=new)
+            after = s - new
+            after *= zr[:, :, :h]
+            after += new
+            after[0] *= valid[t]
+            after[1] *= valid[b]
             if keep is not None:
-                keep.append((t, s, z, r, n, k[:, 2 * h :]))
-            out[t] = s = new
+                for i, d, at in ((0, "f", t), (1, "b", b)):
+                    keep[d].append((at, s[i], zr[i, :, :h], zr[i, :, h:], new[i].copy(), k[i, :, 2 * h :].copy()))
+            s = after
+            out[t, :, :h], out[b, :, h:] = s[0], s[1]
         return out
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """[step, window, C]."""
-        y = np.concatenate([self.states(x, "f"), self.states(x, "b")], axis=2) @ self.p["V"] + self.p["c"]
+    def _softmax(self, both: np.ndarray) -> np.ndarray:
+        y = both @ self.p["V"] + self.p["c"]
         y -= y.max(axis=2, keepdims=True)
         np.exp(y, out=y)
         y /= y.sum(axis=2, keepdims=True)
         return y
 
-    def gradients(self, x: np.ndarray, lang: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy over all positions."""
+    def probabilities(self, x: np.ndarray, inside: np.ndarray | None = None, core: slice = slice(None)) -> np.ndarray:
+        """[step, window, C] of the steps in core."""
+        return self._softmax(self.states(x, np.ones(x.shape, dtype=bool) if inside is None else inside)[core])
+
+    def gradients(self, x: np.ndarray, lang: np.ndarray, inside: np.ndarray | None = None, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy over all positions with a weight ([window, step]; without, all)."""
         h, kept, grads = self.h, {"f": [], "b": []}, {}
-        both = np.concatenate([self.states(x, d, kept[d]) for d in "fb"], axis=2)
-        y = both @ self.p["V"] + self.p["c"]
-        y = np.exp(y - y.max(axis=2, keepdims=True))
-        y /= y.sum(axis=2, keepdims=True)
+        inside = np.ones(x.shape, dtype=bool) if inside is None else inside
+        weight = np.ones(x.shape) if weight is None else weight
+        both = self.states(x, inside, kept)
+        y = self._softmax(both)
         y[:, np.arange(len(x)), lang] -= 1
-        y /= max(x.size, 1)
+        y *= (weight.T / max(weight.sum(), 1)).astype(y.dtype)[:, :, None]
         grads["V"], grads["c"] = np.tensordot(both, y, ([0, 1], [0, 1])), y.sum((0, 1))
         back = y @ self.p["V"].T
         for i, d in enumerate("fb"):
             u = self.p[f"U{d}"]
-            gw, gu, ds = np.zeros_like(self.p[f"W{d}"]), np.zeros_like(u), np.zeros((len(x), h), dtype=np.float32)
+            gw, gu, ds = np.zeros_like(self.p[f"W{d}"]), np.zeros_like(u), np.zeros((len(x), h), dtype=u.dtype)
             for t, s, z, r, n, kn in reversed(kept[d]):
-                ds = ds + back[t][:, i * h : (i + 1) * h]
+                ds = (ds + back[t][:, i * h : (i + 1) * h]) * inside[:, t : t + 1]
                 dn = ds * (1 - z) * (1 - n * n)
                 dz = ds * (s - n) * z * (1 - z)
                 dr = dn * kn * r * (1 - r)
@@ -105,25 +122,37 @@ class BiGRU:
             grads[f"W{d}"], grads[f"U{d}"] = gw, gu
         return grads
 
-    def fit(self, words: list[np.ndarray], langs: list[np.ndarray], epochs: int, batch: int = 256, rate: float = 0.02, seed: int = 11) -> None:
-        """Adam over random batches of runs of one length each."""
+    def fit(self, x: np.ndarray, inside: np.ndarray, lang: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.02, seed: int = 11) -> None:
+        """Adam over random batches of windows; letters alone have a label."""
         r = np.random.default_rng(seed)
         first, second, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        total = epochs * sum(-(-len(x) // batch) for x in words)
+        parts = -(-len(x) // batch)
         for _ in range(epochs):
-            parts = [(k, o) for k, x in enumerate(words) for o in np.array_split(r.permutation(len(x)), -(-len(x) // batch))]
-            for i in r.permutation(len(parts)):
-                k, some = parts[i]
+            for some in np.array_split(r.permutation(len(x)), parts):
                 step += 1
-                lr = rate * (1 - 0.9 * step / total)
-                for name, g in self.gradients(words[k][some], langs[k][some]).items():
+                lr = rate * (1 - 0.9 * step / (epochs * parts))
+                for name, g in self.gradients(x[some], lang[some], inside[some], LETTER[x[some]] * inside[some]).items():
                     first[name] = 0.9 * first[name] + 0.1 * g
                     second[name] = 0.99 * second[name] + 0.01 * g * g
-                    self.p[name] -= (lr * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    self.p[name] -= (lr * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(self.p[name].dtype)
+
+
+def pooled(net: BiGRU, run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each text's probabilities over its letter bytes [text, C], and their number."""
+    x, inside, of = windows(run)
+    core = slice(CONTEXT, CONTEXT + CORE)
+    total, letters = np.zeros((len(run), len(net.p["c"]))), np.zeros(len(run))
+    for i in range(0, len(x), TOGETHER):
+        some = slice(i, i + TOGETHER)
+        weight = (LETTER[x[some, core]] * inside[some, core]).T
+        sums = np.einsum("tbc,tb->bc", net.probabilities(x[some], inside[some], core), weight)
+        np.add.at(total, of[some], sums)
+        np.add.at(letters, of[some], weight.sum(axis=0))
+    return total, letters
 
 
-def _sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_lang: int, words_each: int) -> tuple[list[bytes], np.ndarray, list[str]]:
-    """Letter runs of about per_lang documents of each language (chosen by a hash of the id), words_each spread over each text."""
+def _sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_lang: int, windows_each: int) -> tuple[list[bytes], np.ndarray, list[str]]:
+    """Windows of TRAINED bytes of about per_lang documents of each language (chosen by a hash of the id), windows_each spread over each text."""
     rows = docs.filter(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -136,27 +165,28 @@ def _sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col
         for pdf in batches:
             out = []
             for t, lang, rank in zip(pdf["text"], pdf["lang"], pdf["u"], strict=True):
-                a, starts, ends, _ = spans([t.encode()])
-                for i in np.unique(np.linspace(0, len(starts) - 1, words_each).astype(np.int64)) if len(starts) else ():
-                    out.append((a[starts[i] : ends[i]].tobytes(), lang, rank))
+                b = t.encode()
+                for at in np.unique(np.linspace(0, max(0, len(b) - TRAINED), windows_each).astype(np.int64)):
+                    w = LOWER[np.frombuffer(b[at : at + TRAINED], dtype=np.uint8)]
+                    if LETTER[w].any():
+                        out.append((w.tobytes(), lang, rank))
             if out:
                 yield pd.DataFrame(out, columns=["w", "lang", "u"])
 
     got = rows.withColumn("u", u).filter(F.col("u") <= F.element_at(share, F.col("lang"))).select("text", "lang", "u").mapInPandas(cut, "w binary, lang string, u double").toPandas()
-    got = got.sort_values(["u", "w"]).groupby("lang").head(per_lang * words_each).sort_values(["u", "w"])
+    got = got.sort_values(["u", "w"]).groupby("lang").head(per_lang * windows_each).sort_values(["u", "w"])
     return [bytes(b) for b in got["w"]], got["lang"].map(langs.index).to_numpy(dtype=np.int64), langs
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, words_each: int = 40, steps: int = 2500) -> tuple[BiGRU | None, list[str]]:
-    """A network fit on at most per_lang * words_each letter runs of each language: a bounded sample, whatever the input."""
-    w, y, langs = _sample(docs, learn, id_col, text_col, lang_col, per_lang, words_each)
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, windows_each: int = 4, steps: int = 300) -> tuple[BiGRU | None, list[str]]:
+    """A network fit on at most per_lang * windows_each windows of TRAINED bytes of each language: a bounded sample, whatever the input."""
+    w, y, langs = _sample(docs, learn, id_col, text_col, lang_col, per_lang, windows_each)
     if not w:
         return None, []
-    n = np.array([len(b) for b in w])
-    groups = [np.flatnonzero(n == k) for k in np.unique(n)]
-    x = [np.frombuffer(b"".join(w[i] for i in g), dtype=np.uint8).reshape(len(g), -1) for g in groups]
+    lens = np.array([len(b) for b in w])
+    x = np.frombuffer(b"".join(b.ljust(TRAINED, b"\0") for b in w), dtype=np.uint8).reshape(len(w), TRAINED)
     net = BiGRU(len(langs))
-    net.fit(x, [y[g] for g in groups], max(2, steps // sum(-(-len(v) // 256) for v in x)))
+    net.fit(x, np.arange(TRAINED) < lens[:, None], y, max(2, steps // -(-len(x) // 128)))
     return net, langs
 
 
@@ -175,22 +205,9 @@ def identify(docs: DataFrame, net: BiGRU | None, langs: list[str], id_col: str =
         net, langs = held.value
         pred, score = np.full(len(t), UND, dtype=object), np.zeros(len(t))
         for start, run in slices(t.tolist()) if langs else ():
-            a, starts, ends, of = spans(run)
-            if not len(starts):
-                continue
-            n = ends - starts
-            _, first, inv = np.unique(span_hashes(a, starts, ends), return_index=True, return_inverse=True)
-            sums = np.zeros((len(first), len(langs)), dtype=np.float32)
-            by = np.argsort(n[first], kind="stable")
-            for part in np.split(by, np.flatnonzero(np.diff(n[first][by])) + 1):
-                for i in range(0, len(part), 4096):
-                    some = part[i : i + 4096]
-                    at = starts[first[some]]
-                    sums[some] = net.probabilities(a[at[:, None] + np.arange(n[first[some[0]]])]).sum(axis=0)
-            weight = np.bincount(of, weights=n, minlength=len(run))
-            total = np.stack([np.bincount(of, weights=sums[inv, c], minlength=len(run)) for c in range(len(langs))], axis=1)
-            known = np.flatnonzero(weight > 0)
-            mean = total[known] / weight[known, None]
+            total, letters = pooled(net, run)
+            known = np.flatnonzero(letters > 0)
+            mean = total[known] / letters[known, None]
             pred[start + known] = np.array(langs, dtype=object)[mean.argmax(axis=1)]
             score[start + known] = np.minimum(mean.max(axis=1), 1.0)
         return pd.DataFrame({"lang_pred": pred, "score": score})

@@ -288,6 +288,60 @@ def test_gradients_are_those_of_the_loss():
         assert (a - b) / 2e-4 == pytest.approx(g[at], rel=1e-3)
 
 
+def test_gradients_within_a_text_and_over_letters():
+    """Positions outside of the text and without weight change nothing."""
+    net = langid.BiGRU(3, 4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    r = np.random.default_rng(1)
+    x, y, inside = r.integers(90, 122, (4, 8)).astype(np.uint8), np.array([0, 1, 2, 0]), np.arange(8) < np.array([8, 5, 1, 7])[:, None]
+    weight = langid.LETTER[x] * inside
+
+    def loss():
+        p = net.probabilities(x, inside)[:, np.arange(4), y].T
+        return float(-(np.log(p) * weight).sum() / weight.sum())
+
+    for k, g in net.gradients(x, y, inside, weight).items():
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        net.p[k][at] += 1e-4
+        a = loss()
+        net.p[k][at] -= 2e-4
+        b = loss()
+        net.p[k][at] += 1e-4
+        assert (a - b) / 2e-4 == pytest.approx(g[at], rel=1e-3)
+
+
+def brute_network(net, text):
+    """The mean probabilities over the letters of a text, both directions byte by byte from its edges."""
+    b, h, p = text.lower() if isinstance(text, bytes) else text.encode().translate(LOWER_BYTES), net.h, net.p
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def run(data, d):
+        s, out = np.zeros(h), []
+        for c in data:
+            g, k = p[f"W{d}"][c].astype(float), s @ p[f"U{d}"]
+            z, r = sig(g[:h] + k[:h]), sig(g[h : 2 * h] + k[h : 2 * h])
+            n = np.tanh(g[2 * h :] + r * k[2 * h :])
+            s = z * s + (1 - z) * n
+            out.append(s)
+        return out
+
+    both = np.concatenate([run(b, "f"), run(b[::-1], "b")[::-1]], axis=1) @ p["V"] + p["c"]
+    e = np.exp(both - both.max(axis=1, keepdims=True))
+    q = e / e.sum(axis=1, keepdims=True)
+    return q[[langid.LETTER[c] > 0 for c in b]].mean(axis=0)
+
+
+def test_network_equals_a_plain_loop():
+    net = langid.BiGRU(4)
+    texts = ["a", "Some WORDS, été 日本!", prose(80, 25)[: langid.CORE], " x "]
+    longer = [prose(81, 300), prose(82, 40)]
+    total, letters = langid.pooled(net, [t.encode() for t in texts + longer])
+    for i, t in enumerate(texts):  # one window: nothing is cut
+        assert total[i] / letters[i] == pytest.approx(brute_network(net, t), abs=1e-5)
+    for i, t in enumerate(longer, len(texts)):  # each window starts within the text
+        assert total[i] / letters[i] == pytest.approx(brute_network(net, t), abs=1e-3)
+
+
 def test_language_id(spark, odd_docs, no_docs):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = langid.predict_languages(d, crc_mod(F.col("doc_id"), 3) == 1).join(d, "doc_id").filter("held_out").collect()
