@@ -158,6 +158,29 @@ APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
    limitations under the License."""
 
 
+def test_license_references_grants_and_gaps(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    far = MIT.split("\n\n")
+    filler = "\n\n" + " ".join(f"Another sentence number {i}." for i in range(8)) + "\n\n"
+    rows = {
+        "This file is licensed under the MIT license.": "MIT",
+        "The contents of this repository are released under the terms of the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "Dual licensed under the GPL v2 or later.": "GPL-2.0",
+        "These data are available under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "Licensed under the Moon Public License.": "",
+        "The wine was released under the apache sun.": "",
+        isc: "ISC",
+        "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n": "LGPL-2.1",
+        "SPDX-License-Identifier: CC-BY-ND-4.0": "CC-BY-ND-4.0",
+    }
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*rows, MIT, far[0] + filler + far[1], far[0] + "\n\nOne more.\n\n" + far[1]])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(d).collect()}
+    assert [got[i]["licences"] for i in range(len(rows))] == list(rows.values())
+    n = len(rows)
+    assert [got[n + i]["sentence_ids"] for i in range(3)] == ["<MITperm><MITnotice><MITasis>", "<MITperm>|<MITnotice>", "<MITperm><MITnotice>"]
+    assert got[n + 1]["n_unmatched"] == 1 and got[n]["n_unmatched"] == 0
+
+
 def test_published_license_headers(spark):
     starred = lambda t: "/*\n" + "\n".join(f" * {x.strip()}".rstrip() for x in t.split("\n")) + "\n */"
     rows = [(1, GPL3), (2, starred(GPL3)), (3, APACHE), (4, starred(APACHE))]
