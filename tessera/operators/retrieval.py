@@ -7,32 +7,89 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
+from tessera.session import persist_table
 
 TOKEN = "[a-z0-9]+"
 
 
-def tokens(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, tf): counts of word tokens of each row (lowered, no stop words)."""
-    t = rows.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(f"({TOKEN})"))).alias("token"))
-    return t.groupBy("id", "token").agg(F.count("*").alias("tf"))
+#: Rows up to which a checked table is broadcast; beyond it the same join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A persisted table, marked for a broadcast where a count shows that it is small enough."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of an input that comes in fewer splits than there are cores (one small file) are dealt out; larger inputs stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, id, score, rank) of the k best chunks (id, text) for each query (query, text), by score and then id.
 
-    Only chunk tokens that some query holds are joined; document lengths and frequencies cover all chunks.
+    Texts are split once: counts of the tokens that some query holds are written, with each chunk's length, and lie
+    together by chunk, so that scores add up before they are shuffled. Frequencies and the mean length cover all chunks.
+    """
+    q = persist_table(queries.select("query", F.explode(F.array_distinct(_words("text"))).alias("token")), "query-tokens")
+    wanted = _small(q.select("token").distinct().withColumn("hit", F.lit(True)))
+    split = _spread(chunks.select("id", "text")).select("id", _words("text").alias("w")).filter("size(w) > 0")
+    # A row without a token stands for the chunk itself; other tokens that no query holds go before anything moves.
+    split = split.select("id", F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("token"))
+    kept = split.join(wanted, "token", "left").filter("hit or token is null").select("id", "dl", "token")
+    t = persist_table(kept.repartition("id").groupBy("id", "dl", "token").agg(F.count("*").alias("tf")), "token-counts")
+    sizes = t.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = sizes["n"], sizes["avgdl"] or 1.0
+    t = t.filter("token is not null")
+    df = persist_table(t.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = t.join(_small(df), "token").select("id", "token", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w"))
+    return top_k(w.join(_small(q), "token").groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score")), k)
+
+
+def containing(docs: DataFrame, items: DataFrame, run: int = 3) -> DataFrame:
+    """(query, id): documents (id, text) that contain the whole text of an item (query, q), letter by letter.
+
+    The words inside of an item (its first and last may be cut from longer ones) stand as whole words in every text that
+    contains it: a hash of its first `run` such words, or of one where it has fewer, finds the candidates, which are
+    then searched. Items of fewer than three words are searched in every document; there must be few of those.
     """
-    t = tokens(chunks, "id", "text")
-    size = t.groupBy("id").agg(F.sum("tf").alias("dl"))
-    stats = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    q = tokens(queries, "query", "text").select(F.col("id").alias("query"), "token")
-    wanted = t.join(q.select("token").distinct(), "token", "left_semi")
-    df = wanted.groupBy("token").agg(F.count("*").alias("df"))
-    w = wanted.join(df, "token").join(size, "id").crossJoin(stats)  # one row of statistics
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = w.select("id", "token", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
-    scored = q.join(w, "token").groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k)
+    words = F.split("q", " ")
+    items = persist_table(items.select("query", "q", words.alias("w"), F.when(F.size(words) >= run + 2, run).when(F.size(words) >= 3, 1).otherwise(0).alias("m")).filter("q is not null"), "items")
+
+    def gram(w: Column, at: Column | int, m: int) -> Column:
+        return F.xxhash64(*[F.get(w, at + j) for j in range(m)])
+
+    def at_each(m: int):
+        return lambda i: gram(F.col("w"), i, m)
+
+    found = None
+    for m in (run, 1):
+        some = items.filter(F.col("m") == m)
+        if some.isEmpty():
+            continue
+        anchors = _small(persist_table(some.select(gram(F.col("w"), 1, m).alias("h"), "query"), "anchors"))
+        grams = _spread(docs).select("id", F.split("text", " ").alias("w")).filter(F.size("w") >= m)
+        grams = grams.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - m), at_each(m))).alias("h"))
+        hits = grams.join(anchors, "h").select("query", "id").distinct()
+        found = hits if found is None else found.unionByName(hits)
+    out = items.limit(0).select("query").crossJoin(docs.limit(0).select("id"))
+    if found is not None:
+        pairs = persist_table(found.distinct(), "candidates")
+        pairs = pairs.join(_small(items.select("query", "q")), "query")
+        out = docs.join(_small(persist_table(pairs, "sought")), "id").filter(F.expr("contains(text, q)")).select("query", "id")
+    short = items.filter("m = 0")
+    if not short.isEmpty():
+        if short.limit(1001).count() > 1000:
+            raise ValueError("more than 1000 items have fewer than three words")
+        out = out.unionByName(docs.join(F.broadcast(short.select("query", "q")), F.expr("contains(text, q)")).select("query", "id"))
+    return out.distinct()
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

@@ -40,9 +40,9 @@ _REL = "rel AS (SELECT DISTINCT b.item_id AS query, d.doc_id AS id FROM benchmar
 
 
 def _relevant(spark, d):
-    """Pairs where the item's text stands in the document: items are a bounded set of questions."""
+    """Pairs where the item's text stands in the document."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("q"))
-    return table(spark, d, "documents").join(F.broadcast(b), F.expr("contains(text, q)")).select("query", F.col("doc_id").alias("id")).distinct()
+    return retrieval.containing(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), b)
 
 
 @query("ag11_search_metrics", f"WITH {_BM}, {_REL}, top AS (SELECT * FROM bm WHERE rank <= 5), per AS (SELECT r.query, count(*) AS rel, count(t.id) AS hits, min(t.rank) AS first FROM rel r LEFT JOIN top t ON t.query = r.query AND t.id = r.id GROUP BY 1) SELECT round(sum(hits)::DOUBLE / sum(rel), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, NOT EXISTS (SELECT 1 FROM top WHERE id IN (SELECT id FROM forb)) AS policy_safe, (SELECT count(*) FROM qs)::BIGINT AS queries FROM per")

@@ -96,6 +96,14 @@ def test_fusion_keeps_the_first_rank_of_a_repeated_id(spark):
     assert got == {"x": (round(1 / 61, 9), "a"), "y": (round(1 / 62 + 1 / 61, 9), "a+b")}
 
 
+def test_containing_equals_a_plain_search(spark):
+    docs = [(1, "the red fox runs far away today"), (2, "xthe red fox runs far awayx"), (3, "the red fox\nruns far"), (4, None), (5, ""), (6, "fox"), (7, "a red  fox"), (7, "a red  fox"), (8, "ed fox ru")]
+    items = [(10, "he red fox runs far awa"), (11, "ed fox ru"), (12, "fox"), (13, "red fox"), (14, None), (15, "fox\nruns"), (16, "red  fox"), (17, "not there at all is it")]
+    got = {tuple(r) for r in retrieval.containing(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "query long, q string")).collect()}
+    assert got == {(q, i) for q, x in items for i, t in docs if x is not None and t is not None and x in t}
+    assert retrieval.containing(spark.createDataFrame(docs, "id long, text string").limit(0), spark.createDataFrame(items, "query long, q string")).count() == 0
+
+
 def test_activation_outcomes(spark):
     state = spark.createDataFrame([("p", "r0", 5, 3)], "pipeline string, active string, active_run int, version int")
     runs = spark.createDataFrame([("p", 5, "r0", "loading", 3), ("p", 6, "r1", "failed", 3), ("p", 7, "r2", "loading", 3), ("p", 8, "r3", "loading", 2), ("p", 9, "r4", "loading", 3), ("n", 1, "r9", "loading", 0)], "pipeline string, run int, release string, status string, expected_version int")
