@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, slices
 
 CORE, CONTEXT, HIDDEN = 192, 32, 8
-#: Windows that run side by side, and bytes of a training window.
-TOGETHER, TRAINED = 2048, 64
+#: Bytes of a training window.
+TRAINED = 64
 UND = "und"
 #: Bytes of words: ASCII letters and all of non-ASCII UTF-8.
 LETTER = np.zeros(256, dtype=np.float32)
@@ -25,17 +25,24 @@ LETTER[97:123] = 1
 LETTER[128:] = 1
 
 
-def windows(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lowered bytes of all windows of a run of texts [window, CONTEXT + CORE + CONTEXT], which of them stand in the text, and the text of each window."""
+def windows(run: list[bytes], together: int = 1024):
+    """(bytes, inside, text) of up to `together` windows of a run of texts at a time: the lowered bytes [window, CONTEXT + CORE + CONTEXT],
+    which of them stand in the text, and the text of each window."""
     lens = np.fromiter((len(b) for b in run), dtype=np.int64, count=len(run))
     n = -(-lens // CORE)
     of = np.repeat(np.arange(len(run)), n)
     start = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * CORE - CONTEXT
     base = np.cumsum(lens) - lens
     a = LOWER[np.frombuffer(b"".join(run), dtype=np.uint8)]
-    at = start[:, None] + np.arange(CORE + 2 * CONTEXT)
-    inside = (at >= 0) & (at < lens[of][:, None])
-    return np.where(inside, a[np.where(inside, at + base[of][:, None], 0)], 0).astype(np.uint8) if len(of) else np.zeros(at.shape, dtype=np.uint8), inside, of
+    for i in range(0, len(of), together):
+        some = of[i : i + together]
+        at = start[i : i + together, None] + np.arange(CORE + 2 * CONTEXT)
+        inside = (at >= 0) & (at < lens[some][:, None])
+        at += base[some][:, None]
+        at[~inside] = 0
+        x = a[at]
+        x[~inside] = 0
+        yield x, inside, some
 
 
 class BiGRU:
@@ -139,15 +146,12 @@ class BiGRU:
 
 def pooled(net: BiGRU, run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The sum of each text's probabilities over its letter bytes [text, C], and their number."""
-    x, inside, of = windows(run)
     core = slice(CONTEXT, CONTEXT + CORE)
     total, letters = np.zeros((len(run), len(net.p["c"]))), np.zeros(len(run))
-    for i in range(0, len(x), TOGETHER):
-        some = slice(i, i + TOGETHER)
-        weight = (LETTER[x[some, core]] * inside[some, core]).T
-        sums = np.einsum("tbc,tb->bc", net.probabilities(x[some], inside[some], core), weight)
-        np.add.at(total, of[some], sums)
-        np.add.at(letters, of[some], weight.sum(axis=0))
+    for x, inside, of in windows(run):
+        weight = (LETTER[x[:, core]] * inside[:, core]).T
+        np.add.at(total, of, np.einsum("tbc,tb->bc", net.probabilities(x, inside, core), weight))
+        np.add.at(letters, of, weight.sum(axis=0))
     return total, letters
 
 
