@@ -86,7 +86,7 @@ def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(last * inv[starts] + (ends - starts).astype(U64))
 
 
-def slices(texts: list, max_bytes: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def slices(texts: list, max_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts (null: empty) of about max_bytes together: (index of the first, texts as UTF-8)."""
     start, size, run = 0, 0, []
     for i, t in enumerate(texts):
