@@ -30,7 +30,7 @@ BROADCAST_ROWS = 100_000
 COMMON_DOCS = 6
 MAX_COMMON = 400_000
 #: One in so many shingles is counted by size class; parts of long lists hold about so many sets.
-SEEN, LIST_PART = 64, 2_000
+SEEN, LIST_PART = 512, 2_000
 #: Shingles that are counted together in a task; those that come once among them are not counted.
 _COUNTED = 3_000_000
 _SUBSET_TAG = U64(0x5851F42D4C957F2D)
