@@ -36,17 +36,8 @@ def src02(spark, d):
     return readers.positional_arrays(spark, p, ["key", "name", "region"]).filter("key is not null").select("key", "name", "region")
 
 
-@query("src03_single_byte_table", "SELECT doc_id, lang, substr(regexp_replace(text, '[^a-zA-Zàâçéèêëîïôûüñáíóúäöß ]', '', 'g'), 1, 60) AS head FROM documents")
+@query("src03_single_byte_table", r"SELECT doc_id, lang, regexp_replace(text, '[^\x{0}-\x{FF}]', '?', 'g') AS text FROM documents")
 def src03(spark, d):
-    p = _path(spark, "tsv")
-    head = F.substring(F.regexp_replace("text", "[^a-zA-Zàâçéèêëîïôûüñáíóúäöß ]", ""), 1, 60)
-    table(spark, d, "documents").select("doc_id", "lang", head.alias("head")).write.option("sep", "\t").option("header", True).option("encoding", "ISO-8859-1").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("nullValue", "\\N").csv(p)
-    back = spark.read.schema("doc_id long, lang string, head string").option("sep", "\t").option("header", True).option("encoding", "ISO-8859-1").option("nullValue", "\\N").csv(p)
-    return back.select("doc_id", "lang", F.coalesce("head", F.lit("")).alias("head"))
-
-
-@query("src03_whole_single_byte_table", r"SELECT doc_id, lang, regexp_replace(text, '[^\x{0}-\x{FF}]', '?', 'g') AS text FROM documents")
-def src03_whole(spark, d):
     """Whole texts: letters that the charset lacks become question marks; backslashes and line ends are escaped, so that lines stay rows."""
     p = _path(spark, "tsv")
     text = F.regexp_replace("text", r"[^\x{0}-\x{FF}]", "?")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators import filters, hierarchy, questions, reconcile
+from tessera.session import persist_table
 
 from .policy_queries import _GUARD, CONDITIONS_SQL, HOLDS_SQL, conditions
-from .registry import ORACLE, query
+from .registry import query
 from .stand_ins import claim, entity, evidence, observation, table, with_sql
 
 _EDGES = """edge AS (SELECT DISTINCT p_type AS parent, p_type || '|' || p_brand AS child FROM part UNION ALL SELECT p_type || '|' || p_brand, 'p' || p_partkey FROM part)"""
@@ -30,14 +31,18 @@ def jn12(spark, d):
     return hierarchy.ancestors(edges(spark, d), 2).filter("depth = 2").groupBy(F.col("ancestor").alias("root")).agg(F.count("*").alias("leaves"))
 
 
-_ORIGINS = "SELECT entity FROM entity WHERE entity % 400 = 7"
+#: The query set of peer and similarity searches; their peers are all entities.
+_QUERY_SET = "entity % 20 = 0"
+_ORIGINS = f"SELECT entity FROM entity WHERE {_QUERY_SET}"
 
 
-@query("jn13_family_without_genus", f"""WITH {with_sql('entity')}, o AS ({_ORIGINS}) SELECT a.entity AS origin, count(*)::BIGINT AS peers FROM entity a JOIN o USING (entity) JOIN entity b ON a."order" = b."order" AND a.genus <> b.genus GROUP BY 1""")
+@query("jn13_family_without_genus", f"""WITH {with_sql('entity')} SELECT a.entity AS origin, count(*)::BIGINT AS peers FROM entity a JOIN entity b ON a."order" = b."order" AND a.genus <> b.genus GROUP BY 1""")
 def jn13(spark, d):
-    e = entity(spark, d)
-    o = e.filter("entity % 400 = 7").select(F.col("entity").alias("origin"), F.col("genus").alias("g"), "order")
-    return o.join(e, "order").filter("genus <> g").groupBy("origin").agg(F.count("*").alias("peers"))
+    """Peers of every entity: those of its order less those of its own genus, from counts by genus, so that no pair is made."""
+    e = entity(spark, d).filter("genus is not null and `order` is not null")
+    genus = persist_table(e.groupBy("order", "genus").agg(F.count("*").alias("n")), "genera")
+    peers = genus.join(genus.groupBy("order").agg(F.sum("n").alias("all")), "order").select("order", "genus", (F.col("all") - F.col("n")).alias("peers"))
+    return e.join(peers.filter("peers > 0"), ["order", "genus"]).select(F.col("entity").alias("origin"), "peers")
 
 
 _SUPPORT = "e.entity = c.entity AND e.dataset = c.dataset AND e.source_record = c.source_record AND e.policy_status = 'allowed' AND e.locator LIKE 'https://%'"
@@ -75,32 +80,34 @@ def q05(spark, d):
     return questions.trait_answer(_ok(spark, d), claim(spark, d).filter(filters.claim_guard()), conditions(spark, d))
 
 
-_PAIRS = "SELECT a.p_partkey AS a, a.p_partkey * 7 % (SELECT max(p_partkey) FROM part) + 1 AS b FROM part a WHERE a.p_partkey % 10 = 3"
+_PAIRS = "SELECT a.p_partkey AS a, a.p_partkey * 7 % (SELECT max(p_partkey) FROM part) + 1 AS b FROM part a"
 
 
 @query("jn22_common_ancestor", f"WITH pr AS ({_PAIRS}) SELECT 'p' || pr.a AS a, 'p' || pr.b AS b, CASE WHEN pr.a = pr.b THEN 'p' || pr.a WHEN x.p_brand = y.p_brand THEN x.p_type || '|' || x.p_brand ELSE x.p_type END AS ancestor, CASE WHEN pr.a = pr.b THEN 0 WHEN x.p_brand = y.p_brand THEN 2 ELSE 4 END AS distance FROM pr JOIN part x ON x.p_partkey = pr.a JOIN part y ON y.p_partkey = pr.b WHERE x.p_type = y.p_type")
-def jn22(spark, d, pairs="p_partkey % 10 = 3"):
+def jn22(spark, d):
     p = table(spark, d, "part")
     top = p.agg(F.max("p_partkey").alias("m"))
-    pr = p.filter(pairs).crossJoin(top).select(F.concat(F.lit("p"), "p_partkey").alias("a"), F.concat(F.lit("p"), F.col("p_partkey") * 7 % F.col("m") + 1).alias("b"))
+    pr = p.crossJoin(top).select(F.concat(F.lit("p"), "p_partkey").alias("a"), F.concat(F.lit("p"), F.col("p_partkey") * 7 % F.col("m") + 1).alias("b"))
     return hierarchy.common_ancestor(pr, edges(spark, d), 2)
 
 
 @query("q01_common_taxonomy", f"WITH pr AS ({_PAIRS}) SELECT pr.a, pr.b, CASE WHEN pr.a = pr.b THEN 'same' WHEN x.p_partkey IS NULL OR y.p_partkey IS NULL THEN 'out_of_scope' WHEN x.p_type <> y.p_type THEN 'none' WHEN x.p_brand = y.p_brand THEN 'genus' ELSE 'order' END AS status FROM pr LEFT JOIN part x ON x.p_partkey = pr.a LEFT JOIN part y ON y.p_partkey = pr.b")
-def q01(spark, d, pairs="p_partkey % 10 = 3"):
+def q01(spark, d):
     p = table(spark, d, "part")
-    pr = p.filter(pairs).crossJoin(p.agg(F.max("p_partkey").alias("m"))).select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7 % F.col("m") + 1).alias("b"))
+    pr = p.crossJoin(p.agg(F.max("p_partkey").alias("m"))).select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7 % F.col("m") + 1).alias("b"))
     side = lambda c: p.select(F.col("p_partkey").alias(c), F.col("p_type").alias(f"t_{c}"), F.col("p_brand").alias(f"b_{c}"))
     j = pr.join(side("a"), "a", "left").join(side("b"), "b", "left")
     status = F.when(F.col("a") == F.col("b"), "same").when(F.col("t_a").isNull() | F.col("t_b").isNull(), "out_of_scope").when(F.col("t_a") != F.col("t_b"), "none").when(F.col("b_a") == F.col("b_b"), "genus").otherwise("order")
     return j.select("a", "b", status.alias("status"))
 
 
-@query("q02_same_genus", f"""WITH {with_sql('entity')}, o AS ({_ORIGINS}), x AS (SELECT a.entity AS origin, b.entity AS peer, b.name, row_number() OVER (PARTITION BY a.entity ORDER BY b.name, b.entity) AS rank, count(*) OVER (PARTITION BY a.entity) > 20 AS has_more FROM entity a JOIN o USING (entity) JOIN entity b ON a.genus = b.genus AND a.entity <> b.entity WHERE b.policy_status = 'allowed' AND b.entity % 3 <> 0) SELECT * FROM x WHERE rank <= 20""")
+@query("q02_same_genus", f"""WITH {with_sql('entity')}, x AS (SELECT a.entity AS origin, b.entity AS peer, b.name, row_number() OVER (PARTITION BY a.entity ORDER BY b.name, b.entity) AS rank, count(*) OVER (PARTITION BY a.entity) > 20 AS has_more FROM entity a JOIN entity b ON a.genus = b.genus AND a.entity <> b.entity WHERE b.policy_status = 'allowed' AND b.entity % 3 <> 0) SELECT * FROM x WHERE rank <= 20""")
 def q02(spark, d):
+    """Every entity with the first 20 allowed peers of its genus; a genus' first 22 hold them and tell whether there are more."""
     e = entity(spark, d)
-    o = e.filter("entity % 400 = 7").select(F.col("entity").alias("origin"), "genus")
-    x = o.join(e.filter("policy_status = 'allowed' AND entity % 3 <> 0"), "genus").filter("origin <> entity").select("origin", F.col("entity").alias("peer"), "name")
+    ok = e.filter("policy_status = 'allowed' AND entity % 3 <> 0 AND genus is not null").select("genus", F.col("entity").alias("peer"), "name")
+    first = hierarchy.top_per_group(ok, ["genus"], [F.col("name"), F.col("peer")], 22).drop("rank", "has_more")
+    x = e.select(F.col("entity").alias("origin"), "genus").join(first, "genus").filter("origin <> peer").select("origin", "peer", "name")
     return hierarchy.top_per_group(x, ["origin"], [F.col("name"), F.col("peer")], 20)
 
 
@@ -123,12 +130,12 @@ def tk04(spark, d):
     return _share(spark, d).filter("share > 0").select("entity", F.round("share", 6).alias("share")).orderBy(F.desc("share"), "entity").limit(50)
 
 
-_PEERS = f"""o AS (SELECT c.* FROM claim c WHERE c.entity % 400 = 7 AND c.value_text IS NOT NULL), pe AS (SELECT DISTINCT o.entity AS origin, o.trait, o.value_text, p.entity AS peer FROM o JOIN claim p ON p.trait = o.trait AND p.value_text = o.value_text AND p.dataset = o.dataset AND p.entity <> o.entity)"""
+_PEERS = f"""o AS (SELECT c.* FROM claim c WHERE c.entity % 20 = 0 AND c.value_text IS NOT NULL), pe AS (SELECT DISTINCT o.entity AS origin, o.trait, o.value_text, p.entity AS peer FROM o JOIN claim p ON p.trait = o.trait AND p.value_text = o.value_text AND p.dataset = o.dataset AND p.entity <> o.entity)"""
 
 
 def _peers(spark, d):
     c = claim(spark, d)
-    return questions.category_peers(c, c.filter("entity % 400 = 7"))
+    return questions.category_peers(c, c.filter(_QUERY_SET))
 
 
 @query("jn20_category_peers", f"WITH {with_sql('claim')}, {_PEERS} SELECT origin, trait, value_text, count(*)::BIGINT AS peers FROM pe GROUP BY 1, 2, 3")
@@ -154,7 +161,7 @@ def q04(spark, d):
 @query("q07_related_species", f"""WITH {with_sql('entity')}, o AS ({_ORIGINS}), x AS (SELECT a.entity AS origin, b.entity AS peer, CASE WHEN a.genus = b.genus THEN 'genus' ELSE 'order' END AS relation FROM entity a JOIN o USING (entity) JOIN entity b ON a."order" = b."order" AND a.entity <> b.entity), y AS (SELECT *, row_number() OVER (PARTITION BY origin, relation ORDER BY peer) AS rank, count(*) OVER (PARTITION BY origin, relation) > 12 AS has_more FROM x) SELECT * FROM y WHERE rank <= 12""")
 def q07(spark, d):
     e = entity(spark, d)
-    o = e.filter("entity % 400 = 7").select(F.col("entity").alias("origin"), F.col("genus").alias("g"), "order")
+    o = e.filter(_QUERY_SET).select(F.col("entity").alias("origin"), F.col("genus").alias("g"), "order")
     x = o.join(e, "order").filter("origin <> entity").select("origin", F.col("entity").alias("peer"), F.when(F.col("g") == F.col("genus"), "genus").otherwise("order").alias("relation"))
     return hierarchy.top_per_group(x, ["origin", "relation"], [F.col("peer")], 12)
 
@@ -169,7 +176,7 @@ def wn04(spark, d):
     return hierarchy.top_per_group(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3)
 
 
-_SIM = """o AS (SELECT * FROM entity WHERE entity % 400 = 7), pool AS (SELECT o.entity AS origin, b.entity AS peer, CASE WHEN b.entity % 4 = 0 THEN NULL ELSE b.entity % 5 END AS depth, o."order" = b."order" AS f, o.genus = b.genus AS g, o.entity % 3 = b.entity % 3 AS h, o.entity % 2 = b.entity % 2 AS di FROM o JOIN entity b ON o."order" = b."order" AND o.entity <> b.entity),
+_SIM = """o AS (SELECT * FROM entity WHERE entity % 20 = 0), pool AS (SELECT o.entity AS origin, b.entity AS peer, CASE WHEN b.entity % 4 = 0 THEN NULL ELSE b.entity % 5 END AS depth, o."order" = b."order" AS f, o.genus = b.genus AS g, o.entity % 3 = b.entity % 3 AS h, o.entity % 2 = b.entity % 2 AS di FROM o JOIN entity b ON o."order" = b."order" AND o.entity <> b.entity),
 lv AS (SELECT *, CASE WHEN depth IS NOT NULL THEN dense_rank() OVER (PARTITION BY origin, depth IS NULL ORDER BY depth) END AS level FROM pool),
 sc AS (SELECT origin, peer, CASE WHEN level IS NULL THEN 2.0 * ((CASE WHEN f THEN 10 ELSE 0 END) + (CASE WHEN f AND g THEN 20 ELSE 0 END) + (CASE WHEN h THEN 10 ELSE 0 END) + (CASE WHEN di THEN 10 ELSE 0 END)) ELSE (CASE WHEN f THEN 10 ELSE 0 END) + (CASE WHEN f AND g THEN 20 ELSE 0 END) + (CASE WHEN h THEN 10 ELSE 0 END) + (CASE WHEN di THEN 10 ELSE 0 END) + round_even(50.0::DOUBLE * level / max(level) OVER (PARTITION BY origin), 1) END::DOUBLE AS score FROM lv),
 rk AS (SELECT origin, peer, score, row_number() OVER (PARTITION BY origin ORDER BY score DESC, peer) AS rank FROM sc WHERE score > 0)"""
@@ -177,7 +184,7 @@ rk AS (SELECT origin, peer, score, row_number() OVER (PARTITION BY origin ORDER
 
 def _similar(spark, d):
     e = entity(spark, d)
-    o = e.filter("entity % 400 = 7").select(F.col("entity").alias("origin"), F.col("genus").alias("g"), "order")
+    o = e.filter(_QUERY_SET).select(F.col("entity").alias("origin"), F.col("genus").alias("g"), "order")
     p = o.join(e, "order").filter("origin <> entity")
     p = p.select("origin", F.col("entity").alias("peer"), F.when(F.col("entity") % 4 == 0, None).otherwise(F.col("entity") % 5).alias("depth"), F.lit(True).alias("same_family"), (F.col("g") == F.col("genus")).alias("same_genus"), (F.col("origin") % 3 == F.col("entity") % 3).alias("same_habitat"), (F.col("origin") % 2 == F.col("entity") % 2).alias("same_diet"))
     return questions.similarity(p)
@@ -202,7 +209,7 @@ def tk03(spark, d):
 @query("wn03_ordinal_closeness", f"WITH {with_sql('entity')}, {_SIM} SELECT origin, level, max(level) OVER (PARTITION BY origin) AS levels, count(*)::BIGINT AS n FROM lv WHERE level IS NOT NULL GROUP BY origin, level")
 def wn03(spark, d):
     e = entity(spark, d)
-    p = e.filter("entity % 400 = 7").select(F.col("entity").alias("origin"), "order").join(e, "order").filter("origin <> entity AND entity % 4 <> 0").withColumn("depth", F.col("entity") % 5)
+    p = e.filter(_QUERY_SET).select(F.col("entity").alias("origin"), "order").join(e, "order").filter("origin <> entity AND entity % 4 <> 0").withColumn("depth", F.col("entity") % 5)
     p = p.withColumn("level", F.dense_rank().over(Window.partitionBy("origin").orderBy("depth")).cast("long")).groupBy("origin", "level").agg(F.count("*").alias("n"))
     return p.withColumn("levels", F.max("level").over(Window.partitionBy("origin")))
 
@@ -311,12 +318,12 @@ def jn27(spark, d):
     return reconcile.routes(("nation", by_nation), ("key", by_key))
 
 
-_NAMES = "n AS (SELECT p_type || '|' || p_brand AS entity, p_name AS label FROM part WHERE p_partkey % 5 = 2), r AS (SELECT DISTINCT * FROM n), a AS (SELECT entity FROM r GROUP BY 1 HAVING count(*) > 1), b AS (SELECT label FROM r GROUP BY 1 HAVING count(*) > 1)"
+_NAMES = "n AS (SELECT p_type || '|' || p_brand AS entity, p_name AS label FROM part), r AS (SELECT DISTINCT * FROM n), a AS (SELECT entity FROM r GROUP BY 1 HAVING count(*) > 1), b AS (SELECT label FROM r GROUP BY 1 HAVING count(*) > 1)"
 
 
 @query("ag18_label_conflicts", f"WITH {_NAMES}, x AS (SELECT entity, label, concat_ws('+', CASE WHEN entity IN (SELECT entity FROM a) THEN 'many_labels' END, CASE WHEN label IN (SELECT label FROM b) THEN 'many_entities' END) AS kind FROM r) SELECT * FROM x WHERE kind <> ''")
-def ag18(spark, d, parts="p_partkey % 5 = 2"):
-    return reconcile.label_conflicts(table(spark, d, "part").filter(parts).select(F.concat_ws("|", "p_type", "p_brand").alias("entity"), F.col("p_name").alias("label")))
+def ag18(spark, d):
+    return reconcile.label_conflicts(table(spark, d, "part").select(F.concat_ws("|", "p_type", "p_brand").alias("entity"), F.col("p_name").alias("label")))
 
 
 @query("q16_name_consensus", "WITH x AS (SELECT p_type || '|' || p_brand AS entity, 's' || (p_partkey % 3) AS source, lower(p_name) AS label FROM part), p AS (SELECT entity, source, count(DISTINCT label) AS k, min(label) AS label FROM x GROUP BY 1, 2) SELECT entity, count(*) FILTER (k = 1)::BIGINT AS clean_sources, count(DISTINCT CASE WHEN k = 1 THEN label END)::BIGINT AS labels, CASE WHEN count(*) FILTER (k = 1) = 0 THEN 'excluded' WHEN count(DISTINCT CASE WHEN k = 1 THEN label END) > 1 THEN 'conflict' ELSE 'accepted' END AS status FROM p GROUP BY 1")
@@ -400,14 +407,3 @@ def tk02(spark, d):
 @query("ag22_sample_statistics", "SELECT p_type, round(avg(p_retailprice::DECIMAL(18, 2))::DECIMAL(18, 6), 2)::DOUBLE AS mean, min(p_retailprice) AS least, max(p_retailprice) AS most, count(*)::BIGINT AS n FROM part GROUP BY 1")
 def ag22(spark, d):
     return table(spark, d, "part").groupBy("p_type").agg(F.round(F.avg(F.col("p_retailprice").cast("decimal(18,2)")), 2).cast("double").alias("mean"), F.min("p_retailprice").alias("least"), F.max("p_retailprice").alias("most"), F.count("*").alias("n"))
-
-
-def _whole(name, of, sql, part):
-    """The query `of` on all rows; its SQL without the part's condition."""
-    assert sql.count(part) == 1
-    query(name, sql.replace(part, ""))(lambda spark, d: of(spark, d, "true"))
-
-
-_whole("jn22_common_ancestor_whole", jn22, ORACLE["jn22_common_ancestor"], " WHERE a.p_partkey % 10 = 3")
-_whole("q01_common_taxonomy_whole", q01, ORACLE["q01_common_taxonomy"], " WHERE a.p_partkey % 10 = 3")
-_whole("ag18_label_conflicts_whole", ag18, ORACLE["ag18_label_conflicts"], " WHERE p_partkey % 5 = 2")

@@ -9,7 +9,7 @@ from tessera.functions import scalars as S
 from tessera.operators import hierarchy, policy, retrieval
 
 from .policy_queries import _LIC, _OK_DOC, _U
-from .registry import ORACLE, query
+from .registry import query
 from .stand_ins import chunk, claim, document, entity, observation, table, with_sql
 
 # --- text and vectors --------------------------------------------------------------------------------------------
@@ -143,10 +143,9 @@ def jn17(spark, d):
     return o.join(table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name")), "entity").select("observation", "name", "place", "media_licence")
 
 
-@query("jn18_policy_recheck", f"WITH {with_sql('document', 'chunk')}, cand AS (SELECT chunk FROM chunk WHERE chunk % 3 = 0) SELECT c.chunk, d.source, d.lang FROM chunk c JOIN document d ON d.document = c.document WHERE c.chunk IN (SELECT chunk FROM cand) AND c.policy_status = 'allowed' AND {_OK_DOC}")
+@query("jn18_policy_recheck", f"WITH {with_sql('document', 'chunk')} SELECT c.chunk, d.source, d.lang FROM chunk c JOIN document d ON d.document = c.document WHERE c.policy_status = 'allowed' AND {_OK_DOC}")
 def jn18(spark, d):
-    c = chunk(spark, d)
-    return policy.allowed_chunks(c.join(c.filter("chunk % 3 = 0").select("chunk"), "chunk", "left_semi"), document(spark, d)).select("chunk", "source", "lang")
+    return policy.allowed_chunks(chunk(spark, d), document(spark, d)).select("chunk", "source", "lang")
 
 
 @query("jn19_citations", "SELECT l.l_orderkey, l.l_linenumber, coalesce(s.s_name, 'unknown') AS source, n.n_name AS licence FROM lineitem l LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey")
@@ -322,15 +321,10 @@ def ag20(spark, d):
     return observation(spark, d).groupBy("entity").agg(F.when(F.count_distinct("sensitivity") > 1, "mixed").otherwise(F.min("sensitivity")).alias("basis"), F.count("lon").alias("located"))
 
 
-@query("ag21_held_cases", "SELECT event_id, concat_ws(',', CASE WHEN value IS NULL OR value < 0 THEN 'value' END, CASE WHEN event_type = 'error' AND value > 50 THEN 'error_value' END) AS errors FROM events WHERE event_id % 10 = 0")
-def ag21(spark, d, cases="event_id % 10 = 0"):
+@query("ag21_held_cases", "SELECT event_id, concat_ws(',', CASE WHEN value IS NULL OR value < 0 THEN 'value' END, CASE WHEN event_type = 'error' AND value > 50 THEN 'error_value' END) AS errors FROM events")
+def ag21(spark, d):
     rules = [("value", F.col("value").isNull() | (F.col("value") < 0)), ("error_value", (F.col("event_type") == "error") & (F.col("value") > 50))]
-    return table(spark, d, "events").filter(cases).select("event_id", F.array_join(policy.reasons(rules), ",").alias("errors"))
-
-
-@query("ag21_held_cases_whole", ORACLE["ag21_held_cases"].removesuffix(" WHERE event_id % 10 = 0"))
-def ag21_whole(spark, d):
-    return ag21(spark, d, "true")
+    return table(spark, d, "events").select("event_id", F.array_join(policy.reasons(rules), ",").alias("errors"))
 
 
 @query("tk07_verified_candidates", f"WITH {_BM}, ok AS (SELECT * FROM bm WHERE rank <= 25 AND id % 2 = 0), r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM ok) SELECT * FROM r WHERE place <= 3")
