@@ -225,18 +225,52 @@ class Rows:
         self.col = np.concatenate([*[np.asarray(h, dtype=np.int64) for h in hits], features + c])
         self.rows, self.features = len(n), features + len(OWN)
 
-    def fit(self, q: np.ndarray, weight: np.ndarray, use: np.ndarray, steps: int, decay: float = 2e-4) -> np.ndarray:
-        """Logistic regression on soft labels over the features in use; the last weight is the bias."""
+    def fit(self, q: np.ndarray, weight: np.ndarray, use: np.ndarray, steps: int = 60, decay: float = 2e-4, least: float = 1e-7) -> np.ndarray:
+        """Logistic regression on soft labels over the features in use; the last weight is the bias.
+
+        Newton's method on the convex loss: each step solves its linear system by conjugate gradients and is halved until the
+        loss falls enough. It ends where the gradient's norm is under `least`, so the weights do not depend on the number of steps.
+        """
         at = use[self.col] & (weight > 0)[self.row]
         row, col = self.row[at], self.col[at]
-        w, m, s = np.zeros(self.features + 1), np.zeros(self.features + 1), np.zeros(self.features + 1)
-        for k in range(1, steps + 1):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], self.rows) + w[-1], -40, 40)))
-            d = (p - q) * weight / weight.sum()
-            g = np.append(np.bincount(col, d[row], self.features), d.sum())
-            g[:-1] += decay * w[:-1]
-            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-            w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
+        share = weight / max(weight.sum(), 1e-12)
+        shrink = np.append(np.full(self.features, decay), 0.0)
+        forward = lambda w: np.bincount(row, w[col], self.rows) + w[-1]
+        back = lambda d: np.append(np.bincount(col, d[row], self.features), d.sum())
+        value = lambda z, w: float((share * (np.logaddexp(0, z) - q * z)).sum() + 0.5 * (shrink * w * w).sum())
+        w = np.zeros(self.features + 1)
+        z = forward(w)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            g = back((p - q) * share) + shrink * w
+            norm = np.linalg.norm(g)
+            if norm <= least:
+                break
+            h = p * (1 - p) * share
+            scale = 1 / (back(h) + shrink + 1e-12)
+            s, r = np.zeros_like(w), -g
+            y = scale * r
+            d, rho = y.copy(), r @ y
+            for _ in range(200):
+                hd = back(h * forward(d)) + shrink * d
+                bend = d @ hd
+                if bend <= 0:
+                    break
+                s += rho / bend * d
+                r -= rho / bend * hd
+                if np.linalg.norm(r) <= min(0.1, norm**0.5) * norm:
+                    break
+                y = scale * r
+                rho, old = r @ y, rho
+                d = y + rho / old * d
+            if not s.any():
+                break
+            now, step, dz, slope = value(z, w), 1.0, forward(s), g @ s
+            while step > 1e-8 and value(z + step * dz, w + step * s) > now + 1e-4 * step * slope:
+                step /= 2
+            if step <= 1e-8:
+                break
+            w, z = w + step * s, z + step * dz
         return w
 
     def loss(self, w: np.ndarray, q: np.ndarray, at: np.ndarray) -> float:
@@ -267,9 +301,9 @@ def fit_chosen(x: Rows, q: np.ndarray, label: np.ndarray, fold: np.ndarray, g: n
     use = lambda g, level: g >= level
     level, soft, test = LEVELS[1], SOFT[0], fold & labelled
     if len(np.unique(label[test])) == 2 and len(np.unique(label[labelled & ~fold])) == 2:
-        losses = {(lv, u): x.loss(x.fit(q, np.where(labelled, 1.0, u) * ~fold, use(g_fit, lv), 150), label, test) for lv in LEVELS for u in SOFT}
+        losses = {(lv, u): x.loss(x.fit(q, np.where(labelled, 1.0, u) * ~fold, use(g_fit, lv)), label, test) for lv in LEVELS for u in SOFT}
         level, soft = min(losses, key=losses.get)
-    return x.fit(q, np.where(labelled, 1.0, soft), use(g, level), 400)
+    return x.fit(q, np.where(labelled, 1.0, soft), use(g, level))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, features: int = 50_000, threshold: float = 0.7) -> DataFrame:
