@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, line_dedup, media, mixing, ngram_join, ppm, toxicity, warc
+from . import decontaminate, langid, licenses, line_dedup, media, mixing, ngram_join, ppm, prefix_trie, token_files, toxicity, vector_codes, warc
 from .common import crc_mod, new_path
 
 
@@ -57,6 +57,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) == 1)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_t(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode_vectors(_t(spark, sf_dir, "embeddings"))
+    sha = vector_codes.books_sha256(books)
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(sha).alias("codebooks_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    token_files.write_token_files(_t(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.token_digests(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm_scoring": op1_ppm_scoring,
     "op2_license_scan": op2_license_scan,
@@ -68,10 +86,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_roundtrip": op8_warc_roundtrip,
     "op9_media_columns": op9_media_columns,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_files": op13_token_files,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _codes_sql() -> str:
+    """Lloyd's rounds written out: assignments of each round against all entries, then means that go down."""
+    squares = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+    nearest = f"SELECT part.id, part.p, part.x, min({{'d': {squares}::BIGINT, 'e': e}}) AS best FROM part JOIN BOOKS USING (p) GROUP BY 1, 2, 3"
+    means = """SELECT p, e, list(q ORDER BY i) AS y FROM (SELECT b.p, b.e, i, CASE WHEN s.n IS NULL THEN any_value(b.y[i]) ELSE (s.s - ((s.s % s.n) + s.n) % s.n) // s.n END AS q
+  FROM (SELECT *, unnest(range(1, len(y) + 1)) AS i FROM BOOKS) b LEFT JOIN (SELECT p, best.e AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM CODES) GROUP BY 1, 2, 3) s USING (p, e, i) GROUP BY b.p, b.e, i, s.s, s.n) GROUP BY 1, 2"""
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT id, vec_id, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM (SELECT *, unnest(range(16)) AS p FROM kept)),
+b0 AS MATERIALIZED (SELECT p, id - 1 AS e, x AS y FROM part WHERE id <= 64),
+a0 AS MATERIALIZED ({nearest.replace("BOOKS", "b0")}), b1 AS MATERIALIZED ({means.replace("BOOKS", "b0").replace("CODES", "a0")}),
+a1 AS MATERIALIZED ({nearest.replace("BOOKS", "b1")}), b2 AS MATERIALIZED ({means.replace("BOOKS", "b1").replace("CODES", "a1")}),
+a2 AS MATERIALIZED ({nearest.replace("BOOKS", "b2")}),
+c AS (SELECT id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS sha FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM kept JOIN c USING (id), h
+"""
+
+
 ORACLE: dict[str, str] = {
     "op2_license_scan": licenses.oracle_sql(),
     "op3_benchmark_decontamination": r"""
@@ -127,4 +170,19 @@ SELECT page_id, n AS payload_bytes,
   CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM p JOIN m USING (h)
 """,
+    "op11_conversation_trie": r"""
+WITH o AS (SELECT conv_id, list({'k': length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''), 'n': length(coalesce(text, ''))}
+    ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT conv_id, t, (xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 6)::INTEGER AS h FROM o),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.t[1:a.h], []), a.t[a.h + 1:]) AS t FROM h a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 100),
+m AS (SELECT conv_id, len(t) AS turns, d, list_transform(t[1:d], lambda x: x.k) AS p, CASE WHEN d > 0 THEN t[d].n ELSE 0 END AS n FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM r)),
+node AS (SELECT p, d, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = d), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+whole AS (SELECT node.*, coalesce(kids.n_children, 0) AS n_children FROM node LEFT JOIN kids USING (p)),
+sub AS (SELECT p[1:a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM whole) GROUP BY 1)
+SELECT w.conv_id, w.d::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children, sub.n_leaves::BIGINT AS n_leaves, sub.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM whole w JOIN sub USING (p) LEFT JOIN node up ON w.d > 0 AND up.p = w.p[1:w.d - 1]
+""",
+    "op12_vector_codes": _codes_sql(),
 }
