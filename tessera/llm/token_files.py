@@ -155,7 +155,11 @@ def train_dictionary(docs: DataFrame, path: str, samples: int = 512, window: int
     the dictionary as they are; without any text it is empty. It only changes how small frames get."""
     t = F.col(text_col).cast("string")
     at = F.pmod(F.xxhash64(t), F.greatest(F.length(t) - window, F.lit(0)) + 1) + 1
-    rows = docs.filter(F.length(t) > 0).select(t.substr(at.cast("int"), F.lit(window)).alias("t"), F.xxhash64(F.lit("sample"), t).alias("h")).orderBy("h", "t").limit(samples).collect()
+    # Twice as many as are wanted pass the filter, so no task sends more than its share of them.
+    share = min(1.0, 2 * samples / max(docs.count(), 1))
+    h = F.xxhash64(F.lit("sample"), t)
+    some = docs.filter((F.length(t) > 0) & (F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
+    rows = some.select(t.substr(at.cast("int"), F.lit(window)).alias("t"), h.alias("h")).orderBy("h", "t").limit(samples).collect()
     flat, at = encoder(path)(pa.array([r["t"] for r in rows], pa.string()))
     ids = [flat[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
     try:

@@ -315,7 +315,10 @@ def encode_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     width = lengths[0][1]
     d = width // parts
     fit = rows.filter(F.size("v") == width)
-    first = fit.select("vec_id", "v").orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).collect()
+    # Ids alone find where the first ones end; only rows up to there are sorted with their vectors.
+    ids = persist_table(fit.select("vec_id").filter("vec_id is not null").orderBy("vec_id").limit(entries), "first-ids").agg(F.count("*"), F.max("vec_id")).first()
+    near = fit.filter(F.col("vec_id") <= F.lit(ids[1])) if ids[0] == entries else fit
+    first = near.select("vec_id", "v").orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).collect()
     books = np.array([r["v"] for r in first], dtype=np.int64).reshape(len(first), parts, d).transpose(1, 0, 2)
     forests = persist_table(_forests(fit.select("vec_id", "label", "v"), width, parts), "forests")
 
