@@ -186,41 +186,12 @@ def ctl07(spark, d):
     return control.agreed_context(table(spark, d, "part").select((F.col("p_partkey") % 11).alias("context")))
 
 
-def _normalized(batch):
-    return batch.select("event_id", "user_id", F.upper("event_type").alias("kind"), S.date_precision(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("precision"), F.when(F.col("value") < 10, "low_value").alias("reason"))
-
-
-@query("str01_stream_ingest", "SELECT CASE WHEN value < 10 THEN 'quarantine' ELSE 'good' END AS output, upper(event_type) AS kind, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
-def str01(spark, d):
-    out = ingest.ingest(spark, ingest.file_stream(spark, d, "events"), _normalized, {"good": "reason is null", "quarantine": "reason is not null"})
-    both = out["good"].select(F.lit("good").alias("output"), "kind").unionByName(out["quarantine"].select(F.lit("quarantine").alias("output"), "kind"))
-    return both.groupBy("output", "kind").agg(F.count("*").alias("n"))
-
-
 @query("str02_stream_dedupe", "SELECT event_id, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def str02(spark, d):
     s = ingest.file_stream(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     return ingest.first_seen(spark, s, ["event_id"], "ts", "40 days").groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query("str03_derived_details", "SELECT user_id, arg_max(CASE WHEN event_type = 'view' THEN value END, (ts, event_id)) FILTER (event_type = 'view') AS last_view, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1")
-def str03(spark, d):
-    order = F.struct("ts", "event_id")
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("value", F.when(F.col("event_type") == "view", order)).alias("last_view"), F.max_by("event_type", order).alias("last_type"))
-
-
-@query("str04_verified_cursor", "SELECT max(event_id) AS cursor, count(*)::BIGINT AS loaded FROM events")
-def str04(spark, d):
-    e = table(spark, d, "events").select("event_id")
-    loaded = persist_table(e, "cursor").agg(F.max("event_id").alias("cursor"), F.count("*").alias("loaded"))
-    return loaded.crossJoin(e.agg(F.count("*").alias("expected"))).select(F.when(F.col("loaded") == F.col("expected"), F.col("cursor")).alias("cursor"), "loaded")
-
-
-@query("str05_ordered_projection", "SELECT user_id, count(*)::BIGINT AS applied, max(event_id) AS last FROM events GROUP BY 1")
-def str05(spark, d):
-    return ingest.ordered_projection(spark, ingest.file_stream(spark, d, "events"), "user_id", "event_id")
-
-
 @query("str06_content_addresses", "SELECT p_type, 'ds-' || substr(sha256(string_agg(p_partkey || ':' || p_name, ',' ORDER BY p_partkey)), 1, 16) AS dataset FROM part GROUP BY 1")
 def str06(spark, d):
     g = table(spark, d, "part").groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))

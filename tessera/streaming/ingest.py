@@ -3,12 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.session import shared_dir
 
@@ -25,40 +21,8 @@ def run_to_end(stream: DataFrame, write, mode: str = "append") -> None:
     q.awaitTermination()
 
 
-def ingest(spark: SparkSession, stream: DataFrame, normalize, outputs: dict[str, str]) -> dict[str, DataFrame]:
-    """Each micro-batch, normalized, goes to Parquet tables by a filter for each; a replayed epoch overwrites its own folder."""
-    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        rows = normalize(batch)
-        for name, condition in outputs.items():
-            rows.filter(condition).write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
-
-    run_to_end(stream, write)
-    return {name: spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}/epoch=*").drop("epoch") for name in outputs}
-
-
 def first_seen(spark: SparkSession, stream: DataFrame, keys: list[str], time_col: str, delay: str) -> DataFrame:
     """Rows of a stream without repeats of a key within the watermark."""
     path = f"{shared_dir(spark)}/first-{uuid.uuid4().hex}"
     run_to_end(stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys), lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
     return spark.read.option("basePath", path).parquet(f"{path}/epoch=*").drop("epoch")
-
-
-def ordered_projection(spark: SparkSession, stream: DataFrame, key: str, event: str) -> DataFrame:
-    """(key, applied, last): events of each key applied in id order with state; ids at or under the last applied one are skipped."""
-
-    def apply(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        applied, last = state.get if state.exists else (0, -1)
-        ids = pd.concat(list(batches))[event].sort_values()
-        for i in ids:
-            if i > last:
-                applied, last = applied + 1, int(i)
-        state.update((applied, last))
-        yield pd.DataFrame({key: [k[0]], "applied": [applied], "last": [last]})
-
-    kind = dict(stream.dtypes)[key]
-    out = stream.select(key, event).groupBy(key).applyInPandasWithState(apply, f"{key} {kind}, applied long, last long", "applied long, last long", "update", GroupStateTimeout.NoTimeout)
-    path = f"{shared_dir(spark)}/projection-{uuid.uuid4().hex}"
-    run_to_end(out, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"), "update")
-    return spark.read.option("basePath", path).parquet(f"{path}/epoch=*").groupBy(key).agg(F.max("applied").alias("applied"), F.max("last").alias("last"))
