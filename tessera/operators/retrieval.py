@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
-from tessera.session import persist_table
+from tessera.session import broadcast_if_small, persist_table
 
 TOKEN = "[a-z0-9]+"
 
 
-#: Rows up to which a checked table is broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 200_000
-
-
-def _small(rows: DataFrame) -> DataFrame:
-    """A persisted table, marked for a broadcast where a count shows that it is small enough."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 def _spread(rows: DataFrame) -> DataFrame:
     """Rows of an input that comes in fewer splits than there are cores (one small file) are dealt out; larger inputs stay as they lie."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -38,27 +32,25 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: floa
     together by chunk, so that scores add up before they are shuffled. Frequencies and the mean length cover all chunks.
     """
     q = persist_table(queries.select("query", F.explode(F.array_distinct(_words("text"))).alias("token")), "query-tokens")
-    wanted = _small(q.select("token").distinct().withColumn("hit", F.lit(True)))
-    split = _spread(chunks.select("id", "text")).select("id", _words("text").alias("w")).filter("size(w) > 0")
-    # A row without a token stands for the chunk itself; other tokens that no query holds go before anything moves.
-    split = split.select("id", F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("token"))
-    kept = split.join(wanted, "token", "left").filter("hit or token is null").select("id", "dl", "token")
-    t = persist_table(kept.repartition("id").groupBy("id", "dl", "token").agg(F.count("*").alias("tf")), "token-counts")
-    sizes = t.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    wanted = broadcast_if_small(persist_table(q.select("token").distinct(), "wanted"))
+    split = _spread(chunks.select("id", "text")).select("id", _words("text").alias("w")).filter("size(w) > 0").select("id", F.size("w").alias("dl"), "w")
+    sizes = chunks.select(F.size(_words("text")).alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = sizes["n"], sizes["avgdl"] or 1.0
-    t = t.filter("token is not null")
+    # Tokens that no query holds go before anything moves.
+    kept = split.select("id", "dl", F.explode("w").alias("token")).join(wanted, "token")
+    t = persist_table(kept.repartition("id").groupBy("id", "dl", "token").agg(F.count("*").alias("tf")), "token-counts")
     df = persist_table(t.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = t.join(_small(df), "token").select("id", "token", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w"))
-    return top_k(w.join(_small(q), "token").groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score")), k)
+    w = t.join(broadcast_if_small(df), "token").select("id", "token", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w"))
+    return top_k(w.join(broadcast_if_small(q), "token").groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score")), k)
 
 
 def containing(docs: DataFrame, items: DataFrame, run: int = 3) -> DataFrame:
-    """(query, id): documents (id, text) that contain the whole text of an item (query, q), letter by letter.
+    """(query, id): documents (id, text) that contain the whole text of an item (query, q), letter by letter; empty items are found nowhere.
 
     The words inside of an item (its first and last may be cut from longer ones) stand as whole words in every text that
     contains it: a hash of its first `run` such words, or of one where it has fewer, finds the candidates, which are
-    then searched. Items of fewer than three words are searched in every document; there must be few of those.
+    then searched. Shorter items are found by their first characters among all runs of as many characters.
     """
     words = F.split("q", " ")
     items = persist_table(items.select("query", "q", words.alias("w"), F.when(F.size(words) >= run + 2, run).when(F.size(words) >= 3, 1).otherwise(0).alias("m")).filter("q is not null"), "items")
@@ -74,7 +66,7 @@ def containing(docs: DataFrame, items: DataFrame, run: int = 3) -> DataFrame:
         some = items.filter(F.col("m") == m)
         if some.isEmpty():
             continue
-        anchors = _small(persist_table(some.select(gram(F.col("w"), 1, m).alias("h"), "query"), "anchors"))
+        anchors = broadcast_if_small(persist_table(some.select(gram(F.col("w"), 1, m).alias("h"), "query"), "anchors"))
         grams = _spread(docs).select("id", F.split("text", " ").alias("w")).filter(F.size("w") >= m)
         grams = grams.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - m), at_each(m))).alias("h"))
         hits = grams.join(anchors, "h").select("query", "id").distinct()
@@ -82,13 +74,15 @@ def containing(docs: DataFrame, items: DataFrame, run: int = 3) -> DataFrame:
     out = items.limit(0).select("query").crossJoin(docs.limit(0).select("id"))
     if found is not None:
         pairs = persist_table(found.distinct(), "candidates")
-        pairs = pairs.join(_small(items.select("query", "q")), "query")
-        out = docs.join(_small(persist_table(pairs, "sought")), "id").filter(F.expr("contains(text, q)")).select("query", "id")
-    short = items.filter("m = 0")
-    if not short.isEmpty():
-        if short.limit(1001).count() > 1000:
-            raise ValueError("more than 1000 items have fewer than three words")
-        out = out.unionByName(docs.join(F.broadcast(short.select("query", "q")), F.expr("contains(text, q)")).select("query", "id"))
+        pairs = pairs.join(broadcast_if_small(items.select("query", "q")), "query")
+        out = docs.join(broadcast_if_small(persist_table(pairs, "sought")), "id").filter(F.expr("contains(text, q)")).select("query", "id")
+    # Shorter items may begin and end within words: runs of as many characters as their first six find the candidates.
+    short = items.filter("m = 0 and q <> ''").withColumn("k", F.least(F.length("q"), F.lit(6)))
+    for k in sorted(r["k"] for r in short.select("k").distinct().collect()):  # one to six
+        starts = broadcast_if_small(persist_table(short.filter(F.col("k") == k).select("query", "q", F.substring("q", 1, k).alias("g")), "starts"))
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - (k - 1)), lambda i: F.substr("text", i, F.lit(k))))
+        hits = _spread(docs).filter(F.length("text") >= k).select("id", "text", F.explode(runs).alias("g")).join(starts, "g")
+        out = out.unionByName(hits.filter(F.expr("contains(text, q)")).select("query", "id"))
     return out.distinct()
 
 
@@ -97,11 +91,65 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", r).filter(F.col("rank") <= k)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, id, score, rank): exact cosine of a stated query set (query, q), which is broadcast, against all vectors (id, v)."""
-    # Norms are taken once a vector, not once a pair; zero vectors have no cosine.
-    pairs = _units(vectors, "v").crossJoin(F.broadcast(_units(queries, "q")))
-    return top_k(pairs.select("query", "id", F.round(_dot("v", "q"), 6).alias("score")), k)
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, scope: str | None = None, block: int = 512) -> DataFrame:
+    """(query, id, score, rank): exact cosines of a stated query set (query, q) against all vectors (id, v), the k best of each.
+
+    Both sides are packed into blocks, each a row with a matrix; every block of vectors meets every block of queries in one
+    matrix product, of which the k best of each query leave, and these are merged. No pair becomes a row, and neither side has to
+    fit into a task. With `scope`, a column of both sides, only vectors whose value is the query's are met. Zero vectors, and
+    vectors of another length than the query's, have no cosine. Scores have six places; equal ones are ordered by id.
+    """
+    v = _packed(_spread(_units(vectors, "v")), "id", "v", scope, 8192)
+    q = persist_table(_packed(_units(queries, "q"), "query", "q", scope, block), "query-blocks")
+    pairs = v.crossJoin(q.withColumnsRenamed({c: f"q_{c}" for c in q.columns})).filter("d = q_d")
+
+    def best(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _block_top_k(*({c: batch.column(p + c)[i] for c in ("ids", "scopes", "d", "data")} for p in ("", "q_")), k)
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return top_k(pairs.mapInArrow(best, f"query {kind(queries, 'query')}, id {kind(vectors, 'id')}, score double"), k)
+
+
+def _packed(rows: DataFrame, key: str, vector: str, scope: str | None, most: int) -> DataFrame:
+    """Rows of vectors as blocks: (ids, scopes, d, data), data being a matrix of doubles with d columns."""
+    s = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
+
+    def pack(batches):
+        for batch in batches:
+            size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(size):
+                some = batch.filter(pa.array(size == d))
+                for at in range(0, some.num_rows, most):
+                    part = some.slice(at, most)
+                    ends = pa.array([0, part.num_rows], pa.int32())
+                    lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([part.column(i)])) for i in (0, 1)]
+                    data = part.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array([int(d)], pa.int32()), pa.array([data], pa.binary())], names=["ids", "scopes", "d", "data"])
+
+    return rows.select(key, s.alias("s"), vector).mapInArrow(pack, f"ids array<{rows.schema[key].dataType.simpleString()}>, scopes array<string>, d int, data binary")
+
+
+def _block_top_k(v: dict, q: dict, k: int) -> pa.RecordBatch:
+    """(query, id, score): the k best vectors of a block for each query of another."""
+    x, y = (np.frombuffer(b["data"].as_py(), dtype="<f8").reshape(-1, b["d"].as_py()) for b in (v, q))
+    ids, queries = v["ids"].values, q["ids"].values
+    place = np.empty(len(ids), dtype=np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    score = np.round(y @ x.T, 6)
+    if q["scopes"].values.null_count < len(queries):
+        of = {s: i for i, s in enumerate({*v["scopes"].values.to_pylist(), *q["scopes"].values.to_pylist()} - {None})}
+        a, b = ([of.get(s, -1) for s in side["scopes"].values.to_pylist()] for side in (q, v))
+        a, b = np.array(a), np.array(b)
+        score[(a[:, None] != b[None]) | (a[:, None] < 0)] = -np.inf
+    least = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else -np.inf
+    row, col = np.nonzero((score >= least) & (score > -np.inf))
+    order = np.lexsort((place[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col = row[nth < k], col[nth < k]
+    return pa.RecordBatch.from_arrays([queries.take(pa.array(row)), ids.take(pa.array(col)), pa.array(score[row, col])], names=["query", "id", "score"])
 
 
 def _units(rows: DataFrame, col: str) -> DataFrame:
@@ -121,7 +169,8 @@ def fuse(rankings: DataFrame, k: int = 60) -> DataFrame:
 
 def prototype_labels(vectors: DataFrame, prototypes: DataFrame, confidence: float, margin: float) -> DataFrame:
     """(id, label, score, margin): the label of the nearest prototype (label, q); null below a confidence or margin threshold."""
-    s = _units(vectors, "v").crossJoin(F.broadcast(_units(prototypes, "q"))).select("id", "label", F.round(_dot("v", "q"), 6).alias("score"))
+    p = broadcast_if_small(persist_table(_units(prototypes, "q").select("label", "q"), "prototypes"))
+    s = _units(vectors, "v").crossJoin(p).select("id", "label", F.round(_dot("v", "q"), 6).alias("score"))
     s = s.groupBy("id", "label").agg(F.max("score").alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "label")
     s = s.withColumns({"n": F.row_number().over(w), "next": F.lead("score").over(w)}).filter("n = 1")

@@ -180,25 +180,6 @@ def q23(spark, d):
     return a.join(b, "entity", "full").groupBy(diff.alias("difference")).agg(F.count("*").alias("n"))
 
 
-@query("txt09_name_suggestions", "WITH c AS (SELECT DISTINCT p_name AS name FROM part), m AS (SELECT name AS mention0, CASE length(name) % 3 WHEN 0 THEN name WHEN 1 THEN replace(name, ' ', '') ELSE substr(name, 2) END AS mention FROM c), r AS (SELECT m.mention0, m.mention, c.name, CASE WHEN c.name = m.mention THEN 'exact' WHEN replace(c.name, ' ', '') = m.mention THEN 'compact' WHEN levenshtein(c.name, m.mention) = 1 THEN 'suggestion' END AS route FROM m JOIN c ON length(c.name) BETWEEN length(m.mention) - 1 AND length(m.mention) + 4) SELECT mention0 AS source, mention, min(route || ':' || name) AS best FROM r WHERE route IS NOT NULL GROUP BY 1, 2")
-def txt09(spark, d):
-    c = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    k = F.length("name") % 3
-    m = c.select(F.col("name").alias("source"), F.when(k == 0, F.col("name")).when(k == 1, F.regexp_replace("name", " ", "")).otherwise(F.substr("name", F.lit(2))).alias("mention"))
-    # Exact and compact forms meet by key; one-edit candidates meet on a deletion neighbourhood, never by all pairs.
-    exact = m.join(c.withColumn("mention", F.col("name")), "mention").select("source", "mention", "name", F.lit("exact").alias("route"))
-    compact = m.join(c.withColumn("mention", F.regexp_replace("name", " ", "")), "mention").filter("name <> mention").select("source", "mention", "name", F.lit("compact").alias("route"))
-
-    def neighbours(x):
-        cut = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
-        return F.explode(F.array_distinct(F.concat(F.array(x), cut)))
-
-    near = m.select("source", "mention", neighbours(F.col("mention")).alias("key")).join(c.select("name", neighbours(F.col("name")).alias("key")), "key").select("source", "mention", "name").distinct().filter(F.levenshtein("name", "mention") == 1)
-    near = near.filter(F.regexp_replace("name", " ", "") != F.col("mention")).withColumn("route", F.lit("suggestion"))
-    all_ = exact.unionByName(compact).unionByName(near)
-    return all_.groupBy("source", "mention").agg(F.min(F.concat_ws(":", "route", "name")).alias("best"))
-
-
 @query("txt08_batch_vectors", "SELECT doc_id, length(text) > 0 AS embedded FROM documents")
 def txt08(spark, d):
     from tessera.operators.embedding import embed, hashing_embedder

@@ -155,11 +155,6 @@ def jn19(spark, d):
     return j.select("l_orderkey", "l_linenumber", F.coalesce("s_name", F.lit("unknown")).alias("source"), F.col("n_name").alias("licence"))
 
 
-@query("jn29_mention_links", "WITH b AS (SELECT item_id, text FROM benchmark) SELECT DISTINCT b.item_id, d.doc_id FROM documents d JOIN b ON contains(d.text, b.text)")
-def jn29(spark, d):
-    return _relevant(spark, d).select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"))
-
-
 @query("jn14_rank_name_candidates", "SELECT a.p_partkey AS a, b.p_partkey AS b, 'candidate' AS status FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type = b.p_type WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1")
 def jn14(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
@@ -223,13 +218,6 @@ def q22(spark, d):
     return j.groupBy(reason.alias("reason"), "p_type").agg(F.count("*").alias("n"))
 
 
-@query("q21_grounded_batch", "WITH m AS (SELECT b.item_id, count(d.doc_id) AS n, min(d.doc_id) AS doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1) SELECT item_id, CASE WHEN n = 0 THEN 'abstain' WHEN n = 1 THEN 'answer' ELSE 'clarify' END AS disposition, CASE WHEN n = 1 THEN doc END AS citation FROM m")
-def q21(spark, d):
-    m = _relevant(spark, d).groupBy(F.col("query").alias("item_id")).agg(F.count("*").alias("n"), F.min("id").alias("doc"))
-    j = table(spark, d, "benchmark").select("item_id").join(m, "item_id", "left")
-    return j.select("item_id", F.when(F.col("n").isNull(), "abstain").when(F.col("n") == 1, "answer").otherwise("clarify").alias("disposition"), F.when(F.col("n") == 1, F.col("doc")).alias("citation"))
-
-
 @query("q30_search_evaluation", f"WITH {_BM}, {_REL}, per AS (SELECT q.query, (SELECT count(*) FROM rel WHERE rel.query = q.query) AS relevant, (SELECT count(*) FROM rel JOIN bm ON bm.query = rel.query AND bm.id = rel.id WHERE rel.query = q.query AND bm.rank <= 3) AS hits FROM qs q) SELECT query, relevant::BIGINT AS relevant, hits::BIGINT AS hits FROM per")
 def q30(spark, d):
     rel = _relevant(spark, d)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,3 +45,21 @@ def persist_table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+#: Rows and bytes up to which a checked table is broadcast; beyond either the same join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+
+
+def broadcast_if_small(rows: DataFrame, most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for a broadcast where a count of its rows, and of the bytes of its texts and arrays, shows that it is small."""
+    if rows.limit(most_rows + 1).count() > most_rows:
+        return rows
+    sized = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct", "variant")]
+    if sized:
+        # JSON text bounds what nested columns hold; plain texts and bytes are measured as they are.
+        plain = lambda f: F.octet_length(F.col(f"`{f}`")) if rows.schema[f].dataType.typeName() in ("string", "binary") else F.length(F.to_json(F.struct(F.col(f"`{f}`"))))
+        total = rows.agg(F.sum(reduce(lambda a, b: a + b, [F.coalesce(plain(c), F.lit(0)) for c in sized]))).first()[0] or 0
+        if total > most_bytes:
+            return rows
+    return F.broadcast(rows)
