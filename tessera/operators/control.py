@@ -1,4 +1,4 @@
-"""The control plane as tables: idempotent appends, quarantine, activation, active context."""
+"""The control plane as tables: quarantine, activation, active context."""
 
 from __future__ import annotations
 
@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append(existing: DataFrame, batch: DataFrame, key: str, identity: list[str]) -> DataFrame:
-    """(key, action): append, replay (same identity) or conflict (same key, another identity); a conflict fails the batch downstream."""
-    h = lambda df, n: df.select(key, F.xxhash64(*identity).alias(n))
-    j = h(batch, "b").join(h(existing, "e"), key, "left")
-    return j.select(key, F.when(F.col("e").isNull(), "append").when(F.col("e") == F.col("b"), "replay").otherwise("conflict").alias("action"))
-
-
 def quarantine_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """Items by (record_key, stage, reason_code, field_path or ''): the first run seen stays, the last moves on."""
     ident = ["record_key", "stage", "reason_code", "field_path"]

@@ -142,13 +142,6 @@ def gate04(spark, d):
     return o.groupBy("o_orderstatus").agg(F.count("*").alias("expected")).join(loaded, "o_orderstatus", "left").withColumn("ok", F.col("expected") == F.coalesce("loaded", F.lit(0)))
 
 
-@query("ctl02_idempotent_append", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'append' WHEN o_orderkey % 10 = 1 THEN 'conflict' ELSE 'replay' END AS action FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 10 = 1")
-def ctl02(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    batch = o.filter("o_orderkey % 2 = 0 OR o_orderkey % 10 = 1").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 1, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
-    return control.append(o.filter("o_orderkey % 3 <> 0"), batch, "o_orderkey", ["o_orderkey", "o_orderstatus"])
-
-
 @query("ctl03_quarantine", f"WITH {with_sql('observation')}, q AS (SELECT entity::VARCHAR AS record_key, place AS reason_code, CASE WHEN observation % 2 = 0 THEN 'lon' ELSE '' END AS field_path, observation // 1000 AS run FROM observation WHERE {_BAD}) SELECT record_key, 'validate' AS stage, reason_code, field_path, min(run) AS first_seen, max(run) AS last_seen FROM q GROUP BY 1, 2, 3, 4")
 def ctl03(spark, d):
     run = F.floor(F.col("observation") / 1000)

@@ -178,11 +178,3 @@ def q23(spark, d):
     b = e.filter("entity % 17 <> 0").select("entity", F.when(F.col("entity") % 21 == 0, "MOVED").otherwise(F.col("order")).alias("b"))
     diff = F.when(F.col("b").isNull(), "source_only").when(F.col("a").isNull(), "graph_only").when(F.col("a") != F.col("b"), "moved").otherwise("same")
     return a.join(b, "entity", "full").groupBy(diff.alias("difference")).agg(F.count("*").alias("n"))
-
-
-@query("txt08_batch_vectors", "SELECT doc_id, length(text) > 0 AS embedded FROM documents")
-def txt08(spark, d):
-    from tessera.operators.embedding import embed, hashing_embedder
-
-    v = embed(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), hashing_embedder(32))
-    return v.select(F.col("id").alias("doc_id"), (S.vector_issue(F.col("vector"), 32).isNull()).alias("embedded"))

@@ -82,7 +82,7 @@ def fn08(spark, d):
 
 
 _PLACE = "Asgard"
-_CLAUSES = ("Asgard", "southern Asgard", "n. Asgard", "northeastern Asgard", "coastal Asgard", "formerly Asgard", "seas off Asgard", "Asgardian coast", "the Asgard Peninsula", "Asgardn peninsula", "east, Asgard", "Midgard", "introduced to Midgard", "Asgard?", "no longer in Utgard")
+_CLAUSES = ("Asgard", "southern Asgard", "n. Asgard", "northeastern Asgard", "coastal Asgard", "formerly Asgard", "seas off Asgard", "Asgardian coast", "the Asgard Peninsula", "Asgardn peninsula", "east, Asgard", "Midgard", "introduced to Midgard", "Asgard?", "no longer in Utgard", "southernmost Asgard", "NS Asgard", "sn. Asgard", "SE Asgard", "se Asgard")
 _RANGE = f"{case('c_custkey', *quoted(*_CLAUSES))} || '; ' || {case('c_nationkey', *quoted(*_CLAUSES[::2], 'islands'))} || {case('c_custkey', *quoted('', '; SW Asgard', '; lakes', ''))}"
 _Q = f"lower(regexp_extract(m, '^([A-Za-z]+)\\.?\\s+{_PLACE}', 1))"
 _NAMED = f"regexp_extract(m, '({_PLACE}\\w*(?:\\s+[Pp]eninsula)?)$', 1)"
@@ -92,8 +92,8 @@ SELECT c_custkey, t AS range_text, CASE WHEN len(cl) = 0 THEN 'no_mention' ELSE
   CASE WHEN regexp_matches(t, '(?i){N.UNCERTAIN_TEXT}') THEN 'negation_past_introduced_or_uncertain_wording' END,
   CASE WHEN len(list_filter(cl, lambda c: regexp_matches(c, '(?i){N.MARINE_TEXT}'))) > 0 THEN 'surrounding_waters_ambiguous' END,
   CASE WHEN len(list_filter(ms, lambda m: NOT regexp_matches({_NAMED}, '^{_PLACE}(n\\s+[Pp]eninsula|\\s+[Pp]eninsula)?$'))) > 0 THEN 'ambiguous_mention' END,
-  CASE WHEN len(list_filter(ms, lambda m: regexp_matches({_Q}, '{N.NORTH_QUALIFIER}'))) > 0 THEN 'north_qualified' END,
-  CASE WHEN len(list_filter(ms, lambda m: regexp_matches({_Q}, '{N.OTHER_QUALIFIER}'))) > 0 THEN 'non_south_directional_qualifier' END], lambda r: r IS NOT NULL)), ',') END AS reasons FROM k"""
+  CASE WHEN len(list_filter(ms, lambda m: starts_with({_Q}, 'north') OR {_Q} IN ('n', 'ne', 'nw'))) > 0 THEN 'north_qualified' END,
+  CASE WHEN len(list_filter(ms, lambda m: NOT (starts_with({_Q}, 'north') OR {_Q} IN ('n', 'ne', 'nw')) AND regexp_matches({_Q}, '{N.DIRECTIONAL}') AND {_Q} NOT IN {N.ALLOWED_QUALIFIERS})) > 0 THEN 'non_south_directional_qualifier' END], lambda r: r IS NOT NULL)), ',') END AS reasons FROM k"""
 
 
 @query("fn09_place_reasons", _FN09)

@@ -343,13 +343,6 @@ def snk01(spark, d):
     return reconcile.upsert(old, new, "k")
 
 
-@query("snk02_stale_rows", "SELECT count(*)::BIGINT AS stale FROM (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01') WHERE o_orderkey % 5 = 0")
-def snk02(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    old = o.filter(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp"))
-    return old.join(o.filter("o_orderkey % 5 <> 0").select("o_orderkey"), "o_orderkey", "left_anti").agg(F.count("*").alias("stale"))
-
-
 @query("set01_union", "SELECT count(*)::BIGINT AS n FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)")
 def set01(spark, d):
     return table(spark, d, "customer").select("c_nationkey").union(table(spark, d, "supplier").select("s_nationkey")).distinct().agg(F.count("*").alias("n"))

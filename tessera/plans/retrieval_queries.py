@@ -125,15 +125,6 @@ def txt11(spark, d):
     return retrieval.cosine_top_k(v.filter("id % 20 <> 0"), q, 5).select("query", "id", "rank")
 
 
-@query("txt07_incremental_vectors", "SELECT CASE WHEN o.id IS NULL THEN 'embed' WHEN n.id IS NULL THEN 'retire' WHEN o.h = n.h THEN 'reuse' ELSE 'embed' END AS action, count(*)::BIGINT AS n FROM (SELECT doc_id AS id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0) o FULL JOIN (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) n USING (id) GROUP BY 1")
-def txt07(spark, d):
-    t = table(spark, d, "documents")
-    old = t.filter("doc_id % 7 <> 0").select("doc_id", F.sha2("text", 256).alias("o"))
-    new = t.filter("doc_id % 11 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("n"))
-    action = F.when(F.col("o").isNull(), "embed").when(F.col("n").isNull(), "retire").when(F.col("o") == F.col("n"), "reuse").otherwise("embed")
-    return old.join(new, "doc_id", "full").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
-
-
 # --- joins over documents, observations and profiles -------------------------------------------------------------
 
 
