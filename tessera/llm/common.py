@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,12 +42,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> Iterator[None]:
+    """Jobs within pass their rows to Python in batches of at most so many rows and bytes: rows that hold whole texts or sets are large."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def persist_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write to the shared folder as Parquet and read it back, so that lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def crc_mod(id_col: Column, n: int) -> Column:
