@@ -280,15 +280,25 @@ def _forests(rows: DataFrame, width: int, parts: int) -> DataFrame:
     size = max(1, min(BLOCK_ROWS, BLOCK_INTS // width))
     d = width // parts
 
+    def block(part):
+        n = part.num_rows
+        x = part.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, parts, d).transpose(1, 0, 2)
+        packed = Forest.build(x).pack()
+        ends = pa.array([0, n], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, part.column(i).combine_chunks()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*lists, *[pa.array([v], pa.binary()) for v in packed.values()]], names=["ids", "labels", *packed])
+
     def build(batches):
+        held, count = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                n = part.num_rows
-                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, parts, d).transpose(1, 0, 2)
-                packed = Forest.build(x).pack()
-                ends = pa.array([0, n], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.concat_arrays([part.column(i)])) for i in (0, 1)] + [pa.array([v], pa.binary()) for v in packed.values()], names=["ids", "labels", *packed])
+            held.append(batch)
+            count += batch.num_rows
+            while count >= size:
+                rows_ = pa.Table.from_batches(held)
+                yield block(rows_.slice(0, size))
+                held, count = rows_.slice(size).to_batches(), count - size
+        if count:
+            yield block(pa.Table.from_batches(held))
 
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return rows.mapInArrow(build, f"ids array<{kind['vec_id']}>, labels array<{kind['label']}>, {_TREE}")
