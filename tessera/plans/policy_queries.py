@@ -77,14 +77,6 @@ def pol07(spark, d):
     return answers.join(known, "cited", "left").select("conv_id", "turn", F.col("known").isNull().alias("unknown_citation"))
 
 
-_VAL = [("count_negative", "individual_count", "individual_count < 0"), ("coordinate_incomplete", "lon", "(lat IS NULL) <> (lon IS NULL)"), ("licence_not_allowed", "licence", "licence = 'all rights reserved'"), ("value_missing", "value", "value IS NULL")]
-
-
-@query("val01_issue_rows", f"WITH {with_sql('observation')} " + " UNION ALL ".join(f"SELECT observation::VARCHAR AS record_key, 'validate' AS stage, '{r}' AS reason_code, 'blocked' AS severity, '{f}' AS field_path FROM observation WHERE {c}" for r, f, c in _VAL))
-def val01(spark, d):
-    return policy.issues(observation(spark, d), F.col("observation"), [(r, f, F.expr(c)) for r, f, c in _VAL])
-
-
 @query("val02_partial_dates", "WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y-%m') WHEN 3 THEN strftime(ts, '%Y') WHEN 4 THEN strftime(ts, '%Y-%m-%d') || '/' || strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y') || '-02-30' END AS raw FROM events) SELECT event_id, raw, CASE event_id % 6 WHEN 0 THEN 'instant' WHEN 1 THEN 'day' WHEN 2 THEN 'month' WHEN 3 THEN 'year' WHEN 4 THEN 'range' ELSE 'day' END AS precision, event_id % 6 <> 5 AS ok FROM r")
 def val02(spark, d):
     i = F.col("event_id") % 6
@@ -99,18 +91,6 @@ def val03(spark, d):
     return observation(spark, d).groupBy(S.coordinate_issue(F.col("lat"), F.col("lon")).alias("issue")).agg(F.count("*").alias("n"))
 
 
-@query("val04_registry_rows", f"WITH r AS ({_REGISTRY}) SELECT source, concat_ws(',', CASE WHEN NOT enabled THEN 'disabled' END, CASE WHEN policy_status NOT IN ('allowed', 'restricted', 'review_required') THEN 'policy' END, CASE WHEN length(source) > 4 THEN 'long_id' END) AS reasons FROM r")
-def val04(spark, d):
-    rules = [("disabled", ~F.col("enabled")), ("policy", ~F.col("policy_status").isin("allowed", "restricted", "review_required")), ("long_id", F.length("source") > 4)]
-    return _registry(spark, d).select("source", F.array_join(policy.reasons(rules), ",").alias("reasons"))
-
-
-@query("val05_occurrence_reasons", f"WITH {with_sql('observation')}, n AS (SELECT *, {_U} AS u FROM observation) SELECT observation, concat_ws(',', CASE WHEN {_LIC} IS NULL THEN 'licence' END, CASE WHEN (lat IS NULL) <> (lon IS NULL) OR NOT lat BETWEEN -90 AND 90 OR NOT lon BETWEEN -180 AND 180 THEN 'coordinate' END, CASE WHEN place IN ('error') THEN 'presence' END, CASE WHEN individual_count < 0 THEN 'count' END) AS reasons FROM n")
-def val05(spark, d):
-    rules = [("licence", S.licence_uri(F.col("licence")).isNull()), ("coordinate", S.coordinate_issue(F.col("lat"), F.col("lon")).isNotNull()), ("presence", F.col("place") == "error"), ("count", F.col("individual_count") < 0)]
-    return observation(spark, d).select("observation", F.array_join(policy.reasons(rules), ",").alias("reasons"))
-
-
 _SHARES = "SELECT l_partkey AS entity, l_returnflag AS k, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2"
 
 
