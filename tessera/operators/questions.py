@@ -42,18 +42,121 @@ def category_peers(claims: DataFrame, origins: DataFrame) -> DataFrame:
     return o.filter("value_text is not null").join(p, ["trait", "value_text", "dataset"]).filter("origin <> peer").select("origin", "trait", "value_text", "peer").distinct()
 
 
-def similarity(pairs: DataFrame) -> DataFrame:
-    """(origin, peer, score, rank): weights for genus (20, only with family), family (10), habitat (10), diet (10) and closeness.
+def category_counts(claims: DataFrame, origins: DataFrame) -> DataFrame:
+    """(origin, trait, value_text, peers): how many entities category_peers would give, from counts of groups.
 
-    closeness is the dense level of `depth` among the pool's levels, worth 50; where no depth is known for a pair, the
-    other parts are rescaled to 100. Zero scores are left out. Levels come from the whole pool of an origin.
+    Only where an origin has a value from several datasets, whose members may repeat, are those members looked at.
     """
+    c = claims.filter("value_text is not null").select("entity", "trait", "value_text", "dataset").distinct()
+    sizes = c.groupBy("trait", "value_text", "dataset").agg(F.count("*").alias("members"))
+    o = c.join(origins.select("entity"), "entity", "left_semi").withColumnRenamed("entity", "origin")
+    o = o.withColumn("ways", F.count("*").over(Window.partitionBy("origin", "trait", "value_text")))
+    one = o.filter("ways = 1").join(sizes, ["trait", "value_text", "dataset"]).select("origin", "trait", "value_text", (F.col("members") - 1).alias("peers"))
+    many = o.filter("ways > 1").join(c, ["trait", "value_text", "dataset"]).filter("origin <> entity").groupBy("origin", "trait", "value_text").agg(F.count_distinct("entity").alias("peers"))
+    return one.filter("peers > 0").unionByName(many)
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """keys, firsts: the k first rows of each group by the columns of `order`, as an array of structs. Tasks keep k rows of a group each
+    before anything is shuffled, so a hot group is no single task's work."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_n", n).filter(F.col("_n") <= k).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("firsts"))
+
+
+def first_category_peers(claims: DataFrame, origins: DataFrame, k: int) -> DataFrame:
+    """(origin, trait, value_text, peer, rank, has_more): the k first peers by id, from the k + 2 first members of each group."""
+    c = claims.filter("value_text is not null").select("entity", "trait", "value_text", "dataset").distinct()
+    g = first_of(c, ["trait", "value_text", "dataset"], ["entity"], k + 2)
+    o = c.join(origins.select("entity"), "entity", "left_semi").withColumnRenamed("entity", "origin")
+    x = o.join(g, ["trait", "value_text", "dataset"]).select("origin", "trait", "value_text", F.explode("firsts.entity").alias("peer")).filter("origin <> peer").distinct()
+    return top_with_more(x, ["origin", "trait", "value_text"], ["peer"], k)
+
+
+def top_with_more(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The k first rows of each group with rank, and has_more where there is another; groups must be short lists by now."""
+    w = Window.partitionBy(*keys)
+    return rows.withColumns({"rank": F.row_number().over(w.orderBy(*order)).cast("long"), "has_more": F.count("*").over(w) > k}).filter(F.col("rank") <= k)
+
+
+def related(entities: DataFrame, origins: DataFrame, k: int) -> DataFrame:
+    """(origin, peer, relation, rank, has_more): the k first entities of the same genus, and the k first of the same order in other genera.
+
+    An order's list holds at most k members of each genus and ends after 2k + 1, so whatever genus an origin leaves out, k + 1
+    others stand in it where there are as many.
+    """
+    e = entities.select("entity", "genus", "order")
+    genus = first_of(e, ["order", "genus"], ["entity"], k + 2)
+    capped = genus.select("order", "genus", F.explode(F.slice("firsts.entity", 1, k)).alias("entity"))
+    order = first_of(capped, ["order"], ["entity", "genus"], 2 * k + 1)
+    o = e.join(origins.select("entity"), "entity", "left_semi").withColumnRenamed("entity", "origin")
+    near = o.join(genus, ["order", "genus"]).select("origin", F.explode("firsts.entity").alias("peer"), F.lit("genus").alias("relation")).filter("origin <> peer")
+    far = o.join(order, "order").select("origin", "genus", F.explode("firsts").alias("m")).filter("m.genus <> genus").select("origin", F.col("m.entity").alias("peer"), F.lit("order").alias("relation"))
+    return top_with_more(near.unionByName(far), ["origin", "relation"], ["peer"], k)
+
+
+def habitat_diet(claims: DataFrame, entities: DataFrame, origins: DataFrame, k: int) -> DataFrame:
+    """(variant, origin, peer, name, rank, has_more): peers of an origin by name, in three variants.
+
+    same_niche: the origin's habitat and diet; other_niche: its habitat, none of its diets; same_diet: its diet, whatever the habitat.
+    Values are the same where trait, text and dataset are. Lists are cut as in `related`.
+    """
+    c = claims.filter("value_text is not null").select("entity", "trait", F.struct("value_text", "dataset").alias("value")).distinct()
+    of = lambda trait, name: c.filter(F.col("trait") == trait).select("entity", F.col("value").alias(name))
+    h, d = of("habitat", "habitat"), of("diet", "diet")
+    e = entities.select("entity", "name")
+    both = h.join(d, "entity").join(e, "entity")
+    o = origins.select("entity")
+    oh, od = (x.join(o, "entity", "left_semi").withColumnRenamed("entity", "origin") for x in (h, d))
+    peers = lambda rows, variant: rows.filter("origin <> m.entity").select(F.lit(variant).alias("variant"), "origin", F.col("m.entity").alias("peer"), F.col("m.name").alias("name")).distinct()
+    same = oh.join(od, "origin").join(first_of(both, ["habitat", "diet"], ["name", "entity"], k + 2), ["habitat", "diet"]).select("origin", F.explode("firsts").alias("m"))
+    only = od.join(first_of(d.join(e, "entity"), ["diet"], ["name", "entity"], k + 2), "diet").select("origin", F.explode("firsts").alias("m"))
+    # Those of a habitat by their sets of diets; an entity without a diet has the empty set.
+    sets = h.join(d.groupBy("entity").agg(F.array_sort(F.collect_set("diet")).alias("diets")), "entity", "left").join(e, "entity").withColumn("diets", F.coalesce("diets", F.expr("array()").cast(f"array<{d.schema['diet'].dataType.simpleString()}>")))
+    cells = first_of(sets, ["habitat", "diets"], ["name", "entity"], k + 2)
+    own = od.groupBy("origin").agg(F.collect_set("diet").alias("own"))
+    other = oh.join(own, "origin").join(cells, "habitat").filter(~F.arrays_overlap("own", "diets")).select("origin", F.explode("firsts").alias("m"))
+    rows = peers(same, "same_niche").unionByName(peers(other, "other_niche")).unionByName(peers(only, "same_diet"))
+    return top_with_more(rows, ["variant", "origin"], ["name", "peer"], k)
+
+
+def similarity(entities: DataFrame, origins: DataFrame, k: int, within: str | None = None) -> DataFrame:
+    """(origin, peer, score, rank): the k most similar entities of the same order; with `within`, k for each value of that column.
+
+    entities: entity, order, genus, habitat, diet, depth. Weights: order 10, genus 20, habitat 10, diet 10, and closeness, which
+    is the dense level of `depth` among the levels of the origin's pool, worth 50; where a peer's depth is unknown, the other
+    parts are rescaled to 100. Equal scores are ordered by id. No pairs of entities are made: entities that agree in all of
+    these are a cell with a count and its first ids, scores belong to an origin and a cell, and only cells that can hold one of
+    the k best are opened.
+    """
+    extra = [within] if within else []
+    key = ["order", "genus", "habitat", "diet", "depth", *extra]
+    e = entities.select("entity", *key)
+    cells = e.groupBy(*key).agg(F.count("*").alias("members")).join(_null_safe(first_of(e, key, ["entity"], k + 1), key), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]).drop(*[f"_{c}" for c in key])
+    o = e.join(origins.select("entity"), "entity", "left_semi").select(F.col("entity").alias("origin"), *[F.col(c).alias(f"o_{c}") for c in key])
+    own = lambda cols: F.expr(" and ".join(f"(o_{c} <=> `{c}`)" for c in cols))
+    x = o.join(cells, F.col("o_order") == F.col("order")).withColumn("members", F.col("members") - F.when(own(key), 1).otherwise(0)).filter("members > 0")
     w = Window.partitionBy("origin")
-    level = F.dense_rank().over(w.orderBy("depth"))
-    p = pairs.withColumn("level", F.when(F.col("depth").isNotNull(), level))
-    # Unknown depths sort first and take one level of their own, which is taken off again.
-    p = p.withColumn("nulls", F.max(F.when(F.col("depth").isNull(), 1).otherwise(0)).over(w)).withColumn("level", F.col("level") - F.col("nulls")).withColumn("levels", F.max("level").over(w))
-    base = F.when(F.col("same_family"), 10).otherwise(0) + F.when(F.col("same_genus") & F.col("same_family"), 20).otherwise(0) + F.when(F.col("same_habitat"), 10).otherwise(0) + F.when(F.col("same_diet"), 10).otherwise(0)
-    score = F.when(F.col("level").isNull(), F.bround(base * 2.0, 1)).otherwise(base + F.bround(50.0 * F.col("level") / F.col("levels"), 1))
-    p = p.withColumn("score", score.cast("double")).filter("score > 0")
-    return p.select("origin", "peer", "score", F.row_number().over(w.orderBy(F.desc("score"), "peer")).cast("long").alias("rank"))
+    x = x.withColumn("level", F.when(F.col("depth").isNotNull(), F.dense_rank().over(w.orderBy(F.col("depth").asc_nulls_last())))).withColumn("levels", F.max("level").over(w))
+    base = F.lit(10) + F.when(own(["genus"]), 20).otherwise(0) + F.when(own(["habitat"]), 10).otherwise(0) + F.when(own(["diet"]), 10).otherwise(0)
+    score = F.when(F.col("level").isNull(), F.bround(base * 2.0, 1)).otherwise(base + F.bround(50.0 * F.col("level") / F.col("levels"), 1)).cast("double")
+    x = x.withColumn("score", score)
+    # Members of cells with a higher score, all of which come first.
+    above = F.sum("members").over(Window.partitionBy("origin", *extra).orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("members").over(Window.partitionBy("origin", "score", *extra))
+    open_ = x.withColumn("above", above).filter(F.col("above") < k).select("origin", "score", *extra, F.explode("firsts.entity").alias("peer")).filter("origin <> peer")
+    n = F.row_number().over(Window.partitionBy("origin", *extra).orderBy(F.desc("score"), "peer")).cast("long")
+    return open_.withColumn("rank", n).filter(F.col("rank") <= k).select("origin", "peer", "score", "rank", *extra)
+
+
+def closeness_levels(entities: DataFrame, origins: DataFrame) -> DataFrame:
+    """(origin, level, n, levels): how many peers of the same order an origin has at each level of depth, from counts by order and depth."""
+    e = entities.filter("depth is not null").select("entity", "order", "depth")
+    counts = e.groupBy("order", "depth").agg(F.count("*").alias("n"))
+    o = entities.join(origins.select("entity"), "entity", "left_semi").select(F.col("entity").alias("origin"), "order", F.col("depth").alias("own"))
+    x = o.join(counts, "order").withColumn("n", F.col("n") - F.when(F.col("own") == F.col("depth"), 1).otherwise(0)).filter("n > 0")
+    w = Window.partitionBy("origin")
+    x = x.withColumn("level", F.dense_rank().over(w.orderBy("depth")).cast("long"))
+    return x.select("origin", "level", "n", F.max("level").over(w).alias("levels"))
+
+
+def _null_safe(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.withColumnsRenamed({c: f"_{c}" for c in keys})

@@ -140,7 +140,8 @@ def _peers(spark, d):
 
 @query("jn20_category_peers", f"WITH {with_sql('claim')}, {_PEERS} SELECT origin, trait, value_text, count(*)::BIGINT AS peers FROM pe GROUP BY 1, 2, 3")
 def jn20(spark, d):
-    return _peers(spark, d).groupBy("origin", "trait", "value_text").agg(F.count("*").alias("peers"))
+    c = claim(spark, d)
+    return questions.category_counts(c, c.filter(_QUERY_SET))
 
 
 @query("jn21_habitat_not_diet", f"WITH {with_sql('claim')}, {_PEERS} SELECT h.origin, h.peer, dt.peer IS NOT NULL AS same_diet FROM pe h LEFT JOIN pe dt ON dt.trait = 'diet' AND dt.origin = h.origin AND dt.peer = h.peer WHERE h.trait = 'habitat'")
@@ -150,25 +151,25 @@ def jn21(spark, d):
     return pe.filter("trait = 'habitat'").join(diet, ["origin", "peer"], "left").select("origin", "peer", F.coalesce("same", F.lit(False)).alias("same_diet"))
 
 
-@query("q04_habitat_same_diet", f"WITH {with_sql('claim', 'entity')}, {_PEERS}, x AS (SELECT h.origin, h.peer, e.name, row_number() OVER (PARTITION BY h.origin ORDER BY e.name, h.peer) AS rank, count(*) OVER (PARTITION BY h.origin) > 20 AS has_more FROM pe h JOIN pe dt ON dt.trait = 'diet' AND dt.origin = h.origin AND dt.peer = h.peer JOIN entity e ON e.entity = h.peer WHERE h.trait = 'habitat') SELECT * FROM x WHERE rank <= 20")
+@query("q04_habitat_same_diet", f"""WITH {with_sql('claim', 'entity')}, o AS (SELECT DISTINCT entity FROM claim WHERE entity % 20 = 0), h AS (SELECT DISTINCT entity, value_text AS v, dataset FROM claim WHERE trait = 'habitat' AND value_text IS NOT NULL), dt AS (SELECT DISTINCT entity, value_text AS v, dataset FROM claim WHERE trait = 'diet' AND value_text IS NOT NULL),
+ph AS (SELECT DISTINCT a.entity AS origin, b.entity AS peer FROM o JOIN h a USING (entity) JOIN h b ON b.v = a.v AND b.dataset = a.dataset AND b.entity <> a.entity), pd AS (SELECT DISTINCT a.entity AS origin, b.entity AS peer FROM o JOIN dt a USING (entity) JOIN dt b ON b.v = a.v AND b.dataset = a.dataset AND b.entity <> a.entity),
+x AS (SELECT 'same_niche' AS variant, ph.* FROM ph JOIN pd USING (origin, peer) UNION ALL SELECT 'other_niche', ph.* FROM ph ANTI JOIN pd USING (origin, peer) WHERE origin IN (SELECT entity FROM dt) UNION ALL SELECT 'same_diet', pd.* FROM pd),
+r AS (SELECT x.*, e.name, row_number() OVER (PARTITION BY variant, origin ORDER BY e.name, peer) AS rank, count(*) OVER (PARTITION BY variant, origin) > 20 AS has_more FROM x JOIN entity e ON e.entity = x.peer) SELECT * FROM r WHERE rank <= 20""")
 def q04(spark, d):
-    pe = _peers(spark, d)
-    both = pe.filter("trait = 'habitat'").select("origin", "peer").join(pe.filter("trait = 'diet'").select("origin", "peer"), ["origin", "peer"])
-    x = both.join(entity(spark, d).select(F.col("entity").alias("peer"), "name"), "peer").select("origin", "peer", "name")
-    return hierarchy.top_per_group(x, ["origin"], [F.col("name"), F.col("peer")], 20)
+    c = claim(spark, d)
+    return questions.habitat_diet(c, entity(spark, d), c.filter(_QUERY_SET).select("entity").distinct(), 20)
 
 
 @query("q07_related_species", f"""WITH {with_sql('entity')}, o AS ({_ORIGINS}), x AS (SELECT a.entity AS origin, b.entity AS peer, CASE WHEN a.genus = b.genus THEN 'genus' ELSE 'order' END AS relation FROM entity a JOIN o USING (entity) JOIN entity b ON a."order" = b."order" AND a.entity <> b.entity), y AS (SELECT *, row_number() OVER (PARTITION BY origin, relation ORDER BY peer) AS rank, count(*) OVER (PARTITION BY origin, relation) > 12 AS has_more FROM x) SELECT * FROM y WHERE rank <= 12""")
 def q07(spark, d):
     e = entity(spark, d)
-    o = e.filter(_QUERY_SET).select(F.col("entity").alias("origin"), F.col("genus").alias("g"), "order")
-    x = o.join(e, "order").filter("origin <> entity").select("origin", F.col("entity").alias("peer"), F.when(F.col("g") == F.col("genus"), "genus").otherwise("order").alias("relation"))
-    return hierarchy.top_per_group(x, ["origin", "relation"], [F.col("peer")], 12)
+    return questions.related(e, e.filter(_QUERY_SET), 12)
 
 
 @query("q08_ecological_relations", f"WITH {with_sql('claim')}, {_PEERS}, y AS (SELECT *, row_number() OVER (PARTITION BY origin, trait, value_text ORDER BY peer) AS rank, count(*) OVER (PARTITION BY origin, trait, value_text) > 3 AS has_more FROM pe) SELECT * FROM y WHERE rank <= 3")
 def q08(spark, d):
-    return hierarchy.top_per_group(_peers(spark, d), ["origin", "trait", "value_text"], [F.col("peer")], 3)
+    c = claim(spark, d)
+    return questions.first_category_peers(c, c.filter(_QUERY_SET), 3)
 
 
 @query("wn04_top_per_group", """WITH y AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, count(*) OVER (PARTITION BY o_custkey) > 3 AS has_more FROM orders) SELECT * FROM y WHERE rank <= 3""")
@@ -182,36 +183,36 @@ sc AS (SELECT origin, peer, CASE WHEN level IS NULL THEN 2.0 * ((CASE WHEN f THE
 rk AS (SELECT origin, peer, score, row_number() OVER (PARTITION BY origin ORDER BY score DESC, peer) AS rank FROM sc WHERE score > 0)"""
 
 
-def _similar(spark, d):
-    e = entity(spark, d)
-    o = e.filter(_QUERY_SET).select(F.col("entity").alias("origin"), F.col("genus").alias("g"), "order")
-    p = o.join(e, "order").filter("origin <> entity")
-    p = p.select("origin", F.col("entity").alias("peer"), F.when(F.col("entity") % 4 == 0, None).otherwise(F.col("entity") % 5).alias("depth"), F.lit(True).alias("same_family"), (F.col("g") == F.col("genus")).alias("same_genus"), (F.col("origin") % 3 == F.col("entity") % 3).alias("same_habitat"), (F.col("origin") % 2 == F.col("entity") % 2).alias("same_diet"))
-    return questions.similarity(p)
+def _similar(spark, d, k, within=None):
+    i = F.col("entity")
+    e = entity(spark, d).withColumns({"habitat": i % 3, "diet": i % 2, "depth": F.when(i % 4 != 0, i % 5), "named": i % 3 == 0})
+    return questions.similarity(e, e.filter(_QUERY_SET), k, within)
 
 
 @query("q09_similar_species", f"WITH {with_sql('entity')}, {_SIM} SELECT * FROM rk WHERE rank <= 20")
 def q09(spark, d):
-    return _similar(spark, d).filter("rank <= 20")
+    return _similar(spark, d, 20)
 
 
 @query("tk05_score_order", f"WITH {with_sql('entity')}, {_SIM} SELECT origin, peer, score FROM rk WHERE rank <= 5")
 def tk05(spark, d):
-    return _similar(spark, d).filter("rank <= 5").select("origin", "peer", "score")
+    return _similar(spark, d, 5).select("origin", "peer", "score")
 
 
 @query("tk03_priority_fill", f"WITH {with_sql('entity')}, {_SIM}, n AS (SELECT *, peer % 3 = 0 AS named FROM rk), p AS (SELECT *, CASE WHEN named THEN 0 WHEN rank <= 3 THEN 1 END AS pri FROM n), f AS (SELECT origin, peer, score, row_number() OVER (PARTITION BY origin ORDER BY pri, rank) AS place FROM p WHERE pri IS NOT NULL) SELECT * FROM f WHERE place <= 3")
 def tk03(spark, d):
-    p = _similar(spark, d).withColumn("pri", F.when(F.col("peer") % 3 == 0, 0).when(F.col("rank") <= 3, 1)).filter("pri is not null")
+    """Named peers come first; the three best of each kind tell who is among the three best of all."""
+    p = _similar(spark, d, 3, "named")
+    of_all = F.row_number().over(Window.partitionBy("origin").orderBy(F.desc("score"), "peer"))
+    p = p.withColumn("rank", of_all).withColumn("pri", F.when(F.col("named"), 0).when(F.col("rank") <= 3, 1)).filter("pri is not null")
     return p.select("origin", "peer", "score", F.row_number().over(Window.partitionBy("origin").orderBy("pri", "rank")).cast("long").alias("place")).filter("place <= 3")
 
 
 @query("wn03_ordinal_closeness", f"WITH {with_sql('entity')}, {_SIM} SELECT origin, level, max(level) OVER (PARTITION BY origin) AS levels, count(*)::BIGINT AS n FROM lv WHERE level IS NOT NULL GROUP BY origin, level")
 def wn03(spark, d):
-    e = entity(spark, d)
-    p = e.filter(_QUERY_SET).select(F.col("entity").alias("origin"), "order").join(e, "order").filter("origin <> entity AND entity % 4 <> 0").withColumn("depth", F.col("entity") % 5)
-    p = p.withColumn("level", F.dense_rank().over(Window.partitionBy("origin").orderBy("depth")).cast("long")).groupBy("origin", "level").agg(F.count("*").alias("n"))
-    return p.withColumn("levels", F.max("level").over(Window.partitionBy("origin")))
+    i = F.col("entity")
+    e = entity(spark, d).withColumn("depth", F.when(i % 4 != 0, i % 5))
+    return questions.closeness_levels(e, e.filter(_QUERY_SET))
 
 
 @query("wn01_forward_fill", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_user FROM conversations")
