@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import control, policy, reconcile
+from tessera.operators import control, digests, policy, reconcile
 from tessera.session import persist_table, shared_dir
 from tessera.sources import readers
 from tessera.streaming import ingest
@@ -60,12 +60,27 @@ def src04(spark, d):
     return readers.delimited(spark, p, "s_suppkey long, s_name string, row_number long", sep=",")
 
 
-@query("src05_two_file_archive", "SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey)::BIGINT AS extension_rows FROM orders")
+_LINE = "CASE WHEN o_orderkey % 50 = 7 THEN o_orderkey || chr(9) || o_orderstatus || chr(9) || 'extra' || chr(9) || '' WHEN o_orderkey % 50 = 9 THEN chr(9) || o_orderstatus || chr(9) || o_orderpriority ELSE o_orderkey || chr(9) || o_orderstatus || chr(9) || o_orderpriority END"
+_META = """<archive licence="https://creativecommons.org/licenses/by/4.0/"><core location="core.txt" separator="\\t"><id index="0"/><field index="2" term="priority"/><field index="1" term="status"/></core>
+<extension location="extension.txt" separator="|"><coreid index="1"/><field index="0" term="line"/></extension></archive>"""
+
+
+@query("src05_two_file_archive", f"""WITH c AS (SELECT o_orderkey, {_LINE} AS line, CASE WHEN o_orderkey % 50 = 7 THEN 'wrong_width' WHEN o_orderkey % 50 = 9 THEN 'empty_id' END AS reason, o_orderstatus, o_orderpriority FROM orders),
+x AS (SELECT l_orderkey, l_linenumber || '|' || l_orderkey || CASE WHEN l_linenumber = 2 AND l_orderkey % 7 = 0 THEN '|' ELSE '' END AS line, l_linenumber = 2 AND l_orderkey % 7 = 0 AS wide, l_linenumber FROM lineitem),
+k AS (SELECT o_orderkey FROM c WHERE reason IS NULL)
+SELECT 'core' AS part, c.o_orderkey::VARCHAR AS id, o_orderstatus AS a, o_orderpriority AS b, (SELECT count(*) FROM x WHERE NOT wide AND l_orderkey = c.o_orderkey)::BIGINT AS rows_ FROM c WHERE reason IS NULL
+UNION ALL SELECT 'issue', line, 'core', reason, NULL FROM c WHERE reason IS NOT NULL UNION ALL SELECT 'issue', line, 'extension', CASE WHEN wide THEN 'wrong_width' ELSE 'orphan' END, NULL FROM x WHERE wide OR l_orderkey NOT IN (SELECT o_orderkey FROM k)""")
 def src05(spark, d):
-    c, x = _path(spark, "core"), _path(spark, "extension")
-    table(spark, d, "orders").select("o_orderkey", "o_orderstatus").write.option("sep", "\t").option("header", True).csv(c)
-    table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").write.option("sep", "\t").option("header", True).csv(x)
-    return readers.archive(spark, c, "o_orderkey long, o_orderstatus string", x, "o_orderkey long, l_linenumber int", "o_orderkey")
+    """An archive of orders and their lines, some of which have a wrong width, no id or no order, read by its descriptor."""
+    p = _path(spark, "archive")
+    table(spark, d, "orders").select(F.expr(_LINE).alias("value")).write.text(f"{p}/core.txt")
+    wide = F.when(F.expr("l_linenumber = 2 AND l_orderkey % 7 = 0"), "|").otherwise("")
+    table(spark, d, "lineitem").select(F.concat("l_linenumber", F.lit("|"), "l_orderkey", wide).alias("value")).write.text(f"{p}/extension.txt")
+    spark.createDataFrame([(_META,)], "value string").coalesce(1).write.text(f"{p}/meta.xml")
+    core, extension, issues = readers.described_archive(spark, p, ("https://creativecommons.org/licenses/by/4.0/",))
+    n = extension.groupBy("id").agg(F.count("*").alias("rows_"))
+    rows = core.join(n, "id", "left").select(F.lit("core").alias("part"), "id", F.col("status").alias("a"), F.col("priority").alias("b"), F.coalesce("rows_", F.lit(0)).alias("rows_"))
+    return rows.unionByName(issues.select(F.lit("issue").alias("part"), F.col("line").alias("id"), F.col("part").alias("a"), F.col("reason").alias("b"), F.lit(None).cast("long").alias("rows_")))
 
 
 def _paged(spark, d):
@@ -101,16 +116,22 @@ def src08(spark, d):
     return readers.paragraphs(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("src09_verified_files", "SELECT 'g' || (n_nationkey % 5) AS part, true AS ok FROM nation GROUP BY 1")
+@query("src09_verified_files", """WITH g AS (SELECT 'g' || (n_nationkey % 5) AS part, string_agg(n_name, ',' ORDER BY n_name) || chr(10) AS content FROM nation GROUP BY 1),
+m AS (SELECT part, sha256(CASE WHEN part = 'g1' THEN upper(content) || ' ' ELSE content END) AS sha, strlen(content) + CASE WHEN part = 'g2' THEN 1 WHEN part = 'g1' THEN 0 ELSE 0 END AS bytes FROM g WHERE part <> 'g3' UNION ALL SELECT 'g9', sha256(''), 0)
+SELECT coalesce(g.part, m.part) AS part, CASE WHEN g.part IS NULL THEN 'missing' WHEN m.part IS NULL THEN 'unlisted' WHEN m.bytes <> strlen(content) THEN 'bytes' WHEN m.sha <> sha256(content) THEN 'sha256' END AS reason FROM g FULL JOIN m USING (part)""")
 def src09(spark, d):
+    """Files against a manifest with another digest, another size, a file that it does not list and one that is not there."""
     p = _path(spark, "files")
     g = table(spark, d, "nation").groupBy(F.concat(F.lit("g"), (F.col("n_nationkey") % 5).cast("string")).alias("part")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("value"))
     g.repartition("part").write.partitionBy("part").text(p)
     content = F.concat("value", F.lit("\n"))
-    manifest = g.select(F.col("part").alias("path"), F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("bytes"))
+    told = F.when(F.col("part") == "g1", F.concat(F.upper(content), F.lit(" "))).otherwise(content)
+    manifest = g.filter("part <> 'g3'").select(F.col("part").alias("path"), F.sha2(told, 256).alias("sha256"), (F.octet_length(content) + F.when(F.col("part") == "g2", 1).otherwise(0)).cast("long").alias("bytes"))
+    manifest = manifest.unionByName(spark.sql("SELECT 'g9' AS path, sha2('', 256) AS sha256, 0L AS bytes"))
     actual = readers.file_digests(spark, p).filter("path like '%/part=%'").withColumn("path", F.regexp_extract("path", "part=([^/]+)/", 1))
     bad = policy.manifest_mismatch(actual, manifest)
-    return manifest.select(F.col("path").alias("part")).join(bad.withColumnRenamed("path", "part"), "part", "left").select("part", F.col("reason").isNull().alias("ok"))
+    every = actual.select("path").union(manifest.select("path")).distinct()
+    return every.join(bad, "path", "left").select(F.col("path").alias("part"), "reason")
 
 
 @query("src11_loaded_corpus", f"WITH {with_sql('document', 'chunk')} SELECT (SELECT count(*) FROM document)::BIGINT AS documents, (SELECT count(*) FROM document WHERE policy_status = 'allowed')::BIGINT AS allowed, (SELECT count(*) FROM chunk c JOIN document d ON d.document = c.document AND d.policy_status = 'allowed' WHERE c.policy_status = 'allowed')::BIGINT AS chunks")
@@ -135,10 +156,11 @@ def snk04(spark, d):
     return ok.select("chunk", F.col("embedding_allowed").alias("embed"), F.sha2("text", 256).alias("content_hash"))
 
 
-@query("gate04_loaded_counts", "SELECT o_orderstatus, count(*)::BIGINT AS expected, count(*)::BIGINT AS loaded, true AS ok FROM orders GROUP BY 1")
+@query("gate04_loaded_counts", "SELECT o_orderstatus, count(*)::BIGINT AS expected, count(*) FILTER (NOT (o_orderstatus = 'P' AND o_orderkey % 9 = 0))::BIGINT AS loaded, count(*) = count(*) FILTER (NOT (o_orderstatus = 'P' AND o_orderkey % 9 = 0)) AS ok FROM orders GROUP BY 1")
 def gate04(spark, d):
+    """A load that lost some rows of one status."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    loaded = persist_table(o, "loaded").groupBy("o_orderstatus").agg(F.count("*").alias("loaded"))
+    loaded = persist_table(o.filter("NOT (o_orderstatus = 'P' AND o_orderkey % 9 = 0)"), "loaded").groupBy("o_orderstatus").agg(F.count("*").alias("loaded"))
     return o.groupBy("o_orderstatus").agg(F.count("*").alias("expected")).join(loaded, "o_orderstatus", "left").withColumn("ok", F.col("expected") == F.coalesce("loaded", F.lit(0)))
 
 
@@ -185,8 +207,14 @@ def str02(spark, d):
     return ingest.first_seen(spark, s, ["event_id"], "ts", "40 days").groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query("str06_content_addresses", "SELECT p_type, 'ds-' || substr(sha256(string_agg(p_partkey || ':' || p_name, ',' ORDER BY p_partkey)), 1, 16) AS dataset FROM part GROUP BY 1")
+_ROW = "p_partkey || ':' || p_name"
+
+
+@query("str06_content_addresses", f"""WITH {digests.tree_sql('part', 'p_type', _ROW)}
+SELECT p_type, policy, 'ds-' || substr(sha256(digest || ':' || policy), 1, 16) AS dataset FROM root, (VALUES ('review-1'), ('review-2')) v(policy)""")
 def str06(spark, d):
-    g = table(spark, d, "part").groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
-    text = F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["p_partkey"].cast("string"), r["p_name"])), ",")
-    return g.select("p_type", F.concat(F.lit("ds-"), F.substring(F.sha2(text, 256), 1, 16)).alias("dataset"))
+    """The same parts in two orders of rows have one address under a policy, and another under another one."""
+    p, text = table(spark, d, "part"), F.expr(_ROW)
+    one = digests.tree_digests(p, ["p_type"], text).select("p_type", F.lit("review-1").alias("policy"), digests.content_address(F.col("digest"), "review-1").alias("dataset"))
+    two = digests.tree_digests(p.repartition(7, "p_name").orderBy(F.desc("p_partkey")), ["p_type"], text).select("p_type", F.lit("review-2").alias("policy"), digests.content_address(F.col("digest"), "review-2").alias("dataset"))
+    return one.unionByName(two)
\ No newline at end of file

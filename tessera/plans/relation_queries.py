@@ -289,9 +289,11 @@ def jn04(spark, d):
     return reconcile.demote_conflicts(p.select(F.col("p_partkey").alias("source_id"), F.when(ok, F.floor(F.col("p_partkey") / 2)).alias("target_id"), F.when(ok, "accepted").otherwise("rejected").alias("status")))
 
 
-@query("jn05_gap_fill", f"WITH {_XW}, rest AS (SELECT o_custkey AS target_id, min(o_orderkey) AS source_id FROM orders GROUP BY 1 HAVING count(*) = 1) SELECT * FROM rest WHERE target_id NOT IN (SELECT target_id FROM xw WHERE target_id IS NOT NULL)")
+@query("jn05_gap_fill", f"WITH {_XW}, rest AS (SELECT o_custkey AS target_id, min(o_orderkey) AS source_id FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(*) = 1) SELECT * FROM rest WHERE target_id NOT IN (SELECT target_id FROM xw WHERE target_id IS NOT NULL)")
 def jn05(spark, d):
-    once = reconcile.unique_only(table(spark, d, "orders").select(F.col("o_custkey").alias("target_id"), F.col("o_orderkey").alias("source_id")), "target_id")
+    """Targets that the crosswalk leaves open are filled from urgent orders, where a target has one of them."""
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    once = reconcile.unique_only(urgent.select(F.col("o_custkey").alias("target_id"), F.col("o_orderkey").alias("source_id")), "target_id")
     return once.join(_crosswalk(spark, d).filter("target_id is not null").select("target_id"), "target_id", "left_anti")
 
 
@@ -355,9 +357,10 @@ def set02(spark, d):
     return reconcile.set_difference(a, b).agg((F.count("*") == 0).alias("equal"))
 
 
-@query("set03_two_way_difference", "SELECT c_custkey AS k, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("set03_two_way_difference", "WITH o AS (SELECT DISTINCT o_custkey + 7 AS k FROM orders) SELECT c_custkey AS k, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT k FROM o) UNION ALL SELECT k, 'right' FROM o WHERE k NOT IN (SELECT c_custkey FROM customer)")
 def set03(spark, d):
-    return reconcile.set_difference(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct())
+    """Keys of customers against those of orders, which are moved, so that either side has some of its own."""
+    return reconcile.set_difference(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select((F.col("o_custkey") + 7).alias("k")).distinct())
 
 
 @query("set04_intersection", "SELECT p_type, count(*)::BIGINT AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N') GROUP BY 1")
@@ -375,10 +378,10 @@ def set05(spark, d):
     return a.join(b, "k", "full").select("k", F.concat_ws("; ", "a", "b").alias("note"))
 
 
-@query("set06_stale_keys", "SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01')")
+@query("set06_stale_keys", "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01')")
 def set06(spark, d):
     li = table(spark, d, "lineitem")
-    return li.select(F.col("l_suppkey").alias("k")).distinct().join(li.filter(F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp")).select(F.col("l_suppkey").alias("k")), "k", "left_anti")
+    return li.select(F.col("l_partkey").alias("k")).distinct().join(li.filter(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp")).select(F.col("l_partkey").alias("k")), "k", "left_anti")
 
 
 @query("set07_known_ids", "SELECT count(*)::BIGINT AS n FROM (SELECT c_custkey AS id FROM customer UNION SELECT s_suppkey FROM supplier UNION SELECT p_partkey FROM part)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
-from tessera.operators import hierarchy, policy, retrieval
+from tessera.operators import digests, hierarchy, policy, retrieval
 
 from .policy_queries import _LIC, _OK_DOC, _U
 from .registry import query
@@ -173,10 +173,14 @@ def jn25(spark, d):
     return s.select(F.col("n_name").alias("parent"), F.col("s_suppkey").alias("child"), F.coalesce(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")), F.lit("unnamed")).alias("name"))
 
 
-@query("jn26_reviewed_texts", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'missing' WHEN doc_id % 4 = 1 THEN 'pending' WHEN doc_id % 4 = 2 THEN 'stale' ELSE 'reviewed' END AS status FROM documents")
+_REVIEWED = "CASE WHEN doc_id % 4 = 2 THEN text || '!' ELSE text END"
+
+
+@query("jn26_reviewed_texts", f"""WITH r AS (SELECT doc_id, sha256({_REVIEWED}) AS hash, doc_id % 4 <> 1 AS done FROM documents WHERE doc_id % 4 <> 0)
+SELECT d.doc_id, CASE WHEN r.hash IS NULL THEN 'missing' WHEN NOT done THEN 'pending' WHEN r.hash <> sha256(d.text) THEN 'stale' ELSE 'reviewed' END AS status FROM documents d LEFT JOIN r USING (doc_id)""")
 def jn26(spark, d):
     t = table(spark, d, "documents")
-    review = t.filter("doc_id % 4 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 4 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"), (F.col("doc_id") % 4 != 1).alias("done"))
+    review = t.filter("doc_id % 4 <> 0").select("doc_id", F.sha2(F.expr(_REVIEWED), 256).alias("hash"), (F.col("doc_id") % 4 != 1).alias("done"))
     j = t.select("doc_id", F.sha2("text", 256).alias("now")).join(review, "doc_id", "left")
     return j.select("doc_id", F.when(F.col("hash").isNull(), "missing").when(~F.col("done"), "pending").when(F.col("hash") != F.col("now"), "stale").otherwise("reviewed").alias("status"))
 
@@ -225,9 +229,10 @@ def ag01(spark, d):
     return table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("copies")).groupBy("copies").agg(F.count("*").alias("keys"))
 
 
-@query("ag02_single_targets", "SELECT p_name, min(p_brand) AS brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
+@query("ag02_single_targets", "SELECT p_name || ' ' || p_size AS name, min(p_brand) AS brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
 def ag02(spark, d):
-    return table(spark, d, "part").groupBy("p_name").agg(F.min("p_brand").alias("brand"), F.max("p_brand").alias("other")).filter("brand = other").select("p_name", "brand")
+    p = table(spark, d, "part").select(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name"), "p_brand")
+    return p.groupBy("name").agg(F.min("p_brand").alias("brand"), F.max("p_brand").alias("other")).filter("brand = other").select("name", "brand")
 
 
 @query("ag03_paired_choice", "SELECT p_type, min((p_name, p_size))[1] AS name, min((p_name, p_size))[2] AS size FROM part GROUP BY 1")
@@ -289,10 +294,12 @@ def ag17(spark, d):
     return c.crossJoin(table(spark, d, "embeddings").agg(F.count("*").alias("vectors")))  # one row each
 
 
-@query("ag19_manifest_digests", "SELECT o_custkey, sha256(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1")
+_ORDER = "o_orderkey || ':' || o_orderstatus"
+
+
+@query("ag19_manifest_digests", f"WITH {digests.tree_sql('orders', 'o_custkey', _ORDER)} SELECT o_custkey, digest FROM root")
 def ag19(spark, d):
-    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("x"))
-    return g.select("o_custkey", F.sha2(F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["o_orderkey"].cast("string"), r["o_orderstatus"])), ","), 256).alias("digest"))
+    return digests.tree_digests(table(spark, d, "orders"), ["o_custkey"], F.expr(_ORDER))
 
 
 @query("ag20_distribution_basis", f"WITH {with_sql('observation')} SELECT entity, CASE WHEN count(DISTINCT sensitivity) > 1 THEN 'mixed' ELSE min(sensitivity) END AS basis, count(*) FILTER (lon IS NOT NULL)::BIGINT AS located FROM observation GROUP BY 1")

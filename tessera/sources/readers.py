@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,13 +26,46 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", enco
     return spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
 
 
-def archive(spark: SparkSession, core: str, core_schema: str, extension: str, extension_schema: str, key: str) -> DataFrame:
-    """A core file with the rows of its extension file counted by key; extension rows without a core row fail the check."""
-    c, x = delimited(spark, core, core_schema), delimited(spark, extension, extension_schema)
-    orphans = x.join(c, key, "left_anti").limit(1).count()
-    if orphans:
-        raise ValueError("extension rows without a core row")
-    return c.join(x.groupBy(key).agg(F.count("*").alias("extension_rows")), key, "left").fillna({"extension_rows": 0})
+#: The column of a whole line.
+_RAW = "the whole line"
+_FILE = "_location string, _separator string, id struct<_index int>, coreid struct<_index int>, field array<struct<_index int, _term string>>"
+
+
+def described_archive(spark: SparkSession, folder: str, licences: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(core, extension, issues) of an archive that its descriptor, folder/meta.xml, declares: an `archive` element with a licence, a core
+    and an extension, each with a location, a separator, its id column and its fields (index, term).
+
+    The columns are the declared terms, as text, in the order of their indexes. A licence that is not among `licences`, fields that
+    do not count from 0 on without gaps or repeats, or a term that stands twice, fail. Rows that do not hold to the declaration
+    are no rows of the tables but issues: (part, line, reason) with wrong_width, empty_id, duplicate_id (of core ids all but
+    the first text) and orphan (an extension row without a core row).
+    """
+    meta = spark.read.schema(f"_licence string, core struct<{_FILE}>, extension struct<{_FILE}>").option("rowTag", "archive").xml(f"{folder}/meta.xml").first()  # one declaration
+    if meta is None or meta["core"] is None or meta["extension"] is None:
+        raise ValueError("meta.xml declares no core and extension")
+    if meta["_licence"] not in licences:
+        raise ValueError(f"licence {meta['_licence']} is not allowed")
+    parts, issues = {}, []
+    for part, key in (("core", "id"), ("extension", "coreid")):
+        f = meta[part]
+        at = {r["_index"]: r["_term"] for r in f["field"]} | {f[key]["_index"]: "id"}
+        if sorted(at) != list(range(len(f["field"]) + 1)) or len(set(at.values())) != len(at):
+            raise ValueError(f"fields of the {part} do not count from 0 to {len(f['field'])} with terms of their own: {sorted(at.items())}")
+        sep = (f["_separator"] or "\t").replace("\\t", "\t")
+        # The line's own column has a name that no term has.
+        lines = spark.read.text(f"{folder}/{f['_location']}").select(F.col("value").alias(_RAW), F.split("value", rf"\Q{sep}\E", -1).alias("c"))
+        reason = F.when(F.size("c") != len(at), "wrong_width").when(F.col("c")[f[key]["_index"]] == "", "empty_id")
+        told = lines.withColumn("reason", reason)
+        issues.append(told.filter("reason is not null").select(F.lit(part).alias("part"), F.col(_RAW).alias("line"), "reason"))
+        parts[part] = told.filter("reason is null").select(_RAW, *[F.col("c")[i].alias(at[i]) for i in sorted(at)])
+    core, extension = parts["core"], parts["extension"]
+    first = core.groupBy("id").agg(F.min(_RAW).alias("_first"), F.count("*").alias("_copies"))
+    again = core.join(first.filter("_copies > 1"), "id").filter(F.col(_RAW) != F.col("_first"))
+    orphans = extension.join(first, "id", "left_anti")
+    for part, rows, reason in (("core", again, "duplicate_id"), ("extension", orphans, "orphan")):
+        issues.append(rows.select(F.lit(part).alias("part"), F.col(_RAW).alias("line"), F.lit(reason).alias("reason")))
+    core = core.dropDuplicates([_RAW]).join(first, "id").filter(F.col(_RAW) == F.col("_first")).drop(_RAW, "_first", "_copies")
+    return core, extension.join(first.select("id"), "id", "left_semi").drop(_RAW), reduce(DataFrame.unionByName, issues)
 
 
 def pages(spark: SparkSession, path: str, result_schema: str) -> tuple[DataFrame, DataFrame]:

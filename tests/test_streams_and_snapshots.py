@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import mentions, questions, retrieval, snapshots, suggestions, validation
+from tessera.operators import digests, mentions, questions, retrieval, snapshots, suggestions, validation
 from tessera.operators.embedding import hashing_embedder
 from tessera.session import broadcast_if_small, persist_table, shared_dir
+from tessera.sources import readers
 from tessera.streaming import occurrences, outbox
 
 EVENT = "aggregate string, seq long, event_id long, ts timestamp, fails int"
@@ -358,3 +359,38 @@ def test_records_are_validated_by_type(spark):
     assert "k0" not in got and got["k1"] == [("invalid_longitude", "longitude_public"), ("invalid_count", "count")] and got["k2"] == [("invalid_date", "event_date_raw")]
     assert got["k3"][-1] == ("invalid_chunk_ordinal", "ordinal") and len(got["k3"]) == 7 and got["k4"] == [("unknown_record_type", "record_type")] and got["k6"] == [("invalid_document_policy_flag", "embedding_allowed")]
     assert len(got["<missing-record-key>"]) == 12
+
+
+CC = ("https://creativecommons.org/licenses/by/4.0/",)
+
+
+def archive(spark, meta, core, extension):
+    p = folder(spark, "archive")
+    for name, lines in (("meta.xml", [meta]), ("core.txt", core), ("extension.txt", extension)):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{p}/{name}")
+    return p
+
+
+META = '<archive licence="{licence}"><core location="core.txt" separator="\\t"><id index="{id}"/><field index="1" term="name"/></core><extension location="extension.txt" separator="|"><coreid index="0"/><field index="1" term="{term}"/></extension></archive>'
+GOOD = {"licence": CC[0], "id": 0, "term": "line"}
+
+
+def test_archives_hold_to_their_descriptor(spark):
+    p = archive(spark, META.format(**GOOD), ["1\ta", "2\tb\tc", "\td", "1\tz", "3\t"], ["1|x", "1|y", "9|z", "3|x|y"])
+    core, extension, issues = readers.described_archive(spark, p, CC)
+    assert sorted(map(tuple, core.select("id", "name").collect())) == [("1", "a"), ("3", "")] and sorted(map(tuple, extension.select("id", "line").collect())) == [("1", "x"), ("1", "y")]
+    assert {tuple(r) for r in issues.collect()} == {("core", "2\tb\tc", "wrong_width"), ("core", "\td", "empty_id"), ("core", "1\tz", "duplicate_id"), ("extension", "9|z", "orphan"), ("extension", "3|x|y", "wrong_width")}
+    for wrong in ({"licence": "x"}, {"id": 1}, {"id": 2}, {"term": "id"}):
+        with pytest.raises(ValueError):
+            readers.described_archive(spark, archive(spark, META.format(**(GOOD | wrong)), ["1\ta"], ["1|x"]), CC)
+
+
+def test_tree_digests_depend_on_rows_alone(spark):
+    rows = [(i % 3, f"row {i}" if i % 50 else None) for i in range(3000)] + [(7, ""), (7, ""), (8, None)]
+    d = spark.createDataFrame(rows, "k long, t string")
+    of = lambda df: {r["k"]: r["digest"] for r in digests.tree_digests(df, ["k"], F.col("t")).collect()}
+    one = of(d)
+    assert one == of(d.repartition(5, "t").orderBy(F.desc("t"))) and len(set(one.values())) == 5
+    assert of(d.filter("t is null or t <> 'row 1'"))[1] != one[1] and of(d.dropDuplicates())[7] != one[7]
+    ids_ = spark.createDataFrame([(1,)], "x int").select(digests.content_address(F.lit(one[0]), "p1"), digests.content_address(F.lit(one[0]), "p2")).first()
+    assert ids_[0] != ids_[1] and ids_[0].startswith("ds-")
