@@ -1,9 +1,9 @@
 """Language ID by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-Both directions run through the lowered bytes of a whole text, blanks and marks included, and give every byte a
-probability for each language; a document's probability is the mean over all its letter bytes. So that the bytes of a
-text, however long, and of many texts run side by side, a text is cut into windows of CORE bytes, and each direction
-starts CONTEXT bytes before its window (or at the text's edge): by then a state has forgotten where it began.
+The network reads the lowered bytes of a whole text, blanks and marks included, and gives every byte a probability for each
+language; a document's probability is the mean over all its letter bytes. It is a network over windows, for texts of any
+length alike: every byte belongs to one window of CORE bytes, in which both directions run from CONTEXT bytes before to
+CONTEXT bytes after it, as far as the text goes. It was trained on windows of TRAINED bytes and never sees further.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, slices
 
@@ -177,8 +178,10 @@ def _sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col
             if out:
                 yield pd.DataFrame(out, columns=["w", "lang", "u"])
 
-    got = rows.withColumn("u", u).filter(F.col("u") <= F.element_at(share, F.col("lang"))).select("text", "lang", "u").mapInPandas(cut, "w binary, lang string, u double").toPandas()
-    got = got.sort_values(["u", "w"]).groupby("lang").head(per_lang * windows_each).sort_values(["u", "w"])
+    got = rows.withColumn("u", u).filter(F.col("u") <= F.element_at(share, F.col("lang"))).select("text", "lang", "u").mapInPandas(cut, "w binary, lang string, u double")
+    # Rows of one id are drawn together, however many: what reaches the driver is bounded by rank.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "w"))
+    got = got.withColumn("place", place).filter(F.col("place") <= per_lang * windows_each).toPandas().sort_values(["u", "w"])
     return [bytes(b) for b in got["w"]], got["lang"].map(langs.index).to_numpy(dtype=np.int64), langs
 
 
@@ -220,7 +223,12 @@ def identify(docs: DataFrame, net: BiGRU | None, langs: list[str], id_col: str =
 
 
 def predict_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row; rows where held_out is true, or lang or text is null, teach nothing."""
+    """(doc_id, held_out, lang_pred, score) for every row; rows where held_out is true, or lang or text is null, teach nothing.
+
+    Texts without a letter, null and empty ones are `und` with score 0, and so is everything where nothing was learned. Very long texts
+    are read whole, window by window. Repeated rows get equal predictions; null ids are kept; an empty table gives an empty
+    result. Other columns of docs, whatever their names, are not read.
+    """
     flag = F.coalesce(held_out, F.lit(False))
     net, langs = train(docs, ~flag, id_col, text_col, lang_col, **how)
     d = docs.select(F.col(id_col).alias("doc_id"), flag.alias("held_out"), F.col(text_col).alias("text"))

@@ -308,7 +308,7 @@ def token_documents(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
     id_type, want = blocks.schema["low"].dataType.simpleString(), set(doc_ids)
     meets = F.lit(False)
     for i in sorted(want):
-        meets = meets | ((F.col("low") <= i) & (F.col("high") >= i))
+        meets = meets | ((F.col("low").isNull() | (F.col("low") <= i)) & (F.col("high") >= i))  # null ids stand first
 
     def read(batches):
         reader = _Reader(*share.value)

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import persist_table, small_enough
 
@@ -94,10 +95,10 @@ def _surprise(n0: Column, n1: Column, rows0: int, rows1: int) -> Column:
     return 2 * (part(n0, rows0) + part(n1, rows1))
 
 
-def mine(rows: DataFrame, sample: int, features: int) -> pd.DataFrame | None:
+def mine(rows: DataFrame, sample: int) -> pd.DataFrame | None:
     """Features of labelled rows (id, text, toxic) whose shares in toxic and clean texts differ beyond chance, the surest first.
 
-    At most `sample` rows of each class are read (by a hash), and the `features` surest are kept: bounds of the fit. g and odds: G and log odds over these rows; g_fit: G over
+    About `sample` rows of each class are read (by a hash of the id): a bound of the fit, which bounds the features as well. g and odds: G and log odds over these rows; g_fit: G over
     those outside the test fold. None without rows of both classes.
     """
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -123,7 +124,7 @@ def mine(rows: DataFrame, sample: int, features: int) -> pd.DataFrame | None:
     got = got.select("f", "a0", "a1", (F.col("a0") + F.col("b0")).alias("n0"), (F.col("a1") + F.col("b1")).alias("n1"))
     got = got.withColumn("g", _surprise(F.col("n0"), F.col("n1"), *every)).withColumn("g_fit", _surprise(F.col("a0"), F.col("a1"), *fit) if min(fit) else F.lit(0.0))
     got = got.withColumn("odds", F.log((F.col("n1") + 0.5) / (every[1] + 1.0)) - F.log((F.col("n0") + 0.5) / (every[0] + 1.0)))
-    top = got.filter(F.greatest("g", "g_fit") >= min(LEVELS)).orderBy(F.desc("g"), "f").limit(features).toPandas()
+    top = got.filter(F.greatest("g", "g_fit") >= min(LEVELS)).orderBy(F.desc("g"), "f").toPandas()
     # Voters are sure of what they name: fifty times as common in toxic texts as in others, or as near to that as few rows can show.
     top["votes"] = (top["g"] >= VOTER_G) & (top["odds"] >= 3.8) & (top["n0"] * every[1] * 50 <= top["n1"] * every[0])
     return top
@@ -306,13 +307,13 @@ def fit_chosen(x: Rows, q: np.ndarray, label: np.ndarray, fold: np.ndarray, g: n
     return x.fit(q, np.where(labelled, 1.0, soft), use(g, level))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, features: int = 50_000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
     labels has id_col and label_col (0, 1; rows with null in either, and rows of an id with both labels, teach nothing).
     Rows where held_out is true give no labels. Bounds of the fit: `sample` labelled rows of each class that lexicons are mined
-    from, as many of each class that the classifier is fit on (half as many more have no label), and the `features` surest
-    features; votes are counted over all rows. Null texts are empty. Ids may be of any type, and null; repeated rows get equal
+    from, and as many of each class that the classifier is fit on (half as many more have no label); every feature whose counts
+    in that sample differ beyond chance is used, and votes are counted over all rows. Very long texts are read whole. Null texts are empty. Ids may be of any type, and null; repeated rows get equal
     scores. Without labelled rows of both classes every score is 0; an empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -321,7 +322,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     y = labels.select(F.col(id_col).cast(id_type).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").select("id", "toxic")
     y = F.broadcast(y) if small_enough(y, 500_000) else y
     taught = d.filter(~F.col("held_out")).join(y, "id")
-    mined = mine(taught, sample, features)
+    mined = mine(taught, sample)
     nothing = d.select(F.col("id").alias("doc_id"), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     if mined is None:
         return nothing
@@ -355,6 +356,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     share = np.minimum(1.0, sample / np.where(label >= 0, 1, 2) / rows[side])
     table = spark.createDataFrame(list(zip(pattern.tolist(), label.tolist(), q.tolist(), share.tolist(), strict=True)), "votes int, y int, q double, share double")
     drawn = voted.join(F.broadcast(table), ["votes", "y"]).filter(_rank(F.col("id"), "fit:") < F.col("share"))
+    # Rows of one id are drawn together, however many: what reaches the driver is bounded by rank.
+    first = F.row_number().over(Window.partitionBy("y", F.col("q") > 0.5).orderBy(_rank(F.col("id"), "fit:"), "votes"))
+    drawn = drawn.withColumn("place", first).filter(F.col("place") <= 2 * sample)
     fit = drawn.select("votes", "y", "hits", "q", _fold(F.col("id")).alias("fold")).toPandas()
     x = Rows(fit["hits"].tolist(), fit["votes"].to_numpy(dtype=np.int64), len(names))
     w = fit_chosen(x, fit["q"].to_numpy(), fit["y"].to_numpy(), fit["fold"].to_numpy(dtype=bool), mined["g"].to_numpy(), mined["g_fit"].to_numpy()) if len(fit) else np.zeros(len(names) + len(OWN) + 1)
