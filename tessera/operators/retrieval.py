@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
-from tessera.session import broadcast_if_small, persist_table
+from tessera.session import BROADCAST_ROWS, broadcast_if_small, persist_table
 
 TOKEN = "[a-z0-9]+"
 
@@ -32,13 +32,21 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: floa
     together by chunk, so that scores add up before they are shuffled. Frequencies and the mean length cover all chunks.
     """
     q = persist_table(queries.select("query", F.explode(F.array_distinct(_words("text"))).alias("token")), "query-tokens")
-    wanted = broadcast_if_small(persist_table(q.select("token").distinct(), "wanted"))
+    wanted = persist_table(q.select("token").distinct(), "wanted")
     split = _spread(chunks.select("id", "text")).select("id", _words("text").alias("w")).filter("size(w) > 0").select("id", F.size("w").alias("dl"), "w")
-    sizes = chunks.select(F.size(_words("text")).alias("dl")).filter("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = sizes["n"], sizes["avgdl"] or 1.0
-    # Tokens that no query holds go before anything moves.
-    kept = split.select("id", "dl", F.explode("w").alias("token")).join(wanted, "token")
+    # Tokens that no query holds go before anything moves. A row without a token stands for the chunk itself, so that texts are
+    # split once; where the tokens sought are too many to broadcast, such rows would all meet on one key, and lengths are counted apart.
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        each = split.select("id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("token"))
+        kept = each.join(F.broadcast(wanted.withColumn("hit", F.lit(True))), "token", "left").filter("hit or token is null").select("id", "dl", "token")
+    else:
+        kept = split.select("id", "dl", F.explode("w").alias("token")).join(wanted, "token").select("id", "dl", "token")
     t = persist_table(kept.repartition("id").groupBy("id", "dl", "token").agg(F.count("*").alias("tf")), "token-counts")
+    lengths = t.filter("token is null").select("dl") if few else split.select("dl")
+    sizes = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = sizes["n"], sizes["avgdl"] or 1.0
+    t = t.filter("token is not null")
     df = persist_table(t.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = t.join(broadcast_if_small(df), "token").select("id", "token", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w"))

@@ -27,21 +27,23 @@ class Record:
     Rules name the fields that they use; `unpacked` then takes each of them out of the variant once a row, however many rules use it.
     """
 
-    def __init__(self) -> None:
-        self.fields: dict[str, None] = {}
+    def __init__(self, name: str = "") -> None:
+        self.name, self.fields = name, {}
 
     def unpacked(self, rows: DataFrame, variant: Column) -> DataFrame:
-        got = rows.withColumns({f"field {f}": F.try_variant_get(variant, f"$.{f}", "variant") for f in self.fields})
-        got = got.withColumns({f"kind {f}": F.nullif(F.schema_of_variant(F.col(f"`field {f}`")), F.lit("VOID")) for f in self.fields})
-        return got.withColumns({f"text {f}": F.when(F.col(f"`kind {f}`") != "BOOLEAN", F.try_variant_get(F.col(f"`field {f}`"), "$", "string")) for f in self.fields})
+        """The rows with the kind and the text of each field used; null where the variant is null, which costs nothing."""
+        of = lambda what, f: f"{what} {self.name}.{f}"
+        got = rows.withColumns({of("field", f): F.try_variant_get(variant, f"$.{f}", "variant") for f in self.fields})
+        got = got.withColumns({of("kind", f): F.nullif(F.schema_of_variant(F.col(f"`{of('field', f)}`")), F.lit("VOID")) for f in self.fields})
+        return got.withColumns({of("text", f): F.when(F.col(f"`{of('kind', f)}`") != "BOOLEAN", F.try_variant_get(F.col(f"`{of('field', f)}`"), "$", "string")) for f in self.fields})
 
     def kind(self, field: str) -> Column:
         """STRING, BIGINT, DOUBLE, DECIMAL(…), BOOLEAN and so on; null for a missing field or a null."""
         self.fields[field] = None
-        return F.col(f"`kind {field}`")
+        return F.col(f"`kind {self.name}.{field}`")
 
     def _as_text(self, field: str) -> Column:
-        return F.col(f"`text {field}`")
+        return F.col(f"`text {self.name}.{field}`")
 
     def text(self, field: str) -> Column:
         return F.when(self.kind(field) == "STRING", self._as_text(field))
@@ -145,21 +147,29 @@ def broken(record: Record, rules: list[Rule]) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def _issue_rows(rows: DataFrame, record: Record, variant: Column, found: Column, key: str) -> DataFrame:
-    key_of = F.coalesce(F.try_variant_get(variant, f"$.{key}", "string"), F.lit("<missing-record-key>"))
-    got = record.unpacked(rows.withColumn("the key", key_of), variant)
-    return got.select(F.col("the key").alias("record_key"), F.explode(found).alias("i")).select("record_key", F.lit("validate").alias("stage"), "i.reason_code", F.lit("error").alias("severity"), "i.field_path")
+_KEY = "the key"
+
+
+def _issue_rows(rows: DataFrame, found: Column) -> DataFrame:
+    got = rows.select(F.coalesce(_KEY, F.lit("<missing-record-key>")).alias("record_key"), F.explode(found).alias("i"))
+    return got.select("record_key", F.lit("validate").alias("stage"), "i.reason_code", F.lit("error").alias("severity"), "i.field_path")
 
 
 def staging_issues(rows: DataFrame, kind: str = "record_type", record: str = "record") -> DataFrame:
     """(record_key, stage, reason_code, severity, field_path) of all broken rules of rows (record_type, record: a variant)."""
-    r, k = Record(), F.col(kind)
-    unknown = [("unknown_record_type", "record_type", lambda _: ~F.coalesce(k.isin(*BY_TYPE), F.lit(False)))]
-    of_type = F.coalesce(*[F.when(k == name, broken(r, rules)) for name, rules in BY_TYPE.items()], broken(r, unknown))
-    return _issue_rows(rows.select(kind, record), r, F.col(record), F.concat(broken(r, COMMON), of_type), "record_key")
+    v, k = F.col(record), F.col(kind)
+    known = F.coalesce(k.isin(*BY_TYPE), F.lit(False))
+    common, of_type = Record(), {name: Record(name) for name in BY_TYPE}
+    parts = [F.when(k == name, broken(of_type[name], rules)) for name, rules in BY_TYPE.items()]
+    found = F.concat(broken(common, COMMON), F.coalesce(*parts, broken(common, [("unknown_record_type", "record_type", lambda _: ~known)])))
+    got = common.unpacked(rows.select(kind, record, F.try_variant_get(v, "$.record_key", "string").alias(_KEY)), v)
+    for name, r in of_type.items():
+        got = r.unpacked(got, F.when(k == name, v))
+    return _issue_rows(got, found)
 
 
 def registry_issues(rows: DataFrame, record: str = "record") -> DataFrame:
     """As staging_issues, for entries of the source registry; their key is the source."""
     r = Record()
-    return _issue_rows(rows.select(record), r, F.col(record), broken(r, REGISTRY), "source_id")
+    found = broken(r, REGISTRY)
+    return _issue_rows(r.unpacked(rows.select(record, F.try_variant_get(F.col(record), "$.source_id", "string").alias(_KEY)), F.col(record)), found)
