@@ -132,8 +132,8 @@ def distribution_status(m: Column) -> Column:
 
 
 def decode_value(num: Column, text: Column, boolean: Column, json: Column) -> Column:
-    """The one set value as text; JSON wins, then number, text, boolean."""
-    return F.coalesce(json, num.cast("string"), text, boolean.cast("string"))
+    """The value as text: JSON (but for a JSON null) wins, then number, text, boolean."""
+    return F.coalesce(F.when(json != "null", json), num.cast("string"), text, boolean.cast("string"))
 
 
 def category(c: Column) -> Column:
@@ -179,3 +179,44 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b)))
+
+
+def label(code: Column, labels: dict[str, str], missing: tuple[str, ...] = ("", "NA", "NULL", "none")) -> Column:
+    """The label of a code: "no data" for null and null-like tokens, "unknown" for a code without one."""
+    known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    token = F.trim(code)
+    return F.when(token.isNull() | F.lower(token).isin(*[m.lower() for m in missing]), "no data").otherwise(F.coalesce(F.try_element_at(known, token), F.lit("unknown")))
+
+
+def distribution_text(shares: Column, labels: dict[str, str]) -> Column:
+    """The positive shares of a map as text, the largest first (ties by key): "name 60%, other 40%"; null where there is none."""
+    known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    entries = F.filter(F.map_entries(shares), lambda e: e["value"] > 0)
+    ordered = F.array_sort(F.transform(entries, lambda e: F.struct((-e["value"]).alias("order"), e["key"].alias("key"))))
+    number = lambda x: F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(F.round(x, 1).cast("string"))
+    text = F.transform(ordered, lambda e: F.concat(F.coalesce(F.try_element_at(known, e["key"]), e["key"]), F.lit(" "), number(-e["order"]), F.lit("%")))
+    return F.when(F.size(text) > 0, F.array_join(text, ", "))
+
+
+def listed_as_inferred(fields: Column, name: Column) -> Column:
+    """Whether a name stands in a list of inferred fields between semicolons, blanks and case aside; false for a null list."""
+    return F.coalesce(F.array_contains(F.transform(F.split(fields, ";"), lambda x: F.lower(F.trim(x))), F.lower(name)), F.lit(False))
+
+
+def ordinal(code: Column, names: dict[int, str]) -> Column:
+    """(value, issue) of a number that stands for a step: an unknown one is an issue and has no value, null tokens have neither."""
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    token = null_token(code)
+    value = F.try_element_at(known, token.try_cast("int"))
+    return F.struct(value.alias("value"), F.when(token.isNotNull() & value.isNull(), "unknown_code").alias("issue"))
+
+
+def whole_number(c: Column) -> Column:
+    """A whole number over 0 from text ("12", "12.0"); null tokens and all else give null."""
+    x = positive_number(c)
+    return F.when(x == F.floor(x), x.cast("long"))
+
+
+def canonical_json(names: list[str]) -> Column:
+    """The named columns as JSON with keys in alphabetical order, nulls included: equal records have equal texts."""
+    return F.to_json(F.struct(*[F.col(f"`{n}`").alias(n) for n in sorted(names)]), {"ignoreNullFields": "false"})

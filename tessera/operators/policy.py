@@ -42,6 +42,21 @@ def gate(rows: DataFrame, measures: dict[str, Column], failures: list[tuple[str,
     return m.withColumn("ready", F.col("reasons") == "")
 
 
+def run_gates(rows: DataFrame, keys: list[str], measures: dict[str, Column], page_limit: int, most_rejected: float = 0.25) -> DataFrame:
+    """One row a run: measures (raw, rejected, pages, page_errors, complete), ready, and the failed gates: page_error, no_records, none_valid,
+    reject_ratio over most_rejected, and truncated where the pages reach their limit before the source is complete."""
+    m = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
+    failures = [
+        ("page_error", F.col("page_errors") > 0),
+        ("no_records", F.col("raw") == 0),
+        ("none_valid", F.col("raw") == F.col("rejected")),
+        ("reject_ratio", F.col("rejected") > most_rejected * F.col("raw")),
+        ("truncated", ~F.col("complete") & (F.col("pages") >= page_limit)),
+    ]
+    m = m.withColumn("reasons", F.array_join(reasons(failures), ","))
+    return m.withColumn("ready", F.col("reasons") == "")
+
+
 def manifest_mismatch(actual: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, reason) of files that differ from a manifest of path, sha256 and bytes."""
     j = actual.select("path", F.col("sha256").alias("a_sha"), F.col("bytes").alias("a_bytes")).join(manifest, "path", "full")

@@ -33,7 +33,7 @@ def src02(spark, d):
     p = _path(spark, "arrays")
     rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.array(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")))).alias("value"))
     rows.select("value").repartition(5).write.option("lineSep", " ").option("maxRecordsPerFile", 1).text(p)
-    return readers.positional_arrays(spark, p, ["key", "name", "region"]).filter("key is not null").select("key", "name", "region")
+    return readers.positional_arrays(spark, p, ["key", "name", "region"], table(spark, d, "nation").count()).select("key", "name", "region")
 
 
 @query("src03_single_byte_table", r"SELECT doc_id, lang, regexp_replace(text, '[^\x{0}-\x{FF}]', '?', 'g') AS text FROM documents")
@@ -101,14 +101,19 @@ def src06_errors(spark, d):
     return _paged(spark, d)[1]
 
 
-@query("src07_bindings", "SELECT p_partkey, p_name AS label FROM part WHERE p_partkey % 6 <> 0")
+_ENVELOPE = """'{"results":{"bindings":[' || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '{"item":{"value":"' || p_partkey || '"}' || CASE WHEN p_partkey % 6 <> 0 THEN ',"label":{"value":"' || p_name || '"}' ELSE '' END || '}' END || ']}}'"""
+_ANSWER = f"CASE p_partkey % 50 WHEN 11 THEN '{{' WHEN 12 THEN '{{\"results\":{{}}}}' WHEN 13 THEN '[]' ELSE {_ENVELOPE} END"
+
+
+@query("src07_bindings", """SELECT p_partkey, CASE WHEN p_partkey % 50 IN (11, 12, 13) THEN 'malformed' WHEN p_partkey % 7 = 0 THEN 'empty' WHEN p_partkey % 6 = 0 THEN 'unlabelled' ELSE 'bound' END AS status,
+  CASE WHEN p_partkey % 50 NOT IN (11, 12, 13) AND p_partkey % 7 <> 0 AND p_partkey % 6 <> 0 THEN p_name END AS label FROM part""")
 def src07(spark, d):
+    """One answer a part: broken JSON, an envelope without bindings, an array, an empty result, a binding without a label, and good ones."""
     p = _path(spark, "bindings")
-    item = F.struct(F.struct(F.col("p_partkey").cast("string").alias("value")).alias("item"), F.when(F.col("p_partkey") % 6 != 0, F.struct(F.col("p_name").alias("value"))).alias("label"))
-    table(spark, d, "part").groupBy((F.col("p_partkey") % 16).alias("g")).agg(F.struct(F.collect_list(item).alias("bindings")).alias("results")).select("results").write.json(p)
-    rows = spark.read.schema("results struct<bindings array<struct<item struct<value string>, label struct<value string>>>>").json(p)
-    b = rows.select(F.explode("results.bindings").alias("b"))
-    return b.filter("b.label.value is not null").select(F.col("b.item.value").cast("long").alias("p_partkey"), F.col("b.label.value").alias("label"))
+    table(spark, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit("\t"), F.expr(_ANSWER)).alias("value")).write.text(p)
+    lines = spark.read.text(p).select(F.split("value", "\t", 2).alias("c")).select(F.col("c")[0].cast("long").alias("p_partkey"), F.col("c")[1].alias("answer"))
+    b = readers.bindings(lines, "answer", "item struct<value string>, label struct<value string>")
+    return b.select("p_partkey", F.when(F.col("status") != "bound", F.col("status")).when(F.col("b.label.value").isNull(), "unlabelled").otherwise("bound").alias("status"), F.col("b.label.value").alias("label"))
 
 
 @query("src08_paragraph_chunks", "SELECT doc_id AS id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal, l AS text, sha256(l) AS content_hash FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(l) <> ''")

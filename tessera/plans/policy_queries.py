@@ -111,10 +111,17 @@ def val06(spark, d):
     return policy.distribution_issues(_shares(spark, d), "entity", F.col("shares"))
 
 
-@query("val07_measurements", "SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 1) OR c_acctbal <= 0 THEN NULL ELSE c_acctbal END AS value, c_custkey % 5 IN (0, 1) AS missing FROM customer")
+_RAW_MEASURE = "CASE c_custkey % 9 WHEN 0 THEN 'NA' WHEN 1 THEN ' ' WHEN 2 THEN 'Infinity' WHEN 3 THEN 'ten' WHEN 4 THEN CAST(c_custkey AS VARCHAR(20)) WHEN 5 THEN ' 12.0 ' WHEN 6 THEN '12.5' WHEN 7 THEN '-3' ELSE 'NaN' END"
+
+
+@query("val07_measurements", f"""WITH r AS (SELECT c_custkey, trim({_RAW_MEASURE}) AS t FROM customer), n AS (SELECT *, t IN ('', 'NA') AS missing, try_cast(t AS DOUBLE) AS x FROM r)
+SELECT c_custkey, CASE WHEN NOT missing AND x > 0 AND isfinite(x) THEN x END AS value, CASE WHEN NOT missing AND x > 0 AND isfinite(x) AND x = floor(x) THEN x::BIGINT END AS sample_size, missing,
+  CASE WHEN missing THEN NULL WHEN x IS NULL OR NOT isfinite(x) OR NOT x > 0 THEN 'invalid_measurement' WHEN x <> floor(x) THEN 'sample_size_not_whole' END AS issue FROM n""")
 def val07(spark, d):
-    raw = F.when(F.col("c_custkey") % 5 == 0, "NA").when(F.col("c_custkey") % 5 == 1, " ").otherwise(F.col("c_acctbal").cast("string"))
-    return table(spark, d, "customer").select("c_custkey", raw.alias("raw")).select("c_custkey", S.positive_number(F.col("raw")).alias("value"), S.null_token(F.col("raw")).isNull().alias("missing"))
+    """Null tokens, infinities, words, whole numbers with and without a point, fractions and numbers below 0."""
+    r = table(spark, d, "customer").select("c_custkey", F.expr(_RAW_MEASURE).alias("raw"))
+    v = r.select("c_custkey", S.positive_number(F.col("raw")).alias("value"), S.whole_number(F.col("raw")).alias("sample_size"), S.null_token(F.col("raw")).isNull().alias("missing"))
+    return v.withColumn("issue", F.when(F.col("missing"), None).when(F.col("value").isNull(), "invalid_measurement").when(F.col("sample_size").isNull(), "sample_size_not_whole"))
 
 
 @query("val08_vectors", "WITH v AS (SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN list_transform(embedding, lambda x: 0.0::FLOAT) WHEN 1 THEN list_transform(embedding, lambda x: 2 * x) WHEN 2 THEN embedding[1:63] ELSE embedding END AS e FROM embeddings) SELECT CASE WHEN len(e) <> 64 THEN 'wrong_length' WHEN vec_id % 5 = 0 THEN 'zero_norm' WHEN vec_id % 5 = 1 THEN 'not_unit' END AS issue, count(*)::BIGINT AS n FROM v GROUP BY 1")
@@ -145,9 +152,14 @@ def gate01(spark, d):
 _BAD = "individual_count < 0 OR licence = 'all rights reserved'"
 
 
-@query("gate02_reject_ratio", f"WITH {with_sql('observation')} SELECT count(*)::BIGINT AS raw, count(*) FILTER ({_BAD})::BIGINT AS rejected, count(DISTINCT external_id)::BIGINT AS pages, CASE WHEN count(*) FILTER ({_BAD}) > 0.25 * count(*) THEN 'reject_ratio' ELSE '' END AS reasons, NOT count(*) FILTER ({_BAD}) > 0.25 * count(*) AS ready FROM observation")
+@query("gate02_reject_ratio", f"""WITH {with_sql('observation')}, p AS (SELECT entity % 5 AS run, external_id % 40 AS page, observation, {_BAD} AS bad, external_id % 40 = 7 AND entity % 5 = 1 AS failed FROM observation),
+m AS (SELECT run, count(*) FILTER (NOT failed)::BIGINT AS raw, count(*) FILTER (bad AND NOT failed)::BIGINT AS rejected, count(DISTINCT page)::BIGINT AS pages, count(DISTINCT CASE WHEN failed THEN page END)::BIGINT AS page_errors, bool_or(run <> 2) AS complete FROM p GROUP BY 1)
+SELECT run, raw, rejected, pages, page_errors, concat_ws(',', CASE WHEN page_errors > 0 THEN 'page_error' END, CASE WHEN raw = 0 THEN 'no_records' END, CASE WHEN raw = rejected THEN 'none_valid' END, CASE WHEN rejected > 0.25 * raw THEN 'reject_ratio' END, CASE WHEN NOT complete AND pages >= 20 THEN 'truncated' END) AS reasons FROM m""")
 def gate02(spark, d):
-    return policy.gate(observation(spark, d), {"raw": F.count("*"), "rejected": F.count_if(F.expr(_BAD)), "pages": F.count_distinct("external_id")}, [("reject_ratio", F.col("rejected") > 0.25 * F.col("raw"))])
+    """Runs of pages: one with a failed page, one that ends at its page limit, and all with their share of rejects."""
+    o = observation(spark, d).select((F.col("entity") % 5).alias("run"), (F.col("external_id") % 40).alias("page"), F.expr(_BAD).alias("bad"), ((F.col("external_id") % 40 == 7) & (F.col("entity") % 5 == 1)).alias("failed"))
+    measures = {"raw": F.count_if(~F.col("failed")), "rejected": F.count_if(F.col("bad") & ~F.col("failed")), "pages": F.count_distinct("page"), "page_errors": F.count_distinct(F.when(F.col("failed"), F.col("page"))), "complete": F.bool_or(F.col("run") != 2)}
+    return policy.run_gates(o, ["run"], measures, page_limit=20).drop("complete", "ready")
 
 
 _SNAPSHOT = "CASE WHEN p_partkey % 97 = 5 THEN ' ' WHEN p_partkey % 101 = 7 THEN NULL ELSE p_name END"
@@ -219,34 +231,51 @@ def fn14(spark, d):
     return table(spark, d, "events").select("event_id", S.share(F.from_json("props", "map<string,double>"), ["k", "k", "missing"]).alias("share"))
 
 
-@query("fn15_decoded_values", f"WITH {with_sql('claim')} SELECT claim, CASE WHEN value_num IS NULL THEN value_text END AS text_value, value_num FROM claim")
+_NUM, _BOOL, _DOC = "CASE WHEN p_partkey % 5 = 0 THEN p_size END", "CASE WHEN p_partkey % 3 = 0 THEN p_size > 25 END", "CASE p_partkey % 7 WHEN 0 THEN '{\"a\":1}' WHEN 1 THEN 'null' END"
+
+
+@query("fn15_decoded_values", f"SELECT p_partkey, coalesce(nullif({_DOC}, 'null'), ({_NUM})::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN p_name END, ({_BOOL})::VARCHAR) AS value FROM part")
 def fn15(spark, d):
-    v = S.decode_value(F.lit(None), F.col("value_text"), F.lit(None).cast("boolean"), F.lit(None).cast("string"))
-    return claim(spark, d).select("claim", v.alias("text_value"), "value_num")
+    """JSON over numbers, numbers over texts, texts over flags; a JSON null counts as none."""
+    return table(spark, d, "part").select("p_partkey", S.decode_value(F.expr(_NUM), F.expr("CASE WHEN p_partkey % 2 = 0 THEN p_name END"), F.expr(_BOOL), F.expr(_DOC)).alias("value"))
+
 
+_CODE = "CASE p_partkey % 8 WHEN 0 THEN ' NA ' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'D' WHEN 4 THEN 'null' WHEN 5 THEN 'A ' WHEN 6 THEN 'B' ELSE 'C' END"
+_PARTS = ("p_partkey % 5 * 10", "p_size % 3 * 12.5", "p_partkey % 2 * 30")
 
-@query("fn16_code_labels", f"WITH {with_sql('claim')}, l(certainty, label) AS (VALUES ('A', 'certain'), ('B', 'likely'), ('C', 'possible')) SELECT coalesce(label, 'unknown') AS label, count(*)::BIGINT AS n FROM claim LEFT JOIN l USING (certainty) GROUP BY 1")
+
+@query("fn16_code_labels", f"""WITH c AS (SELECT p_partkey, trim({_CODE}) AS c FROM part), e AS (SELECT p_partkey, unnest([{{'v': ({_PARTS[0]})::DOUBLE, 'k': 'a'}}, {{'v': ({_PARTS[1]})::DOUBLE, 'k': 'b'}}, {{'v': ({_PARTS[2]})::DOUBLE, 'k': 'c'}}], recursive := true) FROM part),
+t AS (SELECT p_partkey, string_agg(CASE k WHEN 'a' THEN 'north' WHEN 'b' THEN 'south' ELSE k END || ' ' || CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE round(v, 1)::VARCHAR END || '%', ', ' ORDER BY v DESC, k) AS text FROM e WHERE v > 0 GROUP BY 1)
+SELECT c.p_partkey, CASE WHEN c IS NULL OR lower(c) IN ('', 'na', 'null', 'none') THEN 'no data' ELSE coalesce(CASE c WHEN 'A' THEN 'certain' WHEN 'B' THEN 'likely' WHEN 'C' THEN 'possible' END, 'unknown') END AS label, t.text AS shares FROM c LEFT JOIN t USING (p_partkey)""")
 def fn16(spark, d):
-    labels = F.create_map(*map(F.lit, ("A", "certain", "B", "likely", "C", "possible")))
-    return claim(spark, d).groupBy(F.coalesce(F.try_element_at(labels, F.col("certainty")), F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"))
+    """Codes with blanks, null-like tokens and one without a label; shares as text, the largest first."""
+    shares = F.create_map(*[x for k, e in zip("abc", _PARTS, strict=True) for x in (F.lit(k), F.expr(e).cast("double"))])
+    return table(spark, d, "part").select("p_partkey", S.label(F.expr(_CODE), {"A": "certain", "B": "likely", "C": "possible"}).alias("label"), S.distribution_text(shares, {"a": "north", "b": "south"}).alias("shares"))
+
+
+_INFERRED = "CASE entity % 4 WHEN 0 THEN ' Size; HABITAT ' WHEN 1 THEN 'price' WHEN 2 THEN NULL ELSE '' END"
 
 
-@query("fn17_inferred_flags", f"WITH {with_sql('claim')} SELECT trait, certainty, CASE WHEN trait = 'diet' THEN certainty = 'D' ELSE trait IN ('size', 'habitat') END AS inferred, count(*)::BIGINT AS n FROM claim GROUP BY 1, 2, 3")
+@query("fn17_inferred_flags", f"""WITH {with_sql('claim')} SELECT claim, CASE WHEN trait = 'diet' THEN certainty = 'D' ELSE coalesce(list_contains(list_transform(string_split({_INFERRED}, ';'), lambda x: lower(trim(x))), trait), false) END AS inferred FROM claim""")
 def fn17(spark, d):
-    fields = F.transform(F.split(F.lit(" Size; habitat"), ";"), lambda x: F.lower(F.trim(x)))
-    flag = F.when(F.col("trait") == "diet", F.col("certainty") == "D").otherwise(F.array_contains(fields, F.col("trait")))
-    return claim(spark, d).groupBy("trait", "certainty", flag.alias("inferred")).agg(F.count("*").alias("n"))
+    flag = F.when(F.col("trait") == "diet", F.col("certainty") == "D").otherwise(S.listed_as_inferred(F.expr(_INFERRED), F.col("trait")))
+    return claim(spark, d).select("claim", flag.alias("inferred"))
+
+
+_STEP = "CASE p_size % 6 WHEN 4 THEN 'NA' WHEN 5 THEN 'x' ELSE CAST(p_size % 6 AS VARCHAR(5)) END"
 
 
-@query("fn18_ordinal_codes", "SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN 'dense' WHEN 2 THEN 'semi_open' WHEN 3 THEN 'open' END AS density, p_size % 4 = 0 AS unknown_code FROM part")
+@query("fn18_ordinal_codes", f"SELECT p_partkey, CASE c WHEN '1' THEN 'dense' WHEN '2' THEN 'semi_open' WHEN '3' THEN 'open' END AS density, CASE WHEN c <> 'NA' AND c NOT IN ('1', '2', '3') THEN 'unknown_code' END AS issue FROM (SELECT p_partkey, {_STEP} AS c FROM part)")
 def fn18(spark, d):
-    m = F.create_map(*[F.lit(x) for kv in ((1, "dense"), (2, "semi_open"), (3, "open")) for x in kv])
-    return table(spark, d, "part").select("p_partkey", F.try_element_at(m, F.col("p_size") % 4).alias("density")).withColumn("unknown_code", F.col("density").isNull())
+    step = S.ordinal(F.expr(_STEP), {1: "dense", 2: "semi_open", 3: "open"})
+    return table(spark, d, "part").select("p_partkey", step.alias("o")).select("p_partkey", F.col("o.value").alias("density"), "o.issue")
 
 
-@query("fn19_content_hashes", "SELECT p_partkey, sha256(p_name || chr(31) || p_type || chr(31) || p_size) AS digest FROM part")
+@query("fn19_content_hashes", """SELECT p_partkey, sha256(p_name || chr(31) || p_type || chr(31) || p_size) AS digest,
+  sha256('{"brand":' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE '"' || p_brand || '"' END || ',"name":"' || p_name || '","size":' || p_size || '}') AS record_digest FROM part""")
 def fn19(spark, d):
-    return table(spark, d, "part").select("p_partkey", S.content_hash(F.col("p_name"), F.col("p_type"), F.col("p_size")).alias("digest"))
+    p = table(spark, d, "part").select("p_partkey", "p_type", F.col("p_size").alias("size"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).alias("brand"))
+    return p.select("p_partkey", S.content_hash(F.col("name"), F.col("p_type"), F.col("size")).alias("digest"), F.sha2(S.canonical_json(["size", "name", "brand"]), 256).alias("record_digest"))
 
 
 @query("fn20_evidence_urls", "SELECT p_partkey, 'https://example.org/record?name=' || replace(p_name, ' ', '+') AS url FROM part")

@@ -245,10 +245,15 @@ def ag06(spark, d):
     return observation(spark, d).groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("place")), ",").alias("places"), F.max_by("place", F.struct("ts", "observation")).alias("latest"), F.count("*").alias("n"))
 
 
-@query("ag07_category_shares", "SELECT p_type, count(*)::BIGINT AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM part GROUP BY 1")
+@query("ag07_category_shares", """WITH p AS (SELECT p_partkey % 700 AS id, p_type, p_partkey % 23 <> 0 AS valid FROM part), n AS (SELECT id, count(*) AS copies FROM p WHERE valid GROUP BY 1)
+SELECT p_type, count(*)::BIGINT AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share, count(*) FILTER (NOT valid)::BIGINT AS invalid, count(*) FILTER (valid AND copies > 1)::BIGINT AS duplicates FROM p LEFT JOIN n USING (id) GROUP BY 1""")
 def ag07(spark, d):
-    p = table(spark, d, "part")
-    return p.groupBy("p_type").agg(F.count("*").alias("n")).crossJoin(p.agg(F.count("*").alias("t"))).select("p_type", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+    """Categories with their shares, rows without a valid identity and rows whose id stands elsewhere too."""
+    p = table(spark, d, "part").select((F.col("p_partkey") % 700).alias("id"), "p_type", (F.col("p_partkey") % 23 != 0).alias("valid"))
+    copies = p.filter("valid").groupBy("id").agg(F.count("*").alias("copies"))
+    g = p.join(copies, "id", "left").groupBy("p_type").agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if(F.col("valid") & (F.col("copies") > 1)).alias("duplicates"))
+    total = F.sum("n").over(Window.partitionBy())  # a row a category
+    return g.withColumn("share", F.round(F.col("n") / total, 6))
 
 
 @query("ag08_coverage_matrix", f"WITH {with_sql('claim')} SELECT trait, count(*) FILTER (inferred = false)::BIGINT AS exact, count(*) FILTER (inferred)::BIGINT AS inferred, count(*) FILTER (inferred IS NULL)::BIGINT AS unknown FROM claim GROUP BY 1")

@@ -14,8 +14,13 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def positional_arrays(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Files that each hold a JSON array of equally long arrays: columns by position, pos keeps the order; another width fails."""
+def positional_arrays(spark: SparkSession, path: str, names: list[str], expected_rows: int | None = None) -> DataFrame:
+    """Files that each hold a JSON array of equally long arrays: columns by position, pos keeps the order; another width fails, and so does
+    another number of rows than expected_rows, where it is given."""
+    if expected_rows is not None:
+        got = spark.read.text(path, wholetext=True).agg(F.sum(F.size(F.from_json("value", "array<array<string>>")))).first()[0] or 0
+        if got != expected_rows:
+            raise ValueError(f"{got} rows instead of {expected_rows}")
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("pos", "r"))
     checked = F.when(F.size("r") == len(names), F.col("r")).otherwise(F.raise_error(F.lit("row width differs from the header")).cast("array<string>"))
     return rows.select("pos", checked.alias("r")).select("pos", *[F.col("r")[i].alias(n) for i, n in enumerate(names)])
@@ -75,6 +80,15 @@ def pages(spark: SparkSession, path: str, result_schema: str) -> tuple[DataFrame
     return p.filter("results is not null").select("page", "page_hash", F.explode("results").alias("r")).select("page", "page_hash", "r.*"), p.filter("results is null").select("page")
 
 
+def bindings(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """rows with status and b, one for each binding of a query-result envelope in `column` (JSON text): bound; empty (a good envelope
+    without results) and malformed (no JSON, or no array at results.bindings) come once and have no b."""
+    parsed = F.from_json(column, f"results struct<bindings array<struct<{schema}>>>", {"mode": "PERMISSIVE"})
+    found = parsed["results"]["bindings"]
+    status = F.when(found.isNull(), "malformed").when(F.size(found) == 0, "empty").otherwise("bound")
+    return rows.withColumn("status", status).withColumn("b", F.explode_outer(found))
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, ordinal, text, content_hash): non-blank lines in order."""
     t = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "text")).filter(F.trim("text") != "")
