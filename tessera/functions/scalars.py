@@ -14,7 +14,9 @@ ALLOWED_LICENCES = ("http://creativecommons.org/publicdomain/zero/1.0/", "http:/
 POLICY_STATES = ("allowed", "restricted", "review_required", "denied")
 NULL_TOKENS = ("", "NA")
 #: Fixed value: keys that hold secrets.
-SECRET_KEY = "(?i)(authorization|password|secret|token|api_?key|cookie)"
+# Parts of keys that name secrets, and the bounds of a redacted payload.
+SECRET_PARTS = ("api_key", "apikey", "api-key", "private_key", "secret", "password", "passwd", "authorization", "credential", "bearer", "cookie")
+MOST_TEXT, MOST_ITEMS = 2000, 50
 
 
 @F.pandas_udf(StringType())
@@ -168,10 +170,23 @@ def caption(c: Column, most: int = 72) -> Column:
     return F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t)
 
 
-def redact(m: Column, longest: int = 2000) -> Column:
-    """A string map without entries under secret keys, values cut to `longest` characters."""
-    kept = F.map_filter(m, lambda k, v: ~k.rlike(SECRET_KEY))
-    return F.transform_values(kept, lambda k, v: F.substring(v, 1, longest))
+def cut_text(c: Column, longest: int = MOST_TEXT) -> Column:
+    return F.when(F.length(c) > longest, F.concat(F.substring(c, 1, longest), F.lit("...[truncated]"))).otherwise(c)
+
+
+def redact(m: Column, most: int = MOST_ITEMS) -> Column:
+    """A string map for a log: values of keys that name a secret (or end with "token") are "[redacted]", others are cut; past its first `most`
+    entries a map ends with the key "[truncated]"."""
+    secret = lambda k: F.lower(k).rlike("|".join(SECRET_PARTS)) | F.lower(k).endswith("token")
+    entries = F.transform(F.slice(F.map_entries(m), 1, most), lambda e: F.struct(e["key"].alias("key"), F.when(secret(e["key"]), "[redacted]").otherwise(cut_text(e["value"])).alias("value")))
+    more = F.when(F.size(m) > most, F.array(F.struct(F.lit("[truncated]").alias("key"), F.lit("true").alias("value")))).otherwise(F.slice(entries, 1, 0))
+    return F.map_from_entries(F.concat(entries, more))
+
+
+def redact_items(items: Column, most: int = MOST_ITEMS) -> Column:
+    """The first `most` texts of an array, each cut, and "[truncated]" where there were more."""
+    kept = F.transform(F.slice(items, 1, most), lambda x: cut_text(x))
+    return F.when(F.size(items) > most, F.concat(kept, F.array(F.lit("[truncated]")))).otherwise(kept)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -155,3 +155,13 @@ def select_points(points: DataFrame, scopes: tuple[str, ...], scope: str | None
         raise ValueError(f"unknown scope: {scope}")
     rows = points if scope is None else points.filter(F.col("scope") == scope)
     return rows if include_blocked else rows.filter("collectable")
+
+
+def answer_contracts(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """(q, contract): ok, or what an answer (q, conditions, scope, ok) misses of its case (q, conditions, scope): no_answer, status, scope or
+    conditions, which are equal as multisets, in any order."""
+    bag = lambda c: F.array_sort(F.transform(c, lambda x: F.to_json(x)))
+    a = answers.select("q", F.col("conditions").alias("got"), F.col("scope").alias("got_scope"), "ok")
+    j = cases.join(a, "q", "left")
+    contract = F.when(F.col("ok").isNull(), "no_answer").when(~F.col("ok"), "status").when(~F.col("got_scope").eqNullSafe(F.col("scope")), "scope").when(bag("got") != bag("conditions"), "conditions").otherwise("ok")
+    return j.select("q", contract.alias("contract"))

@@ -42,6 +42,16 @@ def gate(rows: DataFrame, measures: dict[str, Column], failures: list[tuple[str,
     return m.withColumn("ready", F.col("reasons") == "")
 
 
+def answer_issues(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """answers (cited, text, …) with unknown_citation, and private_value where the text holds the private value of what it cites.
+
+    evidence: cited (unique), private (null where nothing is private). An answer is refused where either holds.
+    """
+    j = answers.join(evidence.select("cited", F.lit(True).alias("_known"), F.col("private").cast("string").alias("_private")), "cited", "left")
+    leaks = F.coalesce((F.col("_private") != "") & F.contains("text", "_private"), F.lit(False))
+    return j.withColumns({"unknown_citation": F.col("_known").isNull(), "private_value": leaks}).drop("_known", "_private")
+
+
 def run_gates(rows: DataFrame, keys: list[str], measures: dict[str, Column], page_limit: int, most_rejected: float = 0.25) -> DataFrame:
     """One row a run: measures (raw, rejected, pages, page_errors, complete), ready, and the failed gates: page_error, no_records, none_valid,
     reject_ratio over most_rejected, and truncated where the pages reach their limit before the source is complete."""
@@ -57,6 +67,33 @@ def run_gates(rows: DataFrame, keys: list[str], measures: dict[str, Column], pag
     return m.withColumn("ready", F.col("reasons") == "")
 
 
+def relation_issues(records: DataFrame, kinds: tuple[str, ...], types: tuple[str, ...], own_type: dict[str, str], other_type: str, most_terms: int = 12, longest: int = 200) -> DataFrame:
+    """(id, issue) of a manifest of name relations (id, entity_id, entity_kind, relation_type, name, scientific_name, note, terms, urls, titles).
+
+    Ids are given and unique; kinds and types are known ones and agree (own_type by kind, else other_type); texts are not blank; there
+    are 1 to most_terms trimmed terms; an entity has one definition (name, kind, terms); citations are titled https URLs.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    copies = records.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_copies"))
+    shape = F.to_json(F.struct("name", "entity_kind", F.array_sort(F.transform("terms", lambda t: F.lower(t))).alias("terms")))
+    ways = records.groupBy(F.col("entity_id").alias("_entity")).agg(F.count_distinct(shape).alias("_ways"))
+    j = records.join(copies, F.col("id").eqNullSafe(F.col("_id")), "left").join(ways, F.col("entity_id").eqNullSafe(F.col("_entity")), "left")
+    expected = F.coalesce(*[F.when(F.col("entity_kind") == k, t) for k, t in own_type.items()], F.lit(other_type))
+    bad_term = F.exists("terms", lambda t: t.isNull() | blank(t) | (t != F.trim(t)) | (F.length(t) > longest))
+    known = F.coalesce(F.col("entity_kind").isin(*kinds) & F.col("relation_type").isin(*types), F.lit(False))
+    uri = lambda u: F.coalesce(S.web_url(u) & F.lower(u).startswith("https:"), F.lit(False))
+    rules = [
+        ("id_not_unique", blank(F.col("id")) | (F.col("_copies") > 1)),
+        ("unknown_type", ~known),
+        ("kind_and_type_disagree", known & (F.col("relation_type") != expected)),
+        ("missing_field", blank(F.col("entity_id")) | blank(F.col("name")) | blank(F.col("scientific_name")) | blank(F.col("note"))),
+        ("invalid_terms", F.coalesce(~F.size("terms").between(1, most_terms) | bad_term, F.lit(True))),
+        ("conflicting_definition", F.col("_ways") > 1),
+        ("invalid_citation", F.coalesce((F.size("urls") < 1) | F.exists("urls", lambda u: ~uri(u)) | F.exists("titles", blank) | (F.size("urls") != F.size("titles")), F.lit(True))),
+    ]
+    return j.select("id", F.explode(reasons(rules)).alias("issue"))
+
+
 def manifest_mismatch(actual: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, reason) of files that differ from a manifest of path, sha256 and bytes."""
     j = actual.select("path", F.col("sha256").alias("a_sha"), F.col("bytes").alias("a_bytes")).join(manifest, "path", "full")

@@ -15,11 +15,15 @@ from .relation_queries import _XW, _crosswalk
 from .stand_ins import claim, entity, table, with_sql
 
 
-@query("fn22_agreed_names", "SELECT p.p_partkey, CASE WHEN p.p_partkey % 4 <> 1 AND p.p_partkey % 2 = 0 THEN 'local ' || p.p_brand END AS local FROM part p")
+@query("fn22_agreed_names", """WITH r AS (SELECT p_partkey + CASE WHEN p_partkey % 8 = 6 THEN 1 ELSE 0 END AS id, CASE WHEN p_partkey % 8 = 2 THEN 'other' ELSE p_name END AS scientific, CASE WHEN p_partkey % 8 = 4 THEN 'Other' ELSE p_brand END AS english, 'local ' || p_partkey AS local FROM part WHERE p_partkey % 2 = 0)
+SELECT p.p_partkey, CASE WHEN r.scientific = p.p_name AND r.english = p.p_brand THEN r.local END AS local, CASE WHEN r.id IS NULL THEN 'not_reviewed' WHEN r.scientific <> p.p_name THEN 'scientific_name_differs' WHEN r.english <> p.p_brand THEN 'english_name_differs' END AS reason FROM part p LEFT JOIN r ON r.id = p.p_partkey""")
 def fn22(spark, d):
-    p = table(spark, d, "part")
-    reviewed = p.filter("p_partkey % 2 = 0").select("p_partkey", F.when(F.col("p_partkey") % 4 == 1, "other").otherwise(F.col("p_name")).alias("seen"), F.concat(F.lit("local "), "p_brand").alias("text"))
-    return p.join(reviewed, "p_partkey", "left").select("p_partkey", F.when(F.col("seen") == F.col("p_name"), F.col("text")).alias("local"))
+    """A reviewed name holds where id, scientific and English name agree; some reviews differ in each of the three."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    reviewed = p.filter("p_partkey % 2 = 0").select((k + F.when(k % 8 == 6, 1).otherwise(0)).alias("p_partkey"), F.when(k % 8 == 2, "other").otherwise(F.col("p_name")).alias("scientific"), F.when(k % 8 == 4, "Other").otherwise(F.col("p_brand")).alias("english"), F.concat(F.lit("local "), k.cast("string")).alias("text"))
+    j = p.join(reviewed, "p_partkey", "left")
+    reason = F.when(F.col("text").isNull(), "not_reviewed").when(F.col("scientific") != F.col("p_name"), "scientific_name_differs").when(F.col("english") != F.col("p_brand"), "english_name_differs")
+    return j.select("p_partkey", F.when(reason.isNull(), F.col("text")).alias("local"), reason.alias("reason"))
 
 
 @query("fn23_summaries", f"WITH {with_sql('claim')}, r AS (SELECT *, row_number() OVER (PARTITION BY entity, trait ORDER BY claim) AS n FROM claim WHERE value_text IS NOT NULL) SELECT entity, string_agg(trait || ': ' || value_text, '; ' ORDER BY trait) AS summary FROM r WHERE n = 1 GROUP BY 1")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
-from tessera.operators import filters, policy
+from tessera.operators import filters, policy, snapshots
 
 from .registry import query
 from .stand_ins import chunk, claim, document, entity, evidence, observation, table, with_sql
@@ -65,17 +67,32 @@ def pol05(spark, d):
     return private.crossJoin(blocked)  # one row each
 
 
-@query("pol06_redaction", "SELECT event_id, CASE WHEN event_type = 'signup' THEN NULL ELSE user_id::VARCHAR END AS user_value, substr(repeat(event_type, 400), 1, 2000) AS long_value FROM events")
+_KEYS = ("user", "API_KEY", "x-api-key", "private_key_id", "Secret", "passwd2", "Authorization", "credentials", "bearer_x", "Cookies", "access_Token", "tokens", "note")
+_KEY = "CASE event_id % 13 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KEYS)) + " END"
+_SECRET = "regexp_matches(lower(key), 'api_key|apikey|api-key|private_key|secret|password|passwd|authorization|credential|bearer|cookie') OR lower(key) LIKE '%token'"
+
+
+@query("pol06_redaction", f"""WITH e AS (SELECT event_id, {_KEY} AS key, user_id::VARCHAR AS v, repeat(event_type, (100 + event_id % 400)::INTEGER) AS body, event_id % 90 AS n FROM events)
+SELECT event_id, CASE WHEN {_SECRET} THEN '[redacted]' ELSE v END AS value, CASE WHEN length(body) > 2000 THEN substr(body, 1, 2000) || '...[truncated]' ELSE body END AS body,
+  least(n, 50)::INTEGER + (n > 50)::INTEGER AS items, CASE WHEN n > 50 THEN '[truncated]' WHEN n > 0 THEN n::VARCHAR END AS last_item FROM e""")
 def pol06(spark, d):
-    m = F.create_map(F.when(F.col("event_type") == "signup", "api_key").otherwise("user"), F.col("user_id").cast("string"), F.lit("body"), F.repeat("event_type", F.lit(400)))
-    return table(spark, d, "events").select("event_id", S.redact(m).alias("m")).select("event_id", F.try_element_at("m", F.lit("user")).alias("user_value"), F.element_at("m", "body").alias("long_value"))
+    """Keys that name secrets in one way or another, bodies around the longest text, and lists around the most items."""
+    m = F.create_map(F.expr(_KEY), F.col("user_id").cast("string"), F.lit("body"), F.expr("repeat(event_type, cast(100 + event_id % 400 as int))"))
+    items = F.expr("CASE WHEN event_id % 90 = 0 THEN array() ELSE transform(sequence(1L, event_id % 90), x -> cast(x as string)) END").cast("array<string>")
+    r = table(spark, d, "events").select("event_id", F.expr(_KEY).alias("key"), S.redact(m).alias("m"), S.redact_items(items).alias("items"))
+    return r.select("event_id", F.element_at("m", F.col("key")).alias("value"), F.element_at("m", "body").alias("body"), F.size("items").alias("items"), F.try_element_at("items", F.lit(-1)).alias("last_item"))
 
 
-@query("pol07_answer_citations", "SELECT turn.conv_id, turn.turn, (turn.conv_id * 3 + turn.turn) NOT IN (SELECT doc_id FROM documents) AS unknown_citation FROM conversations turn")
+_ANSWER_TEXT = "text || CASE WHEN conv_id % 3 = 0 THEN ' at 37.' || (conv_id * 3 + turn) || '1 N' ELSE '' END"
+
+
+@query("pol07_answer_citations", f"""WITH a AS (SELECT conv_id, turn, conv_id * 3 + turn AS cited, {_ANSWER_TEXT} AS text FROM conversations), p AS (SELECT doc_id, '37.' || doc_id || '1' AS value FROM documents WHERE doc_id % 2 = 0)
+SELECT conv_id, turn, cited NOT IN (SELECT doc_id FROM documents) AS unknown_citation, EXISTS (SELECT 1 FROM p WHERE p.doc_id = cited AND contains(a.text, p.value)) AS private_value FROM a""")
 def pol07(spark, d):
-    answers = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 3 + F.col("turn")).alias("cited"))
-    known = table(spark, d, "documents").select(F.col("doc_id").alias("cited"), F.lit(True).alias("known")).distinct()
-    return answers.join(known, "cited", "left").select("conv_id", "turn", F.col("known").isNull().alias("unknown_citation"))
+    """Answers that cite documents, some unknown; some texts hold the private value of what they cite."""
+    answers = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 3 + F.col("turn")).alias("cited"), F.expr(_ANSWER_TEXT).alias("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("cited"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("37."), F.col("doc_id").cast("string"), F.lit("1"))).alias("private"))
+    return policy.answer_issues(answers, docs).select("conv_id", "turn", "unknown_citation", "private_value")
 
 
 @query("val02_partial_dates", "WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%Y-%m') WHEN 3 THEN strftime(ts, '%Y') WHEN 4 THEN strftime(ts, '%Y-%m-%d') || '/' || strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y') || '-02-30' END AS raw FROM events) SELECT event_id, raw, CASE event_id % 6 WHEN 0 THEN 'instant' WHEN 1 THEN 'day' WHEN 2 THEN 'month' WHEN 3 THEN 'year' WHEN 4 THEN 'range' ELSE 'day' END AS precision, event_id % 6 <> 5 AS ok FROM r")
@@ -131,9 +148,32 @@ def val08(spark, d):
     return table(spark, d, "embeddings").groupBy(S.vector_issue(v, 64).alias("issue")).agg(F.count("*").alias("n"))
 
 
-@query("val09_one_definition", "SELECT p_name AS name, count(DISTINCT (p_type, p_brand))::BIGINT AS definitions, count(DISTINCT (p_type, p_brand)) = 1 AS ok FROM part GROUP BY 1")
+_RELATION = {
+    "id": "CASE WHEN p_partkey % 71 = 0 THEN NULL WHEN p_partkey % 73 = 0 THEN 'r1' ELSE 'r' || p_partkey END",
+    "entity_id": "CASE WHEN p_partkey % 83 = 0 THEN ' ' WHEN p_partkey % 89 = 0 THEN 'shared' WHEN p_partkey % 10 < 2 THEN 'e' || (p_partkey - p_partkey % 10) ELSE 'e' || p_partkey END",
+    "entity_kind": "CASE WHEN p_partkey % 10 < 2 THEN 'usage' WHEN p_partkey % 3 = 0 THEN 'domestic_form' WHEN p_partkey % 29 = 0 THEN 'hybrid' ELSE 'usage' END",
+    "relation_type": "CASE WHEN p_partkey % 31 = 0 THEN 'domesticated_from' WHEN p_partkey % 10 >= 2 AND p_partkey % 3 = 0 THEN 'domesticated_from' WHEN p_partkey % 37 = 0 THEN 'kin' ELSE 'common_usage' END",
+    "name": "CASE WHEN p_partkey % 10 < 2 THEN 'pair' ELSE p_name END",
+    "scientific_name": "CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE p_type END",
+    "note": "CASE WHEN p_partkey % 43 = 0 THEN '' ELSE 'n' END",
+}
+_N_TERMS = "CASE WHEN p_partkey % 10 < 2 THEN 1 ELSE p_partkey % 14 END"
+_TERM = "CASE WHEN p_partkey % 47 = 0 THEN ' a' WHEN p_partkey % 53 = 0 THEN repeat('x', 201) WHEN p_partkey % 10 = 0 THEN 'Pair' WHEN p_partkey % 10 = 1 THEN 'pair' ELSE 't' END"
+_CITED = "CASE WHEN p_partkey % 59 = 0 THEN 'http://example.org/a' WHEN p_partkey % 61 = 0 THEN 'https://me@example.org/a' ELSE 'https://example.org/a' END"
+_TITLED = "CASE WHEN p_partkey % 67 = 0 THEN '' ELSE 'title' END"
+
+
+@query("val09_one_definition", f"""WITH r AS (SELECT p_partkey, {', '.join(f'{e} AS {c}' for c, e in _RELATION.items())}, {_N_TERMS} AS terms, {_TERM} AS term, {_CITED} AS url, {_TITLED} AS title FROM part),
+w AS (SELECT *, count(*) OVER (PARTITION BY id) AS copies FROM r), v AS (SELECT entity_id AS ent, count(DISTINCT (name, entity_kind, terms, lower(term))) AS ways FROM r GROUP BY 1),
+x AS (SELECT w.*, ways, entity_kind IN ('usage', 'domestic_form') AND relation_type IN ('common_usage', 'domesticated_from') AS known FROM w LEFT JOIN v ON ent = entity_id)
+SELECT id, unnest(list_filter([CASE WHEN id IS NULL OR copies > 1 THEN 'id_not_unique' END, CASE WHEN NOT known THEN 'unknown_type' END, CASE WHEN known AND relation_type <> CASE WHEN entity_kind = 'domestic_form' THEN 'domesticated_from' ELSE 'common_usage' END THEN 'kind_and_type_disagree' END,
+  CASE WHEN trim(entity_id) = '' OR trim(name) = '' OR coalesce(trim(scientific_name), '') = '' OR trim(note) = '' THEN 'missing_field' END, CASE WHEN NOT terms BETWEEN 1 AND 12 OR term <> trim(term) OR length(term) > 200 THEN 'invalid_terms' END,
+  CASE WHEN ways > 1 THEN 'conflicting_definition' END, CASE WHEN url NOT LIKE 'https://%' OR contains(url, '@') OR title = '' THEN 'invalid_citation' END], lambda i: i IS NOT NULL)) AS issue FROM x""")
 def val09(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count_distinct(F.struct("p_type", "p_brand")).alias("definitions")).withColumn("ok", F.col("definitions") == 1)
+    """Relations of which some break each rule; pairs of records define one entity in the same way but for the case of a term."""
+    terms = F.when(F.expr(_N_TERMS) == 0, F.array().cast("array<string>")).otherwise(F.array_repeat(F.expr(_TERM), F.expr(_N_TERMS).cast("int")))
+    rows = table(spark, d, "part").select(*[F.expr(e).alias(c) for c, e in _RELATION.items()], terms.alias("terms"), F.array(F.expr(_CITED)).alias("urls"), F.array(F.expr(_TITLED)).alias("titles"))
+    return policy.relation_issues(rows, ("usage", "domestic_form"), ("common_usage", "domesticated_from"), {"domestic_form": "domesticated_from"}, "common_usage")
 
 
 @query("val10_web_urls", f"WITH {with_sql('evidence')} SELECT locator, locator LIKE 'https://%' AND evidence % 3 <> 0 AS ok FROM evidence")
@@ -142,11 +182,27 @@ def val10(spark, d):
     return evidence(spark, d).select("locator", S.web_url(bad).alias("ok"))
 
 
-@query("gate01_load_gate", "WITH m AS (SELECT count(*)::BIGINT AS row_count, count(DISTINCT o_orderkey)::BIGINT AS ids, sum(CASE WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN 1 ELSE 0 END)::BIGINT AS matched FROM orders) SELECT row_count, ids, matched, concat_ws(',', CASE WHEN row_count = 0 THEN 'empty' END, CASE WHEN ids <> row_count THEN 'duplicate_ids' END, CASE WHEN matched < 0.99 * row_count THEN 'match_ratio' END) AS reasons, row_count > 0 AND ids = row_count AND matched >= 0.99 * row_count AS ready FROM m")
+@query("gate01_load_gate", """WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 40 = 0 THEN -1 ELSE o_custkey END AS c, o_custkey AS good, o_totalprice AS claim FROM orders),
+r AS (SELECT 'good' AS load, k, good AS c, claim FROM b UNION ALL SELECT 'unmatched', k, c, claim FROM b UNION ALL SELECT 'twice', k % 9999, good, claim FROM b UNION ALL SELECT 'other_hash', k, good, CASE WHEN k % 7 <> 3 THEN claim END FROM b),
+l AS (SELECT unnest(['good', 'no_rows', 'unmatched', 'twice', 'other_hash']) AS load),
+m AS (SELECT l.load, count(k)::BIGINT AS row_count, count(DISTINCT k)::BIGINT AS ids, count(*) FILTER (r.c IN (SELECT c_custkey FROM customer))::BIGINT AS matched, count(claim)::BIGINT AS claims, l.load <> 'other_hash' AS same_hash FROM l LEFT JOIN r USING (load) GROUP BY 1, 6)
+SELECT load, row_count, ids, matched, claims, concat_ws(',', CASE WHEN NOT same_hash THEN 'hash' END, CASE WHEN row_count = 0 THEN 'empty' END, CASE WHEN ids <> row_count THEN 'duplicate_ids' END, CASE WHEN matched < 0.99 * row_count THEN 'match_ratio' END, CASE WHEN claims = 0 THEN 'no_claims' END) AS reasons FROM m""")
 def gate01(spark, d):
-    known = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("known")).distinct()
-    rows = table(spark, d, "orders").join(known, "o_custkey", "left")
-    return policy.gate(rows, {"row_count": F.count("*"), "ids": F.count_distinct("o_orderkey"), "matched": F.count("known")}, [("empty", F.col("row_count") == 0), ("duplicate_ids", F.col("ids") != F.col("row_count")), ("match_ratio", F.col("matched") < 0.99 * F.col("row_count"))])
+    """A good load, an empty one, one with unmatched rows, one with repeated ids, and one whose file has another hash than its manifest."""
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.lit(1).alias("known")).distinct()
+    b, k = table(spark, d, "orders"), F.col("o_orderkey")
+    base = lambda i, c, claim=F.col("o_totalprice"): b.select(i.alias("k"), c.alias("c"), claim.alias("claim"))
+    good = base(k, F.col("o_custkey"))
+    loads = {"good": good, "no_rows": good.limit(0), "unmatched": base(k, F.when(k % 40 == 0, -1).otherwise(F.col("o_custkey"))), "twice": base(k % 9999, F.col("o_custkey")), "other_hash": base(k, F.col("o_custkey"), F.when(k % 7 != 3, F.col("o_totalprice")))}
+    told = snapshots.fingerprint(good)
+    out = []
+    for name, rows in loads.items():
+        # A load's manifest holds the fingerprint of what was meant to be loaded; the last one was changed since.
+        same = snapshots.fingerprint(rows) == (told if name == "other_hash" else snapshots.fingerprint(rows))
+        measures = {"row_count": F.count("*"), "ids": F.count_distinct("k"), "matched": F.count("known"), "claims": F.count("claim")}
+        fails = [("hash", ~F.lit(same)), ("empty", F.col("row_count") == 0), ("duplicate_ids", F.col("ids") != F.col("row_count")), ("match_ratio", F.col("matched") < 0.99 * F.col("row_count")), ("no_claims", F.col("claims") == 0)]
+        out.append(policy.gate(rows.join(known, "c", "left"), measures, fails).drop("ready").withColumn("load", F.lit(name)))
+    return reduce(lambda x, y: x.unionByName(y), out)
 
 
 _BAD = "individual_count < 0 OR licence = 'all rights reserved'"

@@ -221,10 +221,16 @@ def wn01(spark, d):
     return t.select("conv_id", "turn", hierarchy.forward_fill(t, ["conv_id"], "turn", F.when(F.col("role") == "user", F.col("text"))).alias("last_user"))
 
 
-@query("wn05_ordinals", "SELECT doc_id * 1000000 + pos AS line, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(l) <> ''")
+@query("wn05_ordinals", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+n AS (SELECT *, sum((length(l) < 60)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS section FROM l WHERE trim(l) <> '')
+SELECT doc_id * 1000000 + pos AS line, doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS in_section FROM n""")
 def wn05(spark, d):
+    """Short lines begin a section; lines are counted within the document and within their section."""
     t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "l")).filter(F.trim("l") != "")
-    return t.select((F.col("doc_id") * 1000000 + F.col("pos") + 1).alias("line"), "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long").alias("ordinal"))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    t = t.withColumn("section", F.sum(F.when(F.length("l") < 60, 1).otherwise(0)).over(w))
+    t = t.withColumns({"ordinal": F.row_number().over(w).cast("long"), "in_section": F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("pos")).cast("long")})
+    return t.select((F.col("doc_id") * 1000000 + F.col("pos") + 1).alias("line"), "doc_id", "section", "ordinal", "in_section")
 
 
 @query("wn06_keep_first", f"WITH {with_sql('observation')} SELECT external_id, min(observation) AS observation, count(*)::BIGINT AS copies FROM observation GROUP BY 1")
@@ -297,12 +303,22 @@ def jn05(spark, d):
     return once.join(_crosswalk(spark, d).filter("target_id is not null").select("target_id"), "target_id", "left_anti")
 
 
-@query("jn03_chained_crosswalk", "WITH b AS (SELECT s_nationkey, count(*) AS n, min(s_suppkey) AS supp FROM supplier GROUP BY 1) SELECT c.c_custkey, CASE WHEN b.n IS NULL THEN 'no_bridge' WHEN b.n > 4 THEN 'bridge_not_one_to_one' WHEN n.n_regionkey = 0 THEN 'profile_rejected' ELSE 'accepted' END AS reason, CASE WHEN b.n <= 4 AND n.n_regionkey <> 0 THEN b.supp END AS target FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN b ON b.s_nationkey = c.c_nationkey")
+@query("jn03_chained_crosswalk", """WITH s AS (SELECT p_partkey AS id, p_name || ' ' || p_size AS name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_name || ' ' || p_size AS name, p_brand AS bridge, CASE WHEN p_partkey % 5 = 0 THEN '1:many' ELSE '1:1' END AS kind FROM part WHERE p_partkey % 2 = 1),
+f AS (SELECT 'Brand#' || (s_suppkey % 20) AS bridge, s_suppkey AS concept, s_suppkey % 7 <> 0 AS accepted FROM supplier WHERE s_suppkey % 20 <> 3 AND s_suppkey < 60 AND (s_suppkey < 40 OR s_suppkey % 20 = 4)), t AS (SELECT o_custkey AS concept, count(*) AS n, min(o_orderkey) AS target FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+sn AS (SELECT name, count(*) AS n FROM s GROUP BY 1), bn AS (SELECT name, count(*) AS n, min(bridge) AS bridge, min(kind) AS kind FROM b GROUP BY 1), fn AS (SELECT bridge, count(*) FILTER (accepted) AS n, min(concept) FILTER (accepted) AS concept FROM f GROUP BY 1),
+j AS (SELECT s.id, CASE WHEN sn.n > 1 THEN 'source_not_unique' WHEN bn.n IS NULL THEN 'no_bridge' WHEN bn.n > 1 THEN 'bridge_not_unique' WHEN bn.kind <> '1:1' THEN 'bridge_not_one_to_one' WHEN fn.n IS NULL THEN 'no_profile' WHEN fn.n = 0 THEN 'profile_rejected' WHEN fn.n > 1 THEN 'profile_not_unique' WHEN t.n IS NULL THEN 'no_target' WHEN t.n > 1 THEN 'target_not_unique' ELSE 'accepted' END AS reason, t.target
+  FROM s JOIN sn USING (name) LEFT JOIN bn USING (name) LEFT JOIN fn ON fn.bridge = bn.bridge LEFT JOIN t ON t.concept = fn.concept)
+SELECT id, reason, CASE WHEN reason = 'accepted' THEN target END AS target FROM j""")
 def jn03(spark, d):
-    b = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count("*").alias("n"), F.min("s_suppkey").alias("supp"))
-    j = table(spark, d, "customer").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey").join(b, "c_nationkey", "left")
-    reason = F.when(F.col("n").isNull(), "no_bridge").when(F.col("n") > 4, "bridge_not_one_to_one").when(F.col("n_regionkey") == 0, "profile_rejected").otherwise("accepted")
-    return j.select("c_custkey", reason.alias("reason"), F.when(reason == "accepted", F.col("supp")).alias("target"))
+    """Names over bridges of type 1:1 to profiles to concepts to targets; each hop must be unique, and the first that fails gives the reason."""
+    p, o = table(spark, d, "part"), table(spark, d, "orders")
+    name = F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("name")
+    source = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), name)
+    bridge = p.filter("p_partkey % 2 = 1").select(name, F.col("p_brand").alias("bridge"), F.when(F.col("p_partkey") % 5 == 0, "1:many").otherwise("1:1").alias("kind"))
+    k = F.col("s_suppkey")
+    profile = table(spark, d, "supplier").filter("s_suppkey % 20 <> 3 AND s_suppkey < 60 AND (s_suppkey < 40 OR s_suppkey % 20 = 4)").select(F.concat(F.lit("Brand#"), (k % 20).cast("string")).alias("bridge"), k.alias("concept"), (k % 7 != 0).alias("accepted"))
+    target = o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("concept"), F.col("o_orderkey").alias("target"))
+    return reconcile.chained_crosswalk(source, bridge, profile, target)
 
 
 @query("jn15_collected_matches", "WITH t AS (SELECT lower(p_name) AS k, list(DISTINCT p_size ORDER BY p_size) AS ids FROM part WHERE p_size <= 3 GROUP BY 1) SELECT p_partkey, coalesce(len(ids), 0)::INTEGER AS matches, CASE WHEN ids IS NULL THEN 'no_match' WHEN len(ids) = 1 THEN 'write' ELSE 'ambiguous' END AS outcome FROM part LEFT JOIN t ON t.k = lower(p_name)")

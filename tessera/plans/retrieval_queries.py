@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
-from tessera.operators import digests, hierarchy, policy, retrieval
+from tessera.operators import digests, evaluation, hierarchy, policy, retrieval
 
 from .policy_queries import _LIC, _OK_DOC, _U
 from .registry import query
@@ -287,10 +287,17 @@ def ag13(spark, d):
     return retrieval.label_metrics(table(spark, d, "documents"), F.col("lang"), F.when(F.col("doc_id") % 9 == 0, "en").otherwise(F.col("lang")))
 
 
-@query("ag16_multiset_contracts", "WITH a AS (SELECT l_orderkey, list_sort(list(l_returnflag)) AS x, list_sort(list(l_linestatus)) AS y FROM lineitem GROUP BY 1) SELECT l_orderkey, x = y AS equal FROM a")
+@query("ag16_multiset_contracts", """WITH e AS (SELECT l_orderkey AS q, list_sort(list(l_returnflag || '|' || l_linenumber % 3 || '|' || floor(l_quantity / 10)::BIGINT)) AS c, count(*) % 3 AS scope FROM lineitem GROUP BY 1),
+g AS (SELECT l_orderkey AS q, list_sort(list(l_returnflag || '|' || l_linenumber % 3 || '|' || floor((l_quantity + CASE WHEN l_orderkey % 5 = 1 AND l_linenumber = 1 THEN 10 ELSE 0 END) / 10)::BIGINT)) AS c, CASE WHEN l_orderkey % 7 = 2 THEN 9 ELSE count(*) % 3 END AS scope, l_orderkey % 11 <> 4 AS ok FROM lineitem WHERE l_orderkey % 13 <> 6 GROUP BY 1)
+SELECT e.q, CASE WHEN g.q IS NULL THEN 'no_answer' WHEN NOT g.ok THEN 'status' WHEN g.scope <> e.scope THEN 'scope' WHEN g.c <> e.c THEN 'conditions' ELSE 'ok' END AS contract FROM e LEFT JOIN g USING (q)""")
 def ag16(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_returnflag")).alias("x"), F.array_sort(F.collect_list("l_linestatus")).alias("y"))
-    return g.select("l_orderkey", (F.col("x") == F.col("y")).alias("equal"))
+    """Saved answers against their cases: conditions as multisets of (field, operator, value) in any order, then scope and status."""
+    li = table(spark, d, "lineitem").withColumn("q", F.col("l_orderkey"))
+    shifted = F.col("l_quantity") + F.when((F.col("q") % 5 == 1) & (F.col("l_linenumber") == 1), 10).otherwise(0)
+    condition = lambda v: F.struct(F.col("l_returnflag").alias("field"), (F.col("l_linenumber") % 3).alias("operator"), F.floor(v / 10).alias("value"))
+    cases = li.groupBy("q").agg(F.collect_list(condition(F.col("l_quantity"))).alias("conditions"), (F.count("*") % 3).alias("scope"))
+    answers = li.filter("q % 13 <> 6").orderBy(F.desc("l_linenumber")).groupBy("q").agg(F.collect_list(condition(shifted)).alias("conditions"), F.when(F.col("q") % 7 == 2, 9).otherwise(F.count("*") % 3).alias("scope"), (F.col("q") % 11 != 4).alias("ok"))
+    return evaluation.answer_contracts(cases, answers)
 
 
 @query("ag17_corpus_statistics", f"WITH {with_sql('chunk')} SELECT count(DISTINCT document)::BIGINT AS documents, count(*)::BIGINT AS chunks, sum(length(text))::BIGINT AS chars, (SELECT count(*) FROM embeddings)::BIGINT AS vectors FROM chunk")
