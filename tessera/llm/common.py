@@ -65,6 +65,12 @@ def persist_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let the driver drop what finished jobs left: plans, broadcasts, and shuffle files of tables that are written by now, which stay on
+    the executors' disks until the driver collects its garbage. For operators of many jobs, between their phases."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32(id as text) mod n; null ids count as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, persist_table, shingle_sets, slices, small_enough
+from .common import U64, let_go, mix, persist_table, shingle_sets, slices, small_enough
 from .components import components
 
 #: Rows up to which a checked table is broadcast; beyond it the same join shuffles.
@@ -208,6 +208,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, num: int, den: i
 
     full = texts.select("sid", "text").mapInPandas(shingled, "sid long, h array<long>").dropDuplicates(["sid"])
     full = persist_table(full, "sets", "none")
+    let_go(docs.sparkSession)
 
     def linked(batches):
         for pdf in batches:
@@ -240,6 +241,7 @@ def link_sets(entries: DataFrame, docs: DataFrame, boundary: int, num: int, den:
     meet = lists.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("key")
     meeting = persist_table(lists.select("key", "sid", "n", left).join(meet, "key").distinct(), "meeting")
 
+    let_go(docs.sparkSession)
     # Two leaders for each set: the least set id that it meets, and the one with most meeting places, which tends to be
     # the text that a group of edited copies comes from.
     degree = meeting.groupBy("sid").agg(F.count("*").alias("degree"))
@@ -253,7 +255,9 @@ def link_sets(entries: DataFrame, docs: DataFrame, boundary: int, num: int, den:
     star = star.select("sid", F.explode(F.array("lead", "top.sid")).alias("leader")).filter("leader is not null")
     pairs = star.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()
     first = persist_table(_verify(pairs, sets, docs, num, den, k), "stars-linked")
+    let_go(docs.sparkSession)
     comp = persist_table(components(first), "first-components")
+    let_go(docs.sparkSession)
 
     own = meeting.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     own = persist_table(own, "own")
@@ -268,6 +272,7 @@ def link_sets(entries: DataFrame, docs: DataFrame, boundary: int, num: int, den:
     cross = x.join(y, ["key", "part"]).filter("component != component2 and (component2 = main or sid < sid2)").filter(_may_link(F.col("n"), F.col("left"), F.col("n2"), F.col("left2"), num, den))
     pairs = cross.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
     second = persist_table(_verify(pairs, sets, docs, num, den, k), "cross-linked")
+    let_go(docs.sparkSession)
     # Links of the second kind join components; the first round's stars stand for the links within one, and settle sooner.
     stars = comp.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     links = stars.unionByName(second)
@@ -292,10 +297,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     common, rank, stats = _common_shingles(d, k)
     boundary = _boundary(stats, num, den)
     entries = persist_table(_entries(d, common, rank, boundary, num, den, k), "entries", "none")
+    let_go(docs.sparkSession)
     known = entries.filter("doc_id is not null")
     sets, comp = link_sets(known, d.filter("doc_id is not null"), boundary, num, den, k)
     of_class = sets.withColumn("node", F.struct("rep", "sid")).join(comp, "node", "left").select("sid", "n", F.coalesce("component.rep", "rep").alias("component_id"), F.coalesce("component.sid", "sid").alias("component_set"))
     of_class = persist_table(of_class, "class-components")
+    let_go(docs.sparkSession)
     rows = entries.select("doc_id", "sid", "n")
     out = rows.join(F.broadcast(of_class) if small_enough(of_class, BROADCAST_ROWS) else of_class, ["sid", "n"], "left")
     more = [F.col("sid").alias("set_id"), F.coalesce("component_set", "sid").alias("component_set")] if signatures else []
