@@ -49,7 +49,7 @@ class Encoder:
     all are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_400_000):
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
