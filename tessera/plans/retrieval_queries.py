@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
-from tessera.operators import digests, evaluation, hierarchy, policy, retrieval
+from tessera.operators import digests, evaluation, hierarchy, pairs, policy, retrieval
 
 from .policy_queries import _LIC, _OK_DOC, _U
 from .registry import query
@@ -149,8 +149,8 @@ def jn19(spark, d):
 @query("jn14_rank_name_candidates", "SELECT a.p_partkey AS a, b.p_partkey AS b, 'candidate' AS status FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type = b.p_type WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1")
 def jn14(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    b = p.filter("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "b")
-    return p.filter("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "a").join(b, ["p_name", "p_type"]).select("a", "b", F.lit("candidate").alias("status"))
+    x = pairs.block_pairs(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"), ["p_name", "p_type"])
+    return x.select(F.col("l.p_partkey").alias("a"), F.col("r.p_partkey").alias("b"), F.lit("candidate").alias("status"))
 
 
 @query("jn16_recovered_traits", f"WITH {with_sql('claim')}, own AS (SELECT DISTINCT entity, trait FROM claim WHERE inferred = false) SELECT c.entity, c.trait, c.dataset FROM claim c WHERE c.inferred IS NULL AND NOT EXISTS (SELECT 1 FROM own WHERE own.entity = c.entity AND own.trait = c.trait)")
