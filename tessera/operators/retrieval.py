@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
-from tessera.session import BROADCAST_ROWS, broadcast_if_small, persist_table
+from tessera.session import BROADCAST_ROWS, broadcast_if_small, persist_table, small_batches
 
 TOKEN = "[a-z0-9]+"
 
@@ -117,7 +117,10 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, scope: str | No
                 yield _block_top_k(*({c: batch.column(p + c)[i] for c in ("ids", "scopes", "d", "data")} for p in ("", "q_")), k)
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    return top_k(pairs.mapInArrow(best, f"query {kind(queries, 'query')}, id {kind(vectors, 'id')}, score double"), k)
+    # A row holds two matrices: a batch of Spark's default size would bring a task's whole share of them to Python at once.
+    with small_batches(vectors.sparkSession, rows=8):
+        found = persist_table(pairs.mapInArrow(best, f"query {kind(queries, 'query')}, id {kind(vectors, 'id')}, score double"), "block-best")
+    return top_k(found, k)
 
 
 def _packed(rows: DataFrame, key: str, vector: str, scope: str | None, most: int) -> DataFrame:
