@@ -112,16 +112,21 @@ def append_plan(existing: DataFrame, batch: DataFrame, key: str, identity: list[
 
 def preflight_issues(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, issue) of everything that forbids an embedding batch: rows (id, text, source, policy_status, embedding_allowed, content_hash)."""
-    many = rows.groupBy("id").agg(F.count("*").alias("copies"))
-    j = rows.join(many, "id").join(sources.select("source", F.lit(True).alias("known")).distinct(), "source", "left")
     no = lambda c: ~F.coalesce(c, F.lit(False))
+    # What a text tells is told before rows move, so that no text is shuffled or sorted.
+    slim = rows.select(
+        "id", "source", "policy_status", "embedding_allowed",
+        (F.coalesce(F.trim("text"), F.lit("")) == "").alias("empty"), no(F.sha2("text", 256) == F.col("content_hash")).alias("differs"),
+    )
+    many = rows.groupBy("id").agg(F.count("*").alias("copies"))
+    j = slim.join(many, "id").join(sources.select("source", F.lit(True).alias("known")).distinct(), "source", "left")
     issues = [
         ("policy_denied", no(F.col("policy_status") == "allowed")),
         ("embedding_not_allowed", no(F.col("embedding_allowed"))),
         ("source_unknown", F.col("known").isNull()),
         ("duplicate_id", F.col("copies") > 1),
-        ("empty_text", F.coalesce(F.trim("text"), F.lit("")) == ""),
-        ("hash_mismatch", no(F.sha2("text", 256) == F.col("content_hash"))),
+        ("empty_text", F.col("empty")),
+        ("hash_mismatch", F.col("differs")),
     ]
     found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in issues]))
     return j.select("id", F.explode(found).alias("issue")).distinct()
