@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
-from tessera.session import BROADCAST_ROWS, broadcast_if_small, persist_table, small_batches
+from tessera.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, persist_table, small_batches
 
 TOKEN = "[a-z0-9]+"
 
@@ -28,29 +31,127 @@ def _words(text: str) -> Column:
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, id, score, rank) of the k best chunks (id, text) for each query (query, text), by score and then id.
 
-    Texts are split once: counts of the tokens that some query holds are written, with each chunk's length, and lie
-    together by chunk, so that scores add up before they are shuffled. Frequencies and the mean length cover all chunks.
+    Texts are split once. Where the queries' tokens are few enough to broadcast, a chunk stays one row, with its length and its counts
+    of these tokens, and a batch of chunks leaves the k best of each query alone; else tokens and scores are joined and shuffled.
+    Frequencies and the mean length cover all chunks; rows of one id are one chunk.
     """
-    q = persist_table(queries.select("query", F.explode(F.array_distinct(_words("text"))).alias("token")), "query-tokens")
-    wanted = persist_table(q.select("token").distinct(), "wanted")
-    split = _spread(chunks.select("id", "text")).select("id", _words("text").alias("w")).filter("size(w) > 0").select("id", F.size("w").alias("dl"), "w")
-    # Tokens that no query holds go before anything moves. A row without a token stands for the chunk itself, so that texts are
-    # split once; where the tokens sought are too many to broadcast, such rows would all meet on one key, and lengths are counted apart.
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if few:
-        each = split.select("id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("token"))
-        kept = each.join(F.broadcast(wanted.withColumn("hit", F.lit(True))), "token", "left").filter("hit or token is null").select("id", "dl", "token")
-    else:
-        kept = split.select("id", "dl", F.explode("w").alias("token")).join(wanted, "token").select("id", "dl", "token")
-    t = persist_table(kept.repartition("id").groupBy("id", "dl", "token").agg(F.count("*").alias("tf")), "token-counts")
-    lengths = t.filter("token is null").select("dl") if few else split.select("dl")
+    q = persist_table(queries.select("query", F.explode(F.array_distinct(_words("text"))).alias("token")).distinct(), "query-tokens")
+    if not _small(q, "token"):
+        return _joined_bm25(chunks, q, k, k1, b)
+    told = q.toArrow()  # at most BROADCAST_ROWS short rows
+    tokens, asked = (told[c].combine_chunks().dictionary_encode(null_encoding="encode") for c in ("token", "query"))
+    # Bound to the tasks as a broadcast variable: a task's closure would hold it anew.
+    shared = chunks.sparkSession.sparkContext.broadcast([t.encode() for t in tokens.dictionary.to_pylist()])
+    kind = chunks.schema["id"].dataType.simpleString()
+
+    def count(batches):
+        at = {t: i for i, t in enumerate(shared.value)}
+        for batch in batches:
+            yield _token_counts(batch, at)
+
+    with small_batches(chunks.sparkSession):
+        t = persist_table(_spread(chunks.select("id", F.lower("text").cast("binary").alias("text"))).mapInArrow(count, f"id {kind}, dl long, terms array<int>, tfs array<long>"), "token-counts")
+    again = persist_table(t.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "repeated-ids")
+    if not again.isEmpty():
+        same, some = F.col("id").eqNullSafe(F.col("again")), broadcast_if_small(again).withColumnRenamed("id", "again")
+        part = t.join(some, same, "left_semi")
+        sums = part.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).groupBy("id", "x.terms").agg(F.sum("x.tfs").alias("tf"))
+        sums = sums.groupBy("id").agg(F.collect_list(F.struct("terms", "tf")).alias("x")).select(F.col("id").alias("i"), F.col("x.terms").alias("terms"), F.col("x.tf").alias("tfs"))
+        whole = part.groupBy("id").agg(F.sum("dl").alias("dl")).join(sums, F.col("id").eqNullSafe(F.col("i")), "left")
+        none = lambda c, of: F.coalesce(c, F.array().cast(of)).alias(c)
+        t = persist_table(t.join(some, same, "left_anti").unionByName(whole.select("id", "dl", none("terms", "array<int>"), none("tfs", "array<long>"))), "whole-counts")
+    sizes = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = sizes["n"], sizes["avgdl"] or 1.0
+    df = np.zeros(len(tokens.dictionary))
+    for r in t.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).toArrow().to_pylist():  # a row a sought token
+        df[r["term"]] = r["df"]
+    facts = chunks.sparkSession.sparkContext.broadcast((asked.dictionary, np.log(1 + (n - df + 0.5) / (df + 0.5)), _postings(tokens.indices.to_numpy(), asked.indices.to_numpy(), len(tokens.dictionary))))
+
+    def best(batches):
+        ids, idf, blocks = facts.value
+        floors: dict[int, np.ndarray] = {}
+        for batch in batches:
+            dl, tf, terms = batch.column(1).to_numpy(), batch.column(3).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            doc = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            w = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl))
+            for i, block in enumerate(blocks):
+                query, col, score, floors[i] = _posting_top_k(block, terms, doc, w, batch.column(0), k, floors.get(i))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(col)), pa.array(score)], names=["query", "id", "score"])
+
+    with small_batches(chunks.sparkSession, rows=500):
+        rows = _spread(t.filter("id is not null and size(terms) > 0"))
+        found = persist_table(rows.mapInArrow(best, f"query {queries.schema['query'].dataType.simpleString()}, id {kind}, score double"), "text-best")
+    return top_k(found, k)
+
+
+def _small(rows: DataFrame, *texts: str) -> bool:
+    """Whether a written table may be held by every task: by its rows, and the bytes of its texts."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0).cast("long"))
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and (rows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+#: Bytes of a lower-case text: those of tokens as they are, others as blanks.
+_TOKEN_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+def _token_counts(batch: pa.RecordBatch, at: dict[bytes, int]) -> pa.RecordBatch:
+    """(id, dl, terms, tfs) of a batch of lower-case texts (id, text): the number of all tokens, and the counts of the sought ones."""
+    rows, dl, ends, terms, tfs = [], [], [0], [], []
+    for i, text in enumerate(batch.column(1).to_pylist()):
+        words = (text or b"").translate(_TOKEN_BYTES).split()
+        if not words:
+            continue
+        for word, n in Counter(words).items():
+            term = at.get(word)
+            if term is not None:
+                terms.append(term)
+                tfs.append(n)
+        rows.append(i)
+        dl.append(len(words))
+        ends.append(len(terms))
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, kind)) for v, kind in ((terms, pa.int32()), (tfs, pa.int64()))]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(dl, pa.int64()), *lists], names=["id", "dl", "terms", "tfs"])
+
+
+def _postings(terms: np.ndarray, queries: np.ndarray, n_terms: int, most: int = 8192) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks (first query, queries, starts, members) of about `most` pairs of (term, query): the queries that hold a term."""
+    before = np.cumsum(np.bincount(queries)) // most
+    out = []
+    for block in np.unique(before):
+        mine = np.flatnonzero(before == block)
+        has = np.flatnonzero((queries >= mine[0]) & (queries <= mine[-1]))
+        has = has[np.argsort(terms[has], kind="stable")]
+        out.append((int(mine[0]), len(mine), np.concatenate([[0], np.cumsum(np.bincount(terms[has], minlength=n_terms))]), queries[has] - mine[0]))
+    return out
+
+
+def _posting_top_k(block: tuple, terms: np.ndarray, doc: np.ndarray, w: np.ndarray, ids: pa.Array, k: int, floor: np.ndarray | None):
+    """(query, row, score) of the k best rows for each query of a block, and each query's k best scores so far, below which none leaves."""
+    first, width, starts, members = block
+    n = starts[terms + 1] - starts[terms]
+    i = np.repeat(np.arange(len(terms)), n)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n - starts[terms], n)
+    score = np.bincount(members[j] * len(ids) + doc[i], weights=w[i], minlength=width * len(ids)).reshape(width, len(ids))
+    score = np.where(score > 0, np.round(score, 6), -np.inf)
+    if floor is None:
+        floor = np.full((width, k), -np.inf)
+    floor = np.partition(np.concatenate([floor, score], axis=1), -k, axis=1)[:, -k:]
+    row, col = _k_best(np.where(score >= floor[:, :1], score, -np.inf), ids, k)
+    return first + row, col, score[row, col], floor
+
+
+def _joined_bm25(chunks: DataFrame, q: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """bm25 for queries (query, token) with too many tokens to broadcast."""
+    split = _spread(chunks.select("id", "text")).select("id", _words("text").alias("w")).filter("size(w) > 0")
+    lengths = persist_table(split.groupBy("id").agg(F.sum(F.size("w")).alias("dl")), "lengths")
+    t = split.select("id", F.explode("w").alias("token")).join(q.select("token").distinct(), "token", "left_semi")
+    t = persist_table(t.groupBy("id", "token").agg(F.count("*").alias("tf")), "token-counts")
     sizes = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = sizes["n"], sizes["avgdl"] or 1.0
-    t = t.filter("token is not null")
     df = persist_table(t.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = t.join(broadcast_if_small(df), "token").select("id", "token", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w"))
-    return top_k(w.join(broadcast_if_small(q), "token").groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score")), k)
+    w = t.join(broadcast_if_small(df), "token").join(lengths, "id").select("id", "token", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("w"))
+    return top_k(w.join(q, "token").groupBy("query", "id").agg(F.round(F.sum("w"), 6).alias("score")), k)
 
 
 def containing(docs: DataFrame, items: DataFrame, run: int = 3) -> DataFrame:
@@ -66,6 +167,52 @@ def containing(docs: DataFrame, items: DataFrame, run: int = 3) -> DataFrame:
     def gram(w: Column, at: Column | int, m: int) -> Column:
         return F.xxhash64(*[F.get(w, at + j) for j in range(m)])
 
+    long = items.filter("m > 0")
+    if _small(long, "q"):
+        out = _held_in(docs, long.select("query", "q", "m").toArrow())  # at most BROADCAST_ROWS rows
+    else:
+        out = _joined_candidates(docs, items, run, gram)
+    # Shorter items may begin and end within words: runs of as many characters as their first six find the candidates.
+    short = items.filter("m = 0 and q <> ''").withColumn("k", F.least(F.length("q"), F.lit(6)))
+    for k in sorted(r["k"] for r in short.select("k").distinct().collect()):  # one to six
+        starts = broadcast_if_small(persist_table(short.filter(F.col("k") == k).select("query", "q", F.substring("q", 1, k).alias("g")), "starts"))
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - (k - 1)), lambda i: F.substr("text", i, F.lit(k))))
+        hits = _spread(docs).filter(F.length("text") >= k).select("id", "text", F.explode(runs).alias("g")).join(starts, "g")
+        out = out.unionByName(hits.filter(F.expr("contains(text, q)")).select("query", "id"))
+    return persist_table(out.distinct(), "contained")
+
+
+def _held_in(docs: DataFrame, items: pa.Table) -> DataFrame:
+    """(query, id): the documents that contain an item (query, q, m); its words from the second to the (m + 1)-th find the candidates in one pass."""
+    texts = [q.encode() for q in items["q"].to_pylist()]
+    starts: dict[int, dict[tuple, list[int]]] = {}
+    for i, (q, m) in enumerate(zip(texts, items["m"].to_pylist(), strict=True)):
+        starts.setdefault(m, {}).setdefault(tuple(q.split(b" ")[1 : m + 1]), []).append(i)
+    shared = docs.sparkSession.sparkContext.broadcast((items["query"].combine_chunks(), texts, starts))
+
+    def search(batches):
+        queries, texts, starts = shared.value
+        for batch in batches:
+            hits, rows = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                words = text.split(b" ")
+                for m, anchors in starts.items():
+                    for gram in anchors.keys() & set(zip(*(words[j:] for j in range(m)), strict=False)):
+                        for i in anchors[gram]:
+                            if texts[i] in text:
+                                hits.append(i)
+                                rows.append(row)
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(hits, pa.int64())), batch.column(0).take(pa.array(rows, pa.int64()))], names=["query", "id"])
+
+    kind = lambda t: t.simpleString()
+    rows = _spread(docs.filter("text is not null").select("id", F.col("text").cast("binary").alias("text")))
+    with small_batches(docs.sparkSession):
+        return persist_table(rows.mapInArrow(search, f"query {kind(from_arrow_type(items['query'].type))}, id {kind(docs.schema['id'].dataType)}"), "held")
+
+
+def _joined_candidates(docs: DataFrame, items: DataFrame, run: int, gram) -> DataFrame:
+    """The same for items (query, q, w, m) that are too many to broadcast: hashes of words meet in a join."""
+
     def at_each(m: int):
         return lambda i: gram(F.col("w"), i, m)
 
@@ -84,14 +231,7 @@ def containing(docs: DataFrame, items: DataFrame, run: int = 3) -> DataFrame:
         pairs = persist_table(found.distinct(), "candidates")
         pairs = pairs.join(broadcast_if_small(items.select("query", "q")), "query")
         out = docs.join(broadcast_if_small(persist_table(pairs, "sought")), "id").filter(F.expr("contains(text, q)")).select("query", "id")
-    # Shorter items may begin and end within words: runs of as many characters as their first six find the candidates.
-    short = items.filter("m = 0 and q <> ''").withColumn("k", F.least(F.length("q"), F.lit(6)))
-    for k in sorted(r["k"] for r in short.select("k").distinct().collect()):  # one to six
-        starts = broadcast_if_small(persist_table(short.filter(F.col("k") == k).select("query", "q", F.substring("q", 1, k).alias("g")), "starts"))
-        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - (k - 1)), lambda i: F.substr("text", i, F.lit(k))))
-        hits = _spread(docs).filter(F.length("text") >= k).select("id", "text", F.explode(runs).alias("g")).join(starts, "g")
-        out = out.unionByName(hits.filter(F.expr("contains(text, q)")).select("query", "id"))
-    return out.distinct()
+    return out
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -146,21 +286,26 @@ def _block_top_k(v: dict, q: dict, k: int) -> pa.RecordBatch:
     """(query, id, score): the k best vectors of a block for each query of another."""
     x, y = (np.frombuffer(b["data"].as_py(), dtype="<f8").reshape(-1, b["d"].as_py()) for b in (v, q))
     ids, queries = v["ids"].values, q["ids"].values
-    place = np.empty(len(ids), dtype=np.int64)
-    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
     score = np.round(y @ x.T, 6)
     if q["scopes"].values.null_count < len(queries):
         of = {s: i for i, s in enumerate({*v["scopes"].values.to_pylist(), *q["scopes"].values.to_pylist()} - {None})}
         a, b = ([of.get(s, -1) for s in side["scopes"].values.to_pylist()] for side in (q, v))
         a, b = np.array(a), np.array(b)
         score[(a[:, None] != b[None]) | (a[:, None] < 0)] = -np.inf
+    row, col = _k_best(score, ids, k)
+    return pa.RecordBatch.from_arrays([queries.take(pa.array(row)), ids.take(pa.array(col)), pa.array(score[row, col])], names=["query", "id", "score"])
+
+
+def _k_best(score: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best finite scores of each row, by score and then the column's id."""
+    place = np.empty(len(ids), dtype=np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
     least = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else -np.inf
     row, col = np.nonzero((score >= least) & (score > -np.inf))
     order = np.lexsort((place[col], -score[row, col], row))
     row, col = row[order], col[order]
     nth = np.arange(len(row)) - np.searchsorted(row, row)
-    row, col = row[nth < k], col[nth < k]
-    return pa.RecordBatch.from_arrays([queries.take(pa.array(row)), ids.take(pa.array(col)), pa.array(score[row, col])], names=["query", "id", "score"])
+    return row[nth < k], col[nth < k]
 
 
 def _units(rows: DataFrame, col: str) -> DataFrame:
