@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.plans.registry import query
 from tessera.plans.stand_ins import table
-from tessera.session import shared_dir
+from tessera.session import persist_table, shared_dir
 from tessera.streaming import occurrences, outbox
 
 # Windows of four runs: the third fetches half of its records with a wrong country and fails, the fourth makes up for it.
@@ -140,6 +140,7 @@ def str05(spark, d):
     i = F.col("event_id")
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
     rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("aggregate"), seq.alias("seq"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(i % 17 == 0, i % 5).otherwise(0).cast("int").alias("fails"))
+    rows = persist_table(rows, "outbox")  # read by three landings and the result
     heartbeat = spark.sql("SELECT '' AS aggregate, 1L AS seq, -1L AS event_id, timestamp '2030-01-01' AS ts, 0 AS fails")
     for part in (rows.filter(i % 3 != 0), rows.filter(i % 3 == 0), rows.filter(i % 4 == 0).unionByName(heartbeat)):
         part.write.mode("append").parquet(f"{root}/in")
