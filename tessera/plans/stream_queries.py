@@ -44,19 +44,25 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 _RAW_COLUMNS = ["external_id", "event_date", "license", "taxon_key", "scientific_name", "taxon_rank", *[c for r in occurrences.RANKS for c in (f"{r}_key", r)], "authorship", "taxonomic_status", "vernacular_name", "lat", "lon", "occurrence_status", "country_code", "individual_count"]
 
 
+#: Ids that share a set of 23 pages: a page lists at most 500 of them, however many events there are.
+_IDS_OF_PAGES = 10_000
+
+
 def _land(raw: DataFrame, start: str, end: str, folder: str, wrong_country: bool = False) -> None:
-    """Write the pages of a window; every seventh event stands on a second page as well."""
+    """Write the pages of a window, each of a bounded length, in as many files as their size asks for; every seventh event stands on a second page as well."""
     rows = raw.filter((F.col("day") >= start) & (F.col("day") <= end))
     if wrong_country:
         rows = rows.withColumn("country_code", F.when(F.col("event_id") % 2 == 0, "JP").otherwise(F.col("country_code")))
-    again = rows.filter("event_id % 7 = 0 and page <> 19").withColumn("page", F.col("event_id") % 3 + 20)
+    twice = (F.col("event_id") % 7 == 0) & (F.col("page") != 19)
+    rows = rows.withColumn("page", F.explode(F.when(twice, F.array("page", F.col("event_id") % 3 + 20)).otherwise(F.array("page"))))
+    rows = rows.withColumn("page", F.col("page") + 23 * F.floor(F.col("event_id") / _IDS_OF_PAGES))
     asset = lambda i, licence: F.struct(i.alias("identifier"), F.lit(licence).alias("license"), F.lit("StillImage").alias("type"), F.lit(None).cast("string").alias("creator"))
     media = F.when(F.col("media_id").isNotNull(), F.array(asset(F.col("media_id"), "http://creativecommons.org/licenses/by/4.0/"), asset(F.concat("media_id", F.lit("x")), "all rights reserved")))
-    result = F.struct("event_id", *[F.col(f"`{c}`") for c in _RAW_COLUMNS], F.array_compact(F.array("issue")).alias("issues"), F.lit(None).cast("string").alias("withheld"), media.alias("media"))
+    more = {"issues": F.array_compact(F.array("issue")), "withheld": F.lit(None), "media": media}
     schema = {f.name: f.dataType for f in raw.sparkSession.createDataFrame([], occurrences.PAGE).schema["results"].dataType.elementType.fields}
-    pages = rows.unionByName(again).groupBy("page").agg(F.max("raw_sha256").alias("raw_sha256"), F.array_sort(F.collect_list(result)).alias("rs"))
-    cast = F.transform("rs", lambda r: F.struct(*[r[c].cast(t).alias(c) for c, t in schema.items()]))
-    pages.select(F.col("page").cast("int"), F.lit(200).alias("status"), "raw_sha256", F.lit(True).alias("end_of_records"), cast.alias("results")).repartition(2, "page").write.parquet(folder)
+    record = F.struct(*[more.get(c, F.col(f"`{c}`")).cast(t).alias(c) for c, t in schema.items()])
+    pages = rows.groupBy("page").agg(F.max("raw_sha256").alias("raw_sha256"), F.array_sort(F.collect_list(F.struct("event_id", record.alias("r")))).alias("rs"))
+    pages.select(F.col("page").cast("int"), F.lit(200).alias("status"), "raw_sha256", F.lit(True).alias("end_of_records"), F.col("rs.r").alias("results")).write.parquet(folder)
 
 
 def _ingested(spark: SparkSession, d: str) -> occurrences.Store:
