@@ -58,50 +58,62 @@ class BiGRU:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def states(self, x: np.ndarray, inside: np.ndarray, keep: dict[str, list] | None = None) -> np.ndarray:
-        """[step, window, 2H] of both directions, which run side by side; outside of the text the state stays zero. keep gets what
-        backpropagation needs."""
+        """[direction, step, window, H] of both directions, which run side by side; outside of the text the state stays zero. keep gets
+        what backpropagation needs."""
         h, (n, steps) = self.h, x.shape
         dtype = self.p["V"].dtype
-        # Gates are tanh of half their argument: the halves go into the weights.
-        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(dtype)
-        w, u = np.stack([self.p["Wf"], self.p["Wb"]]) * half, np.stack([self.p["Uf"], self.p["Ub"]]) * half
-        xt, valid = np.ascontiguousarray(x.T), np.ascontiguousarray(inside.T).astype(dtype)[:, :, None]
-        out = np.empty((steps, n, 2 * h), dtype=dtype)
-        s, g, k, new = np.zeros((2, n, h), dtype=dtype), np.empty((2, n, 3 * h), dtype=dtype), np.empty((2, n, 3 * h), dtype=dtype), np.empty((2, n, h), dtype=dtype)
-        for t in range(steps):
-            b = steps - 1 - t
-            np.take(w[0], xt[t], axis=0, out=g[0])
-            np.take(w[1], xt[b], axis=0, out=g[1])
-            np.matmul(s, u, out=k)
-            g[:, :, : 2 * h] += k[:, :, : 2 * h]
-            zr = np.tanh(g[:, :, : 2 * h])
-            zr += 1
-            zr *= dtype.type(0.5)
-            np.multiply(zr[:, :, h:], k[:, :, 2 * h :], out=new)
-            new += g[:, :, 2 * h :]
-            np.tanh(new, out=new)
-            after = s - new
-            after *= zr[:, :, :h]
-            after += new
-            after[0] *= valid[t]
-            after[1] *= valid[b]
-            if keep is not None:
-                for i, d, at in ((0, "f", t), (1, "b", b)):
-                    keep[d].append((at, s[i], zr[i, :, :h], zr[i, :, h:], new[i].copy(), k[i, :, 2 * h :].copy()))
-            s = after
-            out[t, :, :h], out[b, :, h:] = s[0], s[1]
+        # Arrays are [gate, direction, ...], so that all steps but the products work on contiguous memory. Gates are 1 / (1 + exp(v)), new is
+        # 2 / (1 + exp(v)) - 1: factors of v go into the weights. The row past the bytes stands for what is outside: it shuts both gates.
+        factor = np.array([-1, -1, -2], dtype=dtype)[:, None, None, None]
+        w = np.zeros((3, 2, 257, h), dtype=dtype)
+        w[:, :, :256] = np.stack([self.p["Wf"], self.p["Wb"]]).reshape(2, 256, 3, h).transpose(2, 0, 1, 3) * factor
+        w[:2, :, 256] = 1e4
+        u = np.stack([self.p["Uf"], self.p["Ub"]]).reshape(2, h, 3, h).transpose(2, 0, 1, 3) * factor
+        xt = x.T.astype(np.intp, order="C")
+        xt[~inside.T] = 256
+        out = np.empty((2, steps, n, h), dtype=dtype)
+        s, new = np.zeros((2, n, h), dtype=dtype), np.empty((2, n, h), dtype=dtype)
+        g, k = np.empty((3, 2, n, h), dtype=dtype), np.empty((3, 2, n, h), dtype=dtype)
+        zr, tables, gates = g[:2], w.reshape(6, 257, h), g.reshape(6, n, h)
+        with np.errstate(over="ignore"):  # exp is infinite where a gate is shut
+            for t in range(steps):
+                b = steps - 1 - t
+                for table, at, to in zip(tables, (t, b) * 3, gates, strict=True):
+                    table.take(xt[at], 0, to, "clip")
+                np.matmul(s, u, out=k)
+                zr += k[:2]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[1], k[2], out=new)
+                new += g[2]
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                new -= 1
+                if keep is not None:
+                    for i, d, at in ((0, "f", t), (1, "b", b)):
+                        keep[d].append((at, s[i].copy(), zr[0, i].copy(), zr[1, i].copy(), new[i].copy(), k[2, i] * dtype.type(-0.5)))
+                s -= new
+                s *= zr[0]
+                s += new
+                out[0, t], out[1, b] = s
         return out
 
     def _softmax(self, both: np.ndarray) -> np.ndarray:
-        y = both @ self.p["V"] + self.p["c"]
-        y -= y.max(axis=2, keepdims=True)
+        """[step, window, C], which lies in memory by language."""
+        h, (_, steps, n, _) = self.h, both.shape
+        y = self.p["V"][:h].T @ both[0].reshape(-1, h).T
+        y += self.p["V"][h:].T @ both[1].reshape(-1, h).T
+        y += self.p["c"][:, None]
+        y -= y.max(axis=0)
         np.exp(y, out=y)
-        y /= y.sum(axis=2, keepdims=True)
-        return y
+        y /= y.sum(axis=0)
+        return np.moveaxis(y.reshape(-1, steps, n), 0, 2)
 
     def probabilities(self, x: np.ndarray, inside: np.ndarray | None = None, core: slice = slice(None)) -> np.ndarray:
         """[step, window, C] of the steps in core."""
-        return self._softmax(self.states(x, np.ones(x.shape, dtype=bool) if inside is None else inside)[core])
+        return self._softmax(self.states(x, np.ones(x.shape, dtype=bool) if inside is None else inside)[:, core])
 
     def gradients(self, x: np.ndarray, lang: np.ndarray, inside: np.ndarray | None = None, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy over all positions with a weight ([window, step]; without, all)."""
@@ -112,7 +124,7 @@ class BiGRU:
         y = self._softmax(both)
         y[:, np.arange(len(x)), lang] -= 1
         y *= (weight.T / max(weight.sum(), 1)).astype(y.dtype)[:, :, None]
-        grads["V"], grads["c"] = np.tensordot(both, y, ([0, 1], [0, 1])), y.sum((0, 1))
+        grads["V"], grads["c"] = np.concatenate([np.tensordot(side, y, ([0, 1], [0, 1])) for side in both]), y.sum((0, 1))
         back = y @ self.p["V"].T
         for i, d in enumerate("fb"):
             u = self.p[f"U{d}"]
@@ -151,7 +163,9 @@ def pooled(net: BiGRU, run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total, letters = np.zeros((len(run), len(net.p["c"]))), np.zeros(len(run))
     for x, inside, of in windows(run):
         weight = (LETTER[x[:, core]] * inside[:, core]).T
-        np.add.at(total, of, np.einsum("tbc,tb->bc", net.probabilities(x, inside, core), weight))
+        y = net.probabilities(x, inside, core)
+        y *= weight[:, :, None]
+        np.add.at(total, of, y.sum(axis=0))
         np.add.at(letters, of, weight.sum(axis=0))
     return total, letters
 
