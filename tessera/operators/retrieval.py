@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
@@ -239,73 +241,222 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", r).filter(F.col("rank") <= k)
 
 
+#: Rows and bytes of a block of vectors.
+BLOCK_ROWS, BLOCK_BYTES = 8192, 4 << 20
+#: Pairs of blocks that one task multiplies.
+BLOCKS_A_TASK = 2_000
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, scope: str | None = None, block: int = 512) -> DataFrame:
     """(query, id, score, rank): exact cosines of a stated query set (query, q) against all vectors (id, v), the k best of each.
 
-    Both sides are packed into blocks, each a row with a matrix; every block of vectors meets every block of queries in one
-    matrix product, of which the k best of each query leave, and these are merged. No pair becomes a row, and neither side has to
-    fit into a task. With `scope`, a column of both sides, only vectors whose value is the query's are met. Zero vectors, and
-    vectors of another length than the query's, have no cosine. Scores have six places; equal ones are ordered by id.
+    Both sides are packed into blocks, each a row with a matrix, and written; every block of vectors meets every block of queries
+    in matrix products of `block` queries. A task keeps the k best of its queries over all blocks it meets, and these alone leave it and are
+    merged: what is written grows with the queries and the tasks that share one, not with pairs. No pair becomes a row, and neither side has to
+    fit into a task. With `scope`, a column of both sides, only vectors whose value is the query's are met. Zero vectors, those that
+    are not finite, and vectors of another length than the query's, have no cosine. Scores have six places; equal ones are ordered by id.
     """
-    v = _packed(_spread(_units(vectors, "v")), "id", "v", scope, 8192)
-    q = persist_table(_packed(_units(queries, "q"), "query", "q", scope, block), "query-blocks")
-    pairs = v.crossJoin(q.withColumnsRenamed({c: f"q_{c}" for c in q.columns})).filter("d = q_d")
+    spark = vectors.sparkSession
+    # Written before they meet: within the job below, eight vectors would be a batch, and so a block.
+    with small_batches(spark):
+        v = persist_table(_packed(_spread(vectors), "id", "v", scope), "vector-blocks")
+        # A block of few queries would bring each block of vectors to Python for little work.
+        full = max(1, -(-queries.count() // BLOCK_ROWS))
+        q = persist_table(_packed(queries.repartition(full), "query", "q", scope), "query-blocks")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, v.count() * q.count() // BLOCKS_A_TASK)
+    v = v.coalesce(max(1, -(-tasks // max(1, q.rdd.getNumPartitions()))))
+    # A plain join would bring all blocks of equal length to one task.
+    pairs = v.hint("shuffle_replicate_nl").join(q.withColumnsRenamed({c: f"q_{c}" for c in q.columns}), F.expr("d = q_d"))
 
     def best(batches):
+        held: dict[str, _Best] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                yield _block_top_k(*({c: batch.column(p + c)[i] for c in ("ids", "scopes", "d", "data")} for p in ("", "q_")), k)
+                x, y = ({c: batch.column(p + c)[i] for c in ("n", "ids", "scopes", "d", "data")} for p in ("", "q_"))
+                n = y["n"].as_py()
+                if n not in held:
+                    held[n] = _Best(y, k, block)
+                held[n].meet(x)
+        for some in held.values():
+            yield from some.rows()
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     # A row holds two matrices: a batch of Spark's default size would bring a task's whole share of them to Python at once.
-    with small_batches(vectors.sparkSession, rows=8):
+    with small_batches(spark, rows=8):
         found = persist_table(pairs.mapInArrow(best, f"query {kind(queries, 'query')}, id {kind(vectors, 'id')}, score double"), "block-best")
     return top_k(found, k)
 
 
-def _packed(rows: DataFrame, key: str, vector: str, scope: str | None, most: int) -> DataFrame:
-    """Rows of vectors as blocks: (ids, scopes, d, data), data being a matrix of doubles with d columns."""
+def _packed(rows: DataFrame, key: str, vector: str, scope: str | None) -> DataFrame:
+    """Rows of vectors as blocks of at most BLOCK_ROWS and BLOCK_BYTES: (n, ids, scopes, d, data), n naming the block and data being a matrix of units, doubles with d columns.
+
+    Lengths are taken here: in SQL, `unit_vector` takes a vector's length anew for each of its numbers.
+    """
     s = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
+    size, most_rows = BLOCK_BYTES, BLOCK_ROWS
 
     def pack(batches):
+        task, n = TaskContext.get().partitionId(), 0
+        held: dict[int, pa.Table] = {}
+
+        def blocks(d: int, full: bool):
+            """Blocks of a length's held rows, or the full ones alone; what remains stays held."""
+            nonlocal n
+            some, most = held.pop(d), max(1, min(most_rows, size // (8 * d)))
+            while some.num_rows >= (most if full else 1):
+                part, some = some.slice(0, most).combine_chunks(), some.slice(most)
+                x, ok = _unit_rows(part.column(2).chunk(0), d)
+                if not ok.any():
+                    continue
+                keys = [part.column(i).chunk(0).filter(pa.array(ok)) for i in (0, 1)]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), c) for c in keys]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{n}"]), *lists, pa.array([d], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["n", "ids", "scopes", "d", "data"])
+                n += 1
+            if some.num_rows:
+                held[d] = some
+
         for batch in batches:
-            size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            for d in np.unique(size):
-                some = batch.filter(pa.array(size == d))
-                for at in range(0, some.num_rows, most):
-                    part = some.slice(at, most)
-                    ends = pa.array([0, part.num_rows], pa.int32())
-                    lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([part.column(i)])) for i in (0, 1)]
-                    data = part.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
-                    yield pa.RecordBatch.from_arrays([*lists, pa.array([int(d)], pa.int32()), pa.array([data], pa.binary())], names=["ids", "scopes", "d", "data"])
-
-    return rows.select(key, s.alias("s"), vector).mapInArrow(pack, f"ids array<{rows.schema[key].dataType.simpleString()}>, scopes array<string>, d int, data binary")
-
-
-def _block_top_k(v: dict, q: dict, k: int) -> pa.RecordBatch:
-    """(query, id, score): the k best vectors of a block for each query of another."""
-    x, y = (np.frombuffer(b["data"].as_py(), dtype="<f8").reshape(-1, b["d"].as_py()) for b in (v, q))
-    ids, queries = v["ids"].values, q["ids"].values
-    score = np.round(y @ x.T, 6)
-    if q["scopes"].values.null_count < len(queries):
-        of = {s: i for i, s in enumerate({*v["scopes"].values.to_pylist(), *q["scopes"].values.to_pylist()} - {None})}
-        a, b = ([of.get(s, -1) for s in side["scopes"].values.to_pylist()] for side in (q, v))
-        a, b = np.array(a), np.array(b)
-        score[(a[:, None] != b[None]) | (a[:, None] < 0)] = -np.inf
-    row, col = _k_best(score, ids, k)
-    return pa.RecordBatch.from_arrays([queries.take(pa.array(row)), ids.take(pa.array(col)), pa.array(score[row, col])], names=["query", "id", "score"])
+            lengths = pc.fill_null(batch.column(2).value_lengths(), 0).to_numpy()
+            for d in np.unique(lengths[lengths > 0]).tolist():
+                some = pa.Table.from_batches([batch.filter(pa.array(lengths == d))])
+                held[d] = pa.concat_tables([held[d], some]) if d in held else some
+                yield from blocks(d, full=True)
+            if sum(8 * d * some.num_rows for d, some in held.items()) > 4 * size:  # many lengths
+                for d in [*held]:
+                    yield from blocks(d, full=False)
+        for d in [*held]:
+            yield from blocks(d, full=False)
 
+    return rows.select(key, s.alias("s"), F.col(vector).cast("array<double>")).mapInArrow(pack, f"n string, ids array<{rows.schema[key].dataType.simpleString()}>, scopes array<string>, d int, data binary")
 
-def _k_best(score: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k best finite scores of each row, by score and then the column's id."""
+
+def _unit_rows(vectors: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of d numbers divided by their lengths, and which have one: not zero ones, nor those with a null or a number that is not finite."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, d)
+    length = np.zeros(len(x))
+    with np.errstate(all="ignore"):
+        for j in range(d):  # in their order, as SQL adds them up
+            length += x[:, j] ** 2
+        x = x / np.sqrt(length)[:, None]
+    ok = np.isfinite(x).all(axis=1)
+    return x[ok], ok
+
+
+def _matrix(block: dict) -> np.ndarray:
+    return np.frombuffer(block["data"].as_buffer(), dtype="<f8").reshape(-1, block["d"].as_py())
+
+
+class _Best:
+    """The k best vectors of each query of a block, over the blocks of vectors it has met.
+
+    Products in single precision, with a bound of their error, tell which pairs may be among the k best; these are computed in double.
+    """
+
+    def __init__(self, q: dict, k: int, rows: int) -> None:
+        # Copies: slices would keep a whole batch.
+        self.queries, self.scopes = (q[c].values.take(pa.array(np.arange(len(q["ids"].values)))) for c in ("ids", "scopes"))
+        self.k, self.step = k, rows
+        self.y = _matrix(q).copy()
+        self.y32 = self.y.astype(np.float32)
+        # Units and their products are rounded in single precision, on both sides of a comparison, and scores to six places.
+        self.error = (self.y.shape[1] + 8) * 2.0**-23 + 1e-6
+        self.floor = np.full((len(self.y), k), -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.waiting = 0
+
+    def meet(self, v: dict) -> None:
+        x, ids = _matrix(v), v["ids"].values
+        x32, place = x.astype(np.float32), _places(ids)
+        a, b = _codes(self.scopes, v["scopes"].values) if self.scopes.null_count < len(self.scopes) else (None, None)
+        for at in range(0, len(self.y), self.step):
+            score = self.y32[at : at + self.step] @ x32.T
+            if a is not None:
+                mine = a[at : at + self.step, None]
+                score[(mine != b[None]) | (mine < 0)] = -np.inf
+            most, least = score.max(axis=1), self.floor[at : at + self.step].min(axis=1) - self.error
+            rows = np.flatnonzero((most >= least) & (most > -np.inf))
+            if not len(rows):
+                continue
+            score = score[rows] if len(rows) < len(score) else score
+            least = np.maximum(least[rows], _kth_at_least(score, self.k) - self.error)
+            maybe = score >= np.maximum(least, -4.0).astype(np.float32)[:, None]
+            if np.count_nonzero(maybe) > 64 * self.k * len(rows):  # many equal vectors
+                exact = np.where(maybe, np.round(self.y[at + rows] @ x.T, 6), -np.inf)
+                row, col = _k_best(exact, ids, self.k)
+                exact = exact[row, col]
+            else:
+                row, col = np.divmod(np.flatnonzero(maybe), len(x))
+                exact = np.empty(len(row))
+                for i in range(0, len(row), len(x)):
+                    part = slice(i, i + len(x))
+                    exact[part] = np.einsum("ij,ij->i", self.y[at + rows[row[part]]], x[col[part]])
+                exact = np.round(exact, 6)
+                row, col, exact = _first(row, exact, place[col], self.k, row, col, exact)
+            self._hold(at + rows[row], exact, ids.take(pa.array(col)))
+
+    def _hold(self, row: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        """At most k rows a query, those of a query together."""
+        some, first = np.unique(row, return_index=True)
+        new = np.full((len(some), self.k), -np.inf)
+        at = np.searchsorted(some, row)
+        new[at, np.arange(len(row)) - first[at]] = score
+        both = np.concatenate([self.floor[some], new], axis=1)
+        self.floor[some] = np.partition(both, -self.k, axis=1)[:, -self.k :]
+        self.found.append((row, score, ids))
+        self.waiting += len(row)
+        if self.waiting > 4 * self.floor.size:
+            self._merge()
+
+    def _merge(self) -> None:
+        row, score = (np.concatenate([f[i] for f in self.found]) for i in (0, 1))
+        ids = pa.concat_arrays([f[2] for f in self.found])
+        row, score, col = _first(row, score, _places(ids), self.k, row, score, np.arange(len(row)))
+        self.found, self.waiting = [(row, score, ids.take(pa.array(col)))], 0
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(query, id, score)"""
+        if self.found:
+            self._merge()
+            row, score, ids = self.found[0]
+            yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(row)), ids, pa.array(score)], names=["query", "id", "score"])
+
+
+def _codes(*sides: pa.Array) -> list[np.ndarray]:
+    """Numbers of equal values of several arrays; -1 for null."""
+    of = {s: i for i, s in enumerate({s for side in sides for s in side.to_pylist()} - {None})}
+    return [np.array([of.get(s, -1) for s in side.to_pylist()]) for side in sides]
+
+
+def _kth_at_least(score: np.ndarray, k: int) -> np.ndarray:
+    """A bound that the k-th best of each row reaches: the k-th best of the best of groups of columns."""
+    groups = max(64, 2 * k)
+    deep = score.shape[1] // groups
+    if not deep:
+        return np.full(len(score), -np.inf)
+    most = score[:, : groups * deep].reshape(len(score), deep, groups).max(axis=1)
+    return np.partition(most, -k, axis=1)[:, -k]
+
+
+def _places(ids: pa.Array) -> np.ndarray:
+    """The place of each id in their order."""
     place = np.empty(len(ids), dtype=np.int64)
     place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    return place
+
+
+def _first(row: np.ndarray, score: np.ndarray, place: np.ndarray, k: int, *columns: np.ndarray) -> list[np.ndarray]:
+    """Columns of the k first of each row by score and then place, ordered so."""
+    order = np.lexsort((place, -score, row))
+    row = row[order]
+    return [c[order][np.arange(len(row)) - np.searchsorted(row, row) < k] for c in columns]
+
+
+def _k_best(score: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best finite scores of each row, by score and then the column's id."""
     least = np.partition(score, -k, axis=1)[:, -k][:, None] if score.shape[1] > k else -np.inf
     row, col = np.nonzero((score >= least) & (score > -np.inf))
-    order = np.lexsort((place[col], -score[row, col], row))
-    row, col = row[order], col[order]
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[nth < k], col[nth < k]
+    row, col = _first(row, score[row, col], _places(ids)[col], k, row, col)
+    return row, col
 
 
 def _units(rows: DataFrame, col: str) -> DataFrame:
